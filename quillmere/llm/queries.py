@@ -23,6 +23,27 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmere.llm.warc import archived
+
+    pages = table(spark, sf_dir, "pages")
+    kind = dict(pages.dtypes)["page_id"]
+    return archived(spark, pages).select(F.col("page_id").cast("string").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+def op6_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmere.llm.vafile import topk
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmere.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmere.llm.url_filter import filtered
 
@@ -31,6 +52,6 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontaminate, op10_url_reputation)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontaminate, op5_warc, op6_vafile, op8_toxicity, op10_url_reputation)}
 
 ORACLES = {}
