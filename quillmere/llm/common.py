@@ -82,6 +82,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Codes of the words of all texts, the distinct words, and where each text's words start (one more than texts)."""
+    if texts.offset:  # the kernels below misread what stands before a slice
+        texts = texts.take(pa.array(np.arange(len(texts))))
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
