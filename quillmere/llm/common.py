@@ -54,8 +54,8 @@ def ascii_lower(col):
 
 
 def binary_texts(arr: pa.Array) -> pa.Array:
-    """Null texts become empty ones."""
-    return pc.fill_null(arr.cast(pa.large_string()), "")
+    """Null texts become empty ones; the copy holds nothing before its first text, which some kernels would misread."""
+    return pc.fill_null(arr.take(pa.array(np.arange(len(arr)))).cast(pa.large_string()), "")
 
 
 def slices(arr: pa.Array, most: int = 4 << 20):
@@ -82,8 +82,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Codes of the words of all texts, the distinct words, and where each text's words start (one more than texts)."""
-    if texts.offset:  # the kernels below misread what stands before a slice
-        texts = texts.take(pa.array(np.arange(len(texts))))
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
