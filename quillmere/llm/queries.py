@@ -23,6 +23,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmere.llm.repair import written
+
+    return written(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmere.llm.warc import archived
 
@@ -52,6 +64,6 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontaminate, op5_warc, op6_vafile, op8_toxicity, op10_url_reputation)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_repair, op5_warc, op6_vafile, op8_toxicity, op10_url_reputation)}
 
 ORACLES = {}
