@@ -50,6 +50,13 @@ def op6_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmere.llm.ctw import scores
+
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    return scores(table(spark, sf_dir, "documents"), fold == 0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmere.llm.toxicity import toxicity
 
@@ -64,6 +71,6 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_repair, op5_warc, op6_vafile, op8_toxicity, op10_url_reputation)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_repair, op5_warc, op6_vafile, op7_ctw, op8_toxicity, op10_url_reputation)}
 
 ORACLES = {}
