@@ -63,6 +63,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmere.llm.jaccard import joined
+
+    return joined(table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmere.llm.url_filter import filtered
 
@@ -71,6 +77,6 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_repair, op5_warc, op6_vafile, op7_ctw, op8_toxicity, op10_url_reputation)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_repair, op5_warc, op6_vafile, op7_ctw, op8_toxicity, op9_jaccard, op10_url_reputation)}
 
 ORACLES = {}
