@@ -35,6 +35,12 @@ def op3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmere.llm.substring import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmere.llm.warc import archived
 
@@ -77,6 +83,6 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_repair, op5_warc, op6_vafile, op7_ctw, op8_toxicity, op9_jaccard, op10_url_reputation)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_repair, op4_substring, op5_warc, op6_vafile, op7_ctw, op8_toxicity, op9_jaccard, op10_url_reputation)}
 
 ORACLES = {}
