@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Runs of ASCII letters and digits; unicode=True takes letters and digits of any script, without diacritics.
@@ -19,7 +20,7 @@ def tokens(text, unicode: bool = False):
     return F.regexp_extract_all(F.regexp_replace(t, r"\p{Mn}", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)) if unicode else F.regexp_extract_all(t, F.lit(ASCII), F.lit(0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(s):
     """Compatibility with indexes that strip diacritics: decomposed text without its marks."""
     import unicodedata
