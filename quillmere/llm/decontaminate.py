@@ -101,4 +101,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """docs without the contaminated ones, columns unchanged."""
     bad = contamination(docs.select("doc_id", "text"), items, **how).where("contaminated").select(F.col("doc_id").alias("b_id"), F.col("text_key").alias("b_key")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.b_id) & (F.xxhash64(docs.text) == bad.b_key), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))  # whatever other columns are called
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("b_id")) & (F.col("key") == F.col("b_key")), "left_anti").select("row.*")

@@ -80,8 +80,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     m = mixture(docs, **how)
     # Rows that share a doc_id share its count: the mean, rounded, of what they were given.
     m = m.groupBy(F.col("doc_id").alias("m_id")).agg(F.round(F.avg("times")).cast("int").alias("times"))
-    out = docs.join(m, docs.doc_id.eqNullSafe(m.m_id)).where("times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))  # whatever other columns are called
+    out = rows.join(m, F.col("id").eqNullSafe(F.col("m_id"))).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

@@ -85,4 +85,51 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_repair, op4_substring, op5_warc, op6_vafile, op7_ctw, op8_toxicity, op9_jaccard, op10_url_reputation)}
 
-ORACLES = {}
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BENCH = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SPACED = r"regexp_extract_all(coalesce({}, ''), '[^ \t\n\x0b\f\r]+')"
+
+#: DuckDB SQL of the queries that it can express. op3, op7, op8, op9 and the pipeline have none: a tokenizer, trees and a
+#: classifier that learn, and components over a similarity join are held against brute force in tests/llm.
+ORACLES = {
+    "op1_mixing": rf"""WITH q AS (SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END) w FROM labels GROUP BY 1),
+d AS (SELECT d.doc_id, d.source, len({SPACED.format("text")})::BIGINT size, -ln((('0x' || left(md5(d.doc_id || ':17'), 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE) / coalesce(q.w, 1.0)::DOUBLE AS key FROM documents d LEFT JOIN q USING (doc_id)),
+s AS (SELECT source, sum(size)::DOUBLE source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE w FROM d GROUP BY 1),
+l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS lev FROM s WINDOW o AS (ORDER BY 2 * source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(2 * source_size, w * coalesce((SELECT max(lev) FROM l WHERE lev * w <= 2 * source_size), 'inf'::DOUBLE)) target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9) ELSE 0 END epochs FROM t),
+p AS (SELECT d.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size budget, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) begins FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size::BIGINT source_size, target, ((epochs + CASE WHEN budget > 0 AND begins + size / 2 <= budget THEN 1 ELSE 0 END) * size)::BIGINT taken FROM p""",
+    "op2_decontaminate": rf"""WITH i AS (SELECT item_id, {BENCH.format(LOWER.format("text"))} ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, ws[a:a + 12] w, len(ws[a:a + 12]) n FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(len(ws) - 12, 1))) a FROM i WHERE len(ws) > 0)),
+d AS (SELECT doc_id, coalesce({BENCH.format(LOWER.format("text"))}, []) ws FROM documents),
+m AS (SELECT p.doc_id, w.item_id, p.a, w.n FROM (SELECT doc_id, n, a, ws[a:a + n - 1] x FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) a FROM d, (SELECT DISTINCT n FROM w) k WHERE len(ws) >= n)) p JOIN w ON p.n = w.n AND p.x = w.w),
+h AS (SELECT doc_id, count(DISTINCT pos) n_hit FROM (SELECT doc_id, unnest(generate_series(a, a + n - 1)) AS pos FROM m) GROUP BY 1),
+g AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR item FROM m) GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)""",
+    "op4_substring": rf"""WITH d AS (SELECT doc_id, {SPACED.format("text")} ws FROM documents),
+w AS (SELECT doc_id, a, ws[a:a + 12] x FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) a FROM d WHERE len(ws) >= 13)),
+r AS (SELECT doc_id, a, min(doc_id) OVER (PARTITION BY x) f FROM w),
+g AS (SELECT doc_id, list(DISTINCT pos) gone FROM (SELECT doc_id, unnest(generate_series(a, a + 12)) AS pos FROM r WHERE f < doc_id) GROUP BY 1),
+u AS (SELECT doc_id, unnest(ws) x, generate_subscripts(ws, 1) AS pos FROM d),
+k AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.pos) kept FROM u LEFT JOIN (SELECT doc_id, unnest(gone) AS pos FROM g) z ON u.doc_id = z.doc_id AND u.pos = z.pos WHERE z.pos IS NULL GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT n_words, coalesce(len(gone), 0)::BIGINT n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op5_warc": """WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages), f AS (SELECT h, min(page_id) f FROM p WHERE strlen(h) >= 100 GROUP BY 1)
+SELECT page_id::VARCHAR page_id, strlen(p.h) payload_bytes, sha256(p.h) payload_digest, CASE WHEN f < page_id THEN 'revisit' ELSE 'response' END record_type, CASE WHEN f < page_id THEN f END refers_to FROM p LEFT JOIN f ON p.h = f.h""",
+    "op6_vafile": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT score FROM v q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_url_reputation": rf"""WITH o AS (SELECT doc_id page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) bad FROM labels GROUP BY 1),
+a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END r FROM pages),
+p AS (SELECT page_id, {LOWER.format("regexp_extract(r, '^[^/?#]*')")} host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) path FROM a),
+n AS (SELECT *, CASE WHEN len(string_split(host, '.')) < 2 THEN host ELSE string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] END dom, string_split(host, '.')[-1] suf FROM p),
+h AS (SELECT host, dom, suf, count(bad) n, coalesce(sum(bad), 0) bad FROM n LEFT JOIN o USING (page_id) GROUP BY ALL),
+z AS (SELECT (sum(bad) + 8 * 0.1::DOUBLE) / (sum(n) + 8) pa FROM h),
+s AS (SELECT suf, (sum(bad) + 8 * any_value(pa)) / (sum(n) + 8) ps FROM h, z GROUP BY 1),
+m AS (SELECT dom, (sum(bad) + 8 * any_value(ps)) / (sum(n) + 8) pd FROM h JOIN s USING (suf) GROUP BY 1),
+b AS (SELECT host, bad + 8 * pd x, n - bad + 8 * (1 - pd) y FROM h JOIN m USING (dom)),
+v AS (SELECT host, CASE WHEN x / (x + y) - sqrt(x * y / ((x + y) * (x + y) * (x + y + 1))) > 0.25 THEN 'block' ELSE 'allow' END hv FROM b),
+c AS (SELECT page_id, host, path, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM p)
+SELECT page_id, c.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE hv END verdict FROM c JOIN v USING (host)""",
+}

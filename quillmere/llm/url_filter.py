@@ -11,6 +11,8 @@ from quillmere.llm.common import ascii_lower, materialize
 STRENGTH = 8.0
 #: A page is blocked where its host's bad rate exceeds BAD_RATE even at the lower posterior bound, Z standard deviations down.
 BAD_RATE, Z = 0.25, 1.0
+#: The rate that the whole corpus is shrunk to, so that few outcomes, or none, block nothing.
+BASE_RATE = 0.1
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 
@@ -43,7 +45,7 @@ def reputations(outcomes: DataFrame, strength: float = STRENGTH, bad_rate: float
     def shrunk(n, bad, prior):
         return (bad + strength * prior) / (n + strength)
 
-    whole = hosts.agg(((F.sum("bad") + 1.0) / (F.sum("n") + 2.0)).alias("p_all"))
+    whole = hosts.agg(shrunk(F.sum("n"), F.sum("bad"), F.lit(BASE_RATE)).alias("p_all"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("s_n"), F.sum("bad").alias("s_bad")).join(F.broadcast(whole))  # whole: one row
     suffixes = suffixes.select("suffix", shrunk(F.col("s_n"), F.col("s_bad"), F.col("p_all")).alias("p_suffix"))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("d_n"), F.sum("bad").alias("d_bad")).join(suffixes, "suffix")
