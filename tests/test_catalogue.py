@@ -1,7 +1,7 @@
 """Every query with SQL gives the SQL's rows."""
 
 import pytest
-from conftest import SF, rows_of
+from helpers import SF, rows_of
 
 from quillmere.plans.oracles import ORACLES
 from quillmere.plans.queries import QUERIES
