@@ -14,11 +14,13 @@ from quillmere.llm.components import components
 #: Most frequent shingles whose counts order prefixes; all others count as rare. A bound of what is broadcast, not of what is joined.
 FREQUENT = 1 << 16
 #: Most shared tokens that a prefix may ask for, and the cost of a verification against that of a list entry.
-LONGEST, VERIFY = 4, 8.0
+LONGEST, VERIFY = 64, 4.0
 #: Sets and shingles of a block.
 BLOCK_SETS, BLOCK_SHINGLES = 128, 1 << 17
 #: Bits of the filter of candidates that saves reading texts into sets; beyond them it merely passes more.
 BITS = 1 << 22
+#: Ids that are broadcast to drop documents; beyond them a join that shuffles takes over.
+SENT = 1 << 20
 U = np.uint64
 
 
@@ -195,6 +197,23 @@ def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("x", "y").applyInArrow(verify, "a binary, b binary")
 
 
+def candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """c (a hash of cls), token, width, head: prefix tokens that classes of fitting sizes share, of classes that can have
+    a partner. Sizes are cut into widths within which, or the next, two sets that link must lie; a class stays only if
+    it shares as many tokens as it, or the least demanding class of its lists, asks for. Counts go before joins."""
+    width = F.floor(F.log("n") / F.lit(np.log(100.0 / percent) * 1.0001)).cast("int")
+    entries = classes.select(F.xxhash64("cls").alias("c"), "asked", width.alias("width"), F.explode("tokens").alias("token"))
+    shared = entries.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("m")).where("m > 1").select("t")
+    live = entries.join(shared, F.col("token") == F.col("t")).select("c", "asked", "token", F.explode(F.array("width", F.col("width") + 1)).alias("width"))
+    live = materialize(live, "live")
+    for _ in range(3):
+        lists = live.groupBy(F.col("token").alias("t"), F.col("width").alias("w")).agg(F.count("*").alias("m"), F.min("asked").alias("least"), F.min("c").alias("head")).where("m > 1")
+        met = materialize(live.select("c", "asked", "token", "width").join(lists, (F.col("token") == F.col("t")) & (F.col("width") == F.col("w"))).select("c", "asked", "token", "width", "least", "head"), "met")
+        able = met.groupBy(F.col("c").alias("a_c")).agg(F.count_distinct("token").alias("k"), F.min(F.least("asked", "least")).alias("need")).where("k >= need").select("a_c")
+        live = materialize(met.join(able, F.col("c") == F.col("a_c")).select("c", "asked", "token", "width", "head"), "live")
+    return live.select("c", "token", "width", "head")
+
+
 def joined(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text): sets of k-word shingles of the lower-cased
     text link where 100 * intersection >= percent * union; component_id is the smallest doc_id that links reach.
@@ -208,11 +227,9 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = materialize(prefixes(docs, k, percent), "prefixes")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("asked").alias("asked"), F.min("tokens").alias("tokens"))
     classes = materialize(classes, "classes")
-    entries = classes.select("cls", "n", F.explode("tokens").alias("token"))
-    lists = entries.groupBy("token").agg(F.count("*").alias("m"), F.min("cls").alias("head")).where("m > 1").select(F.col("token").alias("t"), "head")
-    live = materialize(entries.join(lists, F.col("token") == F.col("t")).select("cls", "token", "head"), "live")
-    family = live.groupBy("cls").agg(F.min("head").alias("family"))
-    sized = classes.select("cls", "rep", "n", "asked", "tokens").join(family, "cls")
+    met = candidates(classes, percent)
+    family = met.groupBy(F.col("c").alias("f_c")).agg(F.min("head").alias("family"))
+    sized = classes.join(family, F.xxhash64("cls") == F.col("f_c")).select("cls", "rep", "n", "asked", "tokens", "family")
     sized = materialize(sized, "families")
     sizes = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).withColumnRenamed("family", "f")
     sizes = materialize(sizes, "sizes")
@@ -228,12 +245,15 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     whole = members.select("cls", "block").join(comp, F.col("cls") == F.col("node"), "left").groupBy("block").agg(F.min(F.coalesce("component", "cls")).alias("lo"), F.max(F.coalesce("component", "cls")).alias("hi"))
     whole = materialize(whole, "blocks")
     inner = numbered.where("i > 0").select("family", F.col("x"), F.explode(F.when(F.col("i") > 1, F.sequence(F.lit(1), F.col("i") - 1)).otherwise(F.array().cast("array<int>"))).alias("j")).select("x", F.xxhash64("family", "j").alias("y"))
-    spread = live.select("cls", "token").join(placed.select("cls", "family", "block"), "cls").select("token", "family", "block").distinct()
-    # Only tokens that two families share pair blocks of different ones.
-    shared = spread.groupBy("token").agg(F.min("family").alias("f1"), F.max("family").alias("f2")).where("f1 <> f2").select("token")
-    spread = materialize(spread.join(shared, "token"), "spread")
-    other = spread.select("token", F.col("family").alias("g"), F.col("block").alias("y"))
-    across = spread.join(other, "token").where(F.col("family") > F.col("g")).select(F.col("block").alias("x"), "y").distinct()
+    where = placed.select(F.xxhash64("cls").alias("c"), "family", "block")
+    spread = met.join(where, "c").select(F.xxhash64("token", "width").alias("place"), "token", "family", "block").distinct()
+    # Only places that two families share pair blocks of different ones, and only as many tokens as the least demanding set asks for.
+    shared = spread.groupBy("place").agg(F.min("family").alias("f1"), F.max("family").alias("f2")).where("f1 <> f2").select("place")
+    spread = materialize(spread.join(shared, "place"), "spread")
+    least = materialize(placed.groupBy("block").agg(F.min("asked").alias("asked")), "least")
+    other = spread.select("place", F.col("family").alias("g"), F.col("block").alias("y"))
+    across = spread.join(other, "place").where(F.col("family") > F.col("g")).groupBy(F.col("block").alias("x"), "y").agg(F.count_distinct("token").alias("k"))
+    across = across.join(least.toDF("x", "x_asked"), "x").join(least.toDF("y", "y_asked"), "y").where(F.col("k") >= F.least("x_asked", "y_asked")).select("x", "y")
     rest = inner.unionByName(across)
     rest = rest.join(whole.toDF("x", "x_lo", "x_hi"), "x").join(whole.toDF("y", "y_lo", "y_hi"), "y").where((F.col("x_lo") != F.col("x_hi")) | (F.col("x_lo") != F.col("y_lo")) | (F.col("y_lo") != F.col("y_hi")))
     links = links.unionByName(materialize(verified(rest.select("x", "y"), members, percent), "far_links"))
@@ -246,8 +266,16 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stand for their component: the smallest doc_id's, one row of it. Columns unchanged. Rows
-    with a null doc_id stay."""
-    kept = joined(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("k_id")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("k_id")).select(*docs.columns)
-    return known.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of docs that stand for their component: the smallest doc_id's, one row of each of its texts. Columns
+    unchanged. Rows with a null doc_id stay. Texts are shuffled only where more than SENT ids are to go."""
+    of = joined(docs, k, percent).where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("k_id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows"))
+    of = materialize(of.where("not stays or rows > 1"), "dropped")
+
+    def sent(ids):
+        return F.broadcast(ids) if of.count() <= SENT else ids
+
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    single = rows.join(sent(of.select("k_id")), F.col("id") == F.col("k_id"), "left_anti").select("row")
+    more = rows.join(sent(of.where("stays").select("k_id")), F.col("id") == F.col("k_id"), "left_semi")
+    more = more.withColumn("key", F.xxhash64("row.text")).dropDuplicates(["id", "key"]).select("row")
+    return single.unionByName(more).select("row.*")
