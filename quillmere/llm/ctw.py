@@ -11,12 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import binary_texts, hashes, materialize, mixed, parts_for, shuffle_partitions, slices, split_words
+from quillmere.llm.common import binary_texts, byte_list, hashes, materialize, mixed, parts_for, shuffle_partitions, slices, split_words
 
 #: Bytes of context. A gram is the context's bytes, oldest first, and the byte they precede.
 DEPTH = 5
 #: Grams and words of the model that are broadcast at once; more go in as many passes over the texts.
-GRAMS, WORDS = 1 << 22, 1 << 23
+GRAMS, WORDS = 1 << 22, 1 << 22
 #: Distinct grams that a task gathers before it hands them on.
 HELD = 1 << 21
 END = b"\n"
@@ -29,7 +29,7 @@ def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start, space, end, none = (pa.scalar(x, pa.large_string()) for x in (END.decode() * DEPTH, " ", END.decode(), ""))
     joined = pc.binary_join_element_wise(start, pc.binary_join(lists, space), end, none)
     sizes = np.asarray(pc.binary_length(joined), dtype=np.int64)
-    return np.frombuffer(b"".join(joined.cast(pa.large_binary()).to_pylist()), np.uint8), np.r_[0, np.cumsum(sizes)]
+    return np.frombuffer(b"".join(byte_list(joined)), np.uint8), np.r_[0, np.cumsum(sizes)]
 
 
 def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

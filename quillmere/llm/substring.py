@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmere.llm.common import M1, M2, binary_texts, grams, hashes, materialize, pack_sorted, scratch_path, shuffle_partitions, split_words, unpack_sorted
+from quillmere.llm.common import M1, M2, binary_texts, byte_list, grams, hashes, materialize, pack_sorted, scratch_path, shuffle_partitions, split_words, unpack_sorted
 
 #: Words of a shingle within a window; a window's fingerprint is the least hash of its shingles.
 SHINGLE = 5
@@ -48,7 +48,7 @@ class Chunk:
         table = pa.ipc.open_stream(payload).read_all().combine_chunks()
         self.ids = table["doc_id"].combine_chunks()
         self.codes, words, self.offsets = split_words(binary_texts(table["text"].combine_chunks()), False)
-        self.words = words.cast(pa.large_binary()).to_pylist()
+        self.words = byte_list(words)
         self.window = window
         order = np.asarray(self.ids.fill_null(np.iinfo(np.int64).min))
         doc = np.repeat(np.arange(len(order)), np.diff(self.offsets))

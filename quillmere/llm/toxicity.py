@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmere.llm.common import binary_texts, hashes, slices, split_words
+from quillmere.llm.common import binary_texts, byte_list, hashes, slices, split_words
 
 #: Hashed features of the classifier.
 FEATURES = 1 << 18
@@ -24,7 +24,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each text's features start, the feature numbers, and the text of each: its distinct words, lower-cased and
     without punctuation at their ends, and their first STEM bytes. Null and empty texts have none but the bias."""
     codes, words, offsets = split_words(binary_texts(texts), True)
-    stripped = [w.strip(PUNCTUATION) for w in words.cast(pa.large_binary()).to_pylist()]
+    stripped = [w.strip(PUNCTUATION) for w in byte_list(words)]
     doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
     used = np.unique(doc * max(1, len(words)) + codes)
     doc, codes = used // max(1, len(words)), used % max(1, len(words))
