@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmere.llm.common import binary_texts, scratch_path, shuffle_partitions, slices, split_words
+from quillmere.llm.common import binary_texts, byte_list, scratch_path, shuffle_partitions, slices, split_words
 
 #: Bytes of text of a block, one document at least.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 #: Pairs replaced in a round, and occurrences that a pair needs.
 PER_ROUND, LEAST = 4096, 4
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Distinct words whose ids a worker remembers, and words that are encoded in one text.
+REMEMBERED, TOGETHER = 1_000_000, 200
+PLAIN = ".,!?;:"
 MAGIC = b"QMRP"
 HEAD = "<4sIIIIQ"
 
@@ -28,39 +31,62 @@ class Encoder:
     ASCII white space is encoded once and remembered."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def word_ids(self, words: list[bytes]) -> list[bytes]:
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def learn(self, words: list[bytes], letters: bool) -> None:
+        """Words of letters are one pre-token each, whose last id is marked as an end: they are encoded as one text and
+        cut there. Where that doesn't give as many as there are words, and for all others, each is encoded alone."""
+        parts = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        if letters and parts:
+            found, alone = self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False), []
+            for part, e in zip(parts, found):
+                ids = np.array(e.ids, np.uint32)
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) != len(part) or stops[-1] != len(ids):
+                    alone += part
+                    continue
+                data, start = ids.tobytes(), 0
+                for w, stop in zip(part, (4 * stops).tolist()):
+                    self.known[w] = data[start:stop]
+                    start = stop
+            words = alone
+        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, np.uint32).tobytes()
+
+    def word_ids(self, words: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each word. A word of letters followed by plain punctuation is the ids of both, as
         the pre-tokenizer cuts there; a word of letters has the same ids in either case, as the normaliser lowers it."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        core = pc.utf8_rtrim(words, characters=PLAIN)
+        alpha = pc.utf8_is_alpha(core)
+        heads = byte_list(pc.if_else(alpha, pc.ascii_lower(core), words))
+        cut = np.where(np.asarray(alpha), np.asarray(pc.binary_length(words)) - np.asarray(pc.binary_length(core)), 0).tolist()
+        plain = byte_list(words)
+        tails = [w[-n:] if n else b"" for w, n in zip(plain, cut)]
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [w for w in words if w not in known]
-        cut, wanted = [], set()
-        for w in new:
-            text = w.decode()
-            core = text.rstrip(".,!?;:")
-            if core and core.isalpha():
-                head, tail = core.encode().lower(), text[len(core) :].encode()
-            else:
-                head, tail = w, b""
-            cut.append((w, head, tail))
-            wanted |= {head, tail} - {b""}
-        wanted = [w for w in wanted if w not in known]
-        for w, e in zip(wanted, self.tokenizer.encode_batch_fast([w.decode() for w in wanted], add_special_tokens=False)):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
-        for w, head, tail in cut:
-            known[w] = known[head] + known[tail] if tail else known[head]
-        return [known[w] for w in words]
+        known[b""] = b""
+        new: tuple[set, set] = (set(), set())
+        for h, t, letters in zip(heads, tails, np.asarray(alpha).tolist()):
+            if h not in known:
+                new[letters].add(h)
+            if t not in known:
+                new[False].add(t)
+        self.learn(sorted(new[False]), False)
+        self.learn(sorted(new[True]), True)
+        return [known[h] + known[t] if t else known[h] for h, t in zip(heads, tails)]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, `end` after each, and where each text's ids end."""
         codes, words, offsets = split_words(binary_texts(texts), False)
-        parts = self.word_ids(words.cast(pa.large_binary()).to_pylist()) + [struct.pack("<I", end)]
+        parts = self.word_ids(words) + [struct.pack("<I", end)]
         codes = np.insert(codes.astype(np.int64), offsets[1:], len(parts) - 1)
         lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         ids = gathered(np.frombuffer(b"".join(parts), np.uint32), lens, codes)
@@ -90,15 +116,16 @@ def grammar(ids: np.ndarray, ends: np.ndarray, per_round: int = PER_ROUND, least
     that overlap are taken from the left. It ends when no pair occurs `least` times, or when 16-bit symbols run out (for
     ids that need more, 32-bit ones)."""
     base = int(ids.max(initial=0)) + 1
-    room = (1 << 16 if base < 1 << 16 else 1 << 31) - base
-    seq = ids.astype(np.int64)
+    bits = 16 if base < 1 << 16 else 31
+    room, kind = (1 << bits) - base, np.uint32 if bits == 16 else np.uint64
+    seq = ids.astype(kind)
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
     top = base
     while room > 0 and len(seq) > 1:
         inside = ~last[:-1]
-        pairs = (seq[:-1] << 31) | seq[1:]
+        pairs = (seq[:-1] << kind(bits)) | seq[1:]
         counted, n = np.unique(pairs[inside], return_counts=True)
         frequent = np.flatnonzero(n >= least)
         if not len(frequent):
@@ -108,7 +135,8 @@ def grammar(ids: np.ndarray, ends: np.ndarray, per_round: int = PER_ROUND, least
             frequent = frequent[np.argsort(-n[frequent], kind="stable")[:take]]
         chosen = np.sort(counted[frequent])
         first, second = np.zeros(top, bool), np.zeros(top, bool)
-        first[chosen >> 31], second[chosen & (2**31 - 1)] = True, True
+        left, right = (chosen >> kind(bits)).astype(np.int64), (chosen & kind((1 << bits) - 1)).astype(np.int64)
+        first[left], second[right] = True, True
         at = np.flatnonzero(inside & first[seq[:-1]] & second[seq[1:]])
         which = np.searchsorted(chosen, pairs[at])
         hit = (which < len(chosen)) & (chosen[np.minimum(which, len(chosen) - 1)] == pairs[at])
@@ -123,7 +151,7 @@ def grammar(ids: np.ndarray, ends: np.ndarray, per_round: int = PER_ROUND, least
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-        rules.append(np.stack([chosen[used] >> 31, chosen[used] & (2**31 - 1)], 1))
+        rules.append(np.stack([left[used], right[used]], 1))
         top, room = top + len(used), room - len(used)
     return base, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), seq, np.flatnonzero(last) + 1
 
