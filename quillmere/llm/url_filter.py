@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +18,59 @@ BAD_RATE, Z = 0.25, 1.0
 #: The rate that the whole corpus is shrunk to, so that few outcomes, or none, block nothing.
 BASE_RATE = 0.1
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+#: The suffix that all IP addresses share; no name can have it.
+IP = "[ip]"
+IPV4, IPV6 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", r"^\["
 
 
 def parts(pages: DataFrame) -> DataFrame:
-    """pages with host, path, domain (last two labels) and suffix (last label). A url that is null or has no :// gives empty ones."""
+    """pages with host and path. A url that is null or has no :// gives empty ones."""
     at = F.instr("url", "://")
     rest = F.when(at > 0, F.substring(F.col("url"), at + 3, F.length("url"))).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
     host = ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    out = pages.withColumns({"host": host, "path": path})
-    return out.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    return pages.withColumns({"host": host, "path": path})
+
+
+@functools.cache
+def public_suffixes() -> list[tuple[str, int, int, int, bool]]:
+    """Keys of the bundled suffixes of two or more labels, in letters of their own and in Punycode, with their number of
+    labels, how many labels the suffix has of a host that is the key and of one that ends with it after a dot, and
+    whether it is an exception. A wildcard's key is what follows the star."""
+    lines = (Path(__file__).parent / "public_suffixes.txt").read_text(encoding="utf-8").splitlines()
+    rules = [x for x in lines if x and not x.startswith("//")]
+    wild, no = ({x[skip:] for x in rules if x[0] == sign} for sign, skip in (("*", 2), ("!", 1)))
+    plain = {x for x in rules if x[0] not in "*!"}
+    found = {}
+    for key in plain | wild | no:
+        n = key.count(".") + 1
+        row = (n, n - 1, n - 1, True) if key in no else (n, n if key in plain else 0, n + 1 if key in wild else n, False)
+        found |= {key: row, key.encode("idna").decode(): row}
+    return [(k, *row) for k, row in sorted(found.items())]
+
+
+def with_domain(hosts: DataFrame) -> DataFrame:
+    """hosts (host) with domain and suffix. Of a name these are the longest public suffix that fits and that with one
+    label before it; the last label is a suffix by itself, and a name that is a suffix is its own domain. User names,
+    ports and a last dot don't count. An IP address is its own domain, under a suffix of all such."""
+    listed = public_suffixes()
+    name = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r":[0-9]*$", "")
+    h = hosts.withColumn("_name", name).withColumn("_ip", F.col("_name").rlike(IPV4) | F.col("_name").rlike(IPV6))
+    h = h.withColumn("_name", F.when(F.col("_ip"), F.col("_name")).otherwise(F.regexp_replace("_name", r"\.$", "")))
+    size = F.size(F.split("_name", r"\."))
+    takes, fixed = [F.lit(1)], []
+    for n in sorted({row[1] for row in listed}):
+        columns = zip(*[(k, own, below, no) for k, of, own, below, no in listed if of == n])
+        rules = hosts.sparkSession.createDataFrame(pa.Table.from_pydict(dict(zip((f"_key{n}", f"_own{n}", f"_below{n}", f"_no{n}"), map(list, columns)))))
+        h = h.join(F.broadcast(rules), F.substring_index("_name", ".", -n) == F.col(f"_key{n}"), "left")  # rules: the bundled list
+        takes.append(F.when(size > n, F.col(f"_below{n}")).otherwise(F.col(f"_own{n}")))
+        fixed.append(F.when(F.col(f"_no{n}"), n - 1))
+    labels = F.coalesce(*fixed, F.greatest(*takes))
+    h = h.withColumn("_labels", labels)
+    domain = F.when(F.col("_ip"), F.col("_name")).otherwise(F.expr("substring_index(_name, '.', -(_labels + 1))"))
+    suffix = F.when(F.col("_ip"), F.lit(IP)).otherwise(F.expr("substring_index(_name, '.', -_labels)"))
+    return h.select(*hosts.columns, domain.alias("domain"), suffix.alias("suffix"))
 
 
 def ruled(df: DataFrame, rules=RULES) -> DataFrame:
@@ -37,10 +83,11 @@ def ruled(df: DataFrame, rules=RULES) -> DataFrame:
 
 
 def reputations(outcomes: DataFrame, strength: float = STRENGTH, bad_rate: float = BAD_RATE, z: float = Z) -> DataFrame:
-    """host, n, bad, prior, mean, bound, host_verdict from outcomes (host, domain, suffix, bad 0/1 or null where a page
-    is not labelled). Each level's rate is shrunk to the next wider one's by a beta prior of `strength` outcomes: all
-    labelled pages, suffix, domain, host. Every step groups counts of hosts, not pages."""
-    hosts = materialize(outcomes.groupBy("host", "domain", "suffix").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")), "hosts")
+    """host, n, bad, prior, mean, bound, host_verdict from outcomes (host, bad 0/1 or null where a page is not labelled).
+    Each level's rate is shrunk to the next wider one's by a beta prior of `strength` outcomes: all labelled pages,
+    suffix, domain, host. Every step groups counts of hosts, not pages."""
+    counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    hosts = materialize(with_domain(counts), "hosts")
 
     def shrunk(n, bad, prior):
         return (bad + strength * prior) / (n + strength)
@@ -64,7 +111,7 @@ def filtered(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
     are summed before they are shuffled, and the join back is one that Spark splits by size."""
     worst = outcomes.groupBy(F.col("page_id").alias("o_id")).agg(F.max("bad").alias("bad"))
     cut = parts(pages.select("page_id", "url")).drop("url")
-    seen = cut.join(worst, cut.page_id == worst.o_id, "left").select("host", "domain", "suffix", "bad")
+    seen = cut.join(worst, cut.page_id == worst.o_id, "left").select("host", "bad")
     fame = materialize(reputations(seen).select(F.col("host").alias("h"), "host_verdict"), "fame")
-    judged = ruled(cut.drop("domain", "suffix"), rules).join(fame, F.col("host") == F.col("h"), "left")
+    judged = ruled(cut, rules).join(fame, F.col("host") == F.col("h"), "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "host_verdict").alias("verdict"))

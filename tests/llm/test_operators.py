@@ -365,6 +365,26 @@ def test_url_reputation(spark):
     assert got.pop("bad.org") == "block" and set(got.values()) == {"allow"}
 
 
+def test_url_domains(spark):
+    want = {
+        "x.spam.co.uk": ("spam.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.example.com": ("example.com", "com"), "net": ("net", "net"), "": ("", ""), "a.b.nowhere": ("b.nowhere", "nowhere"),
+        "10.0.0.1": ("10.0.0.1", "[ip]"), "10.0.0.1:80": ("10.0.0.1", "[ip]"), "[2001:db8::1]:8080": ("[2001:db8::1]", "[ip]"), "u:p@www.shop.com.au:443": ("shop.com.au", "com.au"), "www.x.co.jp.": ("x.co.jp", "co.jp"),
+        "a.b.c.ck": ("b.c.ck", "c.ck"), "a.www.ck": ("www.ck", "ck"), "a.city.kawasaki.jp": ("city.kawasaki.jp", "kawasaki.jp"), "a.b.other.kawasaki.jp": ("b.other.kawasaki.jp", "other.kawasaki.jp"), "kawasaki.jp": ("kawasaki.jp", "jp"),
+        "w.x.公司.cn": ("x.公司.cn", "公司.cn"), "w.x.xn--55qx5d.cn": ("x.xn--55qx5d.cn", "xn--55qx5d.cn"),
+    }
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in url_filter.with_domain(spark.createDataFrame([(h,) for h in want], "host string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("port", ["", ":8080"])
+def test_url_reputation_under_long_suffixes(spark, port):
+    urls = [f"http://h{i}.spam.co.uk/" for i in range(40)] + [f"http://h{i}.good{i}.co.uk{port}/" for i in range(400)] + ["http://x.spam.co.uk/", "http://x.good1.co.uk/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    bad = spark.createDataFrame([(i, int(i < 40)) for i in range(440)], "page_id long, bad int")
+    got = {r["host"]: r["verdict"] for r in url_filter.filtered(pages, bad).collect()}
+    assert len(got) == 442 and got["x.spam.co.uk"] == "block" and got["x.good1.co.uk"] == "allow"
+
+
 def test_sql(spark, duck):
     from helpers import rows_of
 
