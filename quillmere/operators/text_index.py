@@ -2,59 +2,61 @@
 
 from __future__ import annotations
 
-import re
+import sys
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Runs of ASCII letters and digits; unicode=True takes letters and digits of any script, without diacritics.
-ASCII = "[a-z0-9]+"
+#: Runs of ASCII letters and digits, and of letters and digits of any script.
+ASCII, ANY = "[a-z0-9]+", r"[\p{L}\p{N}]+"
 
 
-def tokens(text, unicode: bool = False):
-    """Lower-cased tokens. With unicode, marks that stand apart are dropped; composed letters keep theirs unless folded
-    beforehand by fold()."""
-    t = F.lower(text)
-    return F.regexp_extract_all(F.regexp_replace(t, r"\p{Mn}", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)) if unicode else F.regexp_extract_all(t, F.lit(ASCII), F.lit(0))
+def plain_letters() -> dict[str, str]:
+    """Each letter that is an ASCII letter under diacritics, with that letter: those that unicode61 strips."""
+    forms = ((chr(i), unicodedata.normalize("NFD", chr(i))) for i in range(0x80, sys.maxunicode + 1))
+    return {c: d[0] for c, d in forms if d[0].isascii() and d[0].isalpha() and all(map(unicodedata.combining, d[1:]))}
 
 
-@F.pandas_udf(T.StringType())
-def fold(s):
-    """Compatibility with indexes that strip diacritics: decomposed text without its marks."""
-    import unicodedata
+PLAIN = plain_letters()
 
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
 
+def fold(text):
+    """Lower-cased text without diacritics: Latin letters lose theirs, marks that stand apart are dropped."""
+    plain = F.lower(F.translate(text, "".join(PLAIN), "".join(PLAIN.values())))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(F.regexp_replace(plain, r"\p{Mn}", ""), "ς", "σ"))
 
-def query_terms(text: str) -> list[str]:
-    """The terms of a query, all of which are wanted: white-space words reduced to letters, digits and _."""
-    kept = ("".join(c for c in word if c.isalnum() or c == "_") for word in text.split())
-    return [w.lower() for w in kept if w]
 
+def tokens(text, unicode: bool = False):
+    """Lower-cased tokens: ASCII runs, or with unicode those of the folded text."""
+    return F.regexp_extract_all(fold(text), F.lit(ANY), F.lit(0)) if unicode else F.regexp_extract_all(F.lower(text), F.lit(ASCII), F.lit(0))
 
-def same(term: str):
-    return lambda x: x == term
+
+def query_terms(text: str) -> list[str]:
+    """The terms of a query, all of which are wanted: white-space words reduced to letters, their marks, digits and _."""
+    kept = ("".join(c for c in word if c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M") for word in text.split())
+    return [w.lower() for w in kept if w]
 
 
-def begins(parts: list[str]):
-    """Whether the parts stand in _t from a token on."""
-    return lambda x, at: F.slice(F.col("_t"), at + 1, len(parts)) == F.array(*map(F.lit, parts))
+def occurrences(parts):
+    """How often the parts, a constant array of tokens, stand in _t one after another; no parts stand nowhere."""
+    one = F.size(F.filter("_t", lambda x: x == F.get(parts, F.lit(0))))
+    run = F.size(F.filter("_t", lambda x, at: F.slice(F.col("_t"), at + 1, F.size(parts)) == parts))
+    return F.when(F.size(parts) == 0, 0).when(F.size(parts) == 1, one).otherwise(run)
 
 
-def bm25(table: DataFrame, id_col: str, text, query: str, all_terms: bool = True) -> DataFrame:
-    """id, score (lower is better) of the rows that hold all terms, or any. A term with _ is a phrase of its parts.
+def bm25(table: DataFrame, id_col: str, text, query: str, all_terms: bool = True, unicode: bool = True) -> DataFrame:
+    """id, score (lower is better) of the rows that hold all terms, or any. A term with _ is a phrase of its parts. Texts
+    and terms are cut alike; without unicode, into ASCII runs.
 
     Terms are few, so nothing is exploded: each row counts its own, and the statistics are one aggregate over the scan."""
     terms = query_terms(query)
     if not terms:
         return table.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    phrases = [re.findall(r"[a-z0-9]+", t) for t in terms]
-    counted = table.select(id_col, tokens(text).alias("_t")).withColumn("_dl", F.size("_t"))
-    for i, parts in enumerate(phrases):
-        n = F.size(F.filter("_t", same(parts[0]))) if len(parts) == 1 else F.size(F.filter("_t", begins(parts))) if parts else F.lit(0)
-        counted = counted.withColumn(f"_f{i}", n)
+    counted = table.select(id_col, tokens(text, unicode).alias("_t")).withColumn("_dl", F.size("_t"))
+    for i, term in enumerate(terms):
+        counted = counted.withColumn(f"_f{i}", occurrences(tokens(F.lit(term), unicode)))
     counted = counted.drop("_t")
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(terms))])
     hits = [F.col(f"_f{i}") > 0 for i in range(len(terms))]

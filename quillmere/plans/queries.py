@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,15 +38,21 @@ def files(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit("."), ext).alias("path"), ext.alias("ext"), F.octet_length("text").cast("long").alias("size"), (F.col("doc_id") % 11 != 0).alias("exists"), (F.col("doc_id") % 13 != 0).alias("is_file"), (F.col("doc_id") * 1000).alias("mtime"), states.alias("status"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") * 1000).alias("last_mtime"), F.octet_length("text").cast("long").alias("last_size"))
 
 
+# The SQL of the keyword queries cuts texts into ASCII runs; the queries named _unicode search as the engine does.
+
+
+def keyword(spark, sf_dir, unicode=False):
+    return text_index.bm25(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), TERMS, unicode=unicode)
+
+
 @query
-def keyword_bm25_topk(spark, sf_dir):
-    hits = text_index.bm25(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), TERMS)
-    return text_index.top(hits, "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
+def keyword_bm25_topk(spark, sf_dir, **how):
+    return text_index.top(keyword(spark, sf_dir, **how), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query
-def keyword_bm25_all_terms(spark, sf_dir):
-    return text_index.bm25(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), TERMS).select("doc_id", F.round("score", 6).alias("score"))
+def keyword_bm25_all_terms(spark, sf_dir, **how):
+    return keyword(spark, sf_dir, **how).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query
@@ -53,27 +61,27 @@ def vector_knn_l2(spark, sf_dir):
     return search.knn(v, "vec_id", "embedding", probe(v), 20).select("vec_id", F.round("distance", 5).alias("distance"))
 
 
-def hybrid(spark, sf_dir, **how):
+def hybrid(spark, sf_dir, unicode=False, **how):
     docs, v = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     v = v.select(F.col("vec_id").alias("doc_id"), "embedding")
     e = list(probe(v.withColumnRenamed("doc_id", "vec_id")))
-    out = search.search(docs, v, TERMS, e, id_col="doc_id", path="source", text=F.col("text"), **how)
+    out = search.search(docs, v, TERMS, e, id_col="doc_id", path="source", text=F.col("text"), unicode=unicode, **how)
     return out.select("doc_id", "vector_rank", "keyword_rank", F.round("score", 9).alias("score"))
 
 
 @query
-def hybrid_rrf(spark, sf_dir):
-    return hybrid(spark, sf_dir)
+def hybrid_rrf(spark, sf_dir, **how):
+    return hybrid(spark, sf_dir, **how)
 
 
 @query
-def hybrid_rrf_filtered(spark, sf_dir):
-    return hybrid(spark, sf_dir, path_glob="src1*")
+def hybrid_rrf_filtered(spark, sf_dir, **how):
+    return hybrid(spark, sf_dir, path_glob="src1*", **how)
 
 
 @query
-def search_threshold(spark, sf_dir):
-    return hybrid(spark, sf_dir, threshold=0.0150)
+def search_threshold(spark, sf_dir, **how):
+    return hybrid(spark, sf_dir, threshold=0.0150, **how)
 
 
 @query
@@ -82,8 +90,11 @@ def vector_only_rrf(spark, sf_dir):
 
 
 @query
-def keyword_only_rrf(spark, sf_dir):
-    return hybrid(spark, sf_dir, mode="keyword")
+def keyword_only_rrf(spark, sf_dir, **how):
+    return hybrid(spark, sf_dir, mode="keyword", **how)
+
+
+QUERIES |= {f"{f.__name__}_unicode": functools.partial(f, unicode=True) for f in (keyword_bm25_topk, keyword_bm25_all_terms, hybrid_rrf, hybrid_rrf_filtered, search_threshold, keyword_only_rrf)}
 
 
 @query
