@@ -113,7 +113,8 @@ INDEX = "path string, offset long, length long, page_id string, record_type stri
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrites every archive (path): each record becomes a gzip member of its own; the sidecar <path>.idx and the
-    returned rows give offset and length of each. A file is inflated once, as a stream; one record is held at a time."""
+    returned rows give offset and length of each. A file is inflated once, as a stream; one record is held at a time. The
+    archives are left as they are, so that a task can be run again."""
 
     def rewrite(batches):
         fs, base = opened(folder)
@@ -133,7 +134,6 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 with fs.open_output_stream(to + ".idx", compression=None) as out:
                     for _, offset, length, page_id, kind in rows:
                         out.write(f"{offset} {length} {page_id} {kind}\n".encode())
-                fs.delete_file(path)
                 for i in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_pydict(dict(zip(("path", "offset", "length", "page_id", "record_type"), map(list, zip(*rows[i : i + 10_000])))))
 
@@ -179,12 +179,16 @@ def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, least: int = 100) -> DataFrame:
     """Writes pages (page_id, url, html) as WARC files under folder and returns the index of the normalised archives.
-    A null html is an empty payload, a null url an empty one; an empty table gives no archive."""
+    A null html is an empty payload, a null url an empty one; an empty table gives no archive. The monolithic archives are
+    deleted once the whole index is written."""
     folder = folder or scratch_path(spark, "warc")
     cast = revisits(pages, least).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     archives = materialize(write_monolithic(cast, folder), "archives")
     n = max(1, archives.count())
     index = materialize(normalise(archives.repartition(n), folder), "warc_index")
+    fs, _ = opened(folder)
+    for row in archives.select("path").toLocalIterator():  # only now are all index rows kept
+        fs.delete_file(row["path"])
     return index.withColumn("folder", F.lit(folder))
 
 

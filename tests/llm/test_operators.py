@@ -170,6 +170,17 @@ def test_warc(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_warc_survives_a_task_run_again(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    pages = spark.createDataFrame([(str(i), "u", "x" * i, "d", None) for i in range(20)], "page_id string, url string, html string, digest string, refers_to string")
+    archives = warc.materialize(warc.write_monolithic(pages, folder), "archives")
+    kept = [sorted(tuple(r) for r in warc.normalise(archives, folder).select("page_id", "length").collect()) for _ in range(2)]
+    assert kept[0] == kept[1] and len(kept[0]) == 20
+    whole = tmp_path / "whole"
+    assert warc.archive(spark, pages.select("page_id", "url", "html"), f"file://{whole}").count() == 20
+    assert not list(whole.glob("*.mono.warc.gz")) and list(whole.glob("*.warc.gz"))
+
+
 def test_warc_stream_in_any_pieces():
     import io
 
