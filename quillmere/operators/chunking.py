@@ -110,6 +110,25 @@ def tail(s: str, tokens: int) -> str:
     return b[at:].decode()
 
 
+def tail_column(text, tokens: int):
+    """tail() inside the JVM."""
+    b = text.cast("binary")
+    at = F.octet_length(text) - 4 * tokens + 1
+
+    def inside(p):
+        byte = F.substring(b, p, 1)
+        return (byte >= F.lit(b"\x80")) & (byte < F.lit(b"\xc0"))
+
+    start = F.when(~inside(at), at).when(~inside(at - 1), at - 1).when(~inside(at - 2), at - 2).otherwise(at - 3)
+    return F.when(at <= 1, text).otherwise(F.substring(b, start, 4 * tokens + 3).cast("string"))
+
+
+def overlaps(docs: DataFrame, id_col: str, text, tokens: int = 50) -> DataFrame:
+    """id, ordinal, overlap of each line: the tail of the line before, empty for the first. Rows don't leave their task."""
+    tails = F.transform(F.split(text, "\n"), lambda x: tail_column(x, tokens))
+    return docs.select(id_col, F.posexplode(F.concat(F.array(F.lit("")), F.slice(tails, 1, F.size(tails) - 1))).alias("ordinal", "overlap"))
+
+
 def chunk(markdown: str, title: str | None = None, target: int = 400, most: int = 800, overlap: int = 50) -> list[tuple[int, str, str, str | None, int]]:
     """(ordinal, content, content hash, heading path, tokens). The hash is the part's, without the overlap before it."""
     if not markdown or not markdown.strip():

@@ -124,11 +124,15 @@ def chunk_ordinals(spark, sf_dir):
 
 @query
 def chunk_overlap(spark, sf_dir):
-    """The last 200 bytes of the paragraph before, of texts in ASCII (where bytes are characters)."""
+    """chunk_overlap_all of the texts that its SQL takes: those in ASCII, where bytes are characters."""
     d = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.char_length("text"))
-    parts = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "part"))
-    before = F.lag("part").over(Window.partitionBy("doc_id").orderBy("ordinal"))
-    return parts.select("doc_id", "ordinal", F.coalesce(F.right(before, F.lit(200)), F.lit("")).alias("overlap"))
+    return chunking.overlaps(d, "doc_id", F.col("text"))
+
+
+@query
+def chunk_overlap_all(spark, sf_dir):
+    """The last 200 bytes of the paragraph before, from the start of a character, of all texts; no SQL, held against tail() in the tests."""
+    return chunking.overlaps(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
 @query
