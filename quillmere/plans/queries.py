@@ -297,6 +297,13 @@ def export_csv_lines(spark, sf_dir):
     return d.select("doc_id", F.concat_ws(",", *[S.csv_escaped(F.left(F.col(c).cast("string"), F.lit(60))) for c in ("doc_id", "text", "lang", "source", "n_chars")]).alias("line"))
 
 
+@query
+def export_csv_lines_whole(spark, sf_dir):
+    """Whole values, nulls as empty cells; no SQL, held against brute force in the tests. That of export_csv_lines takes 60 characters of each."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat_ws(",", *[F.coalesce(S.csv_escaped(c), F.lit("")) for c in ("doc_id", "text", "lang", "source", "n_chars")]).alias("line"))
+
+
 @query
 def export_jsonl(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

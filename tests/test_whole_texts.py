@@ -17,3 +17,15 @@ def test_overlap_of_all_texts(spark):
     odd = [(n, "a" * (n % 5) + c * n + "b" * (n % 3) + "\nlast") for c in ("é", "本", "😀", "x") for n in range(40, 205)] + [(0, ""), (1, "\n\n"), (1, "é\né")]
     docs = spark.createDataFrame(odd, "doc_id int, text string")
     assert sorted(tuple(r) for r in chunking.overlaps(docs, "doc_id", F.col("text")).collect()) == want(odd)
+
+
+def test_csv_lines_hold_whole_values(spark, tmp_path):
+    def cell(x):
+        x = "" if x is None else str(x)
+        return '"' + x.replace('"', '""') + '"' if any(c in x for c in ',"\n') else x
+
+    odd = spark.createDataFrame([(-1, "x" * 70 + ', "é"\n', None, "a,b", 3), (-2, None, "de", 'say "s"', None), (-3, "", "", "", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.read.parquet(f"{SF}/documents.parquet").select(*odd.columns).unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r["doc_id"]: ",".join(map(cell, r)) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["line"] for r in QUERIES["export_csv_lines_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and max(map(len, got.values())) > 1000
