@@ -39,7 +39,7 @@ def fitted(m: np.ndarray, dim: int) -> np.ndarray:
 
 
 def approximated(vectors: DataFrame) -> DataFrame:
-    """The file: rows of up to BLOCK vectors (ids, dim, low, step, cells, exact). cells: one byte per component, cell c
+    """The file: rows of up to BLOCK vectors (ids, dim, low, step, cells), without the exact vectors. cells: one byte per component, cell c
     of it holds values from low + c * step to low + (c + 1) * step - 1."""
 
     def pack(batches):
@@ -51,9 +51,9 @@ def approximated(vectors: DataFrame) -> DataFrame:
                 step = np.maximum(1.0, np.ceil((m.max(0) - low + 1) / CELLS))
                 cells = np.minimum((m - low) // step, CELLS - 1).astype(np.uint8)
                 ids = np.asarray(part.column("vec_id"), dtype=np.int64)
-                yield pa.RecordBatch.from_pydict({"ids": [ids.tobytes()], "dim": [m.shape[1]], "low": [low.tobytes()], "step": [step.tobytes()], "cells": [cells.tobytes()], "exact": [m.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"ids": [ids.tobytes()], "dim": [m.shape[1]], "low": [low.tobytes()], "step": [step.tobytes()], "cells": [cells.tobytes()]})
 
-    return vectors.select("vec_id", "embedding").mapInArrow(pack, "ids binary, dim long, low binary, step binary, cells binary, exact binary")
+    return vectors.select("vec_id", "embedding").mapInArrow(pack, "ids binary, dim long, low binary, step binary, cells binary")
 
 
 def products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -64,19 +64,83 @@ def products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.array([max(-LONG, min(LONG, sum(a * int(b) for a, b in zip(whole, row)))) for row in m], dtype=np.int64)
 
 
-def nearest(qid: int, q: np.ndarray, ids: np.ndarray, upper: np.ndarray, lower: np.ndarray, exact: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of a block for a query: vectors are read by falling upper bound until the kth is certain."""
-    other = ids != qid
-    floor = np.partition(lower[other], -k)[-k] if other.sum() > k else -np.inf
-    order = np.flatnonzero(other & (upper >= floor))
-    order = order[np.argsort(-upper[order], kind="stable")]
-    best: list[tuple[int, int]] = []
-    for at in range(0, len(order), 64):
-        if len(best) == k and -best[-1][0] > upper[order[at]]:
-            break
-        part = order[at : at + 64]
-        best = sorted(best + [(-int(s), int(i)) for s, i in zip(products(q, exact[part]), ids[part])])[:k]
-    return [(-s, i) for s, i in best]
+def bounds(row: dict, qs: np.ndarray):
+    """Of a row of the file: places of up to 256 queries at a time, and upper and lower bounds of their scores by its vectors."""
+    dim = max(row["dim"], qs.shape[1])
+    low, step = (fitted(np.frombuffer(row[c], np.float64).reshape(-1, row["dim"]), dim) for c in ("low", "step"))
+    cells = fitted(np.frombuffer(row["cells"], np.uint8).reshape(-1, row["dim"]), dim)
+    lo = low + cells * step
+    hi = lo + np.maximum(step - 1, 0)
+    for at in range(0, len(qs), 256):
+        q = fitted(qs[at : at + 256], dim)
+        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+        slack = 1e-9 * (np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T)  # rounding of very large values
+        # no score lies beyond the range of long
+        yield np.arange(at, at + len(q)), np.clip(plus @ hi.T + minus @ lo.T + slack, -LONG, LONG), np.clip(plus @ lo.T + minus @ hi.T - slack, -LONG, LONG)
+
+
+def floors(file: DataFrame, sent, k: int) -> np.ndarray:
+    """For each query the kth largest lower bound over the whole file, its own row aside; no bound where there are fewer."""
+
+    def scan(batches):
+        qids, qs = sent.value
+        best = np.full((len(qids), k), -np.inf)
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = np.frombuffer(row["ids"], np.int64)
+                for at, _, lower in bounds(row, qs):
+                    lower[qids[at][:, None] == ids] = -np.inf
+                    best[at] = np.partition(np.hstack([best[at], lower]), -k, axis=1)[:, -k:]
+        at, _ = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_pydict({"query": pa.array(at, pa.int64()), "lower": pa.array(best[np.isfinite(best)], pa.float64())})
+
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("lower")))
+    kth = file.mapInArrow(scan, "query long, lower double").withColumn("rank", rank).where(F.col("rank") == k).select("query", "lower").toArrow()  # a row per query
+    out = np.full(len(sent.value[0]), -np.inf)
+    out[np.asarray(kth["query"], dtype=np.int64)] = np.asarray(kth["lower"])
+    return out
+
+
+def reached(file: DataFrame, sent, least) -> DataFrame:
+    """c_id, asked: the vectors whose upper bound reaches the floor of a query, with the places of those queries."""
+
+    def scan(batches):
+        qids, qs = sent.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = np.frombuffer(row["ids"], np.int64)
+                hits = np.zeros((len(ids), len(qids)), bool)
+                for at, upper, _ in bounds(row, qs):
+                    hits[:, at] = ((upper >= least.value[at][:, None]) & (qids[at][:, None] != ids)).T
+                some = np.flatnonzero(hits.any(1))
+                yield pa.RecordBatch.from_pydict({"c_id": pa.array(ids[some], pa.int64()), "asked": pa.array([np.flatnonzero(hits[i]).astype(np.uint16).tobytes() for i in some], pa.binary())})
+
+    return file.mapInArrow(scan, "c_id long, asked binary")
+
+
+def settled(vectors: DataFrame, sent, k: int) -> DataFrame:
+    """query_id, vec_id, score: exact scores of vectors (vec_id, embedding, asked), the k best of a batch for each query."""
+
+    def score(batches):
+        qids, qs = sent.value
+        for batch in batches:
+            m, ids = matrix(batch.column("embedding")), np.asarray(batch.column("vec_id"), dtype=np.int64)
+            dim = max(m.shape[1], qs.shape[1])
+            m, q = fitted(m, dim), fitted(qs, dim)
+            lists = [np.frombuffer(x, np.uint16) for x in batch.column("asked").to_pylist()]
+            if not lists:
+                continue
+            places, of = np.concatenate(lists).astype(np.int64), np.repeat(np.arange(len(ids)), [len(x) for x in lists])
+            order = np.argsort(places, kind="stable")
+            asked, starts = np.unique(places[order], return_index=True)
+            out: list[tuple[int, int, int]] = []
+            for i, part in zip(asked, np.split(of[order], starts[1:])):
+                best = sorted((-int(s), int(v)) for s, v in zip(products(q[i], m[part]), ids[part]))[:k]
+                out += [(int(qids[i]), v, -s) for s, v in best]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["query_id", "vec_id", "score"])
+
+    return vectors.mapInArrow(score, "query_id long, vec_id long, score long")
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -84,8 +148,9 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     integer inner product, the query's own row aside, ties to smaller vec_id; fewer where there are fewer. Vectors are
     first cleaned as in usable(). An empty table gives no rows.
 
-    The file is written once. Queries, a stated set, meet all of it in blocks of about QUERY_BLOCK, which is all that is
-    ever broadcast; each row of the file answers with k rows per query, and those are ranked."""
+    The file is written once. Queries, a stated set, meet all of it in blocks of about QUERY_BLOCK, which with a floor each
+    is all that is ever broadcast: the cells of all rows give each query's kth lower bound, then those vectors whose upper
+    bound reaches it, and only these are joined to their exact vectors and ranked."""
     spark = vectors.sparkSession
     clean = materialize(usable(vectors.select("vec_id", "embedding")), "vectors")
     file = materialize(approximated(clean), "va_file")
@@ -98,29 +163,9 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             continue
         sent = spark.sparkContext.broadcast((np.asarray(rows["vec_id"], dtype=np.int64), matrix(rows["embedding"])))
 
-        def scan(batches, sent=sent):
-            qids, qs = sent.value
-            for batch in batches:
-                for row in batch.to_pylist():
-                    dim = max(row["dim"], qs.shape[1])
-                    ids = np.frombuffer(row["ids"], np.int64)
-                    own = [np.frombuffer(row[c], np.float64).reshape(-1, row["dim"]) for c in ("low", "step", "exact")]
-                    low, step, exact = (fitted(x, dim) for x in own)
-                    cells = fitted(np.frombuffer(row["cells"], np.uint8).reshape(len(ids), -1), dim)
-                    lo = low + cells * step
-                    hi = lo + np.maximum(step - 1, 0)
-                    out: list[tuple[int, int, int]] = []
-                    for at in range(0, len(qids), 256):
-                        q = fitted(qs[at : at + 256], dim)
-                        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-                        upper, lower = plus @ hi.T + minus @ lo.T, plus @ lo.T + minus @ hi.T
-                        slack = 1e-9 * (np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T)  # rounding of very large values
-                        for i in range(len(q)):
-                            out += [(int(qids[at + i]), v, s) for s, v in nearest(qids[at + i], q[i], ids, upper[i] + slack[i], lower[i] - slack[i], exact, k)]
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["query_id", "vec_id", "score"])
-
-        part = file.mapInArrow(scan, "query_id long, vec_id long, score long")
+        least = spark.sparkContext.broadcast(floors(file, sent, k))
+        near = clean.join(reached(file, sent, least), F.col("vec_id") == F.col("c_id")).select("vec_id", "embedding", "asked")
+        part = settled(near, sent, k)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "query_id long, vec_id long, score long")

@@ -213,6 +213,25 @@ def test_vafile(spark):
         assert not got
 
 
+def test_vafile_reads_few_exact_vectors(spark):
+    v = [(i, [float(x) for x in np.random.default_rng(i).normal(0, 0.01 if i % 100 else 1.0, 8)]) for i in range(3000)]
+    data = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(4)
+    file = vafile.materialize(vafile.approximated(data), "va_file")
+    assert "exact" not in file.columns
+    asked = data.where("vec_id in (0, 100)").toArrow()
+    qids, qs = np.asarray(asked["vec_id"], dtype=np.int64), vafile.matrix(asked["embedding"])
+    sent = spark.sparkContext.broadcast((qids, qs))
+    read = vafile.reached(file, sent, spark.sparkContext.broadcast(vafile.floors(file, sent, 5))).collect()
+    rows = data.toArrow()
+    ids, m = np.asarray(rows["vec_id"], dtype=np.int64), vafile.matrix(rows["embedding"])
+    for at, (qid, q) in enumerate(zip(qids, qs)):
+        near = {r["c_id"] for r in read if at in np.frombuffer(r["asked"], np.uint16)}
+        best = sorted((-int(s), int(i)) for s, i in zip(m @ q, ids) if i != qid)[:5]
+        assert {i for _, i in best} <= near and len(near) < 100
+        got = vafile.topk(data, data.where("vec_id in (0, 100)"), 5).where(f"query_id = {qid}").orderBy("rank").collect()
+        assert [(-r["score"], r["vec_id"]) for r in got] == best
+
+
 def test_ctw_is_a_distribution(spark, docs):
     """After any context, seen or not, the 256 bytes' probabilities sum to one; a tree of one node is plain KT."""
     text = b"abracadabra " * 20
