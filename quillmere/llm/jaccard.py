@@ -48,7 +48,8 @@ def class_key(s: np.ndarray) -> bytes | None:
 
 
 def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the FREQUENT shingles most often found twice or more in about 4 MB of text; all documents count."""
+    """Hashes and counts of the FREQUENT shingles most often found. A shingle counts where it stands in two or more documents of one
+    slice of about 4 MB, so one that stands once in each slice passes for unique; the order stays common to all."""
 
     def count(batches):
         for batch in batches:
