@@ -22,9 +22,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; where it is unset, a folder of this process."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where it is unset, a folder of this process, which only a
+    local master may use: executors of other machines would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quillmere-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         root = f"file://{root}"
@@ -41,7 +44,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more, and lets Spark drop the shuffle files of plans that are done."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def parts_of(df: DataFrame, text: str, each: int) -> int:
+    """How many parts of about `each` bytes the texts of df ask for, the number of shuffle partitions at least; one pass counts them."""
+    size = df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    return max(shuffle_partitions(df.sparkSession), -(-size // each))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

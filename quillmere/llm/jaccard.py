@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmere.llm.common import grams, materialize, mixed, slices, word_hashes, binary_texts
+from quillmere.llm.common import binary_texts, discard, grams, materialize, mixed, pack_sorted, parts_of, slices, unpack_sorted, word_hashes
 from quillmere.llm.components import components
 
 #: Most frequent shingles whose counts order prefixes; all others count as rare. A bound of what is broadcast, not of what is joined.
 FREQUENT = 1 << 16
+#: Bytes of text whose shingles are counted in one task.
+COUNT_BYTES = 64 << 20
 #: Most shared tokens that a prefix may ask for, and the cost of a verification against that of a list entry.
 LONGEST, VERIFY = 64, 4.0
-#: Sets and shingles of a block.
+#: Sets and shingles that a block has on average, at most.
 BLOCK_SETS, BLOCK_SHINGLES = 128, 1 << 17
-#: Bits of the filter of candidates that saves reading texts into sets; beyond them it merely passes more.
+#: Bits of the filter of candidates that saves shuffling texts; beyond them it merely passes more.
 BITS = 1 << 22
 #: Ids that are broadcast to drop documents; beyond them a join that shuffles takes over.
 SENT = 1 << 20
@@ -48,19 +50,29 @@ def class_key(s: np.ndarray) -> bytes | None:
 
 
 def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the FREQUENT shingles most often found. A shingle counts where it stands in two or more documents of one
-    slice of about 4 MB, so one that stands once in each slice passes for unique; the order stays common to all."""
+    """Hashes and counts of the FREQUENT shingles that most of docs hold. All shingles of all texts are counted: each slice of
+    about 4 MB of text hands its distinct ones on, packed, by ranges of hashes, and a task sums a range."""
+    parts = parts_of(docs, "text", COUNT_BYTES)
 
-    def count(batches):
+    def hand_on(batches):
         for batch in batches:
             texts = batch.column("text")
             for at, n in slices(texts):
-                sets = shingle_sets(texts.slice(at, n), k)
-                key, times = np.unique(np.concatenate(sets), return_counts=True)
-                more = times > 1
-                yield pa.RecordBatch.from_arrays([pa.array(key[more].view(np.int64)), pa.array(times[more])], names=["key", "n"])
-
-    found = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+                key, times = np.unique(np.concatenate(shingle_sets(texts.slice(at, n), k)), return_counts=True)
+                cuts = np.r_[np.searchsorted(key, (np.arange(parts, dtype=np.float64) * (2.0**64 / parts)).astype(U)), len(key)]
+                some = [(p, i, j) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+                if some:
+                    yield pa.RecordBatch.from_pydict({"part": [p for p, _, _ in some], "keys": [pack_sorted(key[i:j]) for _, i, j in some], "times": [times[i:j].astype(np.uint32).tobytes() for _, i, j in some]})
+
+    def total(table):
+        key = np.concatenate([unpack_sorted(x) for x in table["keys"].to_pylist()])
+        key, of = np.unique(key, return_inverse=True)
+        n = np.bincount(of, np.concatenate([np.frombuffer(x, np.uint32) for x in table["times"].to_pylist()])).astype(np.int64)
+        top = np.lexsort((key.view(np.int64), -n))[:FREQUENT]
+        top = top[n[top] > 1]
+        return pa.table({"key": key[top].view(np.int64), "n": n[top]})
+
+    found = docs.select("text").mapInArrow(hand_on, "part long, keys binary, times binary").groupBy("part").applyInArrow(total, "key long, n long")
     top = found.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     key, n = np.asarray(top["key"]).view(U), np.asarray(top["n"], dtype=np.float64)
     order = np.argsort(key)
@@ -79,18 +91,17 @@ def prefix(s: np.ndarray, known: tuple[np.ndarray, np.ndarray], percent: int) ->
     order = np.lexsort((s, df))
     shared = -(-percent * len(s) // 100)
     spare = len(s) - shared
-    lists = np.cumsum(df[order[: spare + LONGEST]])
-    best = min(range(1, min(LONGEST, shared) + 1), key=lambda l: lists[spare + l - 1] * (1 + VERIFY / l))
+    l = np.arange(1, min(LONGEST, shared) + 1)
+    best = int(np.argmin(np.cumsum(df[order[: spare + LONGEST]])[spare + l - 1] * (1 + VERIFY / l))) + 1
     return best, s[order[: spare + best]]
 
 
 ROWS = [T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("asked", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
 
 
-def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, cls, asked, tokens of every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))  # FREQUENT entries
-    rows = docs.select("doc_id", "text")
+def prefixes(docs: DataFrame, sent, k: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n, cls, asked, tokens of every row of docs; sent: the counts that are known."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
     def cut(batches):
         for batch in batches:
@@ -98,31 +109,24 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 sets = shingle_sets(batch.column("text").slice(at, n), k)
                 found = [prefix(s, sent.value, percent) if len(s) else (0, s) for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()),
-                    pa.array([a for a, _ in found], pa.int64()), pa.array([t.view(np.int64) for _, t in found], pa.list_(pa.int64()))], names=["doc_id", *(f.name for f in ROWS)])
+                    *(batch.column(c).slice(at, n) for c in ("doc_id", "text_key")), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary()),
+                    pa.array([a for a, _ in found], pa.int64()), pa.array([t.view(np.int64) for _, t in found], pa.list_(pa.int64()))], names=["doc_id", "text_key", *(f.name for f in ROWS)])
 
-    return rows.mapInArrow(cut, T.StructType([rows.schema["doc_id"], *ROWS]))
+    return rows.mapInArrow(cut, T.StructType([rows.schema["doc_id"], rows.schema["text_key"], *ROWS]))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """cls, shingles (bytes) of the wanted (cls, rep) classes. A bitmap of BITS bits, joined natively, keeps most other
-    texts from being read; what it lets through falls to the join."""
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (rep, text_key and others) with text, one row each. A bitmap of BITS bits, joined natively, keeps most other
+    texts from being shuffled; what it lets through falls to the join. Texts shuffle in fewer bytes than their shingles."""
     def bit(c):
         return F.pmod(F.xxhash64(c), F.lit(BITS))
 
     bitmap = wanted.select(bit("rep").alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask"))
     bitmap = materialize(bitmap, "bitmap")  # at most BITS / 64 rows
-    at = docs.select("doc_id", "text").withColumn("_bit", bit("doc_id"))
-    at = at.join(F.broadcast(bitmap), F.floor(F.col("_bit") / 64) == F.col("word")).where(F.getbit("mask", (F.col("_bit") % 64).cast("int")) == 1).select("doc_id", "text")
-
-    def make(batches):
-        for batch in batches:
-            for i, n in slices(batch.column("text")):
-                sets = shingle_sets(batch.column("text").slice(i, n), k)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array([class_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "s_cls", "shingles"])
-
-    made = at.mapInArrow(make, T.StructType([at.schema["doc_id"], T.StructField("s_cls", T.BinaryType()), T.StructField("shingles", T.BinaryType())]))
-    return made.join(wanted, (F.col("s_cls") == F.col("cls")) & (F.col("doc_id") == F.col("rep"))).select("cls", "shingles").dropDuplicates(["cls"])
+    at = docs.select(F.col("doc_id").alias("t_id"), "text").withColumn("_bit", bit("t_id"))
+    at = at.join(F.broadcast(bitmap), F.floor(F.col("_bit") / 64) == F.col("word")).where(F.getbit("mask", (F.col("_bit") % 64).cast("int")) == 1)
+    at = at.select("t_id", F.xxhash64("text").alias("t_key"), "text")
+    return at.join(wanted, (F.col("t_id") == F.col("rep")) & (F.col("t_key") == F.col("text_key"))).dropDuplicates(["t_id", "t_key"]).drop("t_id", "t_key", "rep", "text_key")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -152,17 +156,21 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(cls, sets, tokens, asked, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links between the sets at left and those at right."""
-    n = np.array([len(s) for s in sets])
+def fitting(n: np.ndarray, asked: np.ndarray, tokens, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets at left and which at right can link: sizes fit, and prefixes share what the less demanding asks for."""
     shared = overlaps([tokens[i] for i in left], [tokens[i] for i in right])
     na, nb = n[left][:, None], n[right][None, :]
-    fits = (shared >= np.minimum(asked[left][:, None], asked[right][None, :])) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (left[:, None] != right[None, :])
+    return (shared >= np.minimum(asked[left][:, None], asked[right][None, :])) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (left[:, None] != right[None, :])
+
+
+def linked(sets, fits: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest, as places, of the links between the sets at left and those at right that fit."""
     rows, cols = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))
     if not len(rows):
         return []
     inter = overlaps([sets[i] for i in left[rows]], [sets[i] for i in right[cols]])
-    union = na[rows] + nb[:, cols] - inter
+    n = np.array([len(s) for s in sets])
+    union = n[left[rows]][:, None] + n[right[cols]][None, :] - inter
     link = fits[np.ix_(rows, cols)] & (100 * inter >= percent * union)
     parent = {}
 
@@ -177,93 +185,137 @@ def linked(cls, sets, tokens, asked, left: np.ndarray, right: np.ndarray, percen
         a, b = root(left[rows[i]]), root(right[cols[j]])
         if a != b:
             parent[a] = b
-            out.append((cls[left[rows[i]]], cls[right[cols[j]]]))
+            out.append((left[rows[i]], right[cols[j]]))
     return out
 
 
-def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within pairs of blocks (x, y): per pair at most the forest of two blocks' sets. members: block, cls,
-    asked, tokens, shingles."""
-    sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    rows = sides.join(members, "block").select("x", "y", "block", "cls", "asked", "tokens", "shingles")
+def verified(groups: DataFrame, sent, k: int, percent: int) -> DataFrame:
+    """Links (a, b) within groups (x, y, block, c, text): between the block x and the block y, where these are the same between
+    all its rows. Per group at most a forest of its rows, each a whole text that is cut into its set here."""
 
     def verify(key, table):
-        cls, block = table["cls"].to_pylist(), np.asarray(table["block"])
-        sets = [np.frombuffer(b, U) for b in table["shingles"].to_pylist()]
-        tokens = [np.array(t, np.int64).view(U) for t in table["tokens"].to_pylist()]
-        x, y = (k.as_py() for k in key)
-        found = linked(cls, sets, tokens, np.asarray(table["asked"]), np.flatnonzero(block == x), np.flatnonzero(block == y), percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+        x, y = (v.as_py() for v in key)
+        c, block = np.asarray(table["c"]), np.asarray(table["block"])
+        texts = table["text"].combine_chunks()
+        sets = [s for at, m in slices(texts) for s in shingle_sets(texts.slice(at, m), k)]
+        asked, tokens = zip(*(prefix(s, sent.value, percent) for s in sets))
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        fits = fitting(np.array([len(s) for s in sets]), np.array(asked), [np.sort(t) for t in tokens], left, right, percent)
+        found = linked(sets, fits, left, right, percent)
+        return pa.table({"a": pa.array([c[a] for a, _ in found], pa.int64()), "b": pa.array([c[b] for _, b in found], pa.int64())})
 
-    return rows.groupBy("x", "y").applyInArrow(verify, "a binary, b binary")
+    return groups.select("x", "y", "block", "c", "text").groupBy("x", "y").applyInArrow(verify, "a long, b long")
+
+
+def involved(groups: DataFrame, percent: int) -> DataFrame:
+    """x, y, c: those rows of groups (x, y, block, c, n, asked, tokens) that fit a row of the other block, so that only their
+    texts need be read."""
+
+    def sift(key, table):
+        x, y = (v.as_py() for v in key)
+        block = np.asarray(table["block"])
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        tokens = [np.sort(np.array(t, np.int64).view(U)) for t in table["tokens"].to_pylist()]
+        fits = fitting(np.asarray(table["n"]), np.asarray(table["asked"]), tokens, left, right, percent)
+        some = np.union1d(left[fits.any(1)], right[fits.any(0)])
+        return pa.table({"x": pa.array(np.full(len(some), x), pa.int64()), "y": pa.array(np.full(len(some), y), pa.int64()), "c": pa.array(np.asarray(table["c"])[some], pa.int64())})
+
+    return groups.select("x", "y", "block", "c", "n", "asked", "tokens").groupBy("x", "y").applyInArrow(sift, "x long, y long, c long")
+
+
+def able(met: DataFrame) -> DataFrame:
+    """a_c: classes of met (c, asked, token, least) that share as many tokens as they, or the least demanding class of their
+    lists, ask for. No other class can have a partner."""
+    enough = met.groupBy(F.col("c").alias("a_c")).agg(F.count_distinct("token").alias("k"), F.min(F.least("asked", "least")).alias("need"))
+    return enough.where("k >= need").select("a_c")
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """c (a hash of cls), token, width, head: prefix tokens that classes of fitting sizes share, of classes that can have
-    a partner. Sizes are cut into widths within which, or the next, two sets that link must lie; a class stays only if
-    it shares as many tokens as it, or the least demanding class of its lists, asks for. Counts go before joins."""
+    """c, asked, token, width, head: prefix tokens that classes of fitting sizes share, of classes that can have a partner;
+    head is the least class of such a list. Sizes are cut into widths within which, or the next, two sets that link must
+    lie. Counts go before joins, and tokens that one class alone has go first."""
     width = F.floor(F.log("n") / F.lit(np.log(100.0 / percent) * 1.0001)).cast("int")
-    entries = classes.select(F.xxhash64("cls").alias("c"), "asked", width.alias("width"), F.explode("tokens").alias("token"))
-    shared = entries.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("m")).where("m > 1").select("t")
-    live = entries.join(shared, F.col("token") == F.col("t")).select("c", "asked", "token", F.explode(F.array("width", F.col("width") + 1)).alias("width"))
-    live = materialize(live, "live")
-    for _ in range(3):
+    entries = classes.select("c", F.col("asked").cast("int").alias("asked"), width.alias("width"), F.explode("tokens").alias("token"))
+    shared = entries.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("m"), F.min("asked").alias("least")).where("m > 1").select("t", "least")
+    met = materialize(entries.join(shared, F.col("token") == F.col("t")).select("c", "asked", "token", "width", "least"), "met")
+    live = met.join(able(met), F.col("c") == F.col("a_c")).select("c", "asked", "token", F.explode(F.array("width", F.col("width") + 1)).alias("width"))
+    live, old = materialize(live, "live"), met
+    for _ in range(2):
+        discard(old)
         lists = live.groupBy(F.col("token").alias("t"), F.col("width").alias("w")).agg(F.count("*").alias("m"), F.min("asked").alias("least"), F.min("c").alias("head")).where("m > 1")
         met = materialize(live.select("c", "asked", "token", "width").join(lists, (F.col("token") == F.col("t")) & (F.col("width") == F.col("w"))).select("c", "asked", "token", "width", "least", "head"), "met")
-        able = met.groupBy(F.col("c").alias("a_c")).agg(F.count_distinct("token").alias("k"), F.min(F.least("asked", "least")).alias("need")).where("k >= need").select("a_c")
-        live = materialize(met.join(able, F.col("c") == F.col("a_c")).select("c", "asked", "token", "width", "head"), "live")
-    return live.select("c", "token", "width", "head")
+        discard(live)
+        live, old = materialize(met.join(able(met), F.col("c") == F.col("a_c")).select("c", "asked", "token", "width", "head"), "live"), met
+    discard(old)
+    return live
+
+
+def numbered(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, c, n) with block: each group in as many blocks as its sets and shingles ask for, by a hash of c."""
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return rows.join(sizes, F.col(group) == F.col("_g")).withColumn("block", F.xxhash64(group, F.pmod(F.hash("c"), F.col("blocks")))).drop("_g")
+
+
+def far_groups(live: DataFrame, placed: DataFrame, near: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """x, y, block, c of the classes that may link across what near (node, component) holds already: only lists in which two
+    components meet count, and of their classes only those that fit one of another block by prefix tokens."""
+    comps = near.groupBy(F.col("component").alias("k_c")).agg(F.count("*").alias("members"))
+    of = placed.select("c", "n", "family").join(near, F.col("c") == F.col("node"), "left").join(comps, F.col("component") == F.col("k_c"), "left")
+    of = of.select("c", "n", F.coalesce("component", "c").alias("comp"), F.coalesce("component", "family").alias("grp"))
+    of = materialize(numbered(of, "grp").select(F.col("c").alias("o_c"), "n", "comp", "grp", "block"), "far_blocks")
+    spots = live.join(of.select("o_c", "comp"), F.col("c") == F.col("o_c")).select("c", "asked", "token", "width", "comp")
+    lists = spots.groupBy(F.col("token").alias("t"), F.col("width").alias("w")).agg(F.min("asked").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    met = materialize(spots.join(lists, (F.col("token") == F.col("t")) & (F.col("width") == F.col("w"))).select("c", "asked", "token", "width", "least"), "far_met")
+    left = met.join(able(met), F.col("c") == F.col("a_c"), "left_semi").join(of, F.col("c") == F.col("o_c"))
+    spread = left.groupBy("token", "width", "grp", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.least("asked", "least")).alias("least"))
+    spread = materialize(spread, "spread")
+    other = spread.select("token", "width", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi", "least")])
+    pairs = spread.join(other, ["token", "width"]).where("block <= block2 and (lo <> hi or lo <> lo2 or lo2 <> hi2)")
+    pairs = pairs.groupBy(F.col("block").alias("x"), F.col("block2").alias("y")).agg(F.count_distinct("token").alias("k"), F.min(F.least("least", "least2")).alias("need")).where("k >= need").select("x", "y")
+    sides = materialize(pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")), "sides")
+    signed = met.join(able(met), F.col("c") == F.col("a_c"), "left_semi").select("c").distinct().join(classes.select(F.col("c").alias("s_c"), "asked", "tokens"), F.col("c") == F.col("s_c")).join(of, F.col("c") == F.col("o_c")).select("block", "c", "n", "asked", "tokens")
+    some = involved(sides.join(signed, "block"), percent)
+    out = materialize(some.join(of.select("o_c", "block"), F.col("c") == F.col("o_c")).select("x", "y", "block", "c"), "far")
+    discard(met, spread, sides, of)
+    return out
 
 
 def joined(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text): sets of k-word shingles of the lower-cased
     text link where 100 * intersection >= percent * union; component_id is the smallest doc_id that links reach.
 
-    Equal sets are one class from the start; classes, not copies, are joined. Their prefixes share tokens in families;
-    a family is cut into blocks of bounded size, and pairs of blocks, never all pairs of rows, are verified: first each
-    block with itself and its family's first, then, unless their sets are already in one component, the rest. Blocks of
-    different families meet where their prefixes share a token. Null and wordless texts link with nothing and are their
-    own component; repeated rows are copies; a null doc_id takes the component of its class, null where that has no
-    other; an empty table gives no rows. Shingles are compared by 64-bit hashes, classes by 128 bits."""
-    rows = materialize(prefixes(docs, k, percent), "prefixes")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("asked").alias("asked"), F.min("tokens").alias("tokens"))
-    classes = materialize(classes, "classes")
-    met = candidates(classes, percent)
-    family = met.groupBy(F.col("c").alias("f_c")).agg(F.min("head").alias("family"))
-    sized = classes.join(family, F.xxhash64("cls") == F.col("f_c")).select("cls", "rep", "n", "asked", "tokens", "family")
-    sized = materialize(sized, "families")
-    sizes = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).withColumnRenamed("family", "f")
-    sizes = materialize(sizes, "sizes")
-    block = F.xxhash64("family", F.pmod(F.hash("cls"), F.col("blocks")))
-    placed = sized.join(sizes, F.col("family") == F.col("f")).select("cls", "rep", "family", "asked", "tokens", block.alias("block"))
-    placed = materialize(placed, "placed")
-    members = materialize(placed.drop("family").join(sets_of(docs, placed.select("cls", "rep"), k), "cls"), "members")
-    numbered = sizes.select(F.col("f").alias("family"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    numbered = numbered.withColumn("x", F.xxhash64("family", "i"))
-    near = numbered.select("x", F.col("x").alias("y")).unionByName(numbered.where("i > 0").select("x", F.xxhash64("family", F.lit(0)).alias("y"))).distinct()
-    links = materialize(verified(near, members, percent), "near_links")
+    Equal sets are one class from the start; classes, not copies, are joined. Classes whose prefixes share tokens form
+    families, which are cut into blocks of about BLOCK_SETS sets. First each block is verified with itself and its family's
+    first class. Then only classes of different components that still share enough prefix tokens are, by pairs of
+    blocks, never all pairs of rows: their prefixes are compared, and the texts of those that fit are read. Null and
+    wordless texts link with nothing and are their own component; repeated rows are copies; a null doc_id takes the
+    component of its class, null where that has no other; an empty table gives no rows. Shingles are compared by 64-bit
+    hashes, classes by 128 bits."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))  # FREQUENT entries
+    rows = materialize(prefixes(docs, sent, k, percent), "prefixes")
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), *[F.min(c).alias(c) for c in ("n", "asked", "tokens")])
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "cls", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("text_key"), "n", "asked", "tokens"), "classes")
+    live = candidates(classes, percent)
+    family = live.groupBy(F.col("c").alias("f_c")).agg(F.min("head").alias("family"))
+    placed = classes.select("c", "rep", "text_key", "n").join(family, F.col("c") == F.col("f_c")).drop("f_c")
+    placed = materialize(numbered(placed, "family"), "placed")
+    texts = materialize(texts_of(docs, placed.select("c", "rep", "text_key", "family", "block", "blocks")), "texts")
+    heads = texts.where("blocks > 1").select("family", F.col("block").alias("x")).distinct().join(texts.select("c", "text", F.col("block").alias("b")), F.col("family") == F.col("c")).where("x <> b")
+    own = texts.select(F.col("block").alias("x"), "c", "text")
+    near = own.unionByName(heads.select("x", "c", "text")).select("x", F.col("x").alias("y"), F.col("x").alias("block"), "c", "text")
+    links = materialize(verified(near, sent, k, percent), "near_links")
     comp = materialize(components(links), "near_components")
-    whole = members.select("cls", "block").join(comp, F.col("cls") == F.col("node"), "left").groupBy("block").agg(F.min(F.coalesce("component", "cls")).alias("lo"), F.max(F.coalesce("component", "cls")).alias("hi"))
-    whole = materialize(whole, "blocks")
-    inner = numbered.where("i > 0").select("family", F.col("x"), F.explode(F.when(F.col("i") > 1, F.sequence(F.lit(1), F.col("i") - 1)).otherwise(F.array().cast("array<int>"))).alias("j")).select("x", F.xxhash64("family", "j").alias("y"))
-    where = placed.select(F.xxhash64("cls").alias("c"), "family", "block")
-    spread = met.join(where, "c").select(F.xxhash64("token", "width").alias("place"), "token", "family", "block").distinct()
-    # Only places that two families share pair blocks of different ones, and only as many tokens as the least demanding set asks for.
-    shared = spread.groupBy("place").agg(F.min("family").alias("f1"), F.max("family").alias("f2")).where("f1 <> f2").select("place")
-    spread = materialize(spread.join(shared, "place"), "spread")
-    least = materialize(placed.groupBy("block").agg(F.min("asked").alias("asked")), "least")
-    other = spread.select("place", F.col("family").alias("g"), F.col("block").alias("y"))
-    across = spread.join(other, "place").where(F.col("family") > F.col("g")).groupBy(F.col("block").alias("x"), "y").agg(F.count_distinct("token").alias("k"))
-    across = across.join(least.toDF("x", "x_asked"), "x").join(least.toDF("y", "y_asked"), "y").where(F.col("k") >= F.least("x_asked", "y_asked")).select("x", "y")
-    rest = inner.unionByName(across)
-    rest = rest.join(whole.toDF("x", "x_lo", "x_hi"), "x").join(whole.toDF("y", "y_lo", "y_hi"), "y").where((F.col("x_lo") != F.col("x_hi")) | (F.col("x_lo") != F.col("y_lo")) | (F.col("y_lo") != F.col("y_hi")))
-    links = links.unionByName(materialize(verified(rest.select("x", "y"), members, percent), "far_links"))
+    far = far_groups(live, placed, comp, classes, percent)
+    more = verified(far.join(texts.select(F.col("c").alias("t_c"), "text"), F.col("c") == F.col("t_c")), sent, k, percent)
+    links = links.unionByName(materialize(more, "far_links"))
     comp = materialize(components(links), "components")
-    least = comp.join(classes.select("cls", "rep"), F.col("node") == F.col("cls")).groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("least"))
-    named = classes.select(F.col("cls").alias("c_cls"), "rep").join(comp, F.col("c_cls") == F.col("node"), "left").join(least, F.col("component") == F.col("c"), "left")
+    least = comp.join(classes.select("c", "rep"), F.col("node") == F.col("c")).groupBy(F.col("component").alias("l_c")).agg(F.min("rep").alias("least"))
+    named = classes.select(F.col("cls").alias("c_cls"), "c", "rep").join(comp, F.col("c") == F.col("node"), "left").join(least, F.col("component") == F.col("l_c"), "left")
     named = materialize(named.select("c_cls", F.coalesce("least", "rep").alias("component_id")), "named")
     out = rows.select("doc_id", "n", "cls").join(named, F.col("cls") == F.col("c_cls"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
+    out = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id")), "joined")
+    discard(rows, classes, live, placed, texts, far, comp, named)
+    return out
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
