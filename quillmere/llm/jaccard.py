@@ -13,8 +13,9 @@ from quillmere.llm.components import components
 
 #: Most frequent shingles whose counts order prefixes; all others count as rare. A bound of what is broadcast, not of what is joined.
 FREQUENT = 1 << 16
-#: Bytes of text whose shingles are counted in one task.
-COUNT_BYTES = 64 << 20
+#: Bytes of text whose shingles one task counts, distinct ones that it holds, and bits of a hash that tell counted shingles apart.
+#: Shingles that share those bits share their count, which orders prefixes and decides no link.
+COUNT_BYTES, HELD, COUNTED = 64 << 20, 1 << 21, 40
 #: Most shared tokens that a prefix may ask for, and the cost of a verification against that of a list entry.
 LONGEST, VERIFY = 64, 4.0
 #: Sets and shingles that a block has on average, at most.
@@ -50,25 +51,36 @@ def class_key(s: np.ndarray) -> bytes | None:
 
 
 def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the FREQUENT shingles that most of docs hold. All shingles of all texts are counted: each slice of
-    about 4 MB of text hands its distinct ones on, packed, by ranges of hashes, and a task sums a range."""
+    """Hashes (their first COUNTED bits) and counts of the FREQUENT shingles that most of docs hold. All shingles of all texts
+    are counted: tasks hand their distinct ones on, packed, by ranges of hashes, and a task sums a range."""
     parts = parts_of(docs, "text", COUNT_BYTES)
 
     def hand_on(batches):
+        def packed():
+            key, of = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            times = np.bincount(of, np.concatenate([x for _, x in held])).astype(np.uint32)
+            edges = ((np.arange(parts, dtype=np.uint64) << U(COUNTED)) // U(parts)) if parts < 1 << (64 - COUNTED) else (np.arange(parts) * (2.0**COUNTED / parts)).astype(U)
+            cuts = np.r_[np.searchsorted(key, edges), len(key)]
+            some = [(p, i, j) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+            return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _, _ in some], pa.int64()), "keys": pa.array([pack_sorted(key[i:j]) for _, i, j in some], pa.binary()), "times": pa.array([times[i:j].tobytes() for _, i, j in some], pa.binary())})
+
+        held, size = [], 0
         for batch in batches:
             texts = batch.column("text")
             for at, n in slices(texts):
-                key, times = np.unique(np.concatenate(shingle_sets(texts.slice(at, n), k)), return_counts=True)
-                cuts = np.r_[np.searchsorted(key, (np.arange(parts, dtype=np.float64) * (2.0**64 / parts)).astype(U)), len(key)]
-                some = [(p, i, j) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-                if some:
-                    yield pa.RecordBatch.from_pydict({"part": [p for p, _, _ in some], "keys": [pack_sorted(key[i:j]) for _, i, j in some], "times": [times[i:j].astype(np.uint32).tobytes() for _, i, j in some]})
+                held.append(np.unique(np.concatenate(shingle_sets(texts.slice(at, n), k)) >> U(64 - COUNTED), return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD:
+                    yield packed()
+                    held, size = [], 0
+        if size:
+            yield packed()
 
     def total(table):
         key = np.concatenate([unpack_sorted(x) for x in table["keys"].to_pylist()])
         key, of = np.unique(key, return_inverse=True)
         n = np.bincount(of, np.concatenate([np.frombuffer(x, np.uint32) for x in table["times"].to_pylist()])).astype(np.int64)
-        top = np.lexsort((key.view(np.int64), -n))[:FREQUENT]
+        top = np.lexsort((key, -n))[:FREQUENT]
         top = top[n[top] > 1]
         return pa.table({"key": key[top].view(np.int64), "n": n[top]})
 
@@ -86,8 +98,9 @@ def prefix(s: np.ndarray, known: tuple[np.ndarray, np.ndarray], percent: int) ->
     key, count = known
     df = np.ones(len(s))
     if len(key):
-        at = np.minimum(np.searchsorted(key, s), len(key) - 1)
-        df = np.where(key[at] == s, count[at], 1.0)
+        short = s >> U(64 - COUNTED)
+        at = np.minimum(np.searchsorted(key, short), len(key) - 1)
+        df = np.where(key[at] == short, count[at], 1.0)
     order = np.lexsort((s, df))
     shared = -(-percent * len(s) // 100)
     spare = len(s) - shared
@@ -208,19 +221,20 @@ def verified(groups: DataFrame, sent, k: int, percent: int) -> DataFrame:
 
 
 def involved(groups: DataFrame, percent: int) -> DataFrame:
-    """x, y, c: those rows of groups (x, y, block, c, n, asked, tokens) that fit a row of the other block, so that only their
-    texts need be read."""
+    """x, y, c: those rows of groups (x, y, block, near, c, n, asked, tokens) that fit a row of the other block which was not in
+    one near block with them, so that only their texts need be read."""
 
     def sift(key, table):
         x, y = (v.as_py() for v in key)
         block = np.asarray(table["block"])
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         tokens = [np.sort(np.array(t, np.int64).view(U)) for t in table["tokens"].to_pylist()]
-        fits = fitting(np.asarray(table["n"]), np.asarray(table["asked"]), tokens, left, right, percent)
+        near = np.asarray(table["near"])
+        fits = fitting(np.asarray(table["n"]), np.asarray(table["asked"]), tokens, left, right, percent) & (near[left][:, None] != near[right][None, :])
         some = np.union1d(left[fits.any(1)], right[fits.any(0)])
         return pa.table({"x": pa.array(np.full(len(some), x), pa.int64()), "y": pa.array(np.full(len(some), y), pa.int64()), "c": pa.array(np.asarray(table["c"])[some], pa.int64())})
 
-    return groups.select("x", "y", "block", "c", "n", "asked", "tokens").groupBy("x", "y").applyInArrow(sift, "x long, y long, c long")
+    return groups.select("x", "y", "block", "near", "c", "n", "asked", "tokens").groupBy("x", "y").applyInArrow(sift, "x long, y long, c long")
 
 
 def able(met: DataFrame) -> DataFrame:
@@ -238,15 +252,13 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     entries = classes.select("c", F.col("asked").cast("int").alias("asked"), width.alias("width"), F.explode("tokens").alias("token"))
     shared = entries.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("m"), F.min("asked").alias("least")).where("m > 1").select("t", "least")
     met = materialize(entries.join(shared, F.col("token") == F.col("t")).select("c", "asked", "token", "width", "least"), "met")
-    live = met.join(able(met), F.col("c") == F.col("a_c")).select("c", "asked", "token", F.explode(F.array("width", F.col("width") + 1)).alias("width"))
-    live, old = materialize(live, "live"), met
-    for _ in range(2):
-        discard(old)
-        lists = live.groupBy(F.col("token").alias("t"), F.col("width").alias("w")).agg(F.count("*").alias("m"), F.min("asked").alias("least"), F.min("c").alias("head")).where("m > 1")
-        met = materialize(live.select("c", "asked", "token", "width").join(lists, (F.col("token") == F.col("t")) & (F.col("width") == F.col("w"))).select("c", "asked", "token", "width", "least", "head"), "met")
-        discard(live)
-        live, old = materialize(met.join(able(met), F.col("c") == F.col("a_c")).select("c", "asked", "token", "width", "head"), "live"), met
-    discard(old)
+    live = materialize(met.join(able(met), F.col("c") == F.col("a_c")).select("c", "asked", "token", F.explode(F.array("width", F.col("width") + 1)).alias("width")), "live")
+    discard(met)
+    lists = live.groupBy(F.col("token").alias("t"), F.col("width").alias("w")).agg(F.count("*").alias("m"), F.min("asked").alias("least"), F.min("c").alias("head")).where("m > 1")
+    met = materialize(live.join(lists, (F.col("token") == F.col("t")) & (F.col("width") == F.col("w"))).select("c", "asked", "token", "width", "least", "head"), "met")
+    discard(live)
+    live = materialize(met.join(able(met), F.col("c") == F.col("a_c")).select("c", "asked", "token", "width", "head"), "live")
+    discard(met)
     return live
 
 
@@ -258,25 +270,26 @@ def numbered(rows: DataFrame, group: str) -> DataFrame:
 
 def far_groups(live: DataFrame, placed: DataFrame, near: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """x, y, block, c of the classes that may link across what near (node, component) holds already: only lists in which two
-    components meet count, and of their classes only those that fit one of another block by prefix tokens."""
+    components and two near blocks meet count, and of their classes only those that fit one of another block by prefix tokens."""
     comps = near.groupBy(F.col("component").alias("k_c")).agg(F.count("*").alias("members"))
-    of = placed.select("c", "n", "family").join(near, F.col("c") == F.col("node"), "left").join(comps, F.col("component") == F.col("k_c"), "left")
-    of = of.select("c", "n", F.coalesce("component", "c").alias("comp"), F.coalesce("component", "family").alias("grp"))
-    of = materialize(numbered(of, "grp").select(F.col("c").alias("o_c"), "n", "comp", "grp", "block"), "far_blocks")
-    spots = live.join(of.select("o_c", "comp"), F.col("c") == F.col("o_c")).select("c", "asked", "token", "width", "comp")
-    lists = spots.groupBy(F.col("token").alias("t"), F.col("width").alias("w")).agg(F.min("asked").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    of = placed.select("c", "n", "family", F.col("block").alias("near")).join(near, F.col("c") == F.col("node"), "left").join(comps, F.col("component") == F.col("k_c"), "left")
+    of = of.select("c", "n", "near", F.coalesce("component", "c").alias("comp"), F.coalesce("component", "family").alias("grp"))
+    of = materialize(numbered(of, "grp").select(F.col("c").alias("o_c"), "n", "near", "comp", "block"), "far_blocks")
+    spots = live.join(of.select("o_c", "comp", "near"), F.col("c") == F.col("o_c")).select("c", "asked", "token", "width", "comp", "near")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("comp", "near") for f in (F.min, F.max)]
+    lists = spots.groupBy(F.col("token").alias("t"), F.col("width").alias("w")).agg(F.min("asked").alias("least"), *ends).where("min_comp <> max_comp and min_near <> max_near").select("t", "w", "least")
     met = materialize(spots.join(lists, (F.col("token") == F.col("t")) & (F.col("width") == F.col("w"))).select("c", "asked", "token", "width", "least"), "far_met")
-    left = met.join(able(met), F.col("c") == F.col("a_c"), "left_semi").join(of, F.col("c") == F.col("o_c"))
-    spread = left.groupBy("token", "width", "grp", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.least("asked", "least")).alias("least"))
+    left = materialize(met.join(able(met), F.col("c") == F.col("a_c"), "left_semi").join(of, F.col("c") == F.col("o_c")).drop("o_c"), "far_able")
+    spread = left.groupBy("token", "width", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.least("asked", "least")).alias("least"))
     spread = materialize(spread, "spread")
     other = spread.select("token", "width", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi", "least")])
     pairs = spread.join(other, ["token", "width"]).where("block <= block2 and (lo <> hi or lo <> lo2 or lo2 <> hi2)")
     pairs = pairs.groupBy(F.col("block").alias("x"), F.col("block2").alias("y")).agg(F.count_distinct("token").alias("k"), F.min(F.least("least", "least2")).alias("need")).where("k >= need").select("x", "y")
     sides = materialize(pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")), "sides")
-    signed = met.join(able(met), F.col("c") == F.col("a_c"), "left_semi").select("c").distinct().join(classes.select(F.col("c").alias("s_c"), "asked", "tokens"), F.col("c") == F.col("s_c")).join(of, F.col("c") == F.col("o_c")).select("block", "c", "n", "asked", "tokens")
+    signed = left.select("c", "n", "near", "block").distinct().join(classes.select(F.col("c").alias("s_c"), "asked", "tokens"), F.col("c") == F.col("s_c")).drop("s_c")
     some = involved(sides.join(signed, "block"), percent)
     out = materialize(some.join(of.select("o_c", "block"), F.col("c") == F.col("o_c")).select("x", "y", "block", "c"), "far")
-    discard(met, spread, sides, of)
+    discard(met, left, spread, sides, of)
     return out
 
 
@@ -300,7 +313,8 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     placed = classes.select("c", "rep", "text_key", "n").join(family, F.col("c") == F.col("f_c")).drop("f_c")
     placed = materialize(numbered(placed, "family"), "placed")
     texts = materialize(texts_of(docs, placed.select("c", "rep", "text_key", "family", "block", "blocks")), "texts")
-    heads = texts.where("blocks > 1").select("family", F.col("block").alias("x")).distinct().join(texts.select("c", "text", F.col("block").alias("b")), F.col("family") == F.col("c")).where("x <> b")
+    heads = texts.where("c = family and blocks > 1").select("c", "text", F.col("block").alias("b"))  # a row per family of several blocks
+    heads = placed.where("blocks > 1").select("family", F.col("block").alias("x")).distinct().join(heads, F.col("family") == F.col("c")).where("x <> b")
     own = texts.select(F.col("block").alias("x"), "c", "text")
     near = own.unionByName(heads.select("x", "c", "text")).select("x", F.col("x").alias("y"), F.col("x").alias("block"), "c", "text")
     links = materialize(verified(near, sent, k, percent), "near_links")
