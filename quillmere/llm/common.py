@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORDS = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]+"
 M1 = 0x9E3779B97F4A7C15
 M2 = 0xC2B2AE3D27D4EB4F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -72,6 +72,17 @@ def ascii_lower(col):
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))
 
 
+def separated(col, separators: str):
+    """The parts of a text between runs of separators, none of them empty; none where it is null. Splitting is about ten times as fast as
+    extracting all matches."""
+    return F.coalesce(F.array_remove(F.split(col, separators), ""), F.array().cast("array<string>"))
+
+
+def n_words(col):
+    """How many runs of characters other than ASCII white space a text has; none where it is null."""
+    return F.size(separated(col, SPACE)).cast("long")
+
+
 def binary_texts(arr: pa.Array) -> pa.Array:
     """Null texts become empty ones; the copy holds nothing before its first text, which some kernels would misread."""
     return pc.fill_null(arr.take(pa.array(np.arange(len(arr)))).cast(pa.large_string()), "")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import ascii_lower, materialize
+from quillmere.llm.common import ascii_lower, materialize, separated
 
-TOKENS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before they are lower-cased.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a shingle, the token of the join.
 SHINGLE = 3
 #: Rows of benchmark windows or shingles that are broadcast at once; more go in as many blocks, each over all documents.
@@ -17,19 +16,21 @@ BLOCK_ROWS = 200_000
 
 
 def words(text):
-    return F.coalesce(F.regexp_extract_all(ascii_lower(F.col(text)), F.lit(TOKENS), F.lit(0)), F.array().cast("array<string>"))
+    return separated(ascii_lower(F.col(text)), SEPARATORS)
 
 
 def windows(items: DataFrame, window: int) -> DataFrame:
     """item_id, w (array of words): every run of `window` words; an item of fewer, but not none, is one window."""
-    w = items.select("item_id", words("text").alias("ws")).where(F.size("ws") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - (window - 1), F.lit(1)))
+    w = items.select("item_id", words("text").alias("ws"))
+    starts = F.when(F.size("ws") > 0, F.sequence(F.lit(1), F.greatest(F.size("ws") - (window - 1), F.lit(1))))
     return w.select("item_id", "ws", F.explode(starts).alias("at")).select("item_id", F.slice("ws", F.col("at"), window).alias("w")).distinct()
 
 
 def hits(docs: DataFrame, table: DataFrame, k: int) -> DataFrame:
-    """Places in docs (doc_id, text_key, ws) whose k words hash to a row of table (h, ...), which is broadcast: its size was checked."""
-    at = docs.select("doc_id", "text_key", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - k)).alias("at"))
+    """Places in docs (doc_id, text_key, ws) whose k words hash to a row of table (h, ...), which is broadcast: its size was checked.
+    Texts of fewer words have no places; the generator sees to it, as a filter would be pushed below the split and repeat it."""
+    places = F.when(F.size("ws") >= k, F.sequence(F.lit(0), F.size("ws") - k))
+    at = docs.select("doc_id", "text_key", "ws", F.explode(places).alias("at"))
     at = at.withColumn("h", F.xxhash64(*[F.get(F.col("ws"), F.col("at") + i) for i in range(k)]))
     return at.join(F.broadcast(table), "h")
 
@@ -50,35 +51,36 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     any match; contaminated: n_hit > 0 and share * n_hit >= n_words.
 
     Null texts have no words; null and repeated doc_ids are kept, rows of equal doc_id and text are judged alike; items
-    without words match nothing; empty tables give no rows or no hits. Documents are never shuffled or exploded into
-    shuffled rows: each pass reads them, and the windows, in blocks of a fixed number of rows, are broadcast."""
-    wins = materialize(windows(items, window), "windows")
-    wins = wins.withColumn("len", F.size("w"))
+    without words match nothing; a null item_id hits words but is no item of n_items and items_sha256, which has no name
+    for it; empty tables give no rows or no hits. Documents are never shuffled or exploded into shuffled rows: each pass
+    reads them, and the distinct windows, in blocks of a fixed number of rows, are broadcast. Which items hold a window is
+    joined to its matches alone."""
+    held = materialize(windows(items, window), "held")
+    wins = materialize(held.groupBy("w").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("w_id"), "w", F.size("w").alias("len")), "windows")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words("text").alias("ws"))
     lengths = [(r["k"], r["n"]) for r in wins.select(F.least("len", F.lit(SHINGLE)).alias("k"), (F.col("len") - F.least("len", F.lit(SHINGLE)) + 1).alias("places")).groupBy("k").agg(F.sum("places").alias("n")).collect()]  # SHINGLE rows at most
     found = None
     for k, n in sorted(lengths):
         own = wins.where(F.least("len", F.lit(SHINGLE)) == k)
-        shingled = own.select("item_id", "w", "len", F.explode(F.sequence(F.lit(0), F.col("len") - k)).alias("off"))
+        shingled = own.select("w_id", "w", "len", F.explode(F.sequence(F.lit(0), F.col("len") - k)).alias("off"))
         shingled = shingled.withColumn("h", F.xxhash64(*[F.get(F.col("w"), F.col("off") + i) for i in range(k)]))
-        readable = keyed.where(F.size("ws") >= k)
         counted = None
         for part in blocks(shingled.select("h").distinct(), n, "h"):
-            c = hits(readable, part, k).groupBy("h").agg(F.count("*").alias("df"))
+            c = hits(keyed, part, k).groupBy("h").agg(F.count("*").alias("df"))
             counted = c if counted is None else counted.unionByName(c)
         rarity = materialize(counted, "rarity")
-        rarest = Window.partitionBy("item_id", "w").orderBy(F.coalesce("df", F.lit(0)), "h", "off")
+        rarest = Window.partitionBy("w_id").orderBy("df", "h", "off")
         prefix = shingled.join(rarity, "h").withColumn("r", F.row_number().over(rarest)).where("r = 1")
         # A window of which some shingle occurs nowhere matches nothing; it needs no prefix.
-        missing = shingled.join(rarity, "h", "left_anti").select("item_id", "w").distinct()
-        prefix = materialize(prefix.join(missing, ["item_id", "w"], "left_anti").select("item_id", "w", "len", "off", "h"), "prefix")
-        for part in blocks(prefix, n, "w"):
+        missing = shingled.join(rarity, "h", "left_anti").select("w_id").distinct()
+        prefix = materialize(prefix.join(missing, "w_id", "left_anti").select("w_id", "w", "len", "off", "h"), "prefix")
+        for part in blocks(prefix, n, "w_id"):
             start = F.col("at") - F.col("off")
-            m = hits(readable, part, k).where((start >= 0) & (start + F.col("len") <= F.size("ws")))
+            m = hits(keyed, part, k).where((start >= 0) & (start + F.col("len") <= F.size("ws")))
             m = m.where(F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("w"))
-            m = m.select("doc_id", "text_key", "item_id", start.alias("start"), (start + F.col("len")).alias("end"))
+            m = m.select("doc_id", "text_key", "w_id", start.alias("start"), (start + F.col("len")).alias("end"))
             found = m if found is None else found.unionByName(m)
-    sizes = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count(F.col("text"), F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words("text")).cast("long").alias("n_words"))
     if found is None:
         judged = sizes.withColumns({"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "ids": F.array().cast("array<string>")})
     else:
@@ -88,8 +90,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
         ordered = Window.partitionBy(*of).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
         spans = found.select(*of, "start", "end").distinct().withColumn("before", F.coalesce(F.max("end").over(ordered), F.lit(0)))
         covered = spans.groupBy(*of).agg(F.sum(F.greatest(F.col("end") - F.greatest("start", "before"), F.lit(0))).cast("long").alias("n_hit"))
-        named = found.select(*of, F.col("item_id").cast("string").alias("item")).distinct().groupBy(*of).agg(F.sort_array(F.collect_list("item")).alias("ids"))
-        matched = materialize(covered.join(named, [covered[c].eqNullSafe(named[c]) for c in of]).select(covered["doc_id"].alias("m_id"), covered["text_key"].alias("m_key"), "n_hit", "ids"), "matched")
+        names = wins.select("w_id", "w").join(held.where("item_id is not null"), "w").select(F.col("w_id").alias("h_id"), F.col("item_id").cast("string").alias("item"))
+        named = found.select(*of, "w_id").distinct().join(names, F.col("w_id") == F.col("h_id")).select(*of, "item").distinct().groupBy(*of).agg(F.sort_array(F.collect_list("item")).alias("ids"))
+        matched = materialize(covered.join(named, [covered[c].eqNullSafe(named[c]) for c in of], "left").select(covered["doc_id"].alias("m_id"), covered["text_key"].alias("m_key"), "n_hit", "ids"), "matched")
         judged = sizes.join(matched, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left")
         judged = judged.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "ids": F.coalesce("ids", F.array().cast("array<string>"))})
         judged = judged.withColumn("n_items", F.size("ids").cast("long"))

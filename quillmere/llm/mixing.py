@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import WORDS, materialize
+from quillmere.llm.common import materialize, n_words
 
 #: Documents that one bucket of a source's keys holds on average.
 BUCKET_ROWS = 4096
@@ -46,7 +46,7 @@ def mixture(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most:
     Texts are read once; only (doc_id, source, size, key) is kept. Prefix sums run over buckets of keys, as many as
     the source's rows ask for, and within a bucket, so that no source meets in one task."""
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), u.alias("u"))
+    rows = docs.select("doc_id", "source", n_words("text").alias("size"), u.alias("u"))
     if quality is not None:
         best = quality.groupBy(F.col("doc_id").alias("q_id")).agg(F.max("weight").alias("weight"))
         rows = rows.join(best, rows.doc_id == best.q_id, "left").drop("q_id")

@@ -92,6 +92,15 @@ def test_decontaminate(spark, docs, odd):
     assert decontaminate.clean(odd, short).columns == odd.columns
 
 
+def test_decontaminate_null_item(spark):
+    """A null item_id hits words, but has no name among the items; a window that several items share names them all."""
+    docs = spark.createDataFrame([(1, "x y z"), (2, "p q r"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "X y"), (7, "q"), (8, "Q"), (8, "Q")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.contamination(docs, items).collect()}
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {1: (3, 2, 0, digest(b""), True), 2: (3, 1, 2, digest(b"7,8"), True), 3: (0, 0, 0, digest(b""), False)}
+
+
 def test_decontaminate_in_blocks(spark, docs, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.contamination(docs, items).collect()), key=repr)
