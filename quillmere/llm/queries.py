@@ -123,12 +123,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END r FROM pages),
 p AS (SELECT page_id, {LOWER.format("regexp_extract(r, '^[^/?#]*')")} host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) path FROM a),
 n AS (SELECT *, CASE WHEN len(string_split(host, '.')) < 2 THEN host ELSE string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] END dom, string_split(host, '.')[-1] suf FROM p),
-h AS (SELECT host, dom, suf, count(bad) n, coalesce(sum(bad), 0) bad FROM n LEFT JOIN o USING (page_id) GROUP BY ALL),
-z AS (SELECT (sum(bad) + 8 * 0.1::DOUBLE) / (sum(n) + 8) pa FROM h),
-s AS (SELECT suf, (sum(bad) + 8 * any_value(pa)) / (sum(n) + 8) ps FROM h, z GROUP BY 1),
-m AS (SELECT dom, (sum(bad) + 8 * any_value(ps)) / (sum(n) + 8) pd FROM h JOIN s USING (suf) GROUP BY 1),
-b AS (SELECT host, bad + 8 * pd x, n - bad + 8 * (1 - pd) y FROM h JOIN m USING (dom)),
-v AS (SELECT host, CASE WHEN x / (x + y) - sqrt(x * y / ((x + y) * (x + y) * (x + y + 1))) > 0.25 THEN 'block' ELSE 'allow' END hv FROM b),
+h AS (SELECT host, dom, suf, count(bad)::DOUBLE n, coalesce(sum(bad), 0)::DOUBLE x FROM n LEFT JOIN o USING (page_id) GROUP BY host, dom, suf),
+kh AS (SELECT CASE WHEN w > 1e-9 AND more > 1e-9 THEN CASE WHEN beyond <= w / 10001 THEN 10000 ELSE greatest(w / beyond - 1, 2) END ELSE 2 END::DOUBLE k FROM (SELECT w, more, (s - w * free) / more beyond FROM (SELECT sum(xx - x * x / n) s, sum(x - x * x / n) / sum(n) w, sum(n - nn / n) - sum(k - 1) more, sum(k - 1)::DOUBLE free
+FROM (SELECT sum(n) n, sum(x) x, sum(n * n) nn, sum(x * x / n) xx, count(*) k FROM h WHERE n > 0 GROUP BY suf, dom)))),
+dm AS (SELECT suf, dom, coalesce(sum(CASE WHEN n > 0 THEN n * (k + 1) / (n + k) END), 0) n, coalesce(sum(CASE WHEN n > 0 THEN (k + 1) / (n + k) * x END), 0) x FROM h, kh GROUP BY suf, dom),
+kd AS (SELECT CASE WHEN w > 1e-9 AND more > 1e-9 THEN CASE WHEN beyond <= w / 10001 THEN 10000 ELSE greatest(w / beyond - 1, 2) END ELSE 2 END::DOUBLE k FROM (SELECT w, more, (s - w * free) / more beyond FROM (SELECT sum(xx - x * x / n) s, sum(x - x * x / n) / sum(n) w, sum(n - nn / n) - sum(k - 1) more, sum(k - 1)::DOUBLE free
+FROM (SELECT sum(n) n, sum(x) x, sum(n * n) nn, sum(x * x / n) xx, count(*) k FROM dm WHERE n > 0 GROUP BY suf)))),
+sf AS (SELECT suf, coalesce(sum(CASE WHEN n > 0 THEN n * (k + 1) / (n + k) END), 0) n, coalesce(sum(CASE WHEN n > 0 THEN (k + 1) / (n + k) * x END), 0) x FROM dm, kd GROUP BY suf),
+ks AS (SELECT CASE WHEN w > 1e-9 AND more > 1e-9 THEN CASE WHEN beyond <= w / 10001 THEN 10000 ELSE greatest(w / beyond - 1, 2) END ELSE 2 END::DOUBLE k FROM (SELECT w, more, (s - w * free) / more beyond FROM (SELECT sum(xx - x * x / n) s, sum(x - x * x / n) / sum(n) w, sum(n - nn / n) - sum(k - 1) more, sum(k - 1)::DOUBLE free
+FROM (SELECT sum(n) n, sum(x) x, sum(n * n) nn, sum(x * x / n) xx, count(*) k FROM sf WHERE n > 0 HAVING count(*) > 0)))),
+al AS (SELECT (x + 0.8::DOUBLE) / (n + 8) m, n FROM (SELECT coalesce(sum(CASE WHEN n > 0 THEN n * (k + 1) / (n + k) END), 0) n, coalesce(sum(CASE WHEN n > 0 THEN (k + 1) / (n + k) * x END), 0) x FROM sf, ks)),
+ps AS (SELECT suf, mean, mean * (1 - mean) / (n + size + 1) var FROM (SELECT suf, n, size, (x + size * m) / (n + size) mean FROM (SELECT *, m * (1 - m) / ((m * (1 - m) - v) / (k + 1) + v) - 1 size FROM (SELECT sf.*, m, m * (1 - m) / (al.n + 9) v FROM sf, al), ks))),
+pd AS (SELECT suf, dom, mean, mean * (1 - mean) / (n + size + 1) var FROM (SELECT suf, dom, n, size, (x + size * m) / (n + size) mean FROM (SELECT *, m * (1 - m) / ((m * (1 - m) - v) / (k + 1) + v) - 1 size FROM (SELECT dm.*, mean m, var v FROM dm JOIN ps USING (suf)), kd))),
+ph AS (SELECT host, mean, mean * (1 - mean) / (n + size + 1) var FROM (SELECT host, n, size, (x + size * m) / (n + size) mean FROM (SELECT *, m * (1 - m) / ((m * (1 - m) - v) / (k + 1) + v) - 1 size FROM (SELECT h.host, h.n, h.x, mean m, var v FROM h JOIN pd USING (suf, dom)), kh))),
+v AS (SELECT host, CASE WHEN mean - sqrt(var) > 0.25 THEN 'block' ELSE 'allow' END hv FROM ph),
 c AS (SELECT page_id, host, path, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
 WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM p)
 SELECT page_id, c.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE hv END verdict FROM c JOIN v USING (host)""",

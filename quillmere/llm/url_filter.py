@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from quillmere.llm.common import ascii_lower, materialize
 
-#: Labelled page outcomes that a prior counts for at every level.
-STRENGTH = 8.0
 #: A page is blocked where its host's bad rate exceeds BAD_RATE even at the lower posterior bound, Z standard deviations down.
 BAD_RATE, Z = 0.25, 1.0
-#: The rate that the whole corpus is shrunk to, so that few outcomes, or none, block nothing.
-BASE_RATE = 0.1
+#: The rate that the whole corpus is shrunk to, and the outcomes that it counts for.
+BASE_RATE, BASE_SIZE = 0.1, 8.0
+#: Strength of a level's prior where the data don't tell, and its limits where they do; below 2 a rate would be taken for all good or all bad.
+UNKNOWN, WEAKEST, STRONGEST = 2.0, 2.0, 10_000.0
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: The suffix that all IP addresses share; no name can have it.
 IP = "[ip]"
@@ -82,25 +82,59 @@ def ruled(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumns({"rule": name, "rule_verdict": verdict})
 
 
-def reputations(outcomes: DataFrame, strength: float = STRENGTH, bad_rate: float = BAD_RATE, z: float = Z) -> DataFrame:
-    """host, n, bad, prior, mean, bound, host_verdict from outcomes (host, bad 0/1 or null where a page is not labelled).
-    Each level's rate is shrunk to the next wider one's by a beta prior of `strength` outcomes: all labelled pages,
-    suffix, domain, host. Every step groups counts of hosts, not pages."""
-    counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    hosts = materialize(with_domain(counts), "hosts")
+def strength(units: DataFrame, groups: list[str], name: str) -> DataFrame:
+    """One row: the strength of the beta prior that units (n outcomes, x of them bad) of one group share, by the method of
+    moments. The units' rates vary about their group's by chance alone as w / n, and by w / (strength + 1) besides; where no
+    unit tells the two apart, or no outcome differs from its group's, the strength is UNKNOWN."""
+    g = units.where("n > 0").groupBy(*groups).agg(F.sum("n").alias("g_n"), F.sum("x").alias("g_x"), F.sum(F.col("n") * F.col("n")).alias("g_nn"), F.sum(F.col("x") * F.col("x") / F.col("n")).alias("g_xx"), F.count("*").alias("k"))
+    square = F.col("g_x") * F.col("g_x") / F.col("g_n")
+    sums = g.agg(F.sum(F.col("g_xx") - square).alias("s"), F.sum(F.col("g_x") - square).alias("w"), F.sum("g_n").alias("n"), F.sum(F.col("g_n") - F.col("g_nn") / F.col("g_n")).alias("c"), F.sum(F.col("k") - 1).cast("double").alias("free"))
+    w, more = F.col("w") / F.col("n"), F.col("c") - F.col("free")
+    beyond = (F.col("s") - w * F.col("free")) / more
+    told = F.when(beyond <= w / (STRONGEST + 1), STRONGEST).otherwise(F.greatest(w / beyond - 1, F.lit(WEAKEST)))
+    return sums.select(F.when((w > 1e-9) & (more > 1e-9), told).otherwise(F.lit(UNKNOWN)).alias(name))
+
+
+def widened(k: str) -> list:
+    """n and x of a unit as evidence of its group's rate: many outcomes of one unit are worth k + 1 of different ones at most."""
+    n = F.when(F.col("n") > 0, F.col("n") * (F.col(k) + 1) / (F.col("n") + F.col(k))).otherwise(0.0)
+    return [F.sum(n).alias("n"), F.sum(F.when(F.col("n") > 0, n * F.col("x") / F.col("n")).otherwise(0.0)).alias("x")]
+
 
-    def shrunk(n, bad, prior):
-        return (bad + strength * prior) / (n + strength)
+def shrunk(df: DataFrame, k: str) -> DataFrame:
+    """df (mean, var of the wider level's rate) with mean and var of its own: the prior has that mean, and both the variance
+    among units and that of the mean itself; outcomes n and x then count as in a beta distribution of those moments."""
+    m, v = F.col("mean"), F.col("var")
+    total = (m * (1 - m) - v) / (F.col(k) + 1) + v
+    df = df.withColumn("_size", m * (1 - m) / total - 1)
+    df = df.withColumn("prior", m).withColumn("mean", (F.col("x") + F.col("_size") * m) / (F.col("n") + F.col("_size")))
+    return df.withColumn("var", F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("_size") + 1)).drop("_size")
 
-    whole = hosts.agg(shrunk(F.sum("n"), F.sum("bad"), F.lit(BASE_RATE)).alias("p_all"))
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("s_n"), F.sum("bad").alias("s_bad")).join(F.broadcast(whole))  # whole: one row
-    suffixes = suffixes.select("suffix", shrunk(F.col("s_n"), F.col("s_bad"), F.col("p_all")).alias("p_suffix"))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("d_n"), F.sum("bad").alias("d_bad")).join(suffixes, "suffix")
-    domains = domains.select("domain", shrunk(F.col("d_n"), F.col("d_bad"), F.col("p_suffix")).alias("prior"))
-    a, b = F.col("bad") + strength * F.col("prior"), F.col("n") - F.col("bad") + strength * (1 - F.col("prior"))
-    out = hosts.join(domains, "domain").withColumn("mean", a / (a + b))
-    out = out.withColumn("bound", F.col("mean") - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))
-    return out.select("host", "n", "bad", "prior", "mean", "bound", F.when(F.col("bound") > bad_rate, "block").otherwise("allow").alias("host_verdict"))
+
+def reputations(outcomes: DataFrame, bad_rate: float = BAD_RATE, z: float = Z) -> DataFrame:
+    """host, n, bad, prior, mean, bound, host_verdict from outcomes (host, bad 0/1 or null where a page is not labelled).
+
+    Rates of hosts vary about their registered domain's, those of domains about their suffix's and those of suffixes about
+    the whole's, each level by a beta distribution whose strength the counts tell. Upwards, a unit's outcomes count
+    as many as they tell of its group; downwards, a rate is shrunk to the wider level's, whose own uncertainty it takes
+    over, so that a host without a label is blocked only where many others of its domain or suffix leave no doubt.
+    Every step groups counts of hosts, not pages; a level's strength and the whole's rate are one row."""
+    counts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("x"))
+    hosts = materialize(with_domain(counts), "hosts")
+    k_host = strength(hosts, ["suffix", "domain"], "k_host")
+    domains = hosts.join(F.broadcast(k_host)).groupBy("suffix", "domain").agg(*widened("k_host"))
+    domains = materialize(domains, "domains")
+    k_domain = strength(domains, ["suffix"], "k_domain")
+    suffixes = materialize(domains.join(F.broadcast(k_domain)).groupBy("suffix").agg(*widened("k_domain")), "suffixes")
+    k_suffix = strength(suffixes, [], "k_suffix")
+    whole = suffixes.join(F.broadcast(k_suffix)).agg(*widened("k_suffix"))
+    whole = whole.select(((F.coalesce("x", F.lit(0.0)) + BASE_SIZE * BASE_RATE) / (F.coalesce("n", F.lit(0.0)) + BASE_SIZE)).alias("mean"), F.coalesce("n", F.lit(0.0)).alias("w_n"))
+    whole = whole.select("mean", (F.col("mean") * (1 - F.col("mean")) / (F.col("w_n") + BASE_SIZE + 1)).alias("var"))
+    told = shrunk(suffixes.join(F.broadcast(whole)).join(F.broadcast(k_suffix)), "k_suffix").select("suffix", "mean", "var")
+    told = shrunk(domains.join(told, "suffix").join(F.broadcast(k_domain)), "k_domain").select("suffix", "domain", "mean", "var")
+    out = shrunk(hosts.join(told, ["suffix", "domain"]).join(F.broadcast(k_host)), "k_host")
+    out = out.withColumn("bound", F.col("mean") - z * F.sqrt("var"))
+    return out.select("host", F.col("n").cast("long").alias("n"), F.col("x").cast("long").alias("bad"), "prior", "mean", "bound", F.when(F.col("bound") > bad_rate, "block").otherwise("allow").alias("host_verdict"))
 
 
 def filtered(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
@@ -108,7 +142,8 @@ def filtered(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
 
     outcomes (page_id, bad) may repeat a page: its worst counts. Rows without a url, repeated page_ids and pages
     without an outcome are all judged; an empty table gives no rows. A host may hold any share of the pages: counts
-    are summed before they are shuffled, and the join back is one that Spark splits by size."""
+    are summed before they are shuffled, and the join back is one that Spark splits by size. Urls of any length are
+    cut where they lie; ports and user names stay part of host, and don't count for its domain."""
     worst = outcomes.groupBy(F.col("page_id").alias("o_id")).agg(F.max("bad").alias("bad"))
     cut = parts(pages.select("page_id", "url")).drop("url")
     seen = cut.join(worst, cut.page_id == worst.o_id, "left").select("host", "bad")

@@ -404,6 +404,30 @@ def test_url_reputation(spark):
     assert got.pop("bad.org") == "block" and set(got.values()) == {"allow"}
 
 
+@pytest.mark.parametrize("zips", [0, 60])
+def test_url_reputation_without_labels(spark, zips):
+    """Hosts without a label are allowed under a suffix of good and bad domains, and where one bad host is all that is known of it;
+    they are blocked where many bad domains leave no doubt. Very long urls, ports and addresses are judged like others."""
+    hosts = [f"d{i % 10}.org" for i in range(200)] + ["bad.info"] * 20 * (not zips) + [f"d{i}.zip" for i in range(zips)]
+    new = {"clean.org": "allow", "never.org:8080": "allow", "10.0.0.1": "allow", "x.org/" + "y" * 200_000: "allow"} | ({"clean.zip": "block"} if zips else {"clean.info": "allow"})
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}") for i, h in enumerate([*hosts, *new])], "page_id long, url string")
+    bad = spark.createDataFrame([(i, int(h in ("d1.org", "d2.org", "bad.info") or h.endswith(".zip"))) for i, h in enumerate(hosts)], "page_id long, bad int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filtered(pages, bad).collect()}
+    assert [got[len(hosts) + i] for i in range(len(new))] == list(new.values())
+    assert got[1] == "block" and got[len(hosts) - 1] == "block" and got[0] == "allow"
+
+
+def test_url_strength(spark):
+    """Twenty hosts of forty outcomes each whose rates are 0.1 or 0.9: strength near p (1 - p) / variance - 1 = 0.25 / 0.16 - 1."""
+    units = spark.createDataFrame([("g", 40.0, 4.0 if i % 2 else 36.0) for i in range(20)], "g string, n double, x double")
+    assert url_filter.strength(units, ["g"], "k").first()[0] == url_filter.WEAKEST
+    units = spark.createDataFrame([("g", 40.0, 16.0 if i % 2 else 24.0) for i in range(20)], "g string, n double, x double")
+    k = url_filter.strength(units, ["g"], "k").first()[0]
+    s, w, free, more = 20 * 40 * 0.1**2, 0.25, 19, 800 - 40 - 19
+    assert math.isclose(k, w / ((s - w * free) / more) - 1)
+    assert url_filter.strength(units.limit(1), ["g"], "k").first()[0] == url_filter.UNKNOWN
+
+
 def test_url_domains(spark):
     want = {
         "x.spam.co.uk": ("spam.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.example.com": ("example.com", "com"), "net": ("net", "net"), "": ("", ""), "a.b.nowhere": ("b.nowhere", "nowhere"),
