@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -22,23 +23,35 @@ PER_ROUND, LEAST = 4096, 4
 #: Distinct words whose ids a worker remembers, and words that are encoded in one text.
 REMEMBERED, TOGETHER = 1_000_000, 200
 PLAIN = ".,!?;:"
+# The normaliser, pre-tokenizer and word end of the files whose words can be encoded one by one.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+WORD_END = "</w>"
 MAGIC = b"QMRP"
 HEAD = "<4sIIIIQ"
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file, whose pre-tokenizer never joins over white space: every distinct word between
-    ASCII white space is encoded once and remembered."""
+    """Ids of texts by a tokenizers file. Where its normaliser and pre-tokenizer are BY_WORD, which never join over white space,
+    every distinct word between ASCII white space is encoded once and remembered; by any other file texts are encoded whole."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            says = json.load(f)
+        plain = not any(c.isspace() for t in says.get("added_tokens") or [] for c in t["content"])
+        self.by_word = plain and says["model"].get("end_of_word_suffix") == WORD_END and all(says.get(k) == v for k, v in BY_WORD.items())
         self.known: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
+            self.ends[i] = token.endswith(WORD_END)
 
     def learn(self, words: list[bytes], letters: bool) -> None:
         """Words of letters are one pre-token each, whose last id is marked as an end: they are encoded as one text and
@@ -62,11 +75,17 @@ class Encoder:
 
     def word_ids(self, words: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each word. A word of letters followed by plain punctuation is the ids of both, as
-        the pre-tokenizer cuts there; a word of letters has the same ids in either case, as the normaliser lowers it."""
+        the pre-tokenizer cuts there; a word of letters has the same ids in either case, as the normaliser lowers it. Letters
+        that NFC would change may turn into letters and marks, and are encoded with what follows them."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         core = pc.utf8_rtrim(words, characters=PLAIN)
         alpha = pc.utf8_is_alpha(core)
+        other = np.flatnonzero(np.asarray(pc.and_(alpha, pc.invert(pc.string_is_ascii(core)))))
+        if len(other):
+            some, letters = core.take(pa.array(other)), np.asarray(alpha).copy()
+            letters[other] = np.asarray(pc.equal(pc.utf8_normalize(some, form="NFC"), some))
+            alpha = pa.array(letters)
         heads = byte_list(pc.if_else(alpha, pc.ascii_lower(core), words))
         cut = np.where(np.asarray(alpha), np.asarray(pc.binary_length(words)) - np.asarray(pc.binary_length(core)), 0).tolist()
         plain = byte_list(words)
@@ -85,6 +104,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, `end` after each, and where each text's ids end."""
+        if not self.by_word:
+            found = [[*e.ids, end] for e in self.tokenizer.encode_batch_fast(binary_texts(texts).to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.cumsum([len(ids) for ids in found], dtype=np.int64)
         codes, words, offsets = split_words(binary_texts(texts), False)
         parts = self.word_ids(words) + [struct.pack("<I", end)]
         codes = np.insert(codes.astype(np.int64), offsets[1:], len(parts) - 1)
@@ -113,8 +135,9 @@ def grammar(ids: np.ndarray, ends: np.ndarray, per_round: int = PER_ROUND, least
     """Re-Pair: (first nonterminal, rules as pairs, symbols, where each document's symbols end).
 
     Each round counts all neighbouring pairs inside documents and gives the most frequent ones nonterminals; occurrences
-    that overlap are taken from the left. It ends when no pair occurs `least` times, or when 16-bit symbols run out (for
-    ids that need more, 32-bit ones)."""
+    that overlap are taken from the left. Departures from one pair at a time down to two occurrences: a round replaces up to
+    `per_round` pairs, and it ends when no pair occurs `least` times (a rule of two symbols and a length costs more than
+    three occurrences save), or when 16-bit symbols run out (for ids that need more, 32-bit ones)."""
     base = int(ids.max(initial=0)) + 1
     bits = 16 if base < 1 << 16 else 31
     room, kind = (1 << bits) - base, np.uint32 if bits == 16 else np.uint64
@@ -221,7 +244,8 @@ SHARDS = T.StructType([T.StructField("shard", T.LongType()), T.StructField("bloc
 def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2) -> None:
     """Writes docs (doc_id, text) in ascending doc_id order (null first; ties by a hash of the text): shard and block
     number the rows of the Parquet files under folder, each of which carries one block. Spark's writer commits a task's
-    files whole, so a lost executor leaves none behind. Null texts are empty: their `end` id alone."""
+    files whole, so a lost executor leaves none behind. Null texts are empty: their `end` id alone. A block is the shard of
+    one grammar, about BLOCK_BYTES of text and one document at least. doc_id must be a whole number, or a string of one."""
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")

@@ -146,6 +146,47 @@ def test_encoder_odd_words():
         assert ids[a:b].tolist() == t.encode(x, add_special_tokens=False).ids + [2]
 
 
+def test_encoder_in_all_scripts():
+    """Words of letters, marks and punctuation of every script, those that NFC takes apart among them, have the library's ids."""
+    import random
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(queries.tokenizer_path()), random.Random(3)
+    by = collections.defaultdict(list)
+    for i in range(0x20, 0x30000):
+        c = chr(i)
+        if unicodedata.category(c)[0] not in "C":
+            by[unicodedata.name(c, "?").split()[0]].append(c)
+    torn = [chr(i) for i in range(0x80, 0x30000) if not 0xD800 <= i < 0xE000 and unicodedata.normalize("NFC", chr(i)) != chr(i)]
+    scripts = sorted(by)
+    texts = []
+    for _ in range(20_000):
+        pool = by[r.choice(scripts)]
+        words_ = ["".join(r.choice(torn if r.random() < 0.1 else pool) for _ in range(r.randint(1, 5))) + "".join(r.choice(".,!?;:'\u0301") for _ in range(r.randint(0, 2))) for _ in range(r.randint(1, 4))]
+        texts.append(r.choice([" ", "\n", "\t "]).join(words_))
+    texts += ["\u095c.", "\u095d!", "\ufb2a,", "AL\u0130.", "\u1100\u1161."]
+    ids, ends = repair.Encoder(queries.tokenizer_path()).encode(pa.array(texts), 2)
+    wrong = [x for a, b, x, e in zip(np.r_[0, ends], ends, texts, t.encode_batch(texts, add_special_tokens=False)) if ids[a:b].tolist() != e.ids + [2]]
+    assert not wrong
+
+
+def test_encoder_of_another_file():
+    """A file with another pre-tokenizer is never cut into words."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    t, texts = Tokenizer.from_file(path), ["two  spaces, it's\n\nx ", None, "", "é́ ok"]
+    e = repair.Encoder(path)
+    ids, ends = e.encode(pa.array(texts), 2)
+    assert not e.by_word
+    for a, b, x in zip(np.r_[0, ends], ends, texts):
+        assert ids[a:b].tolist() == t.encode(x or "", add_special_tokens=False).ids + [2]
+
+
 def brute_substring(rows):
     first, out = {}, []
     for i, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
