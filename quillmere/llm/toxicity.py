@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,9 +14,13 @@ from quillmere.llm.common import binary_texts, byte_list, hashes, slices, split_
 
 #: Hashed features of the classifier.
 FEATURES = 1 << 18
-#: Bound of the fit: labelled rows, by smallest digest of doc_id, that the driver ever holds.
-LABELLED = 8000
-STEPS, RATE, L1, SUPPORT = 150, 0.3, 4e-4, 2
+#: Bounds of the fit, by smallest digest of doc_id: confirmed toxic rows, rows taken as unlabelled text, and bytes of text of each.
+POSITIVE, UNLABELLED, SAMPLE_BYTES = 4000, 8000, 64 << 20
+STEPS, RATE, L1 = 150, 0.3, 1e-4
+#: Standard deviations by which a feature must be commoner among confirmed rows to be learnt.
+MARKED = 5.0
+#: The prior is read from the ANCHORS best of the features that at least ANCHORED of the confirmed rows have.
+ANCHORS, ANCHORED = 16, 0.1
 #: Bytes of a word's stem.
 STEM = 5
 PUNCTUATION = b".,;:!?()[]{}\"'*#%&|-_"
@@ -38,29 +44,31 @@ def sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(texts: pa.Array, positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch adaptive gradient steps, with an L1 step that keeps features of chance at nought, on
-    the non-negative risk with the logistic loss l: prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]); where
-    the second term is negative, its gradient is ascended instead. The unlabelled rows are all rows, confirmed ones
-    among them, so that the prior is that of the unlabelled text. Features of fewer than SUPPORT texts stay out."""
-    n, y = len(positive), positive.astype(bool)
-    cut = [(at, features(texts.slice(at, k))) for at, k in slices(texts)]
-    f, of = np.concatenate([x[1] for _, x in cut]), np.concatenate([x[2] + at for at, x in cut])
-    known = np.bincount(f, minlength=FEATURES) >= SUPPORT
-    f, of = f[known[f]], of[known[f]]
+def risk(g: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of scores g with the logistic loss l, prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]),
+    where y tells confirmed rows (p) from unlabelled ones (u), and the slope that a step follows: where the second term is
+    negative, its gradient is ascended instead."""
+    n_p, n_u = max(1, int(y.sum())), max(1, int((~y).sum()))
+    s, loss = sigmoid(g), np.logaddexp(0, g)
+    rest = loss[~y].sum() / n_u - prior * loss[y].sum() / n_p
+    slope = np.zeros(len(g))
+    if rest >= 0:
+        slope[~y] = s[~y] / n_u
+        slope[y] = -prior / n_p  # of both terms that confirmed rows stand in: l(g) - l(-g) = -g
+    else:
+        slope[~y] = -s[~y] / n_u
+        slope[y] = prior * s[y] / n_p
+    return prior * np.logaddexp(0, -g[y]).sum() / n_p + max(0.0, rest), slope
+
+
+def descend(f: np.ndarray, of: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch adaptive gradient steps on risk(), with an L1 step that keeps features of chance at
+    nought."""
+    n = len(y)
     w, b = np.zeros(FEATURES), -2.0
     v, v_b = np.full(FEATURES, 1e-16), 1e-16
-    n_p, n_u = max(1, y.sum()), max(1, n)
     for _ in range(STEPS):
-        g = np.bincount(of, w[f], n) + b
-        s, loss = sigmoid(g), np.logaddexp(0, g)
-        slope = np.zeros(n)
-        if loss.sum() / n_u >= prior * loss[y].sum() / n_p:
-            slope += s / n_u
-            slope[y] -= prior / n_p  # of both terms that the positives stand in: l(g) - l(-g) = -g
-        else:
-            slope -= s / n_u
-            slope[y] += prior * s[y] / n_p
+        _, slope = risk(np.bincount(of, w[f], n) + b, y, prior)
         grad, grad_b = np.bincount(f, slope[of], FEATURES), slope.sum()
         v, v_b = v + grad * grad, v_b + grad_b * grad_b
         rate = RATE / np.sqrt(v)
@@ -70,21 +78,64 @@ def fit(texts: pa.Array, positive: np.ndarray, prior: float) -> tuple[np.ndarray
     return w, b
 
 
+def marked(confirmed: np.ndarray, unlabelled: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """Which features, by how many of the n_p confirmed and n_u unlabelled rows have them, are commoner among the confirmed."""
+    rate = (confirmed + unlabelled) / (n_p + n_u)
+    apart = confirmed / n_p - unlabelled / n_u
+    return (confirmed > 0) & (apart >= MARKED * np.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n_u)))
+
+
+def share(confirmed: np.ndarray, unlabelled: np.ndarray, n_p: int, n_u: int) -> float:
+    """The class prior of the unlabelled rows, without a negative: where a feature is found in toxic rows alone, its rate among
+    unlabelled rows is that among confirmed ones times the prior, elsewhere more. So of the features that many confirmed
+    rows have, those of the least ratio (by the upper end of their chance) tell it; their median is taken."""
+    some = confirmed >= max(1.0, ANCHORED * n_p)
+    if not some.any():
+        return 1 / n_u
+    p, u = confirmed[some], unlabelled[some]
+    best = np.argsort((u + 2 * np.sqrt(u) + 1) / p, kind="stable")[:ANCHORS]
+    return float(np.clip(np.median(u[best] / n_u / (p[best] / n_p)), 1 / n_u, 0.9))
+
+
+def fit(texts: pa.Array, positive: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias from confirmed and unlabelled texts, by the features that mark the confirmed and a prior by share()."""
+    y = positive.astype(bool)
+    cut = [(at, features(texts.slice(at, k))) for at, k in slices(texts)]
+    f, of = np.concatenate([x[1] for _, x in cut]), np.concatenate([x[2] + at for at, x in cut])
+    n_p, n_u = int(y.sum()), max(1, int((~y).sum()))
+    p, u = (np.bincount(f[m[of]], minlength=FEATURES).astype(float) for m in (y, ~y))
+    keep = marked(p, u, n_p, n_u)[f]
+    return descend(f[keep], of[keep], y, share(p, u, n_p, n_u))
+
+
 def fold(col, parts: int):
     return F.crc32(col.cast("string").cast("binary")) % parts
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, folds: int = 5) -> tuple[np.ndarray, float]:
-    """Fits on at most `labelled` labelled rows whose fold is not 0: those with the smallest digests of doc_id. Confirmed
-    toxic rows are the positives; of the others, labels are not used. The class prior is the share of positives."""
-    of = labels.groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic")).where((fold(F.col("l_id"), folds) != 0) & F.col("toxic").isNotNull())
-    picked = of.orderBy(F.md5(F.col("l_id").cast("string")), "l_id").limit(labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("text", "toxic", "l_id")  # picked: at most `labelled` rows
-    rows = rows.groupBy("l_id", "toxic").agg(F.min("text").alias("text")).orderBy("l_id").toArrow()
-    if not rows.num_rows:
+def sample(docs: DataFrame, ids: DataFrame, most: int) -> pa.Array:
+    """Texts of the docs whose doc_id is one of the `most` of ids (s_id) with the smallest digests, in that order, as many as
+    SAMPLE_BYTES hold, the first at least; of rows that share a doc_id, the smallest text."""
+    picked = ids.distinct().orderBy(F.md5(F.col("s_id").cast("string")), "s_id").limit(most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("s_id"))  # picked: at most `most` rows
+    rows = rows.groupBy("s_id").agg(F.min("text").alias("text")).withColumn("digest", F.md5(F.col("s_id").cast("string")))
+    before = Window.orderBy("digest", "s_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of at most `most` rows
+    sizes = rows.select("s_id", "digest", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    sizes = sizes.withColumn("sum", F.sum("size").over(before)).where((F.col("sum") <= SAMPLE_BYTES) | (F.col("sum") == F.col("size"))).select("s_id")
+    out = rows.join(F.broadcast(sizes), "s_id").orderBy("digest", "s_id").select("text").toArrow()["text"].combine_chunks()
+    return out.combine_chunks() if isinstance(out, pa.ChunkedArray) else out
+
+
+def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled: int = UNLABELLED, folds: int = 5) -> tuple[np.ndarray, float]:
+    """Fits on confirmed toxic rows and on unlabelled text, both of folds other than 0, up to `positive` and `unlabelled` rows and
+    SAMPLE_BYTES of text each. A row is confirmed if its labels say toxic; all other documents are unlabelled, and no label
+    that says otherwise is read. Without a confirmed row every text scores by a bias of -1."""
+    known = labels.where((F.col("toxic") == 1) & (fold(F.col("doc_id"), folds) != 0)).select(F.col("doc_id").alias("s_id"))
+    p = sample(docs, known, positive)
+    if not len(p):
         return np.zeros(FEATURES), -1.0
-    y = np.asarray(rows["toxic"]) == 1
-    return fit(rows["text"].combine_chunks(), y, max(1e-3, float(y.mean()))) if y.any() else (np.zeros(FEATURES), -1.0)
+    rest = docs.where(fold(F.col("doc_id"), folds) != 0).select(F.col("doc_id").alias("s_id")).join(known, "s_id", "left_anti")
+    u = sample(docs, rest, unlabelled)
+    return fit(pa.concat_arrays([p, u]), np.r_[np.ones(len(p), bool), np.zeros(len(u), bool)])
 
 
 def scorer(docs: DataFrame, model: tuple[np.ndarray, float]):
@@ -115,9 +166,10 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     return rows.mapInArrow(batch_scores, T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType())]))
 
 
-def clean(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
-    """The rows of docs, columns unchanged, whose texts score below 0.5."""
-    score = scorer(docs, train(docs, labels, labelled))
+def clean(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
+    """The rows of docs, columns unchanged, whose texts score below 0.5. Null and empty texts score by the bias; texts of any
+    length are read whole; no docs give no rows, and no labels let all pass."""
+    score = scorer(docs, train(docs, labels, **bounds))
     at = docs.columns.index("text")
 
     def keep(batches):
@@ -127,10 +179,10 @@ def clean(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataF
     return docs.mapInArrow(keep, docs.schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text); see train() for what is learnt.
     Labels, lang, source and doc_id are no inputs of a score. Repeated rows are scored each; empty tables give none."""
-    out = scored(docs.select("doc_id", "text"), train(docs, labels, labelled))
+    out = scored(docs.select("doc_id", "text"), train(docs, labels, **bounds))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -348,11 +348,75 @@ def test_toxicity(spark, docs, odd):
 
 
 def test_toxicity_held_out(spark):
+    """On rows that nothing was learnt from."""
     sf = SF.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     j = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id")
-    r = j.agg(F.count_if((F.col("predicted") == 1) & (F.col("toxic") == 0)), F.count_if((F.col("predicted") == 1) & (F.col("toxic") == 1)), F.sum("toxic")).first()
-    assert r[0] <= 3 and r[1] >= 0.6 * r[2]
+    for rows in (j.where("held_out"), j):
+        r = rows.agg(F.count_if((F.col("predicted") == 1) & (F.col("toxic") == 0)), F.count_if((F.col("predicted") == 1) & (F.col("toxic") == 1)), F.sum("toxic")).first()
+        assert r[0] <= 3 and r[1] >= 0.6 * r[2]
+
+
+def test_toxicity_risk():
+    """The slope is the derivative of the risk, and where the unlabelled term is negative, that of its negative."""
+    r = np.random.default_rng(0)
+
+    def parts(g, y, prior):
+        l = lambda x: math.log1p(math.exp(-x))
+        p, u = [x for x, t in zip(g, y) if t], [x for x, t in zip(g, y) if not t]
+        return prior * sum(map(l, p)) / len(p), sum(l(-x) for x in u) / len(u) - prior * sum(l(-x) for x in p) / len(p)
+
+    seen = set()
+    for case in range(20):
+        g, y, prior = r.normal(0, 2, 12) + (case % 2) * np.r_[np.full(4, 4.0), np.full(8, -4.0)], np.arange(12) < 4, 0.3 + 0.6 * (case % 2)
+        one, rest = parts(g, y, prior)
+        value, slope = toxicity.risk(g, y, prior)
+        assert math.isclose(value, one + max(0.0, rest), rel_tol=1e-9)
+        seen.add(rest >= 0)
+        for i in range(12):
+            h = np.zeros(12)
+            h[i] = 1e-6
+            (a1, r1), (a0, r0) = parts(g + h, y, prior), parts(g - h, y, prior)
+            want = (a1 + r1 - a0 - r0) / 2e-6 if rest >= 0 else -(r1 - r0) / 2e-6
+            assert abs(slope[i] - want) < 1e-6
+    assert seen == {True, False}
+
+
+def test_toxicity_scores(spark, docs, odd):
+    """Every row's score is that of the model on its whole text, feature by feature."""
+    import xxhash
+
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    w, b = model[0].astype(np.float32), model[1]
+    for d in (docs, odd):
+        got = sorted((tuple(r) for r in toxicity.scored(d, model).collect()), key=repr)
+        want = []
+        for i, t in (tuple(r) for r in d.select("doc_id", "text").collect()):
+            stripped = {x.strip(toxicity.PUNCTUATION) for x in words(lowered(t))}
+            f = {xxhash.xxh3_64_intdigest(x, 0) % toxicity.FEATURES for x in stripped} | {xxhash.xxh3_64_intdigest(x[: toxicity.STEM], 1) % toxicity.FEATURES for x in stripped}
+            want.append((i, 1 / (1 + math.exp(-(sum(float(w[x]) for x in f) + b)))))
+        for x, y in zip(got, sorted(want, key=lambda r: (repr(r[0]), r[1]))):
+            assert x[0] == y[0]
+        assert np.allclose(sorted(x[1] for x in got), sorted(y[1] for y in want), atol=1e-6)
+
+
+def test_toxicity_learns_from_unlabelled_text(spark):
+    """The prior is found without a negative label, labels of 0 change nothing, and fold 0 teaches nothing."""
+    r = np.random.default_rng(5)
+    toxic = [bool(x) for x in r.random(1500) < 0.2]
+    text = lambda t: " ".join([f"w{x}" for x in r.integers(0, 300, 20)] + [f"vile{x}" for x in r.integers(0, 5, 3)] * t)
+    rows = [(i, text(t)) for i, t in enumerate(toxic)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    confirmed = [(i, 1) for i in range(1500) if toxic[i] and i % 3 == 0]
+    known = set(confirmed)
+    p, u = [t for i, t in rows if (i, 1) in known], [t for i, t in rows if (i, 1) not in known]
+    count = lambda ts: np.bincount(toxicity.features(pa.array(ts))[1], minlength=toxicity.FEATURES).astype(float)
+    assert abs(toxicity.share(count(p), count(u), len(p), len(u)) - sum("vile" in t for t in u) / len(u)) < 0.05
+    labels = spark.createDataFrame(confirmed, "doc_id long, toxic int")
+    got = sorted(tuple(x) for x in toxicity.toxicity(docs, labels).collect())
+    assert sum((x[3] == 1) == toxic[x[0]] for x in got) >= 0.97 * 1500
+    more = labels.unionByName(spark.createDataFrame([(i, 0) for i in range(0, 1500, 2) if not toxic[i]] + [(i, 1) for i in range(1500) if zlib.crc32(str(i).encode()) % 5 == 0], "doc_id long, toxic int"))
+    assert sorted(tuple(x) for x in toxicity.toxicity(docs, more).collect()) == got
 
 
 def brute_jaccard(rows, k, percent):
