@@ -13,13 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmere.llm.common import M1, M2, binary_texts, byte_list, grams, hashes, materialize, pack_sorted, scratch_path, shuffle_partitions, split_words, unpack_sorted
+from quillmere.llm.common import M1, M2, binary_texts, byte_list, discard, grams, hashes, materialize, pack_sorted, parts_of, scratch_root, split_words, unpack_sorted
 
 #: Words of a shingle within a window; a window's fingerprint is the least hash of its shingles.
 SHINGLE = 5
 #: Bytes of text of a chunk, one doc_id at least, and the runs that an index may hold before they are compacted.
 CHUNK_BYTES, RUNS = 8 << 20, 2
+#: Bytes of text of a part: a range of doc_id that a task cuts into chunks. There are as many ranges of hashes as parts.
+PART_BYTES = 64 << 20
 SHARED = -1
+#: Bits of a chunk's number: calls of an index before it, parts, chunks of a part.
+CALL, PART = 44, 20
 U = np.uint64
 FIELDS = {"part": T.LongType(), "chunk": T.LongType(), "bucket": T.LongType(), "keys": T.BinaryType(), "owners": T.BinaryType(), "payload": T.BinaryType()}
 
@@ -113,17 +117,16 @@ class Chunk:
         return np.cumsum(edge[:-1]) > 0
 
 
-def chunked(docs: DataFrame, window: int) -> DataFrame:
-    """part, chunk, payload: docs in ranges of doc_id, as a table bucketed by part, so that what is told to a part finds
-    it without another shuffle. Chunks ascend with doc_id; rows of one doc_id are never parted."""
+def chunked(docs: DataFrame, window: int, n: int, call: int) -> tuple[DataFrame, str]:
+    """part, chunk, payload: docs in n ranges of doc_id, as a table (and its name) bucketed by part, so that what is told to a part
+    finds it without another shuffle. Chunks ascend with doc_id; rows of one doc_id are never parted."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def cut(batches):
         from pyspark import TaskContext
 
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, seq, held, size = call << CALL - PART | TaskContext.get().partitionId(), 0, [], 0
         for b in batches:
             ids, texts = b.column("doc_id").cast(pa.int64()), binary_texts(b.column("text"))
             sizes = np.asarray(pc.binary_length(texts), dtype=np.int64)
@@ -134,18 +137,18 @@ def chunked(docs: DataFrame, window: int) -> DataFrame:
                 if size + int(sizes[at:i].sum() if i > at else 0) >= CHUNK_BYTES and (held or i > at) and plain[i] != last:
                     if i > at:
                         held.append((ids.slice(at, i - at), texts.slice(at, i - at)))
-                    yield batch([(part, part << 20 | seq, sealed(*(pa.concat_arrays([h[j] for h in held]) for j in (0, 1))))], "part", "chunk", "payload")
+                    yield batch([(part, part << PART | seq, sealed(*(pa.concat_arrays([h[j] for h in held]) for j in (0, 1))))], "part", "chunk", "payload")
                     held, size, at, seq = [], 0, i, seq + 1
             if at < len(plain):
                 held.append((ids.slice(at), texts.slice(at)))
                 size += int(sizes[at:].sum())
         if held:
-            yield batch([(part, part << 20 | seq, sealed(*(pa.concat_arrays([h[j] for h in held]) for j in (0, 1))))], "part", "chunk", "payload")
+            yield batch([(part, part << PART | seq, sealed(*(pa.concat_arrays([h[j] for h in held]) for j in (0, 1))))], "part", "chunk", "payload")
 
     name = f"quillmere_chunks_{uuid.uuid4().hex}"
     made = rows.mapInArrow(cut, schema("part", "chunk", "payload"))
-    made.write.format("parquet").bucketBy(n, "part").option("path", scratch_path(spark, "chunks")).saveAsTable(name)
-    return spark.table(name)
+    made.write.format("parquet").bucketBy(n, "part").option("path", f"{scratch_root(spark)}/quillmere/{name}").saveAsTable(name)
+    return spark.table(name), name
 
 
 def bucketed(keys: np.ndarray, buckets: int):
@@ -156,13 +159,52 @@ def bucketed(keys: np.ndarray, buckets: int):
         yield int(of[i]), i, j
 
 
+def there(spark, path: str) -> bool:
+    """Whether Spark's own file system has the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 class FingerprintIndex:
     """Sorted immutable runs of fingerprints, each with its only chunk or the mark SHARED. A batch is merged with them:
     what is in a run or in two of its chunks is shared, and the chunks that hold it are told. The batch then becomes a
-    run; more than RUNS runs are compacted into one. Runs are Parquet in the shared folder, a row per range of hashes."""
-
-    def __init__(self, buckets: int, window: int) -> None:
-        self.buckets, self.window, self.runs = buckets, window, []
+    run; more than RUNS runs are compacted into one. Runs are Parquet in the shared folder, a row per range of hashes.
+
+    With a folder the index outlives a call: save() writes its compacted run, the hashes of all windows under shared
+    fingerprints and the call's chunks to a folder of the call's number, and a mark last, without which open() ignores them."""
+
+    def __init__(self, buckets: int, window: int, folder: str | None = None) -> None:
+        self.buckets, self.window, self.folder, self.call, self.runs = buckets, window, folder, 0, []
+        self.windows: DataFrame | None = None
+        self.old: list[DataFrame] = []
+        self.scratch: list[DataFrame] = []
+
+    @classmethod
+    def open(cls, spark, folder: str, buckets: int, window: int = 13) -> FingerprintIndex:
+        """The index saved under folder; where there is none, an empty one of `buckets` ranges of hashes."""
+        index = cls(buckets, window, folder)
+        while there(spark, f"{folder}/{index.call}/saved/_SUCCESS"):
+            index.old.append(spark.read.parquet(f"{folder}/{index.call}/chunks"))
+            index.call += 1
+        if index.call:
+            at = f"{folder}/{index.call - 1}"
+            index.buckets, saved = (spark.read.parquet(f"{at}/saved").first()[c] for c in ("buckets", "window"))
+            if saved != window:
+                raise ValueError(f"the index under {folder} has windows of {saved} words")
+            index.runs, index.windows = [spark.read.parquet(f"{at}/run")], spark.read.parquet(f"{at}/windows")
+        return index
+
+    def save(self, chunks: DataFrame, windows: DataFrame) -> None:
+        at, put = f"{self.folder}/{self.call}", lambda df, name: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{self.call}/{name}")
+        self.compact()
+        put(self.runs[0], "run")
+        put(windows, "windows")
+        put(chunks.select("part", "chunk", "payload"), "chunks")
+        put(chunks.sparkSession.createDataFrame([(self.buckets, self.window)], "buckets long, window long"), "saved")
+        spark = chunks.sparkSession
+        self.runs, self.windows = [spark.read.parquet(f"{at}/run")], spark.read.parquet(f"{at}/windows")
+        self.old.append(spark.read.parquet(f"{at}/chunks"))
+        self.call += 1
 
     def add(self, chunks: DataFrame) -> DataFrame:
         """part, chunk, keys: fingerprints, sorted, that this batch has made shared, for every chunk that holds them."""
@@ -196,7 +238,7 @@ class FingerprintIndex:
             who, what = owner[tell][held], key[tell][held]
             cuts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else []
             for i, j in zip(cuts, [*cuts[1:], len(who)]):
-                out.append((int(who[i]) >> 20, int(who[i]), bucket, pack_sorted(what[i:j]), None))
+                out.append((int(who[i]) >> PART, int(who[i]), bucket, pack_sorted(what[i:j]), None))
             new = (fresh > 0) & (known != SHARED)
             if new.any():
                 out.append((None, None, bucket, pack_sorted(key[at][new]), np.where(live, SHARED, owner[at])[new].astype(np.int64).tobytes()))
@@ -206,6 +248,7 @@ class FingerprintIndex:
         for run in self.runs:
             rows = rows.unionByName(run.select("bucket", F.lit(None).cast("long").alias("chunk"), "keys", "owners"))
         merged = materialize(rows.groupBy("bucket").applyInArrow(merge, schema("part", "chunk", "bucket", "keys", "owners")), "merged")
+        self.scratch.append(merged)
         self.runs.append(merged.where("owners is not null").select("bucket", "keys", "owners"))
         if len(self.runs) > RUNS:
             self.compact()
@@ -224,18 +267,21 @@ class FingerprintIndex:
         for run in self.runs[1:]:
             rows = rows.unionByName(run)
         self.runs = [materialize(rows.groupBy("bucket").applyInArrow(one, schema("bucket", "keys", "owners")), "run")]
+        self.scratch.append(self.runs[0])
 
 
-def told_repeats(chunks: DataFrame, live: DataFrame, window: int, buckets: int) -> DataFrame:
-    """part, chunk, keys, owners: for each chunk its windows (first hashes, checks) that an earlier chunk has. Only the
-    windows under shared fingerprints are compared, by 96 bits."""
+def told_repeats(index: FingerprintIndex, chunks: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """part, chunk, keys, owners: for each of chunks its windows (first hashes, checks) that an earlier chunk has; and bucket,
+    chunk, keys, owners: all windows under shared fingerprints with the first chunk that has each. Only windows under shared
+    fingerprints are compared, by 96 bits. Of chunks of earlier calls only those are read that one of them has just come to share."""
+    window, buckets, first_new, kept = index.window, index.buckets, index.call << CALL, bool(index.folder)
 
     def under_shared(mine, shared):
         told: dict[int, list[np.ndarray]] = {}
         for chunk, keys in zip(shared["chunk"].to_pylist(), shared["keys"].to_pylist()):
             told.setdefault(chunk, []).append(unpack_sorted(keys))
         out = []
-        for part, chunk, payload in zip(*[mine[c].to_pylist() for c in ("part", "chunk", "payload")]):
+        for chunk, payload in zip(*[mine[c].to_pylist() for c in ("chunk", "payload")]):
             if chunk not in told:
                 continue
             c = Chunk(payload, window)
@@ -248,8 +294,15 @@ def told_repeats(chunks: DataFrame, live: DataFrame, window: int, buckets: int)
             first, check = first[order], check[order]
             new = np.r_[True, (first[1:] != first[:-1]) | (check[1:] != check[:-1])] if len(first) else np.zeros(0, bool)
             first, check = first[new], check[new]
-            out += [(of, part, chunk, pack_sorted(first[i:j]), check[i:j].tobytes()) for of, i, j in bucketed(first, buckets)]
-        return pa.Table.from_batches([batch(out, "bucket", "part", "chunk", "keys", "owners")])
+            out += [(of, chunk, pack_sorted(first[i:j]), check[i:j].tobytes()) for of, i, j in bucketed(first, buckets)]
+        return pa.Table.from_batches([batch(out, "bucket", "chunk", "keys", "owners")])
+
+    def by_chunk(chunk, first, check):
+        order = np.argsort(chunk, kind="stable")
+        chunk, first, check = chunk[order], first[order], check[order]
+        cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else []
+        for i, j in zip(cuts, [*cuts[1:], len(chunk)]):
+            yield int(chunk[i]), pack_sorted(first[i:j]), check[i:j].tobytes()
 
     def earliest(table):
         chunk, first, check = [], [], []
@@ -261,33 +314,44 @@ def told_repeats(chunks: DataFrame, live: DataFrame, window: int, buckets: int)
         order = np.lexsort((chunk, check, first))
         chunk, first, check = chunk[order], first[order], check[order]
         later = np.r_[False, (first[1:] == first[:-1]) & (check[1:] == check[:-1])]
-        chunk, first, check = chunk[later], first[later], check[later]
-        order, out = np.argsort(chunk, kind="stable"), []
-        chunk, first, check = chunk[order], first[order], check[order]
-        cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else []
-        for i, j in zip(cuts, [*cuts[1:], len(chunk)]):
-            out.append((int(chunk[i]) >> 20, int(chunk[i]), pack_sorted(first[i:j]), check[i:j].tobytes()))
-        return pa.Table.from_batches([batch(out, "part", "chunk", "keys", "owners")])
-
-    rows = chunks.groupBy("part").cogroup(live.groupBy("part")).applyInArrow(under_shared, schema("bucket", "part", "chunk", "keys", "owners"))
-    return materialize(rows.groupBy("bucket").applyInArrow(earliest, schema("part", "chunk", "keys", "owners")), "told")
-
-
-def deduplicated(docs: DataFrame, window: int = 13, batches: int = 3, texts: bool = False) -> DataFrame:
+        tell, bucket = later & (chunk >= first_new), table["bucket"][0].as_py()
+        out = [(c >> PART, c, None, k, o) for c, k, o in by_chunk(chunk[tell], first[tell], check[tell])]
+        out += [(None, c, bucket, k, o) for c, k, o in by_chunk(chunk[~later], first[~later], check[~later])] if kept else []
+        return pa.Table.from_batches([batch(out, "part", "chunk", "bucket", "keys", "owners")])
+
+    fields = schema("bucket", "chunk", "keys", "owners")
+    rows = chunks.groupBy("part").cogroup(live.where(F.col("chunk") >= first_new).groupBy("part")).applyInArrow(under_shared, fields)
+    for old in index.old:
+        some = old.join(live.select("chunk").distinct(), "chunk", "left_semi")
+        rows = rows.unionByName(some.groupBy("chunk").cogroup(live.groupBy("chunk")).applyInArrow(under_shared, fields))
+    if index.windows is not None:
+        rows = rows.unionByName(index.windows)
+    found = materialize(rows.groupBy("bucket").applyInArrow(earliest, schema("part", "chunk", "bucket", "keys", "owners")), "told")
+    index.scratch.append(found)
+    return found.where("part is not null").select("part", "chunk", "keys", "owners"), found.where("part is null").select("bucket", "chunk", "keys", "owners")
+
+
+def deduplicated(docs: DataFrame, window: int = 13, batches: int = 3, texts: bool = False, folder: str | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept, if texts) for every row of docs (doc_id long, text).
 
     A word goes if it lies in a run of `window` consecutive words that also starts in a document with a smaller doc_id;
     the input, not what is left of it, decides. A null doc_id is smaller than all others; rows of one doc_id don't
-    judge each other; null texts and texts shorter than a window keep what they have; an empty table gives no rows.
-    Documents enter the index in `batches` batches; however often a passage occurs, a chunk names it once."""
+    judge each other; null texts and texts shorter than a window keep what they have; an empty table gives no rows. doc_id
+    must be a whole number, or a string of one. Documents enter the index in `batches` batches; however often a passage
+    occurs, a chunk names it once. There are as many parts and ranges of hashes as the size of the texts asks for.
+
+    With a folder (one that driver and executors share) the index is kept there: documents of earlier calls on it count as
+    smaller than all of docs, whatever their doc_id, and docs are added to it. Only earlier chunks that come to share a
+    passage for the first time are read again."""
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
-    chunks = chunked(docs, window)
-    index, live = FingerprintIndex(buckets, window), None
+    n = parts_of(docs, "text", PART_BYTES)
+    index = FingerprintIndex.open(spark, folder, n, window) if folder else FingerprintIndex(n, window)
+    chunks, name = chunked(docs, window, n, index.call)
+    live = None
     for i in range(batches):
-        new = index.add(chunks.where(F.floor(F.col("part") * batches / buckets) == i))
+        new = index.add(chunks.where(F.floor(F.col("part").bitwiseAND((1 << CALL - PART) - 1) * batches / n) == i))
         live = new if live is None else live.unionByName(new)
-    told = told_repeats(chunks, live, window, buckets)
+    told, windows = told_repeats(index, chunks, live)
 
     def final(mine, others):
         known: dict[int, list] = {}
@@ -306,4 +370,10 @@ def deduplicated(docs: DataFrame, window: int = 13, batches: int = 3, texts: boo
             tables.append(pa.table(columns | ({"kept": pa.array([x.decode() for x in kept])} if texts else {})))
         return pa.concat_tables(tables) if tables else pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *((("kept", pa.string()),) if texts else ()))})
 
-    return chunks.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(final, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
+    out = materialize(chunks.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(final, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts), "deduplicated")
+    if folder:
+        index.save(chunks, windows)
+    chunks._scratch = f"{scratch_root(spark)}/quillmere/{name}"
+    discard(chunks, *index.scratch)
+    spark.sql(f"DROP TABLE {name}")
+    return out

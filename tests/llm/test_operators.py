@@ -206,6 +206,22 @@ def test_substring(spark, docs, odd, monkeypatch):
         assert got == brute_substring([tuple(r) for r in d.select("doc_id", "text").collect()])
 
 
+def test_substring_index_is_kept(spark, docs, tmp_path, monkeypatch):
+    """Batches judged against a saved index give what one call on all of them gives; doc_ids of later ones are larger here."""
+    monkeypatch.setattr(substring, "CHUNK_BYTES", 50_000)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    got, folder = [], f"file://{tmp_path}/index"
+    for part in (rows[:90], rows[90:91], [], rows[91:]):
+        d = spark.createDataFrame(part, "doc_id long, text string")
+        got += [tuple(r) for r in substring.deduplicated(d, batches=2, folder=folder).collect()]
+    assert sorted(got, key=repr) == brute_substring(rows)
+    again = substring.deduplicated(spark.createDataFrame([(-1, rows[5][1])], "doc_id long, text string"), folder=folder).collect()[0]
+    assert again["n_removed"] == again["n_words"] or again["n_words"] < 13
+    with pytest.raises(ValueError):
+        substring.FingerprintIndex.open(spark, folder, 4, window=9)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quillmere")]
+
+
 def test_warc(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     more = spark.createDataFrame([(900, "u", "y" * 200), (901, None, "y" * 200), (902, "u", "z" * 99), (903, "u", "z" * 99), (904, "u", None), (905, "u", ""), (906, "u v\r\n", "é" * 80), (907, "u", "é" * 80), (900, "u", "y" * 200)], pages.schema)
