@@ -44,9 +44,7 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmere.llm.warc import archived
 
-    pages = table(spark, sf_dir, "pages")
-    kind = dict(pages.dtypes)["page_id"]
-    return archived(spark, pages).select(F.col("page_id").cast("string").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return archived(spark, table(spark, sf_dir, "pages"))
 
 
 def op6_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +113,7 @@ u AS (SELECT doc_id, unnest(ws) x, generate_subscripts(ws, 1) AS pos FROM d),
 k AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.pos) kept FROM u LEFT JOIN (SELECT doc_id, unnest(gone) AS pos FROM g) z ON u.doc_id = z.doc_id AND u.pos = z.pos WHERE z.pos IS NULL GROUP BY 1)
 SELECT d.doc_id, len(ws)::BIGINT n_words, coalesce(len(gone), 0)::BIGINT n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op5_warc": """WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages), f AS (SELECT h, min(page_id) f FROM p WHERE strlen(h) >= 100 GROUP BY 1)
-SELECT page_id::VARCHAR page_id, strlen(p.h) payload_bytes, sha256(p.h) payload_digest, CASE WHEN f < page_id THEN 'revisit' ELSE 'response' END record_type, CASE WHEN f < page_id THEN f END refers_to FROM p LEFT JOIN f ON p.h = f.h""",
+SELECT page_id, strlen(p.h) payload_bytes, sha256(p.h) payload_digest, CASE WHEN f < page_id THEN 'revisit' ELSE 'response' END record_type, CASE WHEN f < page_id THEN f END refers_to FROM p LEFT JOIN f ON p.h = f.h""",
     "op6_vafile": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT score FROM v q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",

@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import materialize, scratch_path
+from quillmere.llm.common import discard, materialize, scratch_path
 
 LEVEL = 1
 #: Payload bytes after which a task starts another archive.
@@ -24,14 +25,22 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """One WARC/1.1 record; a revisit carries no payload but the digest and the page it repeats."""
+def field(value: str) -> str:
+    """A header's value in which white space, control characters and % are percent-encoded, so that unquote() gives it back."""
+    return "".join(quote(c, safe="") if c == "%" or c.isspace() or not c.isprintable() else c for c in value)
+
+
+def record(page_id: str | None, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+    """One WARC/1.1 record; a revisit carries no payload but the digest and the page it repeats. White space of a url is
+    percent-encoded; a null page_id has no header."""
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>",
-        f"WARC-Date: {FIXED_DATE}", f"WARC-Target-URI: {''.join(url.split())}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-Id: {page_id}", f"X-Payload-Length: {len(payload)}",
+        f"WARC-Date: {FIXED_DATE}", f"WARC-Target-URI: {''.join(quote(c) if c.isspace() or not c.isprintable() else c for c in url)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}",
     ]
+    if page_id is not None:
+        head.append(f"X-Page-Id: {field(page_id)}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {field(refers_to)}"]
     body = b"" if refers_to is not None else payload
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -92,7 +101,7 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     path, n, size = f"{base}/{uuid.uuid4().hex}.mono.warc.gz", 0, 0
                     out, z = fs.open_output_stream(path, compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                data = record("" if page_id is None else page_id, url or "", (html or "").encode(), digest, refers_to)
+                data = record(page_id, url or "", (html or "").encode(), digest, refers_to)
                 out.write(z.compress(data))
                 n, size = n + 1, size + len(data)
                 if size >= FILE_BYTES:
@@ -129,13 +138,13 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                             member = z.compress(data) + z.flush()
                             out.write(member)
                             fields, _ = parse(data)
-                            rows.append((to, at, len(member), fields["X-Page-Id"], fields["WARC-Type"]))
+                            rows.append((to, at, len(member), fields.get("X-Page-Id"), fields["WARC-Type"]))
                             at += len(member)
                 with fs.open_output_stream(to + ".idx", compression=None) as out:
                     for _, offset, length, page_id, kind in rows:
-                        out.write(f"{offset} {length} {page_id} {kind}\n".encode())
+                        out.write(f"{offset} {length} {kind} {'-' if page_id is None else page_id}\n".encode())
                 for i in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_pydict(dict(zip(("path", "offset", "length", "page_id", "record_type"), map(list, zip(*rows[i : i + 10_000])))))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 10_000]), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["path", "offset", "length", "page_id", "record_type"])
 
     return archives.select("path").mapInArrow(rewrite, INDEX)
 
@@ -157,7 +166,8 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
                 size, digest, kind = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
                 if kind == "response" and (len(body) != size or hashlib.sha256(body).hexdigest() != digest):
                     raise ValueError(f"{path} at {offset}: the payload isn't the one that was written")
-                out.append((fields["X-Page-Id"] or None, size, digest, kind, fields.get("WARC-Refers-To-Page")))
+                page_id, to = (None if x is None else unquote(x) for x in (fields.get("X-Page-Id"), fields.get("WARC-Refers-To-Page")))
+                out.append((page_id, size, digest, kind, to))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
@@ -179,8 +189,9 @@ def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, least: int = 100) -> DataFrame:
     """Writes pages (page_id, url, html) as WARC files under folder and returns the index of the normalised archives.
-    A null html is an empty payload, a null url an empty one; an empty table gives no archive. The monolithic archives are
-    deleted once the whole index is written."""
+    A null html is an empty payload, a null url an empty one; an empty table gives no archive. A record is held whole by the
+    task that writes or reads it, so the longest payload bounds its memory. The monolithic archives are deleted once the whole
+    index is written."""
     folder = folder or scratch_path(spark, "warc")
     cast = revisits(pages, least).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     archives = materialize(write_monolithic(cast, folder), "archives")
@@ -189,10 +200,12 @@ def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, le
     fs, _ = opened(folder)
     for row in archives.select("path").toLocalIterator():  # only now are all index rows kept
         fs.delete_file(row["path"])
+    discard(archives)
     return index.withColumn("folder", F.lit(folder))
 
 
 def archived(spark: SparkSession, pages: DataFrame, folder: str | None = None, least: int = 100) -> DataFrame:
-    """The records of archive(), read back through its index; page_id and refers_to are cast to strings."""
-    folder = folder or scratch_path(spark, "warc")
-    return read_back(archive(spark, pages, folder, least).drop("folder"), folder)
+    """The records of archive(), read back through its index; page_id and refers_to are of the type they have in pages."""
+    folder, kind = folder or scratch_path(spark, "warc"), dict(pages.dtypes)["page_id"]
+    rows = read_back(archive(spark, pages, folder, least).drop("folder"), folder)
+    return rows.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})

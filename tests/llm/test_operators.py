@@ -226,16 +226,26 @@ def test_warc(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     more = spark.createDataFrame([(900, "u", "y" * 200), (901, None, "y" * 200), (902, "u", "z" * 99), (903, "u", "z" * 99), (904, "u", None), (905, "u", ""), (906, "u v\r\n", "é" * 80), (907, "u", "é" * 80), (900, "u", "y" * 200)], pages.schema)
     pages = pages.unionByName(more)
-    got = sorted(((int(r[0]), *r[1:]) for r in warc.archived(spark, pages).collect()), key=repr)
+    pages = pages.withColumns({c: F.lit("own") for c in ("digest", "first", "refers_to", "path")})
+    got = sorted((tuple(r) for r in warc.archived(spark, pages).collect()), key=repr)
     rows = sorted(tuple(r) for r in pages.select("page_id", F.coalesce("html", F.lit(""))).collect())
     first, want = {}, []
     for i, h in rows:
         b = h.encode()
         to = first.setdefault(b, i) if len(b) >= 100 else i
-        want.append((i, len(b), hashlib.sha256(b).hexdigest(), "response" if to == i else "revisit", None if to == i else str(to)))
+        want.append((i, len(b), hashlib.sha256(b).hexdigest(), "response" if to == i else "revisit", None if to == i else to))
     assert got == sorted(want, key=repr)
 
 
+def test_warc_odd_ids(spark):
+    """Empty ids, ids with white space or percent signs, and null ones come back as they were."""
+    pages = spark.createDataFrame([("", "u", "x" * 100), ("a b\r\n%41", "http://x/ y", "x" * 100), (None, "u", "x" * 100), ("é", None, "z")], "page_id string, url string, html string")
+    got = sorted((r["page_id"] is None, r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archived(spark, pages).where("page_id is not null").collect())
+    assert got == [(False, "", "response", None), (False, "a b\r\n%41", "revisit", ""), (False, "é", "response", None)]
+    r = warc.archived(spark, pages).where("page_id is null").first()
+    assert r["record_type"] == "revisit" and r["refers_to"] == "" and r["payload_bytes"] == 100
+
+
 def test_warc_survives_a_task_run_again(spark, tmp_path):
     folder = f"file://{tmp_path}"
     pages = spark.createDataFrame([(str(i), "u", "x" * i, "d", None) for i in range(20)], "page_id string, url string, html string, digest string, refers_to string")
