@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import struct
@@ -46,39 +47,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             says = json.load(f)
-        plain = not any(c.isspace() for t in says.get("added_tokens") or [] for c in t["content"])
+        added = says.get("added_tokens") or []
+        plain = not any(c.isspace() for t in added for c in t["content"])
         self.by_word = plain and says["model"].get("end_of_word_suffix") == WORD_END and all(says.get(k) == v for k, v in BY_WORD.items())
-        self.known: dict[bytes, bytes] = {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith(WORD_END)
-
-    def learn(self, words: list[bytes], letters: bool) -> None:
-        """Words of letters are one pre-token each, whose last id is marked as an end: they are encoded as one text and
-        cut there. Where that doesn't give as many as there are words, and for all others, each is encoded alone."""
-        parts = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
-        if letters and parts:
-            found, alone = self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False), []
-            for part, e in zip(parts, found):
-                ids = np.array(e.ids, np.uint32)
-                stops = np.flatnonzero(self.ends[ids]) + 1
-                if len(stops) != len(part) or stops[-1] != len(ids):
-                    alone += part
-                    continue
-                data, start = ids.tobytes(), 0
-                for w, stop in zip(part, (4 * stops).tolist()):
-                    self.known[w] = data[start:stop]
-                    start = stop
-            words = alone
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def word_ids(self, words: pa.Array) -> list[bytes]:
-        """Little-endian 32-bit ids of each word. A word of letters followed by plain punctuation is the ids of both, as
-        the pre-tokenizer cuts there; a word of letters has the same ids in either case, as the normaliser lowers it. Letters
-        that NFC would change may turn into letters and marks, and are encoded with what follows them."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        marks = [t for t in added if t["special"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"])]
+        self.mark = (marks[0]["content"].encode(), marks[0]["id"]) if marks else None
+        self.forget()
+
+    def forget(self) -> None:
+        """place numbers the words known; flat has their ids one after the other, lens how many each has."""
+        self.place, self.flat, self.lens = {b"": 0}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Words are encoded many in one text, parted by an added token: the library takes it out of the raw text first, so
+        that each word between two is encoded by itself. A word that holds its name, or has no such token, is encoded alone.
+        One of small ASCII letters is what normaliser and pre-tokenizer leave as it is, so the model gets it at once."""
+        mark, mark_id = self.mark or (b"", -1)
+        letters = [w for w in words if w.isalpha() and w.islower()]
+        words = [w for w in words if not (w.isalpha() and w.islower())]
+        joined = [w for w in words if mark and mark not in w]
+        alone = [w for w in words if not mark or mark in w]
+        model = self.tokenizer.model
+        pieces = [[t.id for t in model.tokenize(w.decode())] for w in letters]
+        parts = [joined[at : at + TOGETHER] for at in range(0, len(joined), TOGETHER)]
+        flat = [self.flat, np.fromiter(itertools.chain.from_iterable(pieces), np.uint32)]
+        lens = [self.lens, np.fromiter(map(len, pieces), np.int64, len(pieces))]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([mark.join(p).decode() for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(ids == mark_id)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the added token doesn't part words")
+            flat.append(ids[ids != mark_id])
+            lens.append(np.diff(np.r_[-1, cuts, len(ids)]) - 1)
+        for e in self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False):
+            flat.append(np.array(e.ids, np.uint32))
+            lens.append(np.array([len(e.ids)]))
+        self.place.update(zip(letters + joined + alone, itertools.count(len(self.lens))))
+        self.flat, self.lens = np.concatenate(flat), np.concatenate(lens)
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has. A word of letters followed by plain punctuation has the ids
+        of both, as the pre-tokenizer cuts there; a word of letters has the same ids in either case, as the normaliser lowers it.
+        Letters that NFC would change may turn into letters and marks, and are encoded with what follows them."""
+        if len(self.place) > REMEMBERED:
+            self.forget()
         core = pc.utf8_rtrim(words, characters=PLAIN)
         alpha = pc.utf8_is_alpha(core)
         other = np.flatnonzero(np.asarray(pc.and_(alpha, pc.invert(pc.string_is_ascii(core)))))
@@ -86,21 +98,21 @@ class Encoder:
             some, letters = core.take(pa.array(other)), np.asarray(alpha).copy()
             letters[other] = np.asarray(pc.equal(pc.utf8_normalize(some, form="NFC"), some))
             alpha = pa.array(letters)
-        heads = byte_list(pc.if_else(alpha, pc.ascii_lower(core), words))
-        cut = np.where(np.asarray(alpha), np.asarray(pc.binary_length(words)) - np.asarray(pc.binary_length(core)), 0).tolist()
-        plain = byte_list(words)
-        tails = [w[-n:] if n else b"" for w, n in zip(plain, cut)]
-        known = self.known
-        known[b""] = b""
-        new: tuple[set, set] = (set(), set())
-        for h, t, letters in zip(heads, tails, np.asarray(alpha).tolist()):
-            if h not in known:
-                new[letters].add(h)
-            if t not in known:
-                new[False].add(t)
-        self.learn(sorted(new[False]), False)
-        self.learn(sorted(new[True]), True)
-        return [known[h] + known[t] if t else known[h] for h, t in zip(heads, tails)]
+        coded = pc.if_else(alpha, pc.ascii_lower(core), words).dictionary_encode()
+        heads = byte_list(coded.dictionary)
+        cut = np.where(np.asarray(alpha), np.asarray(pc.binary_length(words)) - np.asarray(pc.binary_length(core)), 0)
+        at = np.flatnonzero(cut)
+        tails = [w[-n:] for w, n in zip(byte_list(words.take(pa.array(at))), cut[at].tolist())]
+        place = self.place
+        found = list(map(place.get, heads))
+        new = [i for i, x in enumerate(found) if x is None]
+        self.learn(list(dict.fromkeys([*(heads[i] for i in new), *(t for t in set(tails) if t not in place)])))
+        for i in new:
+            found[i] = place[heads[i]]
+        head = np.array(found, np.int64)[np.asarray(coded.indices)]
+        tail = np.zeros(len(words), np.int64)
+        tail[at] = [place[t] for t in tails]
+        return gathered(self.flat, self.lens, np.stack([head, tail], 1).ravel()), self.lens[head] + self.lens[tail]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, `end` after each, and where each text's ids end."""
@@ -108,12 +120,10 @@ class Encoder:
             found = [[*e.ids, end] for e in self.tokenizer.encode_batch_fast(binary_texts(texts).to_pylist(), add_special_tokens=False)]
             return np.array([i for ids in found for i in ids], np.uint32), np.cumsum([len(ids) for ids in found], dtype=np.int64)
         codes, words, offsets = split_words(binary_texts(texts), False)
-        parts = self.word_ids(words) + [struct.pack("<I", end)]
-        codes = np.insert(codes.astype(np.int64), offsets[1:], len(parts) - 1)
-        lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        ids = gathered(np.frombuffer(b"".join(parts), np.uint32), lens, codes)
-        ends = np.cumsum(lens[codes])[offsets[1:] + np.arange(len(texts))]
-        return ids, ends
+        flat, lens = self.word_ids(words)
+        codes = np.insert(codes.astype(np.int64), offsets[1:], len(lens))
+        flat, lens = np.r_[flat, np.uint32(end)], np.r_[lens, 1]
+        return gathered(flat, lens, codes), np.cumsum(lens[codes])[offsets[1:] + np.arange(len(texts))]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -157,13 +167,16 @@ def grammar(ids: np.ndarray, ends: np.ndarray, per_round: int = PER_ROUND, least
         if len(frequent) > take:
             frequent = frequent[np.argsort(-n[frequent], kind="stable")[:take]]
         chosen = np.sort(counted[frequent])
-        first, second = np.zeros(top, bool), np.zeros(top, bool)
         left, right = (chosen >> kind(bits)).astype(np.int64), (chosen & kind((1 << bits) - 1)).astype(np.int64)
-        first[left], second[right] = True, True
-        at = np.flatnonzero(inside & first[seq[:-1]] & second[seq[1:]])
-        which = np.searchsorted(chosen, pairs[at])
-        hit = (which < len(chosen)) & (chosen[np.minimum(which, len(chosen) - 1)] == pairs[at])
-        at, which = at[hit], which[hit]
+        firsts, seconds = np.unique(left), np.unique(right)
+        # Places in a table of chosen pairs by the rank of their first and of their second symbol; rank 0 is all others.
+        row, col = np.zeros(top, np.int32), np.zeros(top, np.int32)
+        row[firsts], col[seconds] = np.arange(1, len(firsts) + 1) * (len(seconds) + 1), np.arange(1, len(seconds) + 1)
+        named = np.zeros((len(firsts) + 1) * (len(seconds) + 1), np.int32)
+        named[row[left] + col[right]] = np.arange(1, len(chosen) + 1)
+        which = named[row[seq[:-1]] + col[seq[1:]]]
+        at = np.flatnonzero(inside & (which > 0))
+        which = which[at] - 1
         fresh = np.r_[True, np.diff(at) != 1]
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         whole = (np.arange(len(at)) - run) % 2 == 0
