@@ -6,6 +6,7 @@ import itertools
 import json
 import os
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -32,6 +33,9 @@ BY_WORD = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 }
 WORD_END = "</w>"
+# The printable character that stands for each byte in vocabularies over bytes: itself where it is one, else the next free one from 256 on.
+KEPT = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTES = [chr(b if b in KEPT else 256 + sum(x not in KEPT for x in range(b))) for b in range(256)]
 MAGIC = b"QMRP"
 HEAD = "<4sIIIIQ"
 
@@ -61,14 +65,16 @@ class Encoder:
     def learn(self, words: list[bytes]) -> None:
         """Words are encoded many in one text, parted by an added token: the library takes it out of the raw text first, so
         that each word between two is encoded by itself. A word that holds its name, or has no such token, is encoded alone.
-        One of small ASCII letters is what normaliser and pre-tokenizer leave as it is, so the model gets it at once."""
+        One of small letters that NFC leaves as it is, normaliser and pre-tokenizer leave too, so the model gets it at once."""
         mark, mark_id = self.mark or (b"", -1)
-        letters = [w for w in words if w.isalpha() and w.islower()]
-        words = [w for w in words if not (w.isalpha() and w.islower())]
+        texts = [w.decode() for w in words]
+        small = [t.isalpha() and t.islower() and (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts]
+        letters = list(itertools.compress(words, small))
+        words = [w for w, s in zip(words, small) if not s]
         joined = [w for w in words if mark and mark not in w]
         alone = [w for w in words if not mark or mark in w]
         model = self.tokenizer.model
-        pieces = [[t.id for t in model.tokenize(w.decode())] for w in letters]
+        pieces = [[t.id for t in model.tokenize(w.decode() if w.isascii() else "".join([BYTES[b] for b in w]))] for w in letters]
         parts = [joined[at : at + TOGETHER] for at in range(0, len(joined), TOGETHER)]
         flat = [self.flat, np.fromiter(itertools.chain.from_iterable(pieces), np.uint32)]
         lens = [self.lens, np.fromiter(map(len, pieces), np.int64, len(pieces))]
