@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import time
 
@@ -15,7 +16,7 @@ from quillmere.functions import scalars as S
 from quillmere.operators import chunking, lifecycle, search
 from quillmere.operators.embed import Embedder, HashEmbedder, embedding
 from quillmere.sources import extract, local
-from quillmere.store import Store
+from quillmere.store import Store, writes
 
 INDEXABLE = ["md", "markdown", "txt", "text", "pdf", "docx", "epub"]
 
@@ -37,6 +38,23 @@ def on_disk(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "path string, exists boolean, is_file boolean, size long, mtime long, full string")
 
 
+def gathered(spark: SparkSession, root: str, paths: list[str] | None, ignore: list[str] | None, leave: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """path of the files at or below paths that can be extracted and that no rule ignores (none do where ignore is None), and
+    how many files were found. Folders in `leave` are never entered."""
+    found: list[str] = []
+    for p in paths or ["."]:
+        full = os.path.realpath(os.path.join(root, p))
+        if os.path.isfile(full):
+            found.append(os.path.relpath(full, root))
+        else:
+            found += [os.path.relpath(x[0], root) for x in local.walked(full)]
+    found = [p for p in (p.replace(os.sep, "/") for p in found) if not p.startswith((".quillmere/", *leave))]
+    rows = spark.createDataFrame([(p,) for p in found], "path string")
+    ext = S.extension(F.element_at(F.split("path", "/"), -1))
+    fit = rows.where(F.coalesce(ext.isin(INDEXABLE), F.lit(False)))
+    return (fit if ignore is None else fit.where(~globs.ignored(F.col("path"), ignore))), len(found)
+
+
 class IndexVault:
     """Files below a root: registered, chunked, embedded and searched. Chunks exist only for indexed files."""
 
@@ -54,29 +72,22 @@ class IndexVault:
         except FileNotFoundError:
             return []
 
+    @writes
     def add(self, paths: list[str] | None = None, no_ignore: bool = False, dry_run: bool = False) -> dict[str, int]:
         """Registers files below paths as pending; files of other kinds and ignored ones are skipped."""
-        found: list[str] = []
-        for p in paths or ["."]:
-            full = os.path.realpath(os.path.join(self.root, p))
-            if os.path.isfile(full):
-                found.append(os.path.relpath(full, self.root))
-            else:
-                found += [os.path.relpath(x[0], self.root) for x in local.walked(full)]
-        rows = self.spark.createDataFrame([(p.replace(os.sep, "/"),) for p in found], "path string").where(~F.startswith("path", F.lit(".quillmere/")))
-        ext = S.extension(F.element_at(F.split("path", "/"), -1))
-        fit = rows.where(~globs.ignored(F.col("path"), () if no_ignore else self._ignore_lines())).where(F.coalesce(ext.isin(INDEXABLE), F.lit(False)))
+        fit, found = gathered(self.spark, self.root, paths, [] if no_ignore else self._ignore_lines())
         files = self.store.table("files")
         outcome = lifecycle.added(files, fit).persist()
-        report = {r["outcome"]: r["count"] for r in outcome.groupBy("outcome").count().collect()} | {"skipped": len(found) - fit.count()}
+        report = {r["outcome"]: r["count"] for r in outcome.groupBy("outcome").count().collect()} | {"skipped": found - fit.count()}
         if not dry_run:
             with self.store.lock():
                 top = files.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
                 new = outcome.where("outcome = 'added'").select((F.xxhash64("path").bitwiseAND(2**40 - 1) + top + 1).alias("id"), "path", F.lit(now_ms()).alias("added_at"), F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempts"))
-                self.store.commit({"files": files.unionByName(new, allowMissingColumns=True)}, {"files": ["path"]})
+                self.store.commit({"files": files.unionByName(new, allowMissingColumns=True)}, {"files": [["path"], ["id"]]})
         outcome.unpersist()
         return {"added": 0, "already_registered": 0} | report
 
+    @writes
     def remove(self, paths: list[str]) -> dict[str, list[str]]:
         """Unregisters paths with their chunks and vectors; reports those that weren't registered."""
         files = self.store.table("files")
@@ -89,8 +100,9 @@ class IndexVault:
         chunks, vectors = self.store.table("chunks"), self.store.table("vectors")
         live = chunks.join(files.where("status = 'indexed'").select("path"), "path", "left_semi").select(*chunks.columns)
         with self.store.lock():
-            self.store.commit({"files": files, "chunks": live, "vectors": vectors.join(live.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select(*vectors.columns)}, {"files": ["path"]})
+            self.store.commit({"files": files, "chunks": live, "vectors": vectors.join(live.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select(*vectors.columns)}, {"files": [["path"], ["id"]]})
 
+    @writes
     def prune(self, status: str = "missing", all_non_indexed: bool = False, dry_run: bool = False) -> dict[str, int]:
         how = {"all_but": "indexed"} if all_non_indexed else {"status": status}
         files = self.store.table("files")
@@ -113,6 +125,7 @@ class IndexVault:
     def decided(self, force: bool = False, retry_failed: bool = False, paths: list[str] | None = None, excluded: list[str] | None = None) -> DataFrame:
         return self._joined(paths).withColumn("decision", lifecycle.index_decision(INDEXABLE, excluded or [], self.store.get("files.size_cap_bytes"), force, retry_failed))
 
+    @writes
     def index(self, force: bool = False, retry_failed: bool = False, paths: list[str] | None = None, excluded: list[str] | None = None) -> dict[str, int]:
         """Classifies, extracts, chunks and embeds what has changed, and commits files, chunks and vectors together."""
         at = now_ms()
@@ -124,8 +137,7 @@ class IndexVault:
         salt = str(at)
         new = cut.select(F.sha2(F.concat_ws("\u0001", "path", "ordinal", "content_hash", F.lit(salt)), 256).alias("id"), "path", "ordinal", "content", "content_hash", "heading_path", F.lit(None).cast("int").alias("page_number"), "token_count", F.lit(at).alias("created_at")).persist()
         some = new.groupBy("path").agg(F.count("*").alias("n_chunks"))
-        hashed = self.spark.createDataFrame([(r["path"], hashlib.sha256(open(r["full"], "rb").read()).hexdigest()) for r in todo.where("decision = 'work'").select("path", "full").collect() if os.path.isfile(r["full"])], "path string, new_hash string")
-        all_ = todo.join(got.select("path", "kind", "detail", "message"), "path", "left").join(some, "path", "left").join(hashed, "path", "left")
+        all_ = todo.join(got.select("path", "kind", "detail", "message", F.col("hash").alias("new_hash")), "path", "left").join(some, "path", "left")
         final = F.when(F.col("decision") == "skipped", F.lit("skipped")).when(F.col("decision") != "work", F.col("decision")).when(F.col("kind") != "ok", F.col("kind")).when(F.col("n_chunks").isNull(), "failed").otherwise("indexed")
         detail = F.when(F.col("decision") == "unsupported", "extension_not_supported").when(F.col("decision") == "excluded", "extension_excluded_by_config").when(F.col("decision") == "too_large", "size_exceeds_cap").when(F.col("decision") == "failed", "path_not_a_file").when((F.col("kind") == "ok") & F.col("n_chunks").isNull(), "no_chunks_produced").otherwise(F.col("detail"))
         done = all_.withColumn("outcome", final).withColumn("new_detail", detail).persist()
@@ -147,7 +159,7 @@ class IndexVault:
         replaced = chunks.join(done.where(ok).select("path"), "path", "left_semi").count()
         fresh = new.select(F.col("id").alias("chunk_id"), embedding(self.embedder)("content").alias("embedding"))
         with self.store.lock():
-            self.store.commit({"files": rest.unionByName(updated), "chunks": old.unionByName(new), "vectors": vectors.join(old.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select(*vectors.columns).unionByName(fresh)}, {"files": ["path"], "chunks": ["id"], "vectors": ["chunk_id"]})
+            self.store.commit({"files": rest.unionByName(updated), "chunks": old.unionByName(new), "vectors": vectors.join(old.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select(*vectors.columns).unionByName(fresh)}, {"files": [["path"], ["id"]], "chunks": [["id"]], "vectors": [["chunk_id"]]})
         report = {r["outcome"]: r["count"] for r in done.groupBy("outcome").count().collect()}
         report |= {"chunks_added": new.count(), "chunks_replaced": replaced}
         for df in (todo, got, new, done):
@@ -188,19 +200,78 @@ class ConvertVault:
     """Files to annotated markdown, with lineage and conflicts. State is small: decisions run as one plan, writes on the driver."""
 
     SCHEMAS = {"outputs": schema.OUTPUTS}
+    IGNORE = ".vaultignore"
 
     def __init__(self, spark: SparkSession, root: str, create: bool = False) -> None:
         self.spark, self.store = spark, Store(spark, root, self.SCHEMAS, create)
         self.root = self.store.root
 
-    def add(self, paths: list[str]) -> dict[str, int]:
+    @writes
+    def add(self, paths: list[str] | None = None, no_ignore: bool = False, dry_run: bool = False) -> dict[str, int]:
+        """Registers files at or below paths as pending. The folder of outputs is never entered; files of other kinds and ignored
+        ones are skipped."""
         outputs = self.store.table("outputs")
-        found = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        new = lifecycle.added(outputs.select(F.col("input_path").alias("path")), found).persist()
-        rows = new.where("outcome = 'added'").select(F.xxhash64("path").bitwiseAND(2**62 - 1).alias("id"), F.col("path").alias("input_path"), F.lit(now_ms()).alias("added_at"), F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempts"))
-        with self.store.lock():
-            self.store.commit({"outputs": outputs.unionByName(rows, allowMissingColumns=True)}, {"outputs": ["input_path"]})
-        return {"added": 0, "already_registered": 0} | {r["outcome"]: r["count"] for r in new.groupBy("outcome").count().collect()}
+        lines: list[str] = []
+        if os.path.isfile(at := os.path.join(self.root, self.IGNORE)):
+            with open(at) as f:
+                lines = f.read().splitlines()
+        fit, found = gathered(self.spark, self.root, paths, None if no_ignore else lines, (self.store.get("output.dir") + "/",))
+        new = lifecycle.added(outputs.select(F.col("input_path").alias("path")), fit).persist()
+        report = {r["outcome"]: r["count"] for r in new.groupBy("outcome").count().collect()} | {"skipped": found - fit.count()}
+        if not dry_run:
+            rows = new.where("outcome = 'added'").select(F.xxhash64("path").bitwiseAND(2**62 - 1).alias("id"), F.col("path").alias("input_path"), F.lit(now_ms()).alias("added_at"), F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempts"))
+            self.store.commit({"outputs": outputs.unionByName(rows, allowMissingColumns=True)}, {"outputs": [["input_path"], ["id"]]})
+        new.unpersist()
+        return {"added": 0, "already_registered": 0} | report
+
+    @writes
+    def remove(self, paths: list[str]) -> dict[str, list[str]]:
+        """Unregisters inputs; their output files stay. Reports those that weren't registered."""
+        outputs = self.store.table("outputs")
+        wanted = self.spark.createDataFrame([(p,) for p in paths], "input_path string")
+        known = {r[0] for r in wanted.join(outputs, "input_path", "left_semi").collect()}
+        self.store.commit({"outputs": outputs.join(wanted, "input_path", "left_anti").select(*outputs.columns)})
+        return {"removed": sorted(known), "not_found": sorted(set(paths) - known)}
+
+    @writes
+    def prune(self, status: str = "missing", all_non_converted: bool = False, dry_run: bool = False) -> dict[str, int]:
+        """Unregisters inputs of a state, or of every state but converted."""
+        how = {"all_but": "converted"} if all_non_converted else {"status": status}
+        outputs = self.store.table("outputs")
+        report = {r["status"]: r["removed"] for r in lifecycle.prune_report(outputs, **how).collect()}
+        if report and not dry_run:
+            self.store.commit({"outputs": lifecycle.pruned(outputs, **how)})
+        return report
+
+    def ls(self, status: str | None = None) -> DataFrame:
+        outputs = self.store.table("outputs")
+        return (outputs.where(F.col("status") == status) if status else outputs).orderBy("input_path")
+
+    def _state(self, outputs: DataFrame) -> DataFrame:
+        """input_path, src_hash, src_size, out_hash of registered inputs, hashed by tasks; null where there is no file."""
+        root = self.root
+
+        def run(batches):
+            import pandas as pd
+
+            for b in batches:
+                rows = []
+                for path, out in zip(b["input_path"], b["output_path"]):
+                    full = os.path.join(root, path)
+                    rows.append((path, extract.hashed(full), os.path.getsize(full) if os.path.isfile(full) else None, extract.hashed(os.path.join(root, out)) if isinstance(out, str) else None))
+                yield pd.DataFrame(rows, columns=["input_path", "src_hash", "src_size", "out_hash"]).astype({"src_size": "Int64"})
+
+        return outputs.select("input_path", "output_path").mapInPandas(run, "input_path string, src_hash string, src_size long, out_hash string")
+
+    def status(self) -> dict[str, int]:
+        """Counts by state, of converted inputs that have changed and of outputs that were edited, and both together (conflicts to come)."""
+        outputs = self.store.table("outputs")
+        d = outputs.join(self._state(outputs), "input_path")
+        done = F.col("status") == "converted"
+        src = F.coalesce(F.col("src_hash") != F.col("last_src_hash"), F.lit(False))
+        out = F.coalesce(F.col("out_hash") != F.col("last_out_hash"), F.lit(False))
+        counts = [F.count_if(F.col("status") == s).alias(s) for s in schema.OUTPUT_STATES]
+        return d.agg(*counts, F.count_if(done & src & ~out).alias("source_changed"), F.count_if(done & out & ~src).alias("output_modified"), F.count_if(done & src & out).alias("would_conflict"), F.count_if(F.col("src_hash").isNull()).alias("lost"), F.count("*").alias("registered")).first().asDict()
 
     def _hash(self, rel: str | None) -> str | None:
         try:
@@ -209,12 +280,13 @@ class ConvertVault:
         except (OSError, TypeError):
             return None
 
+    @writes
     def convert(self, force=False, retry_failed=False, overwrite=False, keep_existing=False) -> dict[str, int]:
         at, report, folder = now_ms(), {}, self.store.get("output.dir")
         outputs = self.store.table("outputs")
-        state = self.spark.createDataFrame([(r["input_path"], self._hash(r["input_path"]), self._hash(r["output_path"])) for r in outputs.select("input_path", "output_path").collect()], "input_path string, src_hash string, out_hash string")
+        state = self._state(outputs)
         ext = S.extension(F.element_at(F.split("input_path", "/"), -1))
-        decision = F.when(F.col("src_hash").isNull(), "missing").when(~F.coalesce(ext.isin(INDEXABLE), F.lit(False)), "unsupported").otherwise(lifecycle.convert_decision(force, retry_failed, overwrite, keep_existing))
+        decision = F.when(F.col("src_hash").isNull(), "missing").when(~F.coalesce(ext.isin(INDEXABLE), F.lit(False)), "unsupported").when(F.col("src_size") > self.store.get("convert.size_cap_bytes"), "too_large").otherwise(lifecycle.convert_decision(force, retry_failed, overwrite, keep_existing))
         planned = outputs.join(state, "input_path").withColumn("decision", decision).withColumn("ext", ext).withColumn("planned", S.output_path("input_path", self.store.get("output.collision_aware_naming")))
         work = planned.where(F.col("decision").isin("convert", "conflict")).select(F.col("input_path").alias("path"), "ext", F.concat(F.lit(self.root + "/"), "input_path").alias("full"))
         texts = {r["path"]: r for r in extract.extracted(work).toLocalIterator()}
@@ -231,24 +303,25 @@ class ConvertVault:
                     f.write(head + got["markdown"])
                 os.replace(full + ".tmp", full)
             if d == "convert" and got["kind"] == "ok":
-                row |= {"status": "converted", "status_detail": None, "output_path": path, "last_src_hash": r["src_hash"], "last_out_hash": self._hash(path), "last_converted": at, "extractor": name, "attempts": 0}
+                row |= {"status": "converted", "status_detail": None, "output_path": path, "last_src_hash": r["src_hash"], "last_out_hash": self._hash(path), "last_converted": at, "extractor": name, "attempts": 0, "last_attempt": at}
                 d = "converted"
             elif d == "convert":
-                row |= {"status": got["kind"], "status_detail": got["detail"], "status_note": got["message"], "attempts": r["attempts"] + (got["kind"] == "failed")}
+                row |= {"status": got["kind"], "status_detail": got["detail"], "status_note": got["message"], "attempts": r["attempts"] + (got["kind"] == "failed"), "last_attempt": at}
                 d = got["kind"]
             elif d == "conflict":
-                row |= {"status": "conflict", "status_detail": "output_modified_with_source_change"}
+                row |= {"status": "conflict", "status_detail": "output_modified_with_source_change", "last_attempt": at}
             elif d == "kept_existing_output":
-                row |= {"status": "converted", "status_detail": d, "last_src_hash": r["src_hash"], "last_out_hash": r["out_hash"]}
+                if r["out_hash"] is not None:  # a row whose output is gone stays as it is
+                    row |= {"status": "converted", "status_detail": None, "last_src_hash": r["src_hash"], "last_out_hash": r["out_hash"], "last_attempt": at}
                 d = "converted"
-            elif d in ("missing", "unsupported"):
+            elif d in ("missing", "unsupported", "too_large"):
                 row |= {"status": d}
             else:
                 d = "skipped"
             report[d] = report.get(d, 0) + 1
             rows.append(tuple(row[c] for c in outputs.columns))
         with self.store.lock():
-            self.store.commit({"outputs": self.spark.createDataFrame(rows, schema.OUTPUTS)}, {"outputs": ["input_path"]})
+            self.store.commit({"outputs": self.spark.createDataFrame(rows, schema.OUTPUTS)}, {"outputs": [["input_path"], ["id"]]})
         return report
 
     def whence(self, path: str) -> tuple[str, str] | None:
@@ -269,16 +342,25 @@ class CrawlVault:
     """Sources and the documents they hold, with change detection."""
 
     SCHEMAS = {"sources": schema.SOURCES, "runs": schema.RUNS, "documents": schema.DOCUMENTS}
+    KINDS = ("local", "smb", "library")
+    CONFIG = frozenset(("max_depth", "since_ms", "include", "exclude", "mount"))
 
     def __init__(self, spark: SparkSession, root: str, create: bool = False) -> None:
         self.spark, self.store = spark, Store(spark, root, self.SCHEMAS, create)
 
-    def add_source(self, name: str, uri: str, kind: str = "local", strategy: str = "recursive") -> None:
+    @writes
+    def add_source(self, name: str, uri: str, kind: str = "local", strategy: str = "recursive", **config) -> None:
+        """config: max_depth, since_ms, include, exclude (globs) and mount of this source alone; a run's own arguments go first."""
+        if kind not in self.KINDS:
+            raise ValueError(f"no such kind of source: {kind}")
+        if unknown := config.keys() - self.CONFIG:
+            raise ValueError(f"no such setting of a source: {', '.join(sorted(unknown))}")
         sources = self.store.table("sources")
-        new = self.spark.createDataFrame([(None, name, kind, uri, strategy, "{}", True, now_ms(), None, None, None, None)], schema.SOURCES)
+        new = self.spark.createDataFrame([(None, name, kind, uri, strategy, json.dumps(config), True, now_ms(), None, None, None, None)], schema.SOURCES)
         top = sources.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
-        self.store.commit({"sources": sources.unionByName(new.withColumn("id", F.lit(top).cast("long")))}, {"sources": ["name"]})
+        self.store.commit({"sources": sources.unionByName(new.withColumn("id", F.lit(top).cast("long")))}, {"sources": [["name"], ["id"]]})
 
+    @writes
     def remove_source(self, name: str) -> bool:
         """With its documents and runs."""
         sources, docs, runs = (self.store.table(t) for t in ("sources", "documents", "runs"))
@@ -288,43 +370,50 @@ class CrawlVault:
         self.store.commit({"sources": sources.where(F.col("name") != name), "documents": docs.join(gone, "source_id", "left_anti").select(*docs.columns), "runs": runs.join(gone, "source_id", "left_anti").select(*runs.columns)})
         return True
 
+    @writes
     def enable(self, name: str, on: bool = True) -> None:
         s = self.store.table("sources")
         self.store.commit({"sources": s.withColumn("enabled", F.when(F.col("name") == name, F.lit(on)).otherwise(F.col("enabled")))})
 
     @staticmethod
     def plan(source, globs_=None, since_ms: int | None = None, default_depth: int = 0) -> dict:
-        """Depth, time and globs by strategy: recursive, shallow, incremental (since the last attempt) or targeted."""
+        """Depth, time and globs by strategy (recursive, shallow, incremental since the last attempt, or targeted), the run's own
+        arguments, the source's config and the default depth, in this order."""
         s = source["strategy"]
-        return {
-            "max_depth": 1 if s == "shallow" else (default_depth or None), "since_ms": since_ms if since_ms is not None else (source["last_crawled"] if s == "incremental" else None),
-            "include": (globs_ or ["**/*"]) if s == "targeted" else (globs_ or []),
-        }
+        own = json.loads(source["config"] or "{}") if "config" in source else {}
+        since = next((x for x in (since_ms, source["last_crawled"] if s == "incremental" else None, own.get("since_ms")) if x is not None), None)
+        include = globs_ or own.get("include") or (["**/*"] if s == "targeted" else [])
+        return {"max_depth": 1 if s == "shallow" else (own.get("max_depth") or default_depth or None), "since_ms": since, "include": include, "exclude": own.get("exclude") or [], "mount": own.get("mount")}
 
+    @writes
     def discover(self, names: list[str] | None = None, globs_: list[str] | None = None, since_ms: int | None = None, hashing: bool = False, dry_run: bool = False, items: DataFrame | None = None) -> dict[str, dict]:
         """Runs sources: lists, filters, merges with their documents and records the run. items takes a listing from elsewhere."""
         reports = {}
         for src in self.store.table("sources").where("enabled").orderBy("name").collect():
             if names and src["name"] not in names:
                 continue
-            p, at = self.plan(src, globs_, since_ms, self.store.get("crawl.default_max_depth")), now_ms()
+            p, at = self.plan(src.asDict(), globs_, since_ms, self.store.get("crawl.default_max_depth")), now_ms()
             docs, runs, sources = (self.store.table(t) for t in ("documents", "runs", "sources"))
             run_id = runs.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
             try:
-                root = local.mount_of(src["uri"]) if src["kind"] == "smb" else local.root_of(src["uri"]) if items is None else None
-                found = items if items is not None else local.items(self.spark, root, max_depth=p["max_depth"])
+                root = local.mount_of(src["uri"], p["mount"]) if src["kind"] == "smb" else local.root_of(src["uri"]) if items is None else None
+                if src["kind"] == "library" and items is None:
+                    raise local.Unreachable(f"{src['uri']}: pass the library's listing as items")
+                errors: list[str] = []
+                found = items if items is not None else local.items(self.spark, root, max_depth=p["max_depth"], follow_links=self.store.get("crawl.follow_symlinks"), errors=errors)
             except local.Unreachable as e:
                 failed = F.col("id") == src["id"]
-                self.store.commit({"sources": sources.withColumns({"last_status": F.when(failed, "error").otherwise(F.col("last_status")), "last_error": F.when(failed, F.lit(str(e))).otherwise(F.col("last_error")), "last_crawled": F.when(failed, F.lit(at)).otherwise(F.col("last_crawled"))})})
+                run = self.spark.createDataFrame([(run_id, src["id"], src["strategy"], at, now_ms(), 0, 0, 0, 0, 1, "error", str(e))], schema.RUNS)
+                self.store.commit({"runs": runs.unionByName(run), "sources": sources.withColumns({"last_status": F.when(failed, "error").otherwise(F.col("last_status")), "last_error": F.when(failed, F.lit(str(e))).otherwise(F.col("last_error")), "last_crawled": F.when(failed, F.lit(at)).otherwise(F.col("last_crawled"))})})
                 reports[src["name"]] = {"status": "error"}
                 continue
-            seen = local.kept(found, schema.DOCUMENT_EXTENSIONS, (), p["include"], (), p["since_ms"]).dropDuplicates(["uri"])
+            seen = local.kept(found, schema.DOCUMENT_EXTENSIONS, (), p["include"], p["exclude"], p["since_ms"]).dropDuplicates(["uri"])
             if hashing and items is None:
-                digest = self.spark.createDataFrame([(r["uri"], hashlib.sha256(open(r["uri"], "rb").read()).hexdigest()) for r in seen.select("uri").collect()], "uri string, h string")
+                digest = self._hashes(seen)
                 seen = seen.join(digest, "uri", "left").withColumn("content_hash", F.coalesce("content_hash", "h")).drop("h")
             seen = seen.persist()
             mine = docs.where(F.col("source_id") == src["id"])
-            full = p["since_ms"] is None and not p["max_depth"]
+            full = p["since_ms"] is None and not p["max_depth"] and not errors
             merged = lifecycle.crawl_merge(seen.select("uri", "size", "modified_ms", "content_hash"), mine, self.store.get("documents.size_cap_bytes"), full).persist()
             report = lifecycle.tally(merged, "outcome", ["discovered", "updated", "gone"]).first().asDict()
             report["skipped"] = found.count() - seen.count()
@@ -336,17 +425,56 @@ class CrawlVault:
                 rows = new.join(s, F.col("uri") == F.col("s_uri"), "left").join(m, F.col("uri") == F.col("d_uri"), "left")
                 was, touched = F.col("d_uri").isNotNull(), F.col("s_uri").isNotNull()
                 rows = rows.select(
-                    F.coalesce("id", F.xxhash64("uri").bitwiseAND(2**62 - 1)).alias("id"), F.lit(src["id"]).cast("long").alias("source_id"), "uri", F.coalesce("s_name", "name").alias("name"), F.coalesce("s_rel_path", "rel_path").alias("rel_path"), F.coalesce("s_extension", "extension").alias("extension"),
+                    F.coalesce("id", F.xxhash64(F.lit(src["id"]), "uri").bitwiseAND(2**62 - 1)).alias("id"), F.lit(src["id"]).cast("long").alias("source_id"), "uri", F.coalesce("s_name", "name").alias("name"), F.coalesce("s_rel_path", "rel_path").alias("rel_path"), F.coalesce("s_extension", "extension").alias("extension"),
                     F.when(touched, F.col("s_size")).otherwise(F.col("size")).alias("size"), F.when(touched, F.col("s_modified_ms")).otherwise(F.col("modified_ms")).alias("modified_ms"), F.col("m_hash").alias("content_hash"), "metadata", F.col("m_status").alias("status"), "status_note",
                     F.when(was, F.col("discovered_at")).otherwise(F.lit(at)).alias("discovered_at"), F.when(was, F.col("first_run_id")).otherwise(F.lit(run_id)).cast("long").alias("first_run_id"), F.when(touched, F.lit(at)).otherwise(F.col("last_seen")).alias("last_seen"), F.when(touched | F.col("outcome").isNotNull(), F.lit(run_id)).otherwise(F.col("last_run_id")).cast("long").alias("last_run_id"))
                 this = F.col("id") == src["id"]
-                run = self.spark.createDataFrame([(run_id, src["id"], src["strategy"], at, now_ms(), report["discovered"], report["updated"], report["gone"], report["skipped"], 0, "ok", None)], schema.RUNS)
+                run = self.spark.createDataFrame([(run_id, src["id"], src["strategy"], at, now_ms(), report["discovered"], report["updated"], report["gone"], report["skipped"], len(errors), "partial" if errors else "ok", "; ".join(errors[:5]) or None)], schema.RUNS)
                 with self.store.lock():
-                    self.store.commit({"documents": docs.where(F.col("source_id") != src["id"]).unionByName(rows), "runs": runs.unionByName(run), "sources": sources.withColumns({"last_crawled": F.when(this, F.lit(at)).otherwise(F.col("last_crawled")), "last_run_id": F.when(this, F.lit(run_id)).otherwise(F.col("last_run_id")).cast("long"), "last_status": F.when(this, "ok").otherwise(F.col("last_status"))})}, {"documents": ["source_id", "uri"]})
+                    self.store.commit({"documents": docs.where(F.col("source_id") != src["id"]).unionByName(rows), "runs": runs.unionByName(run), "sources": sources.withColumns({"last_crawled": F.when(this, F.lit(at)).otherwise(F.col("last_crawled")), "last_run_id": F.when(this, F.lit(run_id)).otherwise(F.col("last_run_id")).cast("long"), "last_status": F.when(this, "ok").otherwise(F.col("last_status"))})}, {"documents": [["source_id", "uri"], ["id"]], "runs": [["id"]]})
             merged.unpersist()
             seen.unpersist()
         return reports
 
+    @staticmethod
+    def _hashes(seen: DataFrame) -> DataFrame:
+        """uri, h: hashes of the files, by tasks; null where one can't be read."""
+        def run(batches):
+            import pandas as pd
+
+            for b in batches:
+                yield pd.DataFrame({"uri": b["uri"], "h": [extract.hashed(u) for u in b["uri"]]})
+
+        return seen.select("uri").mapInPandas(run, "uri string, h string")
+
+    @writes
+    def remove_uris(self, uris: list[str]) -> int:
+        """Unregisters documents by their uris, in every source."""
+        d = self.store.table("documents")
+        wanted = self.spark.createDataFrame([(u,) for u in uris], "uri string")
+        n = d.join(wanted, "uri", "left_semi").count()
+        self.store.commit({"documents": d.join(wanted, "uri", "left_anti").select(*d.columns)})
+        return n
+
+    def find(self, text: str, limit: int = 50) -> DataFrame:
+        """Documents whose name or uri holds text, in any case."""
+        return self.ls(like=text, limit=limit)
+
+    def check(self) -> dict[str, int]:
+        """Breaches of the registry's invariants: documents without a source, documents twice in one, runs without a source."""
+        docs, sources, runs = (self.store.table(t) for t in ("documents", "sources", "runs"))
+        ids = sources.select(F.col("id").alias("source_id"))
+        return {
+            "documents_without_source": lifecycle.orphans(docs, ids, "source_id").count(), "runs_without_source": lifecycle.orphans(runs, ids, "source_id").count(),
+            "documents_twice": docs.groupBy("source_id", "uri").count().where("count > 1").count(),
+        }
+
+    def info(self) -> DataFrame:
+        """name, n_documents, last_status, last_error of every source; counts go before the join."""
+        counts = self.store.table("documents").groupBy("source_id").agg(F.count("*").alias("n"))
+        s = self.store.table("sources")
+        return s.join(counts, F.col("id") == F.col("source_id"), "left").select("name", "kind", "uri", F.coalesce("n", F.lit(0)).alias("n_documents"), "last_status", "last_error").orderBy("name")
+
     def ls(self, status=None, extension=None, like=None, limit: int | None = None) -> DataFrame:
         d = self.store.table("documents")
         d = d.where(F.col("status") == status) if status else d
@@ -357,6 +485,7 @@ class CrawlVault:
         d = d.orderBy(F.lower("name"), "uri")
         return d.limit(limit) if limit else d
 
+    @writes
     def prune(self, status: str = "gone") -> int:
         d = self.store.table("documents")
         n = d.where(F.col("status") == status).count()

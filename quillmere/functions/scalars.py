@@ -40,10 +40,11 @@ def frontmatter_body(text) -> Column:
 
 
 def frontmatter(text) -> Column:
-    """The block's key: value lines as a map of trimmed strings (of repeated keys the last); empty where there is none."""
+    """The block's key: value lines as a map of strings, trimmed of blanks and then of double quotes (of repeated keys the last); empty
+    where there is none."""
     block = F.regexp_extract(col(text), r"\A---\r?\n((?s).*?)\n---[ \t]*(\r?\n|\z)", 1)
     lines = F.filter(F.split(block, "\n"), lambda s: F.contains(s, F.lit(":")))
-    entries = F.transform(lines, lambda s: F.struct(F.trim(F.split_part(s, F.lit(":"), F.lit(1))).alias("key"), F.trim(F.regexp_replace(s, r"^[^:]*:", "")).alias("value")))
+    entries = F.transform(lines, lambda s: F.struct(F.trim(F.split_part(s, F.lit(":"), F.lit(1))).alias("key"), F.trim(F.trim(F.regexp_replace(s, r"^[^:]*:", "")), F.lit('"')).alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda f: f["key"] == e["key"]))
     return F.map_from_entries(last)
 

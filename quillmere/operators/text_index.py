@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Runs of ASCII letters and digits, and of letters and digits of any script.
-ASCII, ANY = "[a-z0-9]+", r"[\p{L}\p{N}]+"
+#: What stands between runs of ASCII letters and digits, and of letters and digits of any script.
+ASCII, ANY = "[^a-z0-9]+", r"[^\p{L}\p{N}]+"
 
 
 def plain_letters() -> dict[str, str]:
@@ -30,7 +30,7 @@ def fold(text):
 
 def tokens(text, unicode: bool = False):
     """Lower-cased tokens: ASCII runs, or with unicode those of the folded text."""
-    return F.regexp_extract_all(fold(text), F.lit(ANY), F.lit(0)) if unicode else F.regexp_extract_all(F.lower(text), F.lit(ASCII), F.lit(0))
+    return F.array_remove(F.split(fold(text), ANY) if unicode else F.split(F.lower(text), ASCII), "")
 
 
 def query_terms(text: str) -> list[str]:
@@ -41,7 +41,7 @@ def query_terms(text: str) -> list[str]:
 
 def occurrences(parts):
     """How often the parts, a constant array of tokens, stand in _t one after another; no parts stand nowhere."""
-    one = F.size(F.filter("_t", lambda x: x == F.get(parts, F.lit(0))))
+    one = F.size("_t") - F.size(F.array_remove("_t", F.get(parts, F.lit(0))))
     run = F.size(F.filter("_t", lambda x, at: F.slice(F.col("_t"), at + 1, F.size(parts)) == parts))
     return F.when(F.size(parts) == 0, 0).when(F.size(parts) == 1, one).otherwise(run)
 

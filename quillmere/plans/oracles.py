@@ -57,7 +57,7 @@ lambda a, b: CASE WHEN a.held = '' THEN {{'done': a.done, 'held': b.held}} WHEN
 p AS (SELECT doc_id, CASE WHEN st.held = '' THEN st.done ELSE list_append(st.done, st.held) END parts FROM r),
 u AS (SELECT doc_id, unnest(parts) part, generate_subscripts(parts, 1) - 1 ordinal FROM p) SELECT doc_id, ordinal::INT ordinal, sha256(part) content_hash FROM u""",
     "chunk_ordinals": "WITH p AS (SELECT doc_id, string_split(text, chr(10)) l FROM documents), u AS (SELECT doc_id, unnest(l) line, generate_subscripts(l, 1) - 1 o FROM p) SELECT doc_id, o::INT ordinal, sha256(line) line_hash FROM u",
-    "chunk_overlap": "WITH p AS (SELECT doc_id, string_split(text, chr(10)) l FROM documents WHERE strlen(text) = length(text)), u AS (SELECT doc_id, unnest(l) line, generate_subscripts(l, 1) - 1 o FROM p) SELECT doc_id, o::INT ordinal, coalesce(right(lag(line) OVER (PARTITION BY doc_id ORDER BY o), 200), '') overlap FROM u",
+    "chunk_overlap": "WITH p AS (SELECT doc_id, string_split(text, chr(10)) l FROM documents), u AS (SELECT doc_id, unnest(l) line, generate_subscripts(l, 1) - 1 o FROM p), t AS (SELECT doc_id, o, CASE WHEN strlen(line) <= 200 THEN line ELSE right(line, list_min(list_filter(range(50, 201), lambda k: strlen(right(line, k)) >= 200))) END tail FROM u) SELECT doc_id, o::INT ordinal, coalesce(lag(tail) OVER (PARTITION BY doc_id ORDER BY o), '') overlap FROM t",
     "heading_paths": r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '(?s)<h([1-6])>(.*?)</h[1-6]>', 1) l, regexp_extract_all(html, '(?s)<h([1-6])>(.*?)</h[1-6]>', 2) t FROM pages),
 u AS (SELECT page_id, unnest(l)::INT level, regexp_replace(unnest(t), '<[^>]*>', '', 'g') title, (generate_subscripts(l, 1) - 1)::INT AS "at" FROM x)
 SELECT a.page_id, a."at", (SELECT string_agg(b.title, ' > ' ORDER BY b."at") FROM u b WHERE b.page_id = a.page_id AND b."at" <= a."at" AND b.level <= a.level AND NOT EXISTS (SELECT 1 FROM u c WHERE c.page_id = a.page_id AND c."at" > b."at" AND c."at" <= a."at" AND c.level <= b.level)) heading_path FROM u a""",
@@ -86,8 +86,8 @@ CASE WHEN status='failed' THEN 'skipped' WHEN clash THEN 'kept_existing_output'
     "ignore_filter": f"WITH {FILES} SELECT doc_id, path FROM files WHERE NOT (ext = 'bin' OR path LIKE 'src1/%') OR (path LIKE 'src1/%' AND ext = 'md')",
     "ls_dynamic_filter": f"WITH {FILES} SELECT doc_id, path FROM files WHERE status='indexed' AND ext='md' ORDER BY lower(path), doc_id LIMIT 50",
     "export_paths": f"WITH {FILES} SELECT path FROM files WHERE status IN ('indexed','pending')",
-    "export_csv_lines": "WITH t AS (SELECT doc_id, doc_id::VARCHAR a, left(text, 60) b, left(lang, 60) c, left(source, 60) d, n_chars::VARCHAR e FROM documents) SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches({x}, '[,\"' || chr(10) || ']') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END" for x in "abcde") + ") line FROM t",
-    "export_jsonl": "SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'n_chars': n_chars})::VARCHAR line FROM documents",
+    "export_csv_lines": "WITH t AS (SELECT doc_id, doc_id::VARCHAR a, coalesce(text, '') b, coalesce(lang, '') c, coalesce(source, '') d, coalesce(n_chars::VARCHAR, '') e FROM documents) SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches({x}, '[,\"' || chr(10) || ']') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END" for x in "abcde") + ") line FROM t",
+    "export_jsonl": "SELECT doc_id, to_json({'doc_id': doc_id, 'text': text, 'lang': lang, 'source': source, 'n_chars': n_chars})::VARCHAR line FROM documents",
     "source_counts": "SELECT source, count(l.doc_id) n_toxic FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l USING (doc_id) GROUP BY 1",
     "run_totals": "SELECT coalesce(source, 'total') source, count(*) n_docs, sum(n_chars)::BIGINT chars FROM documents GROUP BY ROLLUP(documents.source)",
     "last_seen": "SELECT count(*) n_events, max(ts) last_ts, count(*) FILTER (event_type='error') errors FROM events",

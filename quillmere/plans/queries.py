@@ -124,14 +124,7 @@ def chunk_ordinals(spark, sf_dir):
 
 @query
 def chunk_overlap(spark, sf_dir):
-    """chunk_overlap_all of the texts that its SQL takes: those in ASCII, where bytes are characters."""
-    d = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.char_length("text"))
-    return chunking.overlaps(d, "doc_id", F.col("text"))
-
-
-@query
-def chunk_overlap_all(spark, sf_dir):
-    """The last 200 bytes of the paragraph before, from the start of a character, of all texts; no SQL, held against tail() in the tests."""
+    """The last 200 bytes of the paragraph before, from the start of a character, of all texts."""
     return chunking.overlaps(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
@@ -293,21 +286,16 @@ def export_paths(spark, sf_dir):
 
 @query
 def export_csv_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat_ws(",", *[S.csv_escaped(F.left(F.col(c).cast("string"), F.lit(60))) for c in ("doc_id", "text", "lang", "source", "n_chars")]).alias("line"))
-
-
-@query
-def export_csv_lines_whole(spark, sf_dir):
-    """Whole values, nulls as empty cells; no SQL, held against brute force in the tests. That of export_csv_lines takes 60 characters of each."""
+    """Whole values, nulls as empty cells."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.concat_ws(",", *[F.coalesce(S.csv_escaped(c), F.lit("")) for c in ("doc_id", "text", "lang", "source", "n_chars")]).alias("line"))
 
 
 @query
 def export_jsonl(spark, sf_dir):
+    """Whole rows, texts included."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.to_json(F.struct("doc_id", "lang", "source", "n_chars"), {"ignoreNullFields": "false"}).alias("line"))
+    return d.select("doc_id", F.to_json(F.struct("doc_id", "text", "lang", "source", "n_chars"), {"ignoreNullFields": "false"}).alias("line"))
 
 
 @query
@@ -334,7 +322,7 @@ def needs_ocr(spark, sf_dir):
 
 @query
 def frontmatter(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("---\ntitle: "), "source", F.lit("\nlang: "), "lang", F.lit("\n---\n"), "text").alias("md"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("---\ntitle: \""), "source", F.lit("\"\nlang: "), "lang", F.lit("\n---\n"), "text").alias("md"))
     m = S.frontmatter("md")
     return d.select("doc_id", m["title"].alias("title"), m["lang"].alias("lang"), S.sha256_hex(S.frontmatter_body("md")).alias("body_hash"))
 

@@ -1,4 +1,4 @@
-"""The session that the library's tools and tests use; a cluster's own session does as well."""
+"""The session of the bench and the tests; a cluster's own session does as well."""
 
 from __future__ import annotations
 

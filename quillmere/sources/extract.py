@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import shutil
@@ -18,7 +19,7 @@ def strip_frontmatter(text: str) -> tuple[dict[str, str], str]:
     m = re.match(r"---\r?\n(.*?)\n---[ \t]*(?:\r?\n|\Z)", text, re.S)
     if not m:
         return {}, text
-    return {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in m[1].split("\n") if ":" in x)}, text[m.end() :]
+    return {k.strip(): v.strip().strip('"') for k, _, v in (x.partition(":") for x in m[1].split("\n") if ":" in x)}, text[m.end() :]
 
 
 def located(tool: str) -> str | None:
@@ -73,13 +74,21 @@ EXTRACTORS = {"md": markdown, "markdown": markdown, "txt": plain, "text": plain,
 NAMES = {markdown: "markdown", plain: "plaintext", pdf: "pdf", pandoc: "pandoc"}
 
 
+def hashed(path: str) -> str | None:
+    try:
+        with open(path, "rb") as f:
+            return hashlib.file_digest(f, "sha256").hexdigest()
+    except OSError:
+        return None
+
+
 def extractor_name(ext: str) -> str:
     return NAMES.get(EXTRACTORS.get(ext.lower()), "unknown")
 
 
 def extracted(files: DataFrame, extractors=None) -> DataFrame:
-    """path, kind, markdown, detail, message for files (path, ext, full); one that raises fails alone. Files must be where
-    executors see them."""
+    """path, kind, markdown, detail, message, hash (SHA-256 of the file, null where it can't be read) for files (path, ext, full); one
+    that raises fails alone. Files must be where executors see them."""
     known = extractors or EXTRACTORS
 
     def run(batches):
@@ -88,9 +97,9 @@ def extracted(files: DataFrame, extractors=None) -> DataFrame:
             for path, ext, full in zip(b["path"], b["ext"], b["full"]):
                 f = known.get((ext or "").lower())
                 try:
-                    rows.append((path, *(f(full) if f else ("failed", None, "no_extractor_available", None))))
+                    rows.append((path, *(f(full) if f else ("failed", None, "no_extractor_available", None)), hashed(full)))
                 except Exception as e:  # a broken file must not end the run
-                    rows.append((path, "failed", None, "internal_error", repr(e)))
-            yield pd.DataFrame(rows, columns=["path", "kind", "markdown", "detail", "message"])
+                    rows.append((path, "failed", None, "internal_error", repr(e), hashed(full)))
+            yield pd.DataFrame(rows, columns=["path", "kind", "markdown", "detail", "message", "hash"])
 
-    return files.select("path", "ext", "full").mapInPandas(run, "path string, kind string, markdown string, detail string, message string")
+    return files.select("path", "ext", "full").mapInPandas(run, "path string, kind string, markdown string, detail string, message string, hash string")

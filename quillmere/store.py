@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import fcntl
+import functools
 import json
 import os
+import shutil
 import time
 import uuid
 
@@ -24,6 +26,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], create: bool = False) -> None:
         self.spark, self.root, self.schemas = spark, os.path.realpath(root), schemas
         self.home = os.path.join(self.root, ".quillmere")
+        self.held = False
         if create:
             os.makedirs(self.home, exist_ok=True)
         if not os.path.isdir(self.home):
@@ -55,19 +58,26 @@ class Store:
         where = self._state()["tables"].get(name)
         return self.spark.read.schema(self.schemas[name]).parquet(where) if where else self.spark.createDataFrame([], self.schemas[name])
 
-    def commit(self, tables: dict[str, DataFrame], unique: dict[str, list[str]] | None = None) -> None:
-        """Writes all tables, checks that `unique` keys are, and swaps the pointer once."""
+    def commit(self, tables: dict[str, DataFrame], unique: dict[str, list[list[str]]] | None = None) -> None:
+        """Writes all tables, checks that `unique` keys are, and swaps the pointer once. Of each table the version before stays for
+        those who read it; older ones are deleted."""
         state = self._state()
+        was = dict(state["tables"])
         for name, df in tables.items():
             path = os.path.join(self.home, name, uuid.uuid4().hex)
             df.write.parquet(path)
-            if key := (unique or {}).get(name):
+            for key in (unique or {}).get(name, []):
                 twice = self.spark.read.schema(self.schemas[name]).parquet(path).groupBy(*key).count().where("count > 1").limit(1).count()
                 if twice:
                     raise ValueError(f"{name}: {', '.join(key)} must be unique")
             state["tables"][name] = path
         state["version"] += 1
+        old = state.get("old", {})
+        state["old"] = old | {name: was[name] for name in tables if name in was}
         self._swap(state)
+        for name in tables:
+            if old.get(name) and old[name] not in (was.get(name), state["tables"][name]):
+                shutil.rmtree(old[name], ignore_errors=True)
 
     def get(self, key: str):
         return self._state()["settings"].get(key, DEFAULTS.get(key))
@@ -89,7 +99,10 @@ class Store:
 
     @contextlib.contextmanager
     def lock(self, wait_s: float | None = None):
-        """Excludes other writers: waits up to wait_s seconds, not at all for 0, for ever for None."""
+        """Excludes other writers: waits up to wait_s seconds, not at all for 0, for ever for None. Who holds it may take it again."""
+        if self.held:
+            yield
+            return
         with open(os.path.join(self.home, "lock"), "w") as f:
             end = None if wait_s is None else time.monotonic() + wait_s
             while True:
@@ -100,4 +113,19 @@ class Store:
                     if end is not None and time.monotonic() >= end:
                         raise Locked(self.root) from None
                     time.sleep(0.2)
-            yield
+            self.held = True
+            try:
+                yield
+            finally:
+                self.held = False
+
+
+def writes(method):
+    """A vault's method that reads tables and commits others: the lock is held over both, so that no other writer's commit is lost."""
+
+    @functools.wraps(method)
+    def locked(self, *args, **how):
+        with self.store.lock():
+            return method(self, *args, **how)
+
+    return locked
