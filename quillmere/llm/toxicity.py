@@ -97,22 +97,29 @@ def share(confirmed: np.ndarray, unlabelled: np.ndarray, n_p: int, n_u: int) ->
     return float(np.clip(np.median(u[best] / n_u / (p[best] / n_p)), 1 / n_u, 0.9))
 
 
-def fit(texts: pa.Array, positive: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias from confirmed and unlabelled texts, by the features that mark the confirmed and a prior by share()."""
-    y = positive.astype(bool)
-    cut = [(at, features(texts.slice(at, k))) for at, k in slices(texts)]
-    f, of = np.concatenate([x[1] for _, x in cut]), np.concatenate([x[2] + at for at, x in cut])
-    n_p, n_u = int(y.sum()), max(1, int((~y).sum()))
-    p, u = (np.bincount(f[m[of]], minlength=FEATURES).astype(float) for m in (y, ~y))
-    keep = marked(p, u, n_p, n_u)[f]
-    return descend(f[keep], of[keep], y, share(p, u, n_p, n_u))
+def fit(confirmed: list[pa.Array], unlabelled: list[pa.Array]) -> tuple[np.ndarray, float]:
+    """Weights and bias from confirmed and unlabelled texts, by the features that mark the confirmed and a prior by share(). What
+    is held of all texts is their features as 32-bit numbers, of which only the marking ones are put together."""
+    held, sizes, counts = [], [0, 0], np.zeros((2, FEATURES))
+    for kind, arrays in enumerate((confirmed, unlabelled)):
+        for texts in arrays:
+            for at, n in slices(texts):
+                _, f, of = features(texts.slice(at, n))
+                held.append((f.astype(np.int32), (of + sum(sizes)).astype(np.int32)))
+                counts[kind] += np.bincount(f, minlength=FEATURES)
+                sizes[kind] += n
+    n_p, n_u = sizes[0], max(1, sizes[1])
+    keep = marked(*counts, n_p, n_u)
+    held = [(f[keep[f]], of[keep[f]]) for f, of in held]
+    f, of = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+    return descend(f, of, np.arange(sum(sizes)) < n_p, share(*counts, n_p, n_u))
 
 
 def fold(col, parts: int):
     return F.crc32(col.cast("string").cast("binary")) % parts
 
 
-def sample(docs: DataFrame, ids: DataFrame, most: int) -> pa.Array:
+def sample(docs: DataFrame, ids: DataFrame, most: int) -> list[pa.Array]:
     """Texts of the docs whose doc_id is one of the `most` of ids (s_id) with the smallest digests, in that order, as many as
     SAMPLE_BYTES hold, the first at least; of rows that share a doc_id, the smallest text."""
     picked = ids.distinct().orderBy(F.md5(F.col("s_id").cast("string")), "s_id").limit(most)
@@ -121,8 +128,7 @@ def sample(docs: DataFrame, ids: DataFrame, most: int) -> pa.Array:
     before = Window.orderBy("digest", "s_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of at most `most` rows
     sizes = rows.select("s_id", "digest", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
     sizes = sizes.withColumn("sum", F.sum("size").over(before)).where((F.col("sum") <= SAMPLE_BYTES) | (F.col("sum") == F.col("size"))).select("s_id")
-    out = rows.join(F.broadcast(sizes), "s_id").orderBy("digest", "s_id").select("text").toArrow()["text"].combine_chunks()
-    return out.combine_chunks() if isinstance(out, pa.ChunkedArray) else out
+    return rows.join(F.broadcast(sizes), "s_id").orderBy("digest", "s_id").select("text").toArrow()["text"].chunks
 
 
 def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled: int = UNLABELLED, folds: int = 5) -> tuple[np.ndarray, float]:
@@ -131,11 +137,12 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabell
     that says otherwise is read. Without a confirmed row every text scores by a bias of -1."""
     known = labels.where((F.col("toxic") == 1) & (fold(F.col("doc_id"), folds) != 0)).select(F.col("doc_id").alias("s_id"))
     p = sample(docs, known, positive)
-    if not len(p):
+    if not sum(map(len, p)):
         return np.zeros(FEATURES), -1.0
     rest = docs.where(fold(F.col("doc_id"), folds) != 0).select(F.col("doc_id").alias("s_id")).join(known, "s_id", "left_anti")
-    u = sample(docs, rest, unlabelled)
-    return fit(pa.concat_arrays([p, u]), np.r_[np.ones(len(p), bool), np.zeros(len(u), bool)])
+    model = fit(p, sample(docs, rest, unlabelled))
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scorer(docs: DataFrame, model: tuple[np.ndarray, float]):
