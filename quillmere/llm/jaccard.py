@@ -15,7 +15,7 @@ from quillmere.llm.components import components
 FREQUENT = 1 << 16
 #: Bytes of text whose shingles one task counts, distinct ones that it holds, and bits of a hash that tell counted shingles apart.
 #: Shingles that share those bits share their count, which orders prefixes and decides no link.
-COUNT_BYTES, HELD, COUNTED = 64 << 20, 1 << 21, 40
+COUNT_BYTES, HELD, COUNTED = 64 << 20, 1 << 20, 40
 #: Most shared tokens that a prefix may ask for, and the cost of a verification against that of a list entry.
 LONGEST, VERIFY = 64, 4.0
 #: Sets and shingles that a block has on average, at most.

@@ -324,6 +324,53 @@ def test_ctw_is_a_distribution(spark, docs):
         assert abs(p[np.searchsorted(all_, more)].sum() - 1) < 1e-9
 
 
+def test_ctw_equals_a_tree_by_recursion(spark):
+    """Every gram's score is that of a plain recursive tree: Krichevsky-Trofimov estimates of all depths mixed by halves; where
+    the child on the path never occurred, the node's own estimate stands for it."""
+    text = b"banana bandana cabana " * 4
+    g, _ = ctw.codes(pa.array([text.decode()]))
+    key, n = np.unique(g, return_counts=True)
+    got = ctw.log_scores(key, n.astype(float), ctw_upper(key, n.astype(float)))
+    counts = collections.defaultdict(lambda: [0, 0])
+    below = collections.defaultdict(set)
+    for k, times in zip(key.tolist(), n.tolist()):
+        data = k.to_bytes(ctw.DEPTH + 1, "big")
+        context, x = data[:-1], data[-1]
+        for place in range(8):
+            before, bit = (1 << place) | (x >> (8 - place)), x >> (7 - place) & 1
+            for depth in range(ctw.DEPTH + 1):
+                counts[context[ctw.DEPTH - depth :], before][bit] += times
+                if depth:
+                    below[context[ctw.DEPTH - depth + 1 :], before].add(context[ctw.DEPTH - depth :])
+
+    def own(node):
+        a, b = counts[node]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def whole(node):
+        context, before = node
+        if len(context) == ctw.DEPTH:
+            return own(node)
+        return np.logaddexp(own(node) - math.log(2), sum(whole((c, before)) for c in below[node]) - math.log(2))
+
+    def one(context, before, depth=0):
+        node = (context[ctw.DEPTH - depth :], before)
+        a, b = counts[node]
+        mine = (b + 0.5) / (a + b + 1)
+        if depth == ctw.DEPTH or context[ctw.DEPTH - depth - 1 :] not in below[node]:
+            return mine
+        share = math.exp(own(node) - math.log(2) - whole(node))
+        return share * mine + (1 - share) * one(context, before, depth + 1)
+
+    for k, score in zip(key.tolist(), got):
+        data = k.to_bytes(ctw.DEPTH + 1, "big")
+        want = 0.0
+        for place in range(8):
+            p = one(data[:-1], (1 << place) | (data[-1] >> (8 - place)))
+            want += math.log10(p if data[-1] >> (7 - place) & 1 else 1 - p)
+        assert abs(score - want) < 1e-8
+
+
 def ctw_upper(key, n):
     node, n0, n1, below = [], [], [], []
     for place in range(8):
