@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from quillmere import schema
 from quillmere.functions import globs
 from quillmere.functions import scalars as S
-from quillmere.operators import chunking, lifecycle, search
+from quillmere.operators import chunking, lifecycle, search, text_index
 from quillmere.operators.embed import Embedder, HashEmbedder, embedding
-from quillmere.sources import extract, local
+from quillmere.sources import extract, graph, local
 from quillmere.store import Store, writes
 
 INDEXABLE = ["md", "markdown", "txt", "text", "pdf", "docx", "epub"]
@@ -25,6 +25,30 @@ def now_ms() -> int:
     return int(time.time() * 1000)
 
 
+def as_json(value) -> str:
+    """A report as indented JSON: a vault's counts, or the rows of a table of reports (small; whole tables are exported by tasks)."""
+    return json.dumps([json.loads(x) for x in value.toJSON().collect()] if isinstance(value, DataFrame) else value, indent=2, ensure_ascii=False)
+
+
+def searched_text():
+    """What keyword search sees of a chunk: its content and headings."""
+    return F.concat_ws("\n", "content", "heading_path")
+
+
+def with_lengths(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("n_terms", F.size(text_index.tokens(searched_text(), True)))
+
+
+def chunk_postings(chunks: DataFrame) -> DataFrame:
+    return text_index.postings(chunks.withColumnRenamed("id", "chunk_id"), "chunk_id", searched_text())
+
+
+def postings_of_old_stores(store: Store) -> dict[str, DataFrame]:
+    """Stores from before postings get them, and the lengths of their chunks."""
+    chunks = store.table("chunks")
+    return {"chunks": with_lengths(chunks), "postings": text_index.in_ranges(chunk_postings(chunks), "chunk_id")}
+
+
 def on_disk(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     """path, exists, is_file, size, mtime, full of registered paths, by one stat each on the driver."""
     rows = []
@@ -58,12 +82,21 @@ def gathered(spark: SparkSession, root: str, paths: list[str] | None, ignore: li
 class IndexVault:
     """Files below a root: registered, chunked, embedded and searched. Chunks exist only for indexed files."""
 
-    SCHEMAS = {"files": schema.FILES, "chunks": schema.CHUNKS, "vectors": schema.VECTORS}
+    SCHEMAS = {"files": schema.FILES, "chunks": schema.CHUNKS, "vectors": schema.VECTORS, "postings": schema.POSTINGS, "results": schema.RESULTS}
+    MIGRATIONS = {1: postings_of_old_stores}
     IGNORE = ".vaultignore"
 
     def __init__(self, spark: SparkSession, root: str, create: bool = False, embedder: Embedder | None = None) -> None:
         self.spark, self.store = spark, Store(spark, root, self.SCHEMAS, create)
         self.root, self.embedder = self.store.root, embedder or HashEmbedder()
+        self.store.migrate(self.MIGRATIONS)
+
+    @writes
+    def configure(self, key: str, value) -> None:
+        """Sets a setting, or clears it with None; those that chunks depend on can't change while there are any."""
+        if key in schema.WITHOUT_CHUNKS and not self.store.table("chunks").isEmpty():
+            raise ValueError(f"{key} stands while there are chunks: remove all files first")
+        self.store.set(key, value)
 
     def _ignore_lines(self) -> list[str]:
         try:
@@ -96,11 +129,23 @@ class IndexVault:
         self._keep(files.join(wanted, "path", "left_anti").select(*files.columns))
         return {"removed": sorted(known), "not_found": sorted(set(paths) - known)}
 
+    @writes
+    def remove_all(self) -> int:
+        """Unregisters every file, with chunks, vectors and postings; returns how many."""
+        files = self.store.table("files")
+        n = files.count()
+        self._keep(files.limit(0))
+        return n
+
     def _keep(self, files: DataFrame) -> None:
         chunks, vectors = self.store.table("chunks"), self.store.table("vectors")
         live = chunks.join(files.where("status = 'indexed'").select("path"), "path", "left_semi").select(*chunks.columns)
+        ids, postings = live.select(F.col("id").alias("chunk_id")), self.store.table("postings")
         with self.store.lock():
-            self.store.commit({"files": files, "chunks": live, "vectors": vectors.join(live.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select(*vectors.columns)}, {"files": [["path"], ["id"]]})
+            self.store.commit({
+                "files": files, "chunks": live, "vectors": vectors.join(ids, "chunk_id", "left_semi").select(*vectors.columns),
+                "postings": text_index.in_ranges(postings.join(ids, "chunk_id", "left_semi").select(*postings.columns), "chunk_id"),
+            }, {"files": [["path"], ["id"]]})
 
     @writes
     def prune(self, status: str = "missing", all_non_indexed: bool = False, dry_run: bool = False) -> dict[str, int]:
@@ -127,15 +172,19 @@ class IndexVault:
 
     @writes
     def index(self, force: bool = False, retry_failed: bool = False, paths: list[str] | None = None, excluded: list[str] | None = None) -> dict[str, int]:
-        """Classifies, extracts, chunks and embeds what has changed, and commits files, chunks and vectors together."""
+        """Classifies, extracts, chunks and embeds what has changed, and commits files, chunks, vectors and postings together, with
+        each file's outcome (see results)."""
         at = now_ms()
+        sample = self.store.table("vectors").select(F.size("embedding")).first()
+        if sample and sample[0] != self.embedder.dimension:
+            raise ValueError(f"the store's vectors have {sample[0]} numbers, the embedder's {self.embedder.dimension}")
         todo = self.decided(force, retry_failed, paths, excluded).persist()
         got = extract.extracted(todo.where("decision = 'work'")).persist()
         limits = {"target": self.store.get("chunking.target_tokens"), "most": self.store.get("chunking.max_tokens"), "overlap": self.store.get("chunking.overlap_tokens")}
         named = got.where("kind = 'ok'").withColumn("title", S.file_stem(F.element_at(F.split("path", "/"), -1)))
         cut = chunking.chunked(named, "path", "markdown", "title", **limits)
         salt = str(at)
-        new = cut.select(F.sha2(F.concat_ws("\u0001", "path", "ordinal", "content_hash", F.lit(salt)), 256).alias("id"), "path", "ordinal", "content", "content_hash", "heading_path", F.lit(None).cast("int").alias("page_number"), "token_count", F.lit(at).alias("created_at")).persist()
+        new = with_lengths(cut).select(F.sha2(F.concat_ws("\u0001", "path", "ordinal", "content_hash", F.lit(salt)), 256).alias("id"), "path", "ordinal", "content", "content_hash", "heading_path", F.lit(None).cast("int").alias("page_number"), "token_count", F.lit(at).alias("created_at"), "n_terms").persist()
         some = new.groupBy("path").agg(F.count("*").alias("n_chunks"))
         all_ = todo.join(got.select("path", "kind", "detail", "message", F.col("hash").alias("new_hash")), "path", "left").join(some, "path", "left")
         final = F.when(F.col("decision") == "skipped", F.lit("skipped")).when(F.col("decision") != "work", F.col("decision")).when(F.col("kind") != "ok", F.col("kind")).when(F.col("n_chunks").isNull(), "failed").otherwise("indexed")
@@ -158,20 +207,32 @@ class IndexVault:
         old = chunks.join(touched, "path", "left_anti").select(*chunks.columns)
         replaced = chunks.join(done.where(ok).select("path"), "path", "left_semi").count()
         fresh = new.select(F.col("id").alias("chunk_id"), embedding(self.embedder)("content").alias("embedding"))
+        postings, kept_ids = self.store.table("postings"), old.select(F.col("id").alias("chunk_id"))
+        kept = postings.join(kept_ids, "chunk_id", "left_semi").select(*postings.columns)
+        results = done.select("path", "outcome", F.when(~ok & ~skip, F.col("new_detail")).alias("detail"), F.when(ok, F.col("n_chunks")).otherwise(0).alias("chunks"))
         with self.store.lock():
-            self.store.commit({"files": rest.unionByName(updated), "chunks": old.unionByName(new), "vectors": vectors.join(old.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select(*vectors.columns).unionByName(fresh)}, {"files": [["path"], ["id"]], "chunks": [["id"]], "vectors": [["chunk_id"]]})
+            self.store.commit({
+                "files": rest.unionByName(updated), "chunks": old.unionByName(new), "results": results,
+                "vectors": vectors.join(kept_ids, "chunk_id", "left_semi").select(*vectors.columns).unionByName(fresh),
+                "postings": text_index.in_ranges(kept.unionByName(chunk_postings(new)), "chunk_id"),
+            }, {"files": [["path"], ["id"]], "chunks": [["id"]], "vectors": [["chunk_id"]]})
         report = {r["outcome"]: r["count"] for r in done.groupBy("outcome").count().collect()}
         report |= {"chunks_added": new.count(), "chunks_replaced": replaced}
         for df in (todo, got, new, done):
             df.unpersist()
         return report
 
+    def results(self) -> DataFrame:
+        """path, outcome, detail, chunks of each file of the last index run, by path whatever order tasks ended in."""
+        return self.store.table("results").orderBy("path")
+
     def search(self, query: str, k: int | None = None, mode: str = "hybrid", path_glob: str | None = None, threshold: float | None = None) -> DataFrame:
         """chunk_id, path, ordinal, heading_path, page_number, content, score, vector_rank, keyword_rank."""
         chunks = self.store.table("chunks").withColumnRenamed("id", "chunk_id")
         e = None if mode == "keyword" else self.embedder.embed([query])[0]
-        text = F.concat_ws("\n", "content", "heading_path")  # headings are searched too
-        hits = search.search(chunks, self.store.table("vectors"), query, e, k or self.store.get("retrieval.default_k"), mode, path_glob, threshold, self.store.get("retrieval.rrf_constant"), text=text)
+        lengths = chunks.agg(F.count("*").alias("_n"), F.avg("n_terms").alias("_avg"))
+        found = None if mode == "vector" else text_index.bm25_of_postings(self.store.table("postings"), lengths, "chunk_id", query)
+        hits = search.search(chunks, self.store.table("vectors"), query, e, k or self.store.get("retrieval.default_k"), mode, path_glob, threshold, self.store.get("retrieval.rrf_constant"), keyword_hits=found)
         return hits.join(chunks, "chunk_id").select("chunk_id", "path", "ordinal", "heading_path", "page_number", "content", "score", "vector_rank", "keyword_rank").orderBy(F.desc("score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("keyword_rank"))
 
     def show(self, path: str | None = None, chunk_id: str | None = None) -> DataFrame:
@@ -187,12 +248,14 @@ class IndexVault:
         return row.asDict() | {"untracked": untracked}
 
     def check(self) -> dict[str, int]:
-        """Breaches of the invariant: chunks of files that aren't indexed, and chunks and vectors without each other."""
+        """Breaches of the invariant: chunks of files that aren't indexed, chunks and vectors without each other, postings without
+        chunks."""
         files, chunks, vectors = (self.store.table(t) for t in ("files", "chunks", "vectors"))
         ids = chunks.select(F.col("id").alias("chunk_id"))
         return {
             "orphan_chunks": lifecycle.orphans(chunks, files, "path", F.col("status") == "indexed").count(),
             "chunks_without_vector": ids.join(vectors, "chunk_id", "left_anti").count(), "vectors_without_chunk": vectors.join(ids, "chunk_id", "left_anti").count(),
+            "postings_without_chunk": self.store.table("postings").join(ids, "chunk_id", "left_anti").count(),
         }
 
 
@@ -342,17 +405,16 @@ class CrawlVault:
     """Sources and the documents they hold, with change detection."""
 
     SCHEMAS = {"sources": schema.SOURCES, "runs": schema.RUNS, "documents": schema.DOCUMENTS}
-    KINDS = ("local", "smb", "library")
-    CONFIG = frozenset(("max_depth", "since_ms", "include", "exclude", "mount"))
+    CONFIG = frozenset(("max_depth", "since_ms", "include", "exclude", "mount", "base", "drive_id", "site_hostname", "site_path", "folder", "web", "delta_links"))
 
     def __init__(self, spark: SparkSession, root: str, create: bool = False) -> None:
         self.spark, self.store = spark, Store(spark, root, self.SCHEMAS, create)
 
     @writes
-    def add_source(self, name: str, uri: str, kind: str = "local", strategy: str = "recursive", **config) -> None:
-        """config: max_depth, since_ms, include, exclude (globs) and mount of this source alone; a run's own arguments go first."""
-        if kind not in self.KINDS:
-            raise ValueError(f"no such kind of source: {kind}")
+    def add_source(self, name: str, uri: str, kind: str = "local", strategy: str | None = None, **config) -> None:
+        """Kinds and strategies go by any of their names. config: max_depth, since_ms, include, exclude (globs) and mount of this
+        source alone, and of a library drive_id or site_hostname and site_path, folder, or web; a run's own arguments go first."""
+        kind, strategy = schema.named(kind, schema.KINDS), schema.named(strategy or self.store.get("crawl.default_strategy"), schema.STRATEGIES)
         if unknown := config.keys() - self.CONFIG:
             raise ValueError(f"no such setting of a source: {', '.join(sorted(unknown))}")
         sources = self.store.table("sources")
@@ -386,8 +448,9 @@ class CrawlVault:
         return {"max_depth": 1 if s == "shallow" else (own.get("max_depth") or default_depth or None), "since_ms": since, "include": include, "exclude": own.get("exclude") or [], "mount": own.get("mount")}
 
     @writes
-    def discover(self, names: list[str] | None = None, globs_: list[str] | None = None, since_ms: int | None = None, hashing: bool = False, dry_run: bool = False, items: DataFrame | None = None) -> dict[str, dict]:
-        """Runs sources: lists, filters, merges with their documents and records the run. items takes a listing from elsewhere."""
+    def discover(self, names: list[str] | None = None, globs_: list[str] | None = None, since_ms: int | None = None, hashing: bool = False, dry_run: bool = False, items: DataFrame | None = None, fetch: graph.Fetch | None = None) -> dict[str, dict]:
+        """Runs sources: lists, filters, merges with their documents and records the run. items takes a listing from elsewhere; fetch
+        gives a library's pages by address. An incremental run of a library goes on from the link where its last one ended."""
         reports = {}
         for src in self.store.table("sources").where("enabled").orderBy("name").collect():
             if names and src["name"] not in names:
@@ -396,18 +459,15 @@ class CrawlVault:
             docs, runs, sources = (self.store.table(t) for t in ("documents", "runs", "sources"))
             run_id = runs.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
             try:
-                root = local.mount_of(src["uri"], p["mount"]) if src["kind"] == "smb" else local.root_of(src["uri"]) if items is None else None
-                if src["kind"] == "library" and items is None:
-                    raise local.Unreachable(f"{src['uri']}: pass the library's listing as items")
                 errors: list[str] = []
-                found = items if items is not None else local.items(self.spark, root, max_depth=p["max_depth"], follow_links=self.store.get("crawl.follow_symlinks"), errors=errors)
-            except local.Unreachable as e:
+                found, remember = (items, {}) if items is not None else self._listed(src, p, fetch, errors)
+            except (local.Unreachable, OSError) as e:
                 failed = F.col("id") == src["id"]
                 run = self.spark.createDataFrame([(run_id, src["id"], src["strategy"], at, now_ms(), 0, 0, 0, 0, 1, "error", str(e))], schema.RUNS)
                 self.store.commit({"runs": runs.unionByName(run), "sources": sources.withColumns({"last_status": F.when(failed, "error").otherwise(F.col("last_status")), "last_error": F.when(failed, F.lit(str(e))).otherwise(F.col("last_error")), "last_crawled": F.when(failed, F.lit(at)).otherwise(F.col("last_crawled"))})})
                 reports[src["name"]] = {"status": "error"}
                 continue
-            seen = local.kept(found, schema.DOCUMENT_EXTENSIONS, (), p["include"], p["exclude"], p["since_ms"]).dropDuplicates(["uri"])
+            seen = local.kept(found, schema.DOCUMENT_EXTENSIONS, (), p["include"], p["exclude"], None if remember else p["since_ms"]).dropDuplicates(["uri"])
             if hashing and items is None:
                 digest = self._hashes(seen)
                 seen = seen.join(digest, "uri", "left").withColumn("content_hash", F.coalesce("content_hash", "h")).drop("h")
@@ -431,11 +491,24 @@ class CrawlVault:
                 this = F.col("id") == src["id"]
                 run = self.spark.createDataFrame([(run_id, src["id"], src["strategy"], at, now_ms(), report["discovered"], report["updated"], report["gone"], report["skipped"], len(errors), "partial" if errors else "ok", "; ".join(errors[:5]) or None)], schema.RUNS)
                 with self.store.lock():
-                    self.store.commit({"documents": docs.where(F.col("source_id") != src["id"]).unionByName(rows), "runs": runs.unionByName(run), "sources": sources.withColumns({"last_crawled": F.when(this, F.lit(at)).otherwise(F.col("last_crawled")), "last_run_id": F.when(this, F.lit(run_id)).otherwise(F.col("last_run_id")).cast("long"), "last_status": F.when(this, "ok").otherwise(F.col("last_status"))})}, {"documents": [["source_id", "uri"], ["id"]], "runs": [["id"]]})
+                    self.store.commit({"documents": docs.where(F.col("source_id") != src["id"]).unionByName(rows), "runs": runs.unionByName(run), "sources": sources.withColumns({"last_crawled": F.when(this, F.lit(at)).otherwise(F.col("last_crawled")), "last_run_id": F.when(this, F.lit(run_id)).otherwise(F.col("last_run_id")).cast("long"), "last_status": F.when(this, "partial" if errors else "ok").otherwise(F.col("last_status")), "last_error": F.when(~this, F.col("last_error")), "config": F.when(this, F.lit(json.dumps(json.loads(src["config"] or "{}") | remember))).otherwise(F.col("config"))})}, {"documents": [["source_id", "uri"], ["id"]], "runs": [["id"]]})
             merged.unpersist()
             seen.unpersist()
         return reports
 
+    def _listed(self, src, p: dict, fetch: graph.Fetch | None, errors: list[str]) -> tuple[DataFrame, dict]:
+        """A source's items by its kind, and what its configuration must remember."""
+        def folder(root):
+            return local.items(self.spark, root, max_depth=p["max_depth"], follow_links=self.store.get("crawl.follow_symlinks"), errors=errors), {}
+
+        def library():
+            if fetch is None:
+                raise local.Unreachable(f"{src['uri']}: pass a fetch callable, or the library's listing as items")
+            return graph.discovered(self.spark, fetch, json.loads(src["config"] or "{}"), p["max_depth"], src["strategy"] == "incremental", errors)
+
+        kinds = {"local": lambda: folder(local.root_of(src["uri"])), "smb": lambda: folder(local.mount_of(src["uri"], p["mount"])), "library": library}
+        return kinds[src["kind"]]()
+
     @staticmethod
     def _hashes(seen: DataFrame) -> DataFrame:
         """uri, h: hashes of the files, by tasks; null where one can't be read."""

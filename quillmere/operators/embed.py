@@ -35,12 +35,23 @@ class HashEmbedder:
         return out
 
 
+def mean_pooled(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Unit vectors (texts, dimension) from a model's hidden states (texts, tokens, dimension): the mean over the tokens that the
+    mask keeps. A text without tokens is the zero vector."""
+    kept = mask.astype(np.float32)[:, :, None]
+    mean = (hidden * kept).sum(1) / np.maximum(kept.sum(1), 1e-9)
+    return (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
 def embedding(embedder: Embedder):
     """A vectorised column function; the embedder travels once to each worker."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(embedder.embed(texts.fillna("").tolist()))
+            found = embedder.embed(texts.fillna("").tolist())
+            if any(len(v) != embedder.dimension for v in found):
+                raise ValueError(f"the embedder gave vectors of another length than {embedder.dimension}")
+            yield pd.Series(found)
 
     return run

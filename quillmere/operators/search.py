@@ -34,8 +34,9 @@ def fused(id_col: str, vector_hits: DataFrame | None, keyword_hits: DataFrame |
     return both.withColumn("score", score)
 
 
-def search(chunks: DataFrame, vectors: DataFrame, query: str, embedding: list[float] | None, k: int = 10, mode: str = "hybrid", path_glob: str | None = None, threshold: float | None = None, constant: int = 60, id_col: str = "chunk_id", path: str = "path", text="content", vector: str = "embedding", unicode: bool = True) -> DataFrame:
-    """One lazy plan: top n of each arm (2k for hybrid), the path filter above the limits, ranks, fusion, threshold, top k."""
+def search(chunks: DataFrame, vectors: DataFrame, query: str, embedding: list[float] | None, k: int = 10, mode: str = "hybrid", path_glob: str | None = None, threshold: float | None = None, constant: int = 60, id_col: str = "chunk_id", path: str = "path", text="content", vector: str = "embedding", unicode: bool = True, keyword_hits: DataFrame | None = None) -> DataFrame:
+    """One lazy plan: top n of each arm (2k for hybrid), the path filter above the limits, ranks, fusion, threshold, top k.
+    keyword_hits takes the keyword arm's id and score from elsewhere (stored postings), in place of a pass over the texts."""
     n = 2 * k if mode == "hybrid" else k
     paths = chunks.select(id_col, path)
 
@@ -46,7 +47,8 @@ def search(chunks: DataFrame, vectors: DataFrame, query: str, embedding: list[fl
     if mode != "keyword" and embedding:
         v = ranked(kept(knn(vectors, id_col, vector, embedding, n)), id_col, "distance", "vector_rank")
     if mode != "vector":
-        kw = ranked(kept(top(bm25(chunks, id_col, text, query, unicode=unicode), id_col, n)), id_col, "score", "keyword_rank")
+        found = keyword_hits if keyword_hits is not None else bm25(chunks, id_col, text, query, unicode=unicode)
+        kw = ranked(kept(top(found, id_col, n)), id_col, "score", "keyword_rank")
     if v is None and kw is None:
         return chunks.select(id_col, F.lit(None).cast("int").alias("vector_rank"), F.lit(None).cast("int").alias("keyword_rank"), F.lit(0.0).alias("score")).limit(0)
     out = fused(id_col, v, kw, constant)

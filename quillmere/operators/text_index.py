@@ -58,18 +58,66 @@ def bm25(table: DataFrame, id_col: str, text, query: str, all_terms: bool = True
     for i, term in enumerate(terms):
         counted = counted.withColumn(f"_f{i}", occurrences(tokens(F.lit(term), unicode)))
     counted = counted.drop("_t")
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(terms))])
-    hits = [F.col(f"_f{i}") > 0 for i in range(len(terms))]
+    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *frequencies(len(terms)))
+    return scored(counted, stats, id_col, len(terms), all_terms)
+
+
+def frequencies(terms: int) -> list:
+    """How many rows hold each term."""
+    return [F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(terms)]
+
+
+def scored(counted: DataFrame, stats: DataFrame, id_col: str, terms: int, all_terms: bool) -> DataFrame:
+    """id, score of the rows of counted (_dl, and _f of each term) that hold all terms, or any. stats is one row."""
+    hits = [F.col(f"_f{i}") > 0 for i in range(terms)]
     wanted = hits[0]
     for h in hits[1:]:
         wanted = wanted & h if all_terms else wanted | h
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(terms):
         n, f = F.col(f"_n{i}"), F.col(f"_f{i}")
         idf = F.log((F.col("_n") - n + 0.5) / (n + 0.5))
         score = score + F.when(idf <= 0, LEAST_IDF).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
     return counted.where(wanted).join(F.broadcast(stats)).select(id_col, (-score).alias("score"))  # stats: one row
 
 
+def postings(table: DataFrame, id_col: str, text, unicode: bool = True) -> DataFrame:
+    """term, id, at, dl: each distinct token of a row with its places, and the row's number of tokens. Written in ranges of
+    terms (a frequent term fills several), so that a reader of few terms skips the other row groups."""
+    placed = table.select(id_col, tokens(text, unicode).alias("_t")).select(id_col, F.size("_t").alias("dl"), F.posexplode("_t").alias("_at", "term"))
+    return placed.groupBy("term", id_col, "dl").agg(F.sort_array(F.collect_list("_at")).alias("at")).select("term", id_col, "at", "dl")
+
+
+def in_ranges(rows: DataFrame, id_col: str) -> DataFrame:
+    return rows.repartitionByRange("term", id_col).sortWithinPartitions("term", id_col)
+
+
+def followed(starts, places, by: int):
+    """The starts that have one of places `by` tokens later."""
+    return F.filter(starts, lambda x: F.array_contains(places, x + F.lit(by)))
+
+
+def bm25_of_postings(stored: DataFrame, lengths: DataFrame, id_col: str, query: str, all_terms: bool = True, unicode: bool = True) -> DataFrame:
+    """bm25() from stored postings: reads those of the query's tokens alone, and no text. lengths is one row: _n, the number of
+    rows, and _avg, their mean number of tokens."""
+    terms = query_terms(query)
+    cut = [tokens(F.lit(t), unicode) for t in terms]
+    parts = stored.sparkSession.sql("SELECT 1").select(F.array(*cut)).first()[0] if terms else []
+    if not any(parts):
+        return stored.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    wanted = sorted({p for run in parts for p in run})
+    places = F.map_from_entries(F.collect_list(F.struct("term", "at")))
+    counted = stored.where(F.col("term").isin(wanted)).groupBy(id_col).agg(F.first("dl").alias("_dl"), places.alias("_places"))
+    for i, run in enumerate(parts):
+        at = [F.coalesce(F.try_element_at("_places", F.lit(p)), F.array().cast("array<int>")) for p in run]
+        starts = at[0] if run else F.array()
+        for j, other in enumerate(at[1:], 1):
+            starts = followed(starts, other, j)
+        counted = counted.withColumn(f"_f{i}", F.size(starts))
+    counted = counted.drop("_places")
+    stats = counted.agg(*frequencies(len(parts))).join(F.broadcast(lengths))  # both one row
+    return scored(counted, stats, id_col, len(parts), all_terms)
+
+
 def top(hits: DataFrame, id_col: str, n: int, by: str = "score") -> DataFrame:
     return hits.orderBy(by, id_col).limit(n)

@@ -4,18 +4,20 @@ a URL and returns parsed JSON, so that any authentication can stand behind it.""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions import scalars as S
-from quillmere.sources.local import ITEMS
+from quillmere.sources.local import ITEMS, Unreachable
 
 Fetch = Callable[[str], dict]
 # Libraries and folders that hold no documents.
 SYSTEM_LIBRARIES = ("Form Templates", "Site Assets", "Site Pages", "Style Library")
 SYSTEM_FOLDERS = ("Forms",)
+# Fixed value: the public interface of document libraries.
+BASE = "https://graph.microsoft.com/v1.0"
 
 
 def paged(fetch: Fetch, url: str | None) -> Iterator[dict]:
@@ -76,3 +78,76 @@ def sites(rows: DataFrame, host: str, contains: str | None = None, most: int = 5
     out = rows.where(F.parse_url("url", F.lit("HOST")) == host)
     out = out.where(F.contains(F.lower("url"), F.lit(contains.lower()))) if contains else out
     return out.dropDuplicates(["url"]).orderBy("url").limit(most)
+
+
+def drives(fetch: Fetch, base: str, config: dict) -> list[tuple[str, str | None]]:
+    """(id, name) of the libraries to list: the one that drive_id names, else all of the site at site_hostname and site_path, else
+    the site's default one."""
+    if config.get("drive_id"):
+        return [(config["drive_id"], None)]
+    if not (config.get("site_hostname") and config.get("site_path")):
+        raise Unreachable("a library source takes drive_id, or site_hostname and site_path")
+    site = fetch(f"{base}/sites/{config['site_hostname']}:/{config['site_path'].strip('/')}")
+    if not site.get("id"):
+        raise Unreachable(f"no site at {config['site_hostname']}/{config['site_path']}")
+    try:
+        found = [(d["id"], d.get("name")) for page in paged(fetch, f"{base}/sites/{site['id']}/drives") for d in page.get("value", []) if d.get("id")]
+    except OSError:  # the list may be closed to those who may read the default library
+        found = []
+    if found:
+        return found
+    default = fetch(f"{base}/sites/{site['id']}/drive")
+    if not default.get("id"):
+        raise Unreachable(f"no library of {config['site_hostname']}/{config['site_path']} can be read")
+    return [(default["id"], None)]
+
+
+def rest_walked(fetch: Fetch, web: str, max_depth: int | None = None, errors: list | None = None) -> Iterator[dict]:
+    """Files of a site's visible document libraries by the older interface, without the system's libraries and folders. The files of
+    a library's root are depth 1. A library that can't be read goes to errors."""
+    lists = fetch(f"{web}/_api/web/lists?$select=Title,Hidden,BaseTemplate,RootFolder/ServerRelativeUrl&$expand=RootFolder&$top=500")
+    left_out = {t.lower() for t in SYSTEM_LIBRARIES}
+    for library in lists.get("value", []):
+        root = (library.get("RootFolder") or {}).get("ServerRelativeUrl")
+        if library.get("BaseTemplate") != 101 or library.get("Hidden") or not root or (library.get("Title") or "").lower() in left_out:
+            continue
+        todo = [(root, 1)]
+        try:
+            while todo:
+                folder, depth = todo.pop()
+                at = f"{web}/_api/web/GetFolderByServerRelativeUrl('" + folder.replace("'", "''") + "')"
+                yield from fetch(f"{at}/Files?$select=Name,ServerRelativeUrl,Length,TimeLastModified&$top=5000").get("value", [])
+                if not max_depth or depth < max_depth:
+                    below = fetch(f"{at}/Folders?$select=Name,ServerRelativeUrl&$top=5000").get("value", [])
+                    todo += [(f["ServerRelativeUrl"], depth + 1) for f in below if f.get("Name") and f["Name"] not in SYSTEM_FOLDERS and f.get("ServerRelativeUrl")]
+        except OSError as e:
+            if errors is not None:
+                errors.append(f"{library.get('Title')}: {e}")
+
+
+def rest_items(spark: SparkSession, found: Iterator[dict], host: str, site_path: str = "") -> DataFrame:
+    """Rows of ITEMS of the older interface's files; sizes come as text or numbers, paths without the site's."""
+    raw = [(f.get("Name"), f.get("ServerRelativeUrl"), None if f.get("Length") is None else str(f["Length"]), f.get("TimeLastModified")) for f in found]
+    df = spark.createDataFrame(raw, "name string, at string, length string, modified string").where("name IS NOT NULL AND at IS NOT NULL")
+    below = F.when(F.startswith("at", F.lit(site_path)), F.substring(F.col("at"), F.lit(len(site_path) + 1), F.length("at"))).otherwise(F.col("at"))
+    return df.select(F.concat(F.lit(f"https://{host}"), "at").alias("uri"), "name", F.regexp_replace(below, "^/+", "").alias("rel_path"), S.extension("name").alias("extension"), F.expr("try_cast(length AS long)").alias("size"), S.iso_ms("modified").alias("modified_ms"), F.lit(None).cast("string").alias("content_hash"))
+
+
+def discovered(spark: SparkSession, fetch: Fetch, config: dict, max_depth: int | None = None, incremental: bool = False, errors: list | None = None) -> tuple[DataFrame, dict]:
+    """Items of a library source, and what its configuration must remember. With web, by the older interface; an incremental run
+    goes on from each library's last link. With several libraries, paths start with the library's name."""
+    base = config.get("base") or BASE
+    if config.get("web"):
+        at = urlsplit(config["web"])
+        return rest_items(spark, rest_walked(fetch, config["web"].rstrip("/"), max_depth, errors), at.netloc, at.path.rstrip("/")), {}
+    found, links, all_ = None, dict(config.get("delta_links") or {}), drives(fetch, base, config)
+    for drive, name in all_:
+        prefix = name if len(all_) > 1 else None
+        if incremental:
+            rows, link = delta(fetch, base, drive, links.get(drive))
+            links |= {drive: link} if link else {}
+        else:
+            rows = traversed(fetch, base, drive, config.get("folder"), max_depth)
+        part = items(spark, rows, prefix)
+        found = part if found is None else found.unionByName(part)
+    return found, ({"delta_links": links} if incremental else {})

@@ -10,10 +10,11 @@ import os
 import shutil
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.schema import DEFAULTS
+from quillmere.schema import DEFAULTS, DERIVED, STRATEGIES, ZERO_ALLOWED, named
 
 
 class Locked(Exception):
@@ -58,7 +59,20 @@ class Store:
         where = self._state()["tables"].get(name)
         return self.spark.read.schema(self.schemas[name]).parquet(where) if where else self.spark.createDataFrame([], self.schemas[name])
 
-    def commit(self, tables: dict[str, DataFrame], unique: dict[str, list[list[str]]] | None = None) -> None:
+    def migrate(self, steps: dict[int, Callable[[Store], dict[str, DataFrame]]]) -> list[int]:
+        """Runs each step above the store's schema version in order, and commits its tables with the version; returns those run."""
+        due = [v for v in sorted(steps) if v > self._state().get("schema", 0)]
+        if not due:
+            return []
+        done = []
+        with self.lock():
+            for v in due:
+                if v > self._state().get("schema", 0):  # another process may have been first
+                    self.commit(steps[v](self), schema=v)
+                    done.append(v)
+        return done
+
+    def commit(self, tables: dict[str, DataFrame], unique: dict[str, list[list[str]]] | None = None, schema: int | None = None) -> None:
         """Writes all tables, checks that `unique` keys are, and swaps the pointer once. Of each table the version before stays for
         those who read it; older ones are deleted."""
         state = self._state()
@@ -72,6 +86,8 @@ class Store:
                     raise ValueError(f"{name}: {', '.join(key)} must be unique")
             state["tables"][name] = path
         state["version"] += 1
+        if schema is not None:
+            state["schema"] = schema
         old = state.get("old", {})
         state["old"] = old | {name: was[name] for name in tables if name in was}
         self._swap(state)
@@ -87,6 +103,12 @@ class Store:
             raise KeyError(key)
         if value is not None and type(value) is not type(DEFAULTS[key]):
             raise ValueError(f"{key} takes a {type(DEFAULTS[key]).__name__}")
+        if key in DERIVED:
+            raise ValueError(f"{key} follows from the others")
+        if type(value) is int and value < (0 if key in ZERO_ALLOWED else 1):
+            raise ValueError(f"{key} takes no {value}")
+        if key == "crawl.default_strategy" and value is not None:
+            value = named(value, STRATEGIES)
         state = self._state()
         if value is None:
             state["settings"].pop(key, None)
