@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import re
+import string
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,36 +19,116 @@ def estimate(s: str) -> int:
     return (len(s.encode()) + 3) // 4
 
 
+SPECIAL = re.compile(r"[\\`<&*_!\[]")
+LINK = re.compile(r"""!?\[((?:[^\[\]\\]|\\.)*)\]\(\s*(?:<[^<>\n]*>|[^\s()]*(?:\([^\s()]*\)[^\s()]*)*)(?:\s+(?:"[^"]*"|'[^']*'|\([^()]*\)))?\s*\)""")
+AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[A-Za-z0-9.-]+)>")
+TAG = re.compile(r"""</?[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s"'=<>`]+|'[^']*'|"[^"]*"))?)*\s*/?>|<!--(?:>|->|.*?-->)|<\?.*?\?>""", re.S)
+ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+
+
+class Marks:
+    """A run of * or _ and what is left of it; whether it can open or close emphasis follows from the characters beside it."""
+
+    def __init__(self, mark: str, n: int, before: str, after: str) -> None:
+        self.mark, self.left, self.n = mark, n, n
+        space = [x.isspace() for x in (before, after)]
+        sign = [unicodedata.category(x)[0] in "PS" for x in (before, after)]
+        opens = not space[1] and (not sign[1] or space[0] or sign[0])
+        closes = not space[0] and (not sign[0] or space[1] or sign[1])
+        self.opens = opens and (mark == "*" or not closes or sign[0])
+        self.closes = closes and (mark == "*" or not opens or sign[1])
+
+    def pairs(self, closer: Marks) -> bool:
+        both = self.closes or closer.opens
+        return self.mark == closer.mark and not (both and (self.n + closer.n) % 3 == 0 and (self.n % 3 or closer.n % 3))
+
+
 def inline(s: str) -> str:
-    """Visible text of a line: no emphasis marks, code ticks, link or image targets, or raw tags."""
-    s = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", s)
-    s = re.sub(r"<[^>\s][^>]*>", "", s)
-    s = re.sub(r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1", r"\2", s)
-    s = re.sub(r"(?<![\w*])([*_])(?=\S)(.+?)(?<=\S)\1(?![\w*])", r"\2", s)
-    return s.replace("`", "")
+    """Visible text of a paragraph: no emphasis marks, code ticks, link or image targets, or raw tags; escapes and entities read."""
+    if not SPECIAL.search(s):
+        return s
+    out, runs, at = [], [], 0
+    while at < len(s):
+        m = SPECIAL.search(s, at)
+        if not m:
+            out.append(s[at:])
+            break
+        out.append(s[at : m.start()])
+        at, c = m.start(), m[0]
+        if c == "\\":
+            follows = s[at + 1 : at + 2]
+            escaped = bool(follows) and follows in string.punctuation + "\n"
+            out.append(follows if escaped else c)
+            at += 1 + escaped
+        elif c == "`":
+            n = re.compile("`+").match(s, at).end() - at
+            end = re.compile(rf"(?<!`)`{{{n}}}(?!`)").search(s, at + n)
+            code = s[at + n : end.start()].replace("\n", " ") if end else "`" * n
+            out.append(code[1:-1] if end and code.strip() and code[0] == code[-1] == " " else code)
+            at = end.end() if end else at + n
+        elif c in "*_":
+            n = re.compile(re.escape(c) + "+").match(s, at).end() - at
+            runs.append(Marks(c, n, s[at - 1] if at else " ", s[at + n] if at + n < len(s) else " "))
+            out.append(runs[-1])
+            at += n
+        elif c in "![" and (m := LINK.match(s, at)):
+            out.append(inline(m[1]))
+            at = m.end()
+        elif c == "<" and (m := AUTOLINK.match(s, at)):
+            out.append(m[1])
+            at = m.end()
+        elif c == "<" and (m := TAG.match(s, at)):
+            at = m.end()
+        elif c == "&" and (m := ENTITY.match(s, at)):
+            out.append(html.unescape(m[0]))
+            at = m.end()
+        else:
+            out.append(c)
+            at += 1
+    emphasised(runs)
+    return "".join(x.mark * x.left if isinstance(x, Marks) else x for x in out)
+
+
+def emphasised(runs: list[Marks]) -> None:
+    """Takes from the runs the marks that open and close emphasis. `bottom` is where openers of a kind were last sought in vain."""
+    openers: list[Marks] = []
+    bottom: dict[tuple, int] = {}
+    for run in runs:
+        kind = (run.mark, run.opens, run.n % 3)
+        while run.closes and run.left:
+            at = next((i for i in range(len(openers) - 1, bottom.get(kind, 0) - 1, -1) if openers[i].pairs(run)), None)
+            if at is None:
+                bottom[kind] = len(openers)
+                break
+            taken = 2 if min(openers[at].left, run.left) > 1 else 1
+            openers[at].left -= taken
+            run.left -= taken
+            del openers[at + 1 if openers[at].left else at :]
+            bottom = {k: min(v, len(openers)) for k, v in bottom.items()}
+        if run.opens and run.left:
+            openers.append(run)
 
 
 def sections(markdown: str, title: str | None) -> list[tuple[str | None, str]]:
     """(heading path, text) of each section: ATX and setext headings, paragraphs, list items, quotes and code."""
-    out, buffer, stack, paragraph, fence = [], [], [], [], None
-
-    def path():
-        return " > ".join(t for _, t in stack) if stack else title
+    out, buffer, stack, paragraph, fence, under = [], [], [], [], None, title
 
     def end_paragraph():
         if paragraph:
-            buffer.append("\n".join(inline(x) for x in paragraph) + "\n\n")
+            buffer.append(inline("\n".join(paragraph)) + "\n\n")
             paragraph.clear()
 
     def heading(level, text):
+        nonlocal under
         end_paragraph()
         if "".join(buffer).strip():
-            out.append((path(), "".join(buffer)))
+            out.append((under, "".join(buffer)))
             buffer.clear()
         while stack and stack[-1][0] >= level:
             stack.pop()
         if text:
             stack.append((level, text))
+        under = " > ".join(t for _, t in stack)
 
     for line in markdown.split("\n"):
         line = line.rstrip("\r")
@@ -63,7 +146,7 @@ def sections(markdown: str, title: str | None) -> list[tuple[str | None, str]]:
             heading(len(m[1]), inline(m[2] or "").strip())
             continue
         if paragraph and (m := re.match(r"\s{0,3}(=+|-+)\s*$", line)):
-            text = " ".join(inline(x).strip() for x in paragraph)
+            text = inline(" ".join(paragraph)).strip()
             paragraph.clear()
             heading(1 if m[1][0] == "=" else 2, text)
             continue
@@ -78,12 +161,13 @@ def sections(markdown: str, title: str | None) -> list[tuple[str | None, str]]:
             paragraph.append(re.sub(r"^\s{0,3}>\s?", "", line).strip())
     end_paragraph()
     if "".join(buffer).strip():
-        out.append((path(), "".join(buffer)))
+        out.append((under, "".join(buffer)))
     return out or [(title, markdown)]
 
 
 def packed(text: str, target: int, most: int, separator: str = "\n\n") -> list[str]:
-    """Parts of a section: whole if small, else paragraphs gathered to the target; a paragraph over `most` goes by sentence."""
+    """Parts of a section: whole if small, else paragraphs gathered to the target; a paragraph over `most` goes by sentence. The
+    estimates of what is held and of what comes are added, so what stands between them isn't counted."""
     if estimate(text) <= most:
         return [text]
     out, held = [], ""
@@ -92,13 +176,12 @@ def packed(text: str, target: int, most: int, separator: str = "\n\n") -> list[s
             continue
         pieces, limit, glue = ([p], target, separator) if estimate(p) <= most else ([s.strip() for s in re.split(r"(?<=[.!?])", p) if s.strip()], most, " ")
         for x in pieces:
-            joined = held + glue + x if held else x
-            if held and estimate(joined) > limit:
+            if held and estimate(held) + estimate(x) > limit:
                 out.append(held)
                 held = x
             else:
-                held = joined
-    return out + [held] if held else out
+                held = held + glue + x if held else x
+    return [*out, held] if held else out or [text]
 
 
 def tail(s: str, tokens: int) -> str:
@@ -158,13 +241,15 @@ def chunked(docs: DataFrame, id_col: str, text: str, title: str | None = None, *
     return rows.mapInPandas(cut, f"{id_col} {dict(docs.dtypes)[id_col]}, ordinal int, content string, content_hash string, heading_path string, token_count int")
 
 
-def greedy(docs: DataFrame, id_col: str, text, most: int = 800) -> DataFrame:
-    """id, ordinal, content: sentences gathered up to `most` tokens, by a fold inside the JVM."""
+def greedy(docs: DataFrame, id_col: str, text, most: int = 800, summed: bool = False) -> DataFrame:
+    """id, ordinal, content: sentences gathered up to `most` tokens, by a fold inside the JVM. The tokens are those of the joined
+    text, or with summed, as in packed(), the sum of both parts' estimates."""
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
 
     def step(s, x):
         joined = F.when(s["held"] == "", x).otherwise(F.concat(s["held"], F.lit(" "), x))
-        full = (s["held"] != "") & (token_estimate(joined) > most)
+        size = token_estimate(s["held"]) + token_estimate(x) if summed else token_estimate(joined)
+        full = (s["held"] != "") & (size > most)
         return F.struct(F.when(full, F.array_append(s["done"], s["held"])).otherwise(s["done"]).alias("done"), F.when(full, x).otherwise(joined).alias("held"))
 
     parts = F.aggregate(sentences(text), empty, step, lambda s: F.when(s["held"] == "", s["done"]).otherwise(F.array_append(s["done"], s["held"])))

@@ -55,6 +55,10 @@ ORACLES = {
     "chunk_greedy_pack": f"""WITH s AS (SELECT doc_id, {SENT} ss FROM documents), r AS (SELECT doc_id, list_reduce(list_prepend({{'done': []::VARCHAR[], 'held': ''}}, list_transform(ss, lambda x: {{'done': []::VARCHAR[], 'held': x}})),
 lambda a, b: CASE WHEN a.held = '' THEN {{'done': a.done, 'held': b.held}} WHEN (strlen(a.held)+1+strlen(b.held)+3)//4 > 800 THEN {{'done': list_append(a.done, a.held), 'held': b.held}} ELSE {{'done': a.done, 'held': a.held||' '||b.held}} END) st FROM s),
 p AS (SELECT doc_id, CASE WHEN st.held = '' THEN st.done ELSE list_append(st.done, st.held) END parts FROM r),
+u AS (SELECT doc_id, unnest(parts) part, generate_subscripts(parts, 1) - 1 ordinal FROM p) SELECT doc_id, ordinal::INT ordinal, sha256(part) content_hash FROM u""",
+    "chunk_pack_summed": f"""WITH s AS (SELECT doc_id, {SENT} ss FROM documents), r AS (SELECT doc_id, list_reduce(list_prepend({{'done': []::VARCHAR[], 'held': ''}}, list_transform(ss, lambda x: {{'done': []::VARCHAR[], 'held': x}})),
+lambda a, b: CASE WHEN a.held = '' THEN {{'done': a.done, 'held': b.held}} WHEN (strlen(a.held)+3)//4 + (strlen(b.held)+3)//4 > 800 THEN {{'done': list_append(a.done, a.held), 'held': b.held}} ELSE {{'done': a.done, 'held': a.held||' '||b.held}} END) st FROM s),
+p AS (SELECT doc_id, CASE WHEN st.held = '' THEN st.done ELSE list_append(st.done, st.held) END parts FROM r),
 u AS (SELECT doc_id, unnest(parts) part, generate_subscripts(parts, 1) - 1 ordinal FROM p) SELECT doc_id, ordinal::INT ordinal, sha256(part) content_hash FROM u""",
     "chunk_ordinals": "WITH p AS (SELECT doc_id, string_split(text, chr(10)) l FROM documents), u AS (SELECT doc_id, unnest(l) line, generate_subscripts(l, 1) - 1 o FROM p) SELECT doc_id, o::INT ordinal, sha256(line) line_hash FROM u",
     "chunk_overlap": "WITH p AS (SELECT doc_id, string_split(text, chr(10)) l FROM documents), u AS (SELECT doc_id, unnest(l) line, generate_subscripts(l, 1) - 1 o FROM p), t AS (SELECT doc_id, o, CASE WHEN strlen(line) <= 200 THEN line ELSE right(line, list_min(list_filter(range(50, 201), lambda k: strlen(right(line, k)) >= 200))) END tail FROM u) SELECT doc_id, o::INT ordinal, coalesce(lag(tail) OVER (PARTITION BY doc_id ORDER BY o), '') overlap FROM t",

@@ -117,6 +117,12 @@ def chunk_greedy_pack(spark, sf_dir):
     return chunking.greedy(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).select("doc_id", "ordinal", S.sha256_hex("content").alias("content_hash"))
 
 
+@query
+def chunk_pack_summed(spark, sf_dir):
+    """As the chunker packs: the estimates of both parts are added. chunk_greedy_pack counts the joined text."""
+    return chunking.greedy(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), summed=True).select("doc_id", "ordinal", S.sha256_hex("content").alias("content_hash"))
+
+
 @query
 def chunk_ordinals(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line")).select("doc_id", "ordinal", S.sha256_hex("line").alias("line_hash"))
@@ -130,7 +136,7 @@ def chunk_overlap(spark, sf_dir):
 
 @query
 def chunk_documents(spark, sf_dir):
-    """Sections, packing and overlap of all documents; no SQL, held against the pure function in the tests."""
+    """Sections, packing and overlap of all documents; no SQL, held against a chunker of the tests' own."""
     return chunking.chunked(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
 
 

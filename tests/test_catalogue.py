@@ -18,15 +18,5 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
-def test_chunk_documents_equals_pure_function(spark):
-    from quillmere.operators.chunking import chunk
-
-    got = {(r["doc_id"], r["ordinal"]): r["content_hash"] for r in QUERIES["chunk_documents"](spark, SF).collect()}
-    want = {}
-    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
-        want |= {(r["doc_id"], o): h for o, _, h, _, _ in chunk(r["text"] or "", r["source"])}
-    assert got == want
-
-
 def test_every_sql_has_a_query():
     assert set(ORACLES) <= set(QUERIES)

@@ -26,7 +26,7 @@ def test_postings_score_as_the_texts_do(spark, tmp_path):
     stored = spark.read.parquet(path)
     lengths = docs.select(F.size(text_index.tokens(F.col("text"), True)).alias("n")).agg(F.count("*").alias("_n"), F.avg("n").alias("_avg"))
     for query in ("the", "the and", "and_the", "the_and_the", "cafe CAFÉ", "КОТ", "the zzzz", "", "_", "?!"):
-        for all_terms in (True, False):
+        for all_terms in (True, False) if query in ("the and", "the zzzz", "cafe CAFÉ") else (True,):
             want = scores(text_index.bm25(docs, "doc_id", F.col("text"), query, all_terms))
             assert scores(text_index.bm25_of_postings(stored, lengths, "doc_id", query, all_terms)) == want, query
     plan = text_index.bm25_of_postings(stored, lengths, "doc_id", "the and")._jdf.queryExecution().toString()
