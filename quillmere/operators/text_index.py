@@ -54,7 +54,8 @@ def bm25(table: DataFrame, id_col: str, text, query: str, all_terms: bool = True
     terms = query_terms(query)
     if not terms:
         return table.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    counted = table.select(id_col, tokens(text, unicode).alias("_t")).withColumn("_dl", F.size("_t"))
+    # out of a generator, below which no filter is pushed: texts are cut once a pass
+    counted = table.select(id_col, F.explode(F.array(tokens(text, unicode))).alias("_t")).withColumn("_dl", F.size("_t"))
     for i, term in enumerate(terms):
         counted = counted.withColumn(f"_f{i}", occurrences(tokens(F.lit(term), unicode)))
     counted = counted.drop("_t")
