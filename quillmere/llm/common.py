@@ -88,6 +88,13 @@ def binary_texts(arr: pa.Array) -> pa.Array:
     return pc.fill_null(arr.take(pa.array(np.arange(len(arr)))).cast(pa.large_string()), "")
 
 
+def recoded(texts: pa.Array, change) -> pa.Array:
+    """Texts (as binary_texts gives them) whose bytes, one array of all, went through `change`, which keeps their number."""
+    _, offsets, data = texts.buffers()
+    new = change(np.frombuffer(data, np.uint8)) if data is not None else np.zeros(0, np.uint8)
+    return pa.LargeStringArray.from_buffers(len(texts), offsets, pa.py_buffer(np.ascontiguousarray(new)))
+
+
 def slices(arr: pa.Array, most: int = 4 << 20):
     """(start, length) of runs of rows with about `most` bytes of text at most, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(arr), 0), dtype=np.int64)

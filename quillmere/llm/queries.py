@@ -81,13 +81,34 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_repair, op4_substring, op5_warc, op6_vafile, op7_ctw, op8_toxicity, op9_jaccard, op10_url_reputation)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmere.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quillmere.llm.packing import packed
+
+    found = packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmere.llm.variants import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_repair, op4_substring, op5_warc, op6_vafile, op7_ctw, op8_toxicity, op9_jaccard, op10_url_reputation, op11_divergence, op12_packing, op13_variants)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BENCH = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SPACED = r"regexp_extract_all(coalesce({}, ''), '[^ \t\n\x0b\f\r]+')"
 
-#: DuckDB SQL of the queries that it can express. op3, op7, op8, op9 and the pipeline have none: a tokenizer, trees and a
+#: DuckDB SQL of the queries that it can express. op3, op7, op8, op9, op12 and the pipeline have none: tokenizers, trees and a
 #: classifier that learn, and components over a similarity join are held against brute force in tests/llm.
 ORACLES = {
     "op1_mixing": rf"""WITH q AS (SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END) w FROM labels GROUP BY 1),
@@ -138,4 +159,26 @@ v AS (SELECT host, CASE WHEN mean - sqrt(var) > 0.25 THEN 'block' ELSE 'allow' E
 c AS (SELECT page_id, host, path, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
 WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM p)
 SELECT page_id, c.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE hv END verdict FROM c JOIN v USING (host)""",
+    "op11_divergence": r"""WITH d AS (SELECT coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') ws FROM documents),
+df AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ws)) term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, source, term, n FROM (SELECT lang, source, term, count(*) n FROM (SELECT lang, source, unnest(ws) term FROM d) GROUP BY ALL) SEMI JOIN df USING (lang, term)),
+g AS (SELECT lang, source, coalesce(total, 0)::HUGEINT total, coalesce(terms, 0)::HUGEINT terms FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) total FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN (SELECT lang, count(*) terms FROM df GROUP BY ALL) USING (lang)),
+w AS (SELECT lang, term, sum(n)::HUGEINT n, sum(sum(n)) OVER (PARTITION BY lang)::HUGEINT total FROM c GROUP BY lang, term),
+p AS (SELECT g.lang, g.source, df.term, coalesce(c.n, 0) n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.total + 5 * g.terms) p, 1 + 1000000000::HUGEINT * (w.n + 5) // (w.total + 5 * g.terms) q
+FROM g JOIN df USING (lang) JOIN w USING (lang, term) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = df.term),
+f AS (SELECT g.lang, g.source, h.source item, 'pair' part, coalesce(v, 0)::BIGINT AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN (SELECT a.lang, a.source, b.source item, sum(abs(a.p - b.p)) v FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+UNION ALL SELECT lang, source, term, 'term', (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM f)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50""",
+    "op13_variants": r"""WITH RECURSIVE tab(t) AS (SELECT list(x ORDER BY b) FROM (SELECT b, list_reduce(list_transform(range(8), lambda i: b), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, b) x FROM (SELECT unnest(range(256)) b))),
+r AS (SELECT doc_id, w, count(*) n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) w FROM documents) WHERE length(w) >= 6 GROUP BY ALL),
+h AS (SELECT w, n, xor(list_reduce(flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)), lambda x, b: xor(x >> 8, t[xor(x & 255, b) + 1]), 4294967295), 4294967295) h FROM r, tab),
+c AS (SELECT word, sum(n)::BIGINT n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END word FROM h) WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+e AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) gone, left(word, i) || '*' || substr(word, i + 2) wild FROM (SELECT word, n, unnest(range(length(word))) i FROM c)),
+p AS (SELECT a.word a, b.word b, b.n n FROM e a JOIN e b USING (wild) WHERE a.word <> b.word UNION SELECT e.word, c.word, c.n FROM e JOIN c ON gone = c.word UNION SELECT c.word, e.word, e.n FROM e JOIN c ON gone = c.word),
+m AS (SELECT a word, count(*) n_near, first(b ORDER BY n DESC, b) form, max(n) form_n FROM p GROUP BY 1),
+f AS (SELECT word, n, coalesce(n_near, 0) n_near, CASE WHEN form_n >= 5 * n THEN form END form, CASE WHEN form_n >= 5 * n THEN form_n END form_n FROM c LEFT JOIN m USING (word)),
+w(word, root) AS (SELECT word, word FROM f UNION ALL SELECT w.word, f.form FROM w JOIN f ON w.root = f.word WHERE f.form IS NOT NULL),
+z AS (SELECT w.word, w.root FROM w JOIN f ON w.root = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN z USING (word)""",
 }
