@@ -12,17 +12,17 @@ from quillmere.llm.common import materialize, parts_for
 #: Vectors of one row of the file, and queries that are broadcast at once.
 BLOCK, QUERY_BLOCK = 2048, 4096
 #: Cells per component.
-CELLS = 16
+CELLS = 256
 LONG = 2**63 - 1
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding: one row per vec_id. Vectors that are null or hold null or non-finite components are left out;
-    repeated rows count once, and of different vectors with one vec_id the smallest in array order stands."""
+    """place, vec_id, embedding: every row whose vector is not null and holds no null or non-finite component, repeated ones too.
+    Places tell rows apart once they are written."""
     x = F.col("embedding")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     kept = vectors.where(x.isNotNull() & F.col("vec_id").isNotNull()).where(fine)
-    return kept.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return kept.select(F.monotonically_increasing_id().alias("place"), "vec_id", "embedding")
 
 
 def matrix(lists: pa.Array) -> np.ndarray:
@@ -39,7 +39,7 @@ def fitted(m: np.ndarray, dim: int) -> np.ndarray:
 
 
 def approximated(vectors: DataFrame) -> DataFrame:
-    """The file: rows of up to BLOCK vectors (ids, dim, low, step, cells), without the exact vectors. cells: one byte per component, cell c
+    """The file: rows of up to BLOCK vectors (places, ids, dim, low, step, cells), without the exact vectors. cells: one byte per component, cell c
     of it holds values from low + c * step to low + (c + 1) * step - 1."""
 
     def pack(batches):
@@ -50,10 +50,10 @@ def approximated(vectors: DataFrame) -> DataFrame:
                 low = m.min(0)
                 step = np.maximum(1.0, np.ceil((m.max(0) - low + 1) / CELLS))
                 cells = np.minimum((m - low) // step, CELLS - 1).astype(np.uint8)
-                ids = np.asarray(part.column("vec_id"), dtype=np.int64)
-                yield pa.RecordBatch.from_pydict({"ids": [ids.tobytes()], "dim": [m.shape[1]], "low": [low.tobytes()], "step": [step.tobytes()], "cells": [cells.tobytes()]})
+                places, ids = (np.asarray(part.column(c), dtype=np.int64).tobytes() for c in ("place", "vec_id"))
+                yield pa.RecordBatch.from_pydict({"places": [places], "ids": [ids], "dim": [m.shape[1]], "low": [low.tobytes()], "step": [step.tobytes()], "cells": [cells.tobytes()]})
 
-    return vectors.select("vec_id", "embedding").mapInArrow(pack, "ids binary, dim long, low binary, step binary, cells binary")
+    return vectors.select("place", "vec_id", "embedding").mapInArrow(pack, "places binary, ids binary, dim long, low binary, step binary, cells binary")
 
 
 def products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -102,55 +102,65 @@ def floors(file: DataFrame, sent, k: int) -> np.ndarray:
 
 
 def reached(file: DataFrame, sent, least) -> DataFrame:
-    """c_id, asked: the vectors whose upper bound reaches the floor of a query, with the places of those queries."""
+    """place, asked, upper: the rows whose upper bound reaches the floor of a query, that query's place among the queries, the bound."""
 
     def scan(batches):
         qids, qs = sent.value
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                hits = np.zeros((len(ids), len(qids)), bool)
+                places, ids = (np.frombuffer(row[c], np.int64) for c in ("places", "ids"))
                 for at, upper, _ in bounds(row, qs):
-                    hits[:, at] = ((upper >= least.value[at][:, None]) & (qids[at][:, None] != ids)).T
-                some = np.flatnonzero(hits.any(1))
-                yield pa.RecordBatch.from_pydict({"c_id": pa.array(ids[some], pa.int64()), "asked": pa.array([np.flatnonzero(hits[i]).astype(np.uint16).tobytes() for i in some], pa.binary())})
+                    of, which = np.nonzero((upper >= least.value[at][:, None]) & (qids[at][:, None] != ids))
+                    if len(of):
+                        yield pa.RecordBatch.from_arrays([pa.array(places[which]), pa.array(at[of], pa.int32()), pa.array(upper[of, which])], names=["place", "asked", "upper"])
 
-    return file.mapInArrow(scan, "c_id long, asked binary")
+    return file.mapInArrow(scan, "place long, asked int, upper double")
 
 
-def settled(vectors: DataFrame, sent, k: int) -> DataFrame:
-    """query_id, vec_id, score: exact scores of vectors (vec_id, embedding, asked), the k best of a batch for each query."""
+def settled(pairs: DataFrame, vectors: DataFrame, sent) -> DataFrame:
+    """asked, query_id, vec_id, score: exact scores of pairs (place, asked), for which only the vectors named are read."""
 
     def score(batches):
         qids, qs = sent.value
         for batch in batches:
-            m, ids = matrix(batch.column("embedding")), np.asarray(batch.column("vec_id"), dtype=np.int64)
+            m, asked = matrix(batch.column("embedding")), np.asarray(batch.column("asked"))
             dim = max(m.shape[1], qs.shape[1])
             m, q = fitted(m, dim), fitted(qs, dim)
-            lists = [np.frombuffer(x, np.uint16) for x in batch.column("asked").to_pylist()]
-            if not lists:
-                continue
-            places, of = np.concatenate(lists).astype(np.int64), np.repeat(np.arange(len(ids)), [len(x) for x in lists])
-            order = np.argsort(places, kind="stable")
-            asked, starts = np.unique(places[order], return_index=True)
-            out: list[tuple[int, int, int]] = []
-            for i, part in zip(asked, np.split(of[order], starts[1:])):
-                best = sorted((-int(s), int(v)) for s, v in zip(products(q[i], m[part]), ids[part]))[:k]
-                out += [(int(qids[i]), v, -s) for s, v in best]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["query_id", "vec_id", "score"])
-
-    return vectors.mapInArrow(score, "query_id long, vec_id long, score long")
+            got = np.zeros(len(asked), np.int64)
+            for i in np.unique(asked):
+                some = np.flatnonzero(asked == i)
+                got[some] = products(q[i], m[some])
+            yield pa.RecordBatch.from_arrays([batch.column("asked"), pa.array(qids[asked]), batch.column("vec_id"), pa.array(got)], names=["asked", "query_id", "vec_id", "score"])
+
+    rows = pairs.select("place", "asked").join(vectors, "place").select("asked", F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return rows.mapInArrow(score, "asked int, query_id long, vec_id long, score long")
+
+
+def ahead(rows: DataFrame, by: str, order: list, k: int) -> DataFrame:
+    """The first k rows of each group, with their rank; each task hands on its own first k."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def certain(pairs: DataFrame, vectors: DataFrame, sent, k: int) -> DataFrame:
+    """query_id, vec_id, score of pairs (place, asked, upper) that may be among a query's k best. Vectors are read in the order of
+    their bounds: of each query the k with the highest upper bounds first. The kth of these scores is one that the kth result has at
+    least, so reading ends with the pairs whose upper bound reaches it; all others can't be among the results."""
+    first = settled(ahead(pairs, "asked", [F.desc("upper"), F.asc("place")], k), vectors, sent)
+    kth = ahead(first, "asked", [F.desc("score")], k).where(F.col("rank") == k).select("asked", F.col("score").cast("double").alias("kth"))
+    left = pairs.join(kth, "asked", "left").where(F.col("upper") >= F.coalesce("kth", F.lit(float("-inf"))))
+    return settled(left, vectors, sent).drop("asked")
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each of queries (vec_id, embedding) the k rows of vectors with the highest
-    integer inner product, the query's own row aside, ties to smaller vec_id; fewer where there are fewer. Vectors are
-    first cleaned as in usable(). An empty table gives no rows.
+    integer inner product, ties to smaller vec_id; fewer where there are fewer. Rows with the query's vec_id count as its own and
+    take no part. Every other row counts, repeated ones too: of rows with one vec_id each can be a result. Queries that
+    share a vec_id share its k results. Vectors null or holding null or non-finite components take no part, neither as queries;
+    shorter ones go on with zeros. An empty table gives no rows. Other columns are not looked at.
 
     The file is written once. Queries, a stated set, meet all of it in blocks of about QUERY_BLOCK, which with a floor each
-    is all that is ever broadcast: the cells of all rows give each query's kth lower bound, then those vectors whose upper
-    bound reaches it, and only these are joined to their exact vectors and ranked."""
+    is all that is ever broadcast: the cells of all rows give each query's kth lower bound, then the pairs whose upper
+    bound reaches it, and of these the exact vectors are read until the kth is certain."""
     spark = vectors.sparkSession
     clean = materialize(usable(vectors.select("vec_id", "embedding")), "vectors")
     file = materialize(approximated(clean), "va_file")
@@ -158,16 +168,13 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     n = asked.count()
     found = None
     for b in range(parts_for(n, QUERY_BLOCK, 1)):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts_for(n, QUERY_BLOCK, 1))) == b).toArrow()  # about QUERY_BLOCK rows
+        rows = asked.where(F.pmod(F.xxhash64("place"), F.lit(parts_for(n, QUERY_BLOCK, 1))) == b).toArrow()  # about QUERY_BLOCK rows
         if not rows.num_rows:
             continue
         sent = spark.sparkContext.broadcast((np.asarray(rows["vec_id"], dtype=np.int64), matrix(rows["embedding"])))
-
         least = spark.sparkContext.broadcast(floors(file, sent, k))
-        near = clean.join(reached(file, sent, least), F.col("vec_id") == F.col("c_id")).select("vec_id", "embedding", "asked")
-        part = settled(near, sent, k)
+        part = certain(materialize(reached(file, sent, least), "reached"), clean, sent, k)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ahead(found, "query_id", [F.desc("score"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "score")

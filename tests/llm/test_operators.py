@@ -271,41 +271,53 @@ def test_warc_stream_in_any_pieces():
         assert out == data
 
 
+def brute_topk(rows, queries, k):
+    """rows, queries: (vec_id, embedding). Every row but those with the query's vec_id; queries of one vec_id share k results."""
+    fine = [(i, [math.floor(256 * float(x)) for x in e]) for i, e in rows if e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    top, found = 2**63 - 1, collections.defaultdict(list)
+    for q, a in fine:
+        if q in queries:
+            found[q] += [(-max(-top, min(top, sum(x * y for x, y in zip(a, e)))), i) for i, e in fine if i != q]
+    return sorted((q, at, i, -s) for q, some in found.items() for at, (s, i) in enumerate(sorted(some)[:k], 1))
+
+
 def test_vafile(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
-    bad = spark.createDataFrame([(1000, None), (1050, [float("nan")] * 64), (1100, [float("inf")]), (1150, [None, 1.0]), (1200, []), (1250, [0.5] * 3), (1250, [0.5] * 3), (1300, [1e30, 1.0]), (0, None)], "vec_id long, embedding array<float>")
+    bad = spark.createDataFrame([(1000, None), (1050, [float("nan")] * 64), (1100, [float("inf")]), (1150, [None, 1.0]), (1200, []), (1250, [0.5] * 3), (1250, [0.5] * 3), (1250, [0.25] * 3), (1300, [1e30, 1.0]), (0, None), (3, [0.5] * 64), (3, [0.5] * 64)], "vec_id long, embedding array<float>")
     for data, k in ((v, 5), (v.unionByName(bad), 5), (v.limit(3), 5)):
-        rows = {}
-        for i, e in data.collect():
-            if e is not None and all(x is not None and math.isfinite(x) for x in e):
-                rows[i] = [math.floor(256 * float(x)) for x in e]
-        got = collections.defaultdict(list)
-        for r in vafile.topk(data, data.where("vec_id % 50 = 0"), k).orderBy("query_id", "rank").collect():
-            got[r["query_id"]].append((r["vec_id"], r["score"]))
-        top = 2**63 - 1
-        for q in (i for i in rows if i % 50 == 0):
-            s = sorted((-max(-top, min(top, sum(a * b for a, b in zip(rows[q], x)))), i) for i, x in rows.items() if i != q)[:k]
-            assert got.pop(q, []) == [(i, -x) for x, i in s]
-        assert not got
+        data = data.withColumns({c: F.lit("own") for c in ("place", "asked", "upper", "score", "rank", "query_id")})
+        got = vafile.topk(data, data.where("vec_id % 50 = 0"), k).collect()
+        rows = [(r["vec_id"], r["embedding"]) for r in data.collect()]
+        assert sorted(map(tuple, got)) == brute_topk(rows, {i for i, _ in rows if i % 50 == 0}, k)
+
+
+def test_vafile_keeps_repeated_vec_ids(spark, tmp_path, duck):
+    """As the registered SQL has it: of rows with one vec_id each is a result."""
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [0.5, 0.0]), (2, [0.9, 0.0]), (50, [1.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, queries.op6_vafile(spark, str(tmp_path)).collect()))
+    cut = lambda e: [math.floor(256 * float(np.float32(x))) for x in e]
+    assert got == [(50, 1, 1, 65536), (50, 2, 2, 256 * cut([0.9])[0]), (50, 3, 2, 32768), (50, 4, 2, 32768)]
+    own = duck.cursor()
+    own.execute(f"CREATE OR REPLACE TEMP VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(own.execute(f"SELECT query_id, rank, vec_id, score FROM ({queries.ORACLES['op6_vafile']})").fetchall()) == got
 
 
 def test_vafile_reads_few_exact_vectors(spark):
-    v = [(i, [float(x) for x in np.random.default_rng(i).normal(0, 0.01 if i % 100 else 1.0, 8)]) for i in range(3000)]
-    data = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(4)
-    file = vafile.materialize(vafile.approximated(data), "va_file")
-    assert "exact" not in file.columns
-    asked = data.where("vec_id in (0, 100)").toArrow()
-    qids, qs = np.asarray(asked["vec_id"], dtype=np.int64), vafile.matrix(asked["embedding"])
-    sent = spark.sparkContext.broadcast((qids, qs))
-    read = vafile.reached(file, sent, spark.sparkContext.broadcast(vafile.floors(file, sent, 5))).collect()
-    rows = data.toArrow()
-    ids, m = np.asarray(rows["vec_id"], dtype=np.int64), vafile.matrix(rows["embedding"])
-    for at, (qid, q) in enumerate(zip(qids, qs)):
-        near = {r["c_id"] for r in read if at in np.frombuffer(r["asked"], np.uint16)}
-        best = sorted((-int(s), int(i)) for s, i in zip(m @ q, ids) if i != qid)[:5]
-        assert {i for _, i in best} <= near and len(near) < 100
-        got = vafile.topk(data, data.where("vec_id in (0, 100)"), 5).where(f"query_id = {qid}").orderBy("rank").collect()
-        assert [(-r["score"], r["vec_id"]) for r in got] == best
+    """Of the given vectors, and of some made to prune, few pairs are read, and what is read holds the results."""
+    made = [(i, [float(x) for x in np.random.default_rng(i).normal(0, 0.01 if i % 100 else 1.0, 8)]) for i in range(3000)]
+    for data, ids, share in ((spark.createDataFrame(made, "vec_id long, embedding array<float>").repartition(4), (0, 100), 0.01), (spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding"), (0, 50, 100, 150), 0.05)):
+        clean = vafile.materialize(vafile.usable(data), "vectors")
+        file = vafile.materialize(vafile.approximated(clean), "va_file")
+        assert "embedding" not in file.columns
+        asked = clean.where(F.col("vec_id").isin(*ids)).toArrow()
+        sent = spark.sparkContext.broadcast((np.asarray(asked["vec_id"], dtype=np.int64), vafile.matrix(asked["embedding"])))
+        pairs = vafile.materialize(vafile.reached(file, sent, spark.sparkContext.broadcast(vafile.floors(file, sent, 5))), "reached")
+        read = vafile.certain(pairs, clean, sent, 5)
+        n = clean.count()
+        assert 5 * len(ids) <= read.count() <= pairs.count() <= share * n * len(ids)
+        want = brute_topk([(r["vec_id"], r["embedding"]) for r in data.collect()], set(ids), 5)
+        assert {(q, i, s) for q, _, i, s in want} <= {(r["query_id"], r["vec_id"], r["score"]) for r in read.collect()}
 
 
 def test_ctw_is_a_distribution(spark, docs):
