@@ -116,7 +116,7 @@ class IndexVault:
             with self.store.lock():
                 top = files.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
                 new = outcome.where("outcome = 'added'").select((F.xxhash64("path").bitwiseAND(2**40 - 1) + top + 1).alias("id"), "path", F.lit(now_ms()).alias("added_at"), F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempts"))
-                self.store.commit({"files": files.unionByName(new, allowMissingColumns=True)}, {"files": [["path"], ["id"]]})
+                self.store.append({"files": files.limit(0).unionByName(new, allowMissingColumns=True)}, unique={"files": [["path"], ["id"]]})
         outcome.unpersist()
         return {"added": 0, "already_registered": 0} | report
 
@@ -126,7 +126,7 @@ class IndexVault:
         files = self.store.table("files")
         wanted = self.spark.createDataFrame([(p,) for p in paths], "path string")
         known = {r[0] for r in wanted.join(files.select("path"), "path", "left_semi").collect()}
-        self._keep(files.join(wanted, "path", "left_anti").select(*files.columns))
+        self._drop(files.join(wanted, "path", "left_semi"))
         return {"removed": sorted(known), "not_found": sorted(set(paths) - known)}
 
     @writes
@@ -134,18 +134,17 @@ class IndexVault:
         """Unregisters every file, with chunks, vectors and postings; returns how many."""
         files = self.store.table("files")
         n = files.count()
-        self._keep(files.limit(0))
+        self.store.commit({t: self.store.table(t).limit(0) for t in ("files", "chunks", "vectors", "postings")})
         return n
 
-    def _keep(self, files: DataFrame) -> None:
-        chunks, vectors = self.store.table("chunks"), self.store.table("vectors")
-        live = chunks.join(files.where("status = 'indexed'").select("path"), "path", "left_semi").select(*chunks.columns)
-        ids, postings = live.select(F.col("id").alias("chunk_id")), self.store.table("postings")
-        with self.store.lock():
-            self.store.commit({
-                "files": files, "chunks": live, "vectors": vectors.join(ids, "chunk_id", "left_semi").select(*vectors.columns),
-                "postings": text_index.in_ranges(postings.join(ids, "chunk_id", "left_semi").select(*postings.columns), "chunk_id"),
-            }, {"files": [["path"], ["id"]]})
+    def _drop(self, files: DataFrame) -> None:
+        """Unregisters files, with their chunks, vectors and postings, by delete lists: nothing that stays is written again."""
+        paths = files.select("path")
+        ids = self._chunk_ids(paths)
+        self.store.append({}, {"files": paths, "chunks": paths, "vectors": ids, "postings": ids})
+
+    def _chunk_ids(self, paths: DataFrame) -> DataFrame:
+        return self.store.table("chunks").join(paths, "path", "left_semi").select("id")
 
     @writes
     def prune(self, status: str = "missing", all_non_indexed: bool = False, dry_run: bool = False) -> dict[str, int]:
@@ -153,7 +152,7 @@ class IndexVault:
         files = self.store.table("files")
         report = {r["status"]: r["removed"] for r in lifecycle.prune_report(files, **how).collect()}
         if not dry_run and report:
-            self._keep(lifecycle.pruned(files, **how))
+            self._drop(files.join(lifecycle.pruned(files, **how), "path", "left_anti"))
         return report
 
     def ls(self, status: str | None = None) -> DataFrame:
@@ -173,7 +172,7 @@ class IndexVault:
     @writes
     def index(self, force: bool = False, retry_failed: bool = False, paths: list[str] | None = None, excluded: list[str] | None = None) -> dict[str, int]:
         """Classifies, extracts, chunks and embeds what has changed, and commits files, chunks, vectors and postings together, with
-        each file's outcome (see results)."""
+        each file's outcome (see results). What is written is in proportion to what has changed (see Store)."""
         at = now_ms()
         sample = self.store.table("vectors").select(F.size("embedding")).first()
         if sample and sample[0] != self.embedder.dimension:
@@ -182,40 +181,31 @@ class IndexVault:
         got = extract.extracted(todo.where("decision = 'work'")).persist()
         limits = {"target": self.store.get("chunking.target_tokens"), "most": self.store.get("chunking.max_tokens"), "overlap": self.store.get("chunking.overlap_tokens")}
         named = got.where("kind = 'ok'").withColumn("title", S.file_stem(F.element_at(F.split("path", "/"), -1)))
-        cut = chunking.chunked(named, "path", "markdown", "title", **limits)
+        cut = chunking.chunked(named, "path", "markdown", "title", pages=True, **limits)
         salt = str(at)
-        new = with_lengths(cut).select(F.sha2(F.concat_ws("\u0001", "path", "ordinal", "content_hash", F.lit(salt)), 256).alias("id"), "path", "ordinal", "content", "content_hash", "heading_path", F.lit(None).cast("int").alias("page_number"), "token_count", F.lit(at).alias("created_at"), "n_terms").persist()
+        new = with_lengths(cut).select(F.sha2(F.concat_ws("\u0001", "path", "ordinal", "content_hash", F.lit(salt)), 256).alias("id"), "path", "ordinal", "content", "content_hash", "heading_path", "page_number", "token_count", F.lit(at).alias("created_at"), "n_terms").persist()
         some = new.groupBy("path").agg(F.count("*").alias("n_chunks"))
         all_ = todo.join(got.select("path", "kind", "detail", "message", F.col("hash").alias("new_hash")), "path", "left").join(some, "path", "left")
         final = F.when(F.col("decision") == "skipped", F.lit("skipped")).when(F.col("decision") != "work", F.col("decision")).when(F.col("kind") != "ok", F.col("kind")).when(F.col("n_chunks").isNull(), "failed").otherwise("indexed")
         detail = F.when(F.col("decision") == "unsupported", "extension_not_supported").when(F.col("decision") == "excluded", "extension_excluded_by_config").when(F.col("decision") == "too_large", "size_exceeds_cap").when(F.col("decision") == "failed", "path_not_a_file").when((F.col("kind") == "ok") & F.col("n_chunks").isNull(), "no_chunks_produced").otherwise(F.col("detail"))
         done = all_.withColumn("outcome", final).withColumn("new_detail", detail).persist()
-        files = self.store.table("files")
         ok, skip = F.col("outcome") == "indexed", F.col("outcome") == "skipped"
 
-        def pick(new_value, column):
-            return F.when(skip, F.col(column)).otherwise(new_value).alias(column)
-
-        updated = done.select(
-            "id", "path", "added_at", pick(F.col("outcome"), "status"), pick(F.when(~ok, F.col("new_detail")), "status_detail"), pick(F.when(~ok, F.col("message")), "status_note"),
-            F.when(ok, F.col("mtime")).otherwise(F.col("last_mtime")).alias("last_mtime"), F.when(ok, F.col("size")).otherwise(F.col("last_size")).alias("last_size"),
-            F.when(ok, F.col("new_hash")).otherwise(F.col("last_hash")).alias("last_hash"), F.when(ok, F.lit(at)).otherwise(F.col("last_indexed")).alias("last_indexed"),
-            pick(F.when(F.col("outcome") == "failed", F.col("attempts") + 1).otherwise(0), "attempts"), pick(F.lit(at), "last_attempt"))
-        rest = files.join(done.select("path"), "path", "left_anti").select(*files.columns)
-        touched = done.where(~skip).select("path")
-        chunks, vectors = self.store.table("chunks"), self.store.table("vectors")
-        old = chunks.join(touched, "path", "left_anti").select(*chunks.columns)
-        replaced = chunks.join(done.where(ok).select("path"), "path", "left_semi").count()
+        work = done.where(~skip)
+        changed = work.select(
+            "id", "path", "added_at", F.col("outcome").alias("status"), F.when(~ok, F.col("new_detail")).alias("status_detail"), F.when(~ok, F.col("message")).alias("status_note"),
+            *[F.when(ok, F.col(now)).otherwise(F.col(was)).alias(was) for now, was in (("mtime", "last_mtime"), ("size", "last_size"), ("new_hash", "last_hash"))],
+            F.when(ok, F.lit(at)).otherwise(F.col("last_indexed")).alias("last_indexed"),
+            F.when(F.col("outcome") == "failed", F.col("attempts") + 1).otherwise(0).alias("attempts"), F.lit(at).alias("last_attempt"))
+        touched = work.select("path")
+        replaced = self.store.table("chunks").join(done.where(ok).select("path"), "path", "left_semi").count()
         fresh = new.select(F.col("id").alias("chunk_id"), embedding(self.embedder)("content").alias("embedding"))
-        postings, kept_ids = self.store.table("postings"), old.select(F.col("id").alias("chunk_id"))
-        kept = postings.join(kept_ids, "chunk_id", "left_semi").select(*postings.columns)
-        results = done.select("path", "outcome", F.when(~ok & ~skip, F.col("new_detail")).alias("detail"), F.when(ok, F.col("n_chunks")).otherwise(0).alias("chunks"))
-        with self.store.lock():
-            self.store.commit({
-                "files": rest.unionByName(updated), "chunks": old.unionByName(new), "results": results,
-                "vectors": vectors.join(kept_ids, "chunk_id", "left_semi").select(*vectors.columns).unionByName(fresh),
-                "postings": text_index.in_ranges(kept.unionByName(chunk_postings(new)), "chunk_id"),
-            }, {"files": [["path"], ["id"]], "chunks": [["id"]], "vectors": [["chunk_id"]]})
+        gone = self._chunk_ids(touched)
+        results = (work if paths is None else done).select("path", "outcome", F.when(~ok & ~skip, F.col("new_detail")).alias("detail"), F.when(ok, F.col("n_chunks")).otherwise(0).alias("chunks"))
+        self.store.append(
+            {"files": changed, "chunks": new, "vectors": fresh, "postings": text_index.in_ranges(chunk_postings(new), "chunk_id")},
+            {"files": touched, "chunks": touched, "vectors": gone, "postings": gone},
+            {"files": [["path"], ["id"]], "chunks": [["id"]], "vectors": [["chunk_id"]]}, {"results": results}, {"index": {"at": at, "all": paths is None}})
         report = {r["outcome"]: r["count"] for r in done.groupBy("outcome").count().collect()}
         report |= {"chunks_added": new.count(), "chunks_replaced": replaced}
         for df in (todo, got, new, done):
@@ -223,8 +213,13 @@ class IndexVault:
         return report
 
     def results(self) -> DataFrame:
-        """path, outcome, detail, chunks of each file of the last index run, by path whatever order tasks ended in."""
-        return self.store.table("results").orderBy("path")
+        """path, outcome, detail, chunks of each file of the last index run, by path whatever order tasks ended in. A run over all
+        files stores what it did; the others that were registered then are the skipped ones."""
+        found, run = self.store.table("results"), self.store.note("index")
+        if run and run["all"]:
+            rest = self.store.table("files").where(F.col("added_at") <= run["at"]).join(found, "path", "left_anti")
+            found = found.unionByName(rest.select("path", F.lit("skipped").alias("outcome"), F.lit(None).cast("string").alias("detail"), F.lit(0).cast("long").alias("chunks")))
+        return found.orderBy("path")
 
     def search(self, query: str, k: int | None = None, mode: str = "hybrid", path_glob: str | None = None, threshold: float | None = None) -> DataFrame:
         """chunk_id, path, ordinal, heading_path, page_number, content, score, vector_rank, keyword_rank."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import re
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.functions.scalars import sentences, token_estimate
+from quillmere.operators.blocks import Blocks, label
 
 
 def estimate(s: str) -> int:
@@ -21,6 +23,7 @@ def estimate(s: str) -> int:
 
 SPECIAL = re.compile(r"[\\`<&*_!\[]")
 LINK = re.compile(r"""!?\[((?:[^\[\]\\]|\\.)*)\]\(\s*(?:<[^<>\n]*>|[^\s()]*(?:\([^\s()]*\)[^\s()]*)*)(?:\s+(?:"[^"]*"|'[^']*'|\([^()]*\)))?\s*\)""")
+REFERENCE = re.compile(r"!?\[((?:[^\[\]\\]|\\.)+)\](?:\[((?:[^\[\]\\]|\\.)*)\])?")
 AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[A-Za-z0-9.-]+)>")
 TAG = re.compile(r"""</?[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s"'=<>`]+|'[^']*'|"[^"]*"))?)*\s*/?>|<!--(?:>|->|.*?-->)|<\?.*?\?>""", re.S)
 ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
@@ -43,8 +46,9 @@ class Marks:
         return self.mark == closer.mark and not (both and (self.n + closer.n) % 3 == 0 and (self.n % 3 or closer.n % 3))
 
 
-def inline(s: str) -> str:
-    """Visible text of a paragraph: no emphasis marks, code ticks, link or image targets, or raw tags; escapes and entities read."""
+def inline(s: str, labels=frozenset()) -> str:
+    """Visible text of a paragraph: no emphasis marks, code ticks, link or image targets, or raw tags; escapes and entities read.
+    labels: those of the text's link definitions."""
     if not SPECIAL.search(s):
         return s
     out, runs, at = [], [], 0
@@ -72,7 +76,10 @@ def inline(s: str) -> str:
             out.append(runs[-1])
             at += n
         elif c in "![" and (m := LINK.match(s, at)):
-            out.append(inline(m[1]))
+            out.append(inline(m[1], labels))
+            at = m.end()
+        elif labels and c in "![" and (m := REFERENCE.match(s, at)) and label(m[2] or m[1]) in labels:
+            out.append(inline(m[1], labels))
             at = m.end()
         elif c == "<" and (m := AUTOLINK.match(s, at)):
             out.append(m[1])
@@ -109,60 +116,30 @@ def emphasised(runs: list[Marks]) -> None:
             openers.append(run)
 
 
-def sections(markdown: str, title: str | None) -> list[tuple[str | None, str]]:
-    """(heading path, text) of each section: ATX and setext headings, paragraphs, list items, quotes and code."""
-    out, buffer, stack, paragraph, fence, under = [], [], [], [], None, title
-
-    def end_paragraph():
-        if paragraph:
-            buffer.append(inline("\n".join(paragraph)) + "\n\n")
-            paragraph.clear()
-
-    def heading(level, text):
-        nonlocal under
-        end_paragraph()
-        if "".join(buffer).strip():
-            out.append((under, "".join(buffer)))
-            buffer.clear()
-        while stack and stack[-1][0] >= level:
-            stack.pop()
-        if text:
-            stack.append((level, text))
-        under = " > ".join(t for _, t in stack)
-
-    for line in markdown.split("\n"):
-        line = line.rstrip("\r")
-        if fence:
-            if re.match(rf"\s{{0,3}}{fence[0]}{{{len(fence)},}}\s*$", line):
-                fence = None
-            else:
-                buffer.append(line + "\n")
-            continue
-        if m := re.match(r"\s{0,3}(`{3,}|~{3,})", line):
-            end_paragraph()
-            fence = m[1]
-            continue
-        if m := re.match(r"\s{0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$", line):
-            heading(len(m[1]), inline(m[2] or "").strip())
-            continue
-        if paragraph and (m := re.match(r"\s{0,3}(=+|-+)\s*$", line)):
-            text = inline(" ".join(paragraph)).strip()
-            paragraph.clear()
-            heading(1 if m[1][0] == "=" else 2, text)
-            continue
-        if not line.strip():
-            end_paragraph()
-        elif re.match(r"\s{0,3}([-*_])(\s*\1){2,}\s*$", line):
-            end_paragraph()
-        elif m := re.match(r"\s*(?:[-*+]|\d{1,9}[.)])\s+(.*)$", line):
-            end_paragraph()
-            buffer.append(inline(m[1]) + "\n")
+def sections(markdown: str, title: str | None) -> list[tuple[str | None, str, int]]:
+    """(heading path, text, where it begins) of each section. Paragraphs end in a blank line, but in items of tight lists; items end
+    in a line; code stands as it is; raw HTML isn't seen. A heading in a quote or an item is one too."""
+    blocks, out, buffer, stack, under, start = Blocks(markdown), [], [], [], title, 0
+    for event in blocks.events:
+        if event[0] == "heading":
+            if "".join(buffer).strip():
+                out.append((under, "".join(buffer), start))
+                buffer = []
+            start = event[3]
+            while stack and stack[-1][0] >= event[1]:
+                stack.pop()
+            text = inline(event[2], blocks.labels)
+            buffer.append("\n" * text.count("\n"))  # breaks between its lines belong to what follows
+            if text := text.replace("\n", "").strip():
+                stack.append((event[1], text))
+            under = " > ".join(t for _, t in stack)
+        elif event[0] == "paragraph":
+            buffer.append(inline(event[1], blocks.labels) + ("\n\n" if event[2] is None or event[2].loose else ""))
         else:
-            paragraph.append(re.sub(r"^\s{0,3}>\s?", "", line).strip())
-    end_paragraph()
+            buffer.append(event[1] if event[0] == "code" else "\n")
     if "".join(buffer).strip():
-        out.append((under, "".join(buffer)))
-    return out or [(title, markdown)]
+        out.append((under, "".join(buffer), start))
+    return out or [(title, markdown, 0)]
 
 
 def packed(text: str, target: int, most: int, separator: str = "\n\n") -> list[str]:
@@ -212,33 +189,38 @@ def overlaps(docs: DataFrame, id_col: str, text, tokens: int = 50) -> DataFrame:
     return docs.select(id_col, F.posexplode(F.concat(F.array(F.lit("")), F.slice(tails, 1, F.size(tails) - 1))).alias("ordinal", "overlap"))
 
 
-def chunk(markdown: str, title: str | None = None, target: int = 400, most: int = 800, overlap: int = 50) -> list[tuple[int, str, str, str | None, int]]:
-    """(ordinal, content, content hash, heading path, tokens). The hash is the part's, without the overlap before it."""
+def chunk(markdown: str, title: str | None = None, target: int = 400, most: int = 800, overlap: int = 50) -> list[tuple[int, str, str, str | None, int, int | None]]:
+    """(ordinal, content, content hash, heading path, tokens, page). The hash is the part's, without the overlap before it. The page
+    is that on which the part's section begins, where the text has pages, which form feeds end."""
     if not markdown or not markdown.strip():
         return []
     target = max(target, 1)
     most = max(most, target)
     out, before = [], ""
-    for path, text in sections(markdown, title):
+    ends = [m.start() for m in re.finditer("\f", markdown)]
+    for path, text, start in sections(markdown, title):
+        page = bisect.bisect_right(ends, start) + 1 if ends else None
         for part in packed(text, target, most):
             lead = tail(before, overlap) if before and overlap else ""
             content = (lead + ("" if not lead or lead.endswith("\n") else "\n") + part) if lead else part
-            out.append((len(out), content, hashlib.sha256(part.encode()).hexdigest(), path, estimate(content)))
+            out.append((len(out), content, hashlib.sha256(part.encode()).hexdigest(), path, estimate(content), page))
             before = part
     return out
 
 
-def chunked(docs: DataFrame, id_col: str, text: str, title: str | None = None, **limits) -> DataFrame:
-    """id, ordinal, content, content_hash, heading_path, token_count of each chunk; a document that fails gives none."""
-    names = [id_col, "ordinal", "content", "content_hash", "heading_path", "token_count"]
+def chunked(docs: DataFrame, id_col: str, text: str, title: str | None = None, pages: bool = False, **limits) -> DataFrame:
+    """id, ordinal, content, content_hash, heading_path, token_count of each chunk, with pages page_number too; a document that fails
+    gives none."""
+    names = [id_col, "ordinal", "content", "content_hash", "heading_path", "token_count", "page_number"]
     rows = docs.select(F.col(id_col), F.col(text).alias("_text"), (F.col(title) if title else F.lit(None).cast("string")).alias("_title"))
 
     def cut(batches):
         for b in batches:
             found = [(i, *c) for i, t, h in zip(b[id_col], b["_text"], b["_title"]) for c in chunk(t or "", h, **limits)]
-            yield pd.DataFrame(found, columns=names)
+            yield pd.DataFrame(found, columns=names).astype({"page_number": "Int32"})
 
-    return rows.mapInPandas(cut, f"{id_col} {dict(docs.dtypes)[id_col]}, ordinal int, content string, content_hash string, heading_path string, token_count int")
+    out = rows.mapInPandas(cut, f"{id_col} {dict(docs.dtypes)[id_col]}, ordinal int, content string, content_hash string, heading_path string, token_count int, page_number int")
+    return out if pages else out.drop("page_number")
 
 
 def greedy(docs: DataFrame, id_col: str, text, most: int = 800, summed: bool = False) -> DataFrame:

@@ -6,7 +6,10 @@ import re
 
 import pytest
 from helpers import SF
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from quillmere.operators.blocks import Blocks
 from quillmere.operators.chunking import chunk, inline, sections
 from quillmere.plans.queries import QUERIES
 
@@ -81,7 +84,7 @@ def test_packing_of_random_texts(seed):
     words = ["ab", "кит", "sea", "日本語", "a.", "so!", "why?", "e.g.", "longerword" * rng.randint(1, 9)]
     text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "\n\n"]) for _ in range(rng.randint(0, 400)))
     limits = (rng.randint(1, 60), rng.randint(1, 90), rng.randint(0, 12))
-    assert not PLAIN.search(text.replace("!", "")) and chunk(text, "t", *limits) == brute(text, "t", limits[0], max(limits[:2]), limits[2])
+    assert not PLAIN.search(text.replace("!", "")) and [c[:5] for c in chunk(text, "t", *limits)] == brute(text, "t", limits[0], max(limits[:2]), limits[2])
 
 
 @pytest.mark.parametrize(("text", "seen"), [
@@ -100,4 +103,47 @@ def test_many_marks_take_no_square():
 
 def test_heading_paths():
     text = "lead\n\n# One\n\na\n\n### Three\n\nb\n\n## Two\n\nc\n\nSet\n===\n\nd\n\n#\n\ne\n\n```\n# code\n```\n"
-    assert sections(text, "T") == [("T", "lead\n\n"), ("One", "a\n\n"), ("One > Three", "b\n\n"), ("One > Two", "c\n\n"), ("Set", "d\n\n"), ("", "e\n\n# code\n")]
+    assert [x[:2] for x in sections(text, "T")] == [("T", "lead\n\n"), ("One", "a\n\n"), ("One > Three", "b\n\n"), ("One > Two", "c\n\n"), ("Set", "d\n\n"), ("", "e\n\n# code\n")]
+
+
+def seen(text):
+    return "".join(x[1] for x in sections(text, "T"))
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("The year\n1986. It was a good one.\n", "The year\n1986. It was a good one.\n\n"), ("a\n1. b", "a\n\nb\n"), ("a\n-\nb", "b\n\n"), ("1. one\n2. two", "one\ntwo\n"),
+    ("- a\n  b\n- c", "a\nb\nc\n"), ("- a\n\n  b\n- c", "a\n\nb\n\n\nc\n\n\n"), ("- a\n\n- b", "a\n\n\nb\n\n\n"), ("* a\n+ b", "a\nb\n"), ("- a\n- b\n\np", "a\nb\np\n\n"),
+    ("- a\n  - b\n  - c\n- d", "ab\nc\n\nd\n"), ("- a\n  - b\n\n    c\n- d", "ab\n\nc\n\n\n\nd\n"), ("-\n  foo\n-\n\n  bar", "foo\n\nbar\n\n"), ("- a\n -b\nlazy", "a\n-b\nlazy\n"),
+    ("> q\nlazy\n\n> r", "q\nlazy\n\nr\n\n"), ("> - a\n>\n> - b", "a\n\n\nb\n\n\n"), ("> ```\n> c\nout", "c\nout\n\n"), ("> a\n---\nb", "a\n\nb\n\n"), ("> a\n===", "a\n===\n\n"),
+    ("    code\n\n    more\n\ntext", "code\n\nmore\ntext\n\n"), ("para\n    still", "para\nstill\n\n"), ("\tcode\n- \ta", "code\na\n"), ("```py\nx = 1\n\n  y\n```\nz", "x = 1\n\n  y\nz\n\n"), ("- ```\n  code\n  ```\n- x", "code\n\nx\n"), ("~~~\n```\n", "```\n"),
+    ("<div>\n# not a heading\n</div>\n\nx", "x\n\n"), ("<!-- c\n# x\n-->\nafter", "after\n\n"), ("<b>x</b>\ny", "x\ny\n\n"), ("<b>\nx\n\ny", "y\n\n"), ("t\n<b>\nx", "t\n\nx\n\n"), ("<pre>\n\n# a\n</pre>\nb", "b\n\n"),
+    ("[a]: http://x 'T'\n\n[a] and [b][a] and [c]", "a and b and [c]\n\n"), ("[A  b]:\n<u v>\n\n![q][a\nB] [a b][]", "q a b\n\n"), ("[a]: x y z\n\n[a]", "[a]: x y z\n\n[a]\n\n"), ("[a]: x\n===\n[a]", "===\na\n\n"), ("x\n[a]: y", "x\n[a]: y\n\n"),
+    ("***\n- - -\n_ _ _\nfoo\\\nbar  \nbaz", "foo\nbar\nbaz\n\n"), ("a\r\nb\r\n\r\nc", "a\nb\n\nc\n\n"), ("Foo\nbar\n===\nx", "\nx\n\n"),
+])
+def test_blocks(text, want):
+    assert seen(text) == want
+
+
+def test_headings_anywhere():
+    text = "> # Quoted *h*\n> x\n\n- ## In an item\n  y\n\nLong\nheading\n---\n\nz\n\n####### seven"
+    assert [x[:2] for x in sections(text, None)] == [("Quoted h", "x\n\n"), ("Quoted h > In an item", "y\n"), ("Quoted h > Longheading", "\nz\n\n####### seven\n\n")]
+
+
+MARKDOWN = ["# ", "- ", "* ", "> ", "1. ", "10) ", "2. ", "    ", "  ", "\t", "```\n", "~~~\n", "\n", "\n\n", "===\n", "---\n", "* * *\n", "+\n"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(MARKDOWN), st.from_regex("[a-z]{1,6}( [a-z]{1,4})?\n?", fullmatch=True)), max_size=40))
+def test_no_letter_is_lost(parts):
+    """Whatever the blocks, all letters and numbers but those of markers are in a heading or a text, in their order."""
+    text = "".join(parts)
+    want = re.sub(r"[^a-z]", "", text)
+    events = Blocks(text).events
+    got = re.sub(r"[^a-z]", "", "".join(str(e[2]) if e[0] == "heading" else e[1] for e in events if e[0] != "end"))
+    info = re.sub(r"[^a-z]", "", "".join(re.findall(r"(?:```|~~~)\s*([a-z ]*)", text)))
+    assert got == want or info  # words after a fence are its name
+
+
+def test_pages():
+    text = "a\n\f\n# B\n\nb\n\n# C\n\n\fc\n\n# D\n\nd"
+    assert [(c[3], c[5]) for c in chunk(text, "T", 1, 1, 0)] == [("T", 1), ("B", 2), ("C", 2), ("D", 3)] and chunk("a\n\nb")[0][5] is None
