@@ -49,34 +49,29 @@ def postings_of_old_stores(store: Store) -> dict[str, DataFrame]:
     return {"chunks": with_lengths(chunks), "postings": text_index.in_ranges(chunk_postings(chunks), "chunk_id")}
 
 
-def on_disk(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """path, exists, is_file, size, mtime, full of registered paths, by one stat each on the driver."""
-    rows = []
-    for p in paths:
-        full = os.path.join(root, p)
-        try:
-            s = os.stat(full)
-            rows.append((p, True, os.path.isfile(full), s.st_size, int(s.st_mtime * 1000), full))
-        except OSError:
-            rows.append((p, False, False, None, None, full))
-    return spark.createDataFrame(rows, "path string, exists boolean, is_file boolean, size long, mtime long, full string")
+def ignore_lines(root: str, name: str) -> list[str]:
+    try:
+        with open(os.path.join(root, name)) as f:
+            return f.read().splitlines()
+    except FileNotFoundError:
+        return []
 
 
 def gathered(spark: SparkSession, root: str, paths: list[str] | None, ignore: list[str] | None, leave: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """path of the files at or below paths that can be extracted and that no rule ignores (none do where ignore is None), and
-    how many files were found. Folders in `leave` are never entered."""
-    found: list[str] = []
-    for p in paths or ["."]:
-        full = os.path.realpath(os.path.join(root, p))
-        if os.path.isfile(full):
-            found.append(os.path.relpath(full, root))
-        else:
-            found += [os.path.relpath(x[0], root) for x in local.walked(full)]
-    found = [p for p in (p.replace(os.sep, "/") for p in found) if not p.startswith((".quillmere/", *leave))]
-    rows = spark.createDataFrame([(p,) for p in found], "path string")
+    how many files were found. Tasks walk; ignored folders and those in `leave` are never entered."""
+    given = [os.path.relpath(os.path.realpath(os.path.join(root, p)), root).replace(os.sep, "/") for p in paths or ["."]]
+    given = ["" if p == "." else p for p in given]
+    files = [p for p in given if os.path.isfile(os.path.join(root, p))]
+    lines = ignore or []
+    rows = spark.createDataFrame([(p,) for p in files], "path string")
+    rows = rows.withColumn("fit", F.lit(True) if ignore is None else ~globs.ignored(F.col("path"), lines))
+    if folders := sorted({p for p in given if p not in files}):
+        below = local.tree(spark, root, folders, ignore_lines=lines, built_in=ignore is not None, leave=(".quillmere", *leave))
+        rows = rows.unionByName(below.where("kind IN ('file', 'ignored')").select("path", (F.col("kind") == "file").alias("fit")))
+    rows = rows.distinct()
     ext = S.extension(F.element_at(F.split("path", "/"), -1))
-    fit = rows.where(F.coalesce(ext.isin(INDEXABLE), F.lit(False)))
-    return (fit if ignore is None else fit.where(~globs.ignored(F.col("path"), ignore))), len(found)
+    return rows.where(F.col("fit") & F.coalesce(ext.isin(INDEXABLE), F.lit(False))).select("path"), rows.count()
 
 
 class IndexVault:
@@ -98,17 +93,10 @@ class IndexVault:
             raise ValueError(f"{key} stands while there are chunks: remove all files first")
         self.store.set(key, value)
 
-    def _ignore_lines(self) -> list[str]:
-        try:
-            with open(os.path.join(self.root, self.IGNORE)) as f:
-                return f.read().splitlines()
-        except FileNotFoundError:
-            return []
-
     @writes
     def add(self, paths: list[str] | None = None, no_ignore: bool = False, dry_run: bool = False) -> dict[str, int]:
         """Registers files below paths as pending; files of other kinds and ignored ones are skipped."""
-        fit, found = gathered(self.spark, self.root, paths, [] if no_ignore else self._ignore_lines())
+        fit, found = gathered(self.spark, self.root, paths, [] if no_ignore else ignore_lines(self.root, self.IGNORE))
         files = self.store.table("files")
         outcome = lifecycle.added(files, fit).persist()
         report = {r["outcome"]: r["count"] for r in outcome.groupBy("outcome").count().collect()} | {"skipped": found - fit.count()}
@@ -162,9 +150,8 @@ class IndexVault:
     def _joined(self, paths: list[str] | None) -> DataFrame:
         files = self.store.table("files")
         if paths is not None:
-            files = files.where(F.col("path").isin(paths))
-        disk = on_disk(self.spark, self.root, [r[0] for r in files.select("path").collect()])
-        return files.join(disk, "path").withColumn("ext", S.extension(F.element_at(F.split("path", "/"), -1)))
+            files = files.join(self.spark.createDataFrame([(p,) for p in paths], "path string").distinct(), "path", "left_semi").select(*files.columns)
+        return files.join(local.stats(self.spark, self.root, files), "path").withColumn("ext", S.extension(F.element_at(F.split("path", "/"), -1)))
 
     def decided(self, force: bool = False, retry_failed: bool = False, paths: list[str] | None = None, excluded: list[str] | None = None) -> DataFrame:
         return self._joined(paths).withColumn("decision", lifecycle.index_decision(INDEXABLE, excluded or [], self.store.get("files.size_cap_bytes"), force, retry_failed))
@@ -238,8 +225,8 @@ class IndexVault:
         """Counts by state, and what an index run would do, in one pass over files joined with the disk."""
         d = self.decided()
         row = d.agg(*[F.count_if(F.col("status") == s).alias(s) for s in schema.FILE_STATES], F.count_if(F.col("decision") == "work").alias("would_process"), F.count_if(~F.col("exists")).alias("lost"), F.count("*").alias("registered")).first()
-        known = {r[0] for r in self.store.table("files").select("path").collect()}
-        untracked = sum(1 for x in local.walked(self.root, ignore_lines=[*self._ignore_lines(), ".quillmere/"]) if x[2].replace(os.sep, "/") not in known and x[1].rpartition(".")[2].lower() in INDEXABLE)
+        there, _ = gathered(self.spark, self.root, None, ignore_lines(self.root, self.IGNORE))
+        untracked = there.join(self.store.table("files"), "path", "left_anti").count()
         return row.asDict() | {"untracked": untracked}
 
     def check(self) -> dict[str, int]:
@@ -258,7 +245,7 @@ class ConvertVault:
     """Files to annotated markdown, with lineage and conflicts. State is small: decisions run as one plan, writes on the driver."""
 
     SCHEMAS = {"outputs": schema.OUTPUTS}
-    IGNORE = ".vaultignore"
+    IGNORE = ".mdignore"
 
     def __init__(self, spark: SparkSession, root: str, create: bool = False) -> None:
         self.spark, self.store = spark, Store(spark, root, self.SCHEMAS, create)
@@ -269,11 +256,7 @@ class ConvertVault:
         """Registers files at or below paths as pending. The folder of outputs is never entered; files of other kinds and ignored
         ones are skipped."""
         outputs = self.store.table("outputs")
-        lines: list[str] = []
-        if os.path.isfile(at := os.path.join(self.root, self.IGNORE)):
-            with open(at) as f:
-                lines = f.read().splitlines()
-        fit, found = gathered(self.spark, self.root, paths, None if no_ignore else lines, (self.store.get("output.dir") + "/",))
+        fit, found = gathered(self.spark, self.root, paths, None if no_ignore else ignore_lines(self.root, self.IGNORE), (self.store.get("output.dir"),))
         new = lifecycle.added(outputs.select(F.col("input_path").alias("path")), fit).persist()
         report = {r["outcome"]: r["count"] for r in new.groupBy("outcome").count().collect()} | {"skipped": found - fit.count()}
         if not dry_run:
@@ -400,6 +383,7 @@ class CrawlVault:
     """Sources and the documents they hold, with change detection."""
 
     SCHEMAS = {"sources": schema.SOURCES, "runs": schema.RUNS, "documents": schema.DOCUMENTS}
+    IGNORE = ".crawlignore"
     CONFIG = frozenset(("max_depth", "since_ms", "include", "exclude", "mount", "base", "drive_id", "site_hostname", "site_path", "folder", "web", "delta_links"))
 
     def __init__(self, spark: SparkSession, root: str, create: bool = False) -> None:
@@ -443,10 +427,11 @@ class CrawlVault:
         return {"max_depth": 1 if s == "shallow" else (own.get("max_depth") or default_depth or None), "since_ms": since, "include": include, "exclude": own.get("exclude") or [], "mount": own.get("mount")}
 
     @writes
-    def discover(self, names: list[str] | None = None, globs_: list[str] | None = None, since_ms: int | None = None, hashing: bool = False, dry_run: bool = False, items: DataFrame | None = None, fetch: graph.Fetch | None = None) -> dict[str, dict]:
+    def discover(self, names: list[str] | None = None, globs_: list[str] | None = None, since_ms: int | None = None, hashing: bool | None = None, dry_run: bool = False, items: DataFrame | None = None, fetch: graph.Fetch | None = None) -> dict[str, dict]:
         """Runs sources: lists, filters, merges with their documents and records the run. items takes a listing from elsewhere; fetch
-        gives a library's pages by address. An incremental run of a library goes on from the link where its last one ended."""
-        reports = {}
+        gives a library's pages by address. An incremental run of a library goes on from the link where its last one ended. hashing
+        follows the setting crawl.hash. After a run with errors nothing is marked as gone: what couldn't be listed may still be there."""
+        reports, hashing = {}, self.store.get("crawl.hash") if hashing is None else hashing
         for src in self.store.table("sources").where("enabled").orderBy("name").collect():
             if names and src["name"] not in names:
                 continue
@@ -494,7 +479,7 @@ class CrawlVault:
     def _listed(self, src, p: dict, fetch: graph.Fetch | None, errors: list[str]) -> tuple[DataFrame, dict]:
         """A source's items by its kind, and what its configuration must remember."""
         def folder(root):
-            return local.items(self.spark, root, max_depth=p["max_depth"], follow_links=self.store.get("crawl.follow_symlinks"), errors=errors), {}
+            return local.items(self.spark, root, max_depth=p["max_depth"], follow_links=self.store.get("crawl.follow_symlinks"), ignore_lines=ignore_lines(root, self.IGNORE), errors=errors), {}
 
         def library():
             if fetch is None:
@@ -560,8 +545,14 @@ class CrawlVault:
         self.store.commit({"documents": lifecycle.pruned(d, status)})
         return n
 
-    def status(self) -> dict[str, int]:
-        return lifecycle.tally(self.store.table("documents"), "status", list(schema.DOCUMENT_STATES)).first().asDict()
+    def status(self) -> dict:
+        """Documents by state and in all, those first seen by the last run of their source, sources, those enabled, and `per_source`: a
+        source each with its documents and last run."""
+        docs, sources = self.store.table("documents"), self.store.table("sources")
+        of = lifecycle.tally(docs, "status", list(schema.DOCUMENT_STATES)).first().asDict()
+        counts = docs.groupBy("source_id").agg(F.count("*").alias("documents"))
+        each = [r.asDict() for r in sources.join(counts, F.col("id") == F.col("source_id"), "left").select("name", "kind", "uri", "strategy", "enabled", F.coalesce("documents", F.lit(0)).alias("documents"), "last_crawled", "last_status").orderBy("name").collect()]
+        return of | {"documents": docs.count(), "new_last_run": lifecycle.new_in_last_run(docs, sources).count(), "sources": len(each), "sources_enabled": sum(s["enabled"] for s in each), "per_source": each}
 
     def fetch(self, out: str) -> dict[str, int]:
         """Copies live documents of local and mounted sources to <out>/<source>/<path>, where size differs, by tasks."""

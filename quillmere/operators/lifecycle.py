@@ -73,3 +73,9 @@ def added(registry: DataFrame, paths: DataFrame) -> DataFrame:
 def orphans(children: DataFrame, parents: DataFrame, on: str, alive: Column | None = None) -> DataFrame:
     """Children whose parent is absent, or does not satisfy `alive`."""
     return children.join(parents.where(alive) if alive is not None else parents, on, "left_anti")
+
+
+def new_in_last_run(documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """Documents that the last run of their source was the first to see. sources: id, last_run_id."""
+    last = sources.where(F.col("last_run_id").isNotNull()).select(F.col("id").alias("source_id"), F.col("last_run_id").alias("first_run_id"))
+    return documents.join(last, ["source_id", "first_run_id"], "left_semi")

@@ -87,6 +87,8 @@ CASE WHEN status='failed' THEN 'skipped' WHEN clash THEN 'kept_existing_output'
     "find_substring": "SELECT page_id, url FROM pages WHERE lower(url) LIKE '%example.com/%' ORDER BY lower(url), page_id",
     "ext_filter": f"WITH {FILES} SELECT doc_id, ext FROM files WHERE ext IN ('md','txt')",
     "glob_filter": f"WITH {FILES} SELECT doc_id, path FROM files WHERE (regexp_full_match(path, 'src1.*/.*[.]md') OR regexp_full_match(path, '(.*/)?.*[.]txt')) AND NOT regexp_full_match(path, 'src./.*5[.].*')",
+    "ignore_patterns": f"WITH {FILES} SELECT doc_id, path FROM files WHERE NOT CASE WHEN path LIKE 'src2/%5.txt' THEN false WHEN ext = 'txt' THEN true WHEN path LIKE 'src1/%1.md' THEN true ELSE path LIKE 'src2/%' OR path LIKE 'src4/%' OR regexp_matches(path, '^src3[^/]/') END",
+    "new_documents_of_last_run": "WITH d AS (SELECT doc_id, source source_id, (n_chars % 9)::BIGINT first_run_id FROM documents) SELECT * FROM d WHERE first_run_id = (SELECT max(first_run_id) FROM d e WHERE e.source_id = d.source_id)",
     "ignore_filter": f"WITH {FILES} SELECT doc_id, path FROM files WHERE NOT (ext = 'bin' OR path LIKE 'src1/%') OR (path LIKE 'src1/%' AND ext = 'md')",
     "ls_dynamic_filter": f"WITH {FILES} SELECT doc_id, path FROM files WHERE status='indexed' AND ext='md' ORDER BY lower(path), doc_id LIMIT 50",
     "export_paths": f"WITH {FILES} SELECT path FROM files WHERE status IN ('indexed','pending')",

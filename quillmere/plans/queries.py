@@ -279,6 +279,22 @@ def ignore_filter(spark, sf_dir):
     return p.where(~globs.ignored(F.col("path"), ["*.bin", "src1/", "!src1/*.md"])).select("doc_id", "path")
 
 
+@query
+def ignore_patterns(spark, sf_dir):
+    """Folders anywhere, any number of components, classes and a file kept by a later rule, over all documents' paths."""
+    p = files(spark, sf_dir)
+    rules = ["**/src2", "src1/**/*1.md", "*.tx[st]", "!src2/*5.txt", r"\#none", "src4/", "src3?/"]
+    return p.where(~globs.ignored(F.col("path"), rules)).select("doc_id", "path")
+
+
+@query
+def new_documents_of_last_run(spark, sf_dir):
+    """Documents of each source that its last run was the first to see; a document's first run is its length modulo nine."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_id"), F.pmod("n_chars", F.lit(9)).alias("first_run_id"))
+    sources = d.groupBy(F.col("source_id").alias("id")).agg(F.max("first_run_id").alias("last_run_id"))
+    return lifecycle.new_in_last_run(d, sources).select("doc_id", "source_id", F.col("first_run_id").cast("long").alias("first_run_id"))
+
+
 @query
 def ls_dynamic_filter(spark, sf_dir):
     f = files(spark, sf_dir).where("status = 'indexed'").where(F.lower("ext") == "md")

@@ -14,7 +14,10 @@ from quillmere.sources.local import ITEMS, Unreachable
 
 Fetch = Callable[[str], dict]
 # Libraries and folders that hold no documents.
-SYSTEM_LIBRARIES = ("Form Templates", "Site Assets", "Site Pages", "Style Library")
+SYSTEM_LIBRARIES = (
+    "Form Templates", "Style Library", "Site Assets", "Preservation Hold Library", "Site Collection Documents", "Site Collection Images",
+    "Master Page Gallery", "Theme Gallery", "Web Part Gallery", "List Template Gallery", "Solution Gallery", "Converted Forms",
+)
 SYSTEM_FOLDERS = ("Forms",)
 # Fixed value: the public interface of document libraries.
 BASE = "https://graph.microsoft.com/v1.0"
@@ -68,11 +71,6 @@ def items(spark: SparkSession, found: Iterator[dict], prefix: str | None = None)
     return df.withColumns({"extension": S.extension("name"), "modified_ms": S.iso_ms("modified")}).drop("modified")
 
 
-def libraries(rows: DataFrame) -> DataFrame:
-    """Visible document libraries (BaseTemplate 101) that aren't the system's."""
-    return rows.where((F.col("BaseTemplate") == 101) & ~F.col("Hidden") & ~F.col("Title").isin(*SYSTEM_LIBRARIES))
-
-
 def sites(rows: DataFrame, host: str, contains: str | None = None, most: int = 50) -> DataFrame:
     """Distinct sites of one host whose url has a substring, up to a stated number."""
     out = rows.where(F.parse_url("url", F.lit("HOST")) == host)

@@ -62,8 +62,9 @@ def test_convert_lifecycle(spark, tmp_path):
     put(root, "docs/a.md", "# Tides\n\nlow water at six.")
     put(root, "docs/b.txt", "a list of buoys")
     v = ConvertVault(spark, root, create=True)
-    put(root, ".vaultignore", "drafts/\n")
+    put(root, ".mdignore", "drafts/\n*.tmp.md\n")
     put(root, "drafts/x.md", "not yet")
+    put(root, "docs/y.tmp.md", "not yet")
     put(root, "converted/old.md", "an output")
     assert v.add(["docs", "drafts", "converted"], dry_run=True) == {"added": 2, "already_registered": 0, "skipped": 1} and v.ls().count() == 0
     assert v.add(["docs", "drafts", "converted"])["added"] == 2 and v.add(["docs"])["already_registered"] == 2

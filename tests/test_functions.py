@@ -68,3 +68,22 @@ def test_embedder_and_terms():
     v = HashEmbedder().embed(["x", "x", "y"])
     assert v[0] == v[1] != v[2] and len(v[0]) == 1024 and abs(sum(a * a for a in v[0]) - 1) < 1e-4
     assert query_terms('NOT "raku!" ^*') == ["not", "raku"] and query_terms("wax-resist a_b") == ["waxresist", "a_b"]
+
+
+CASES = [
+    (["**/foo"], "foo", True), (["**/foo"], "x/foo/y", True), (["a/**/b"], "a/b", True), (["a/**/b"], "a/x/y/b", True), (["a/**/b"], "c/a/b", False), (["*.py[co]"], "x.pyc", True), (["*.py[co]"], "d/x.pyo", True), (["*.py[co]"], "x.pyx", False),
+    ([r"\#x"], "#x", True), ([r"\!x"], "!x", True), (["a b\\ "], "a b ", True), (["x  "], "x", True), (["drafts/"], "drafts/d.md", True), (["drafts/"], "drafts", False), (["/a.md"], "b/a.md", False), (["/a.md"], "a.md", True),
+    (["*.log.md", "!important.log.md"], "logs/important.log.md", False), (["!logs/k.md", "logs/"], "logs/k.md", False), (["logs/", "!logs/k.md"], "logs/k.md", False), (["abc/**"], "abc/x/y", True), (["abc/**"], "abc", False),
+    (["[!a]x"], "bx", True), (["[!a]x"], "ax", False), (["[^a]x"], "/x", False), (["[a-c]x"], "bx", True), (["foo*bar"], "foo/bar", False), (["a?c"], "a/c", False), (["[x"], "[x", False), (["**"], "q/r", True), (["a**b"], "axxb", True), (["# c", "", "!"], "c", False), (["foo*"], "foobar", True), (["!foo*", "*"], "foo", True),
+]
+
+
+def test_ignore_patterns(spark):
+    """By the Column and by the walker's form alike."""
+    for rules, path, want in CASES:
+        assert globs.Ignorer(rules, False)(path) == want, (rules, path)
+    for rules in {tuple(r) for r, _, _ in CASES}:
+        mine = [(p, w) for r, p, w in CASES if tuple(r) == rules]
+        got = spark.createDataFrame(mine, "path string, want boolean").withColumn("got", globs.ignored(F.col("path"), rules, False))
+        assert got.where("got <> want").count() == 0, rules
+    assert globs.Ignorer()("a/.git/x") and globs.Ignorer()("node_modules", True) and not globs.Ignorer([])("a.md")
