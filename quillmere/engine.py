@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
+import shutil
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from quillmere.functions import globs
 from quillmere.functions import scalars as S
 from quillmere.operators import chunking, lifecycle, search, text_index
 from quillmere.operators.embed import Embedder, HashEmbedder, embedding
+from quillmere.session import written
 from quillmere.sources import extract, graph, local
 from quillmere.store import Store, writes
 
@@ -242,9 +244,9 @@ class IndexVault:
 
 
 class ConvertVault:
-    """Files to annotated markdown, with lineage and conflicts. State is small: decisions run as one plan, writes on the driver."""
+    """Files to annotated markdown, with lineage and conflicts: decisions are one plan, texts are read and written by tasks."""
 
-    SCHEMAS = {"outputs": schema.OUTPUTS}
+    SCHEMAS = {"outputs": schema.OUTPUTS, "results": schema.CONVERSIONS}
     IGNORE = ".mdignore"
 
     def __init__(self, spark: SparkSession, root: str, create: bool = False) -> None:
@@ -261,7 +263,7 @@ class ConvertVault:
         report = {r["outcome"]: r["count"] for r in new.groupBy("outcome").count().collect()} | {"skipped": found - fit.count()}
         if not dry_run:
             rows = new.where("outcome = 'added'").select(F.xxhash64("path").bitwiseAND(2**62 - 1).alias("id"), F.col("path").alias("input_path"), F.lit(now_ms()).alias("added_at"), F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempts"))
-            self.store.commit({"outputs": outputs.unionByName(rows, allowMissingColumns=True)}, {"outputs": [["input_path"], ["id"]]})
+            self.store.append({"outputs": outputs.limit(0).unionByName(rows, allowMissingColumns=True)}, unique={"outputs": [["input_path"], ["id"]]})
         new.unpersist()
         return {"added": 0, "already_registered": 0} | report
 
@@ -271,7 +273,7 @@ class ConvertVault:
         outputs = self.store.table("outputs")
         wanted = self.spark.createDataFrame([(p,) for p in paths], "input_path string")
         known = {r[0] for r in wanted.join(outputs, "input_path", "left_semi").collect()}
-        self.store.commit({"outputs": outputs.join(wanted, "input_path", "left_anti").select(*outputs.columns)})
+        self.store.append({}, {"outputs": wanted})
         return {"removed": sorted(known), "not_found": sorted(set(paths) - known)}
 
     @writes
@@ -299,10 +301,11 @@ class ConvertVault:
                 rows = []
                 for path, out in zip(b["input_path"], b["output_path"]):
                     full = os.path.join(root, path)
-                    rows.append((path, extract.hashed(full), os.path.getsize(full) if os.path.isfile(full) else None, extract.hashed(os.path.join(root, out)) if isinstance(out, str) else None))
-                yield pd.DataFrame(rows, columns=["input_path", "src_hash", "src_size", "out_hash"]).astype({"src_size": "Int64"})
+                    here = os.stat(full) if os.path.isfile(full) else None
+                    rows.append((path, extract.hashed(full), here and here.st_size, here and int(here.st_mtime * 1000), extract.hashed(os.path.join(root, out)) if isinstance(out, str) else None))
+                yield pd.DataFrame(rows, columns=["input_path", "src_hash", "src_size", "src_mtime", "out_hash"]).astype({"src_size": "Int64", "src_mtime": "Int64"})
 
-        return outputs.select("input_path", "output_path").mapInPandas(run, "input_path string, src_hash string, src_size long, out_hash string")
+        return outputs.select("input_path", "output_path").mapInPandas(run, "input_path string, src_hash string, src_size long, src_mtime long, out_hash string")
 
     def status(self) -> dict[str, int]:
         """Counts by state, of converted inputs that have changed and of outputs that were edited, and both together (conflicts to come)."""
@@ -314,56 +317,77 @@ class ConvertVault:
         counts = [F.count_if(F.col("status") == s).alias(s) for s in schema.OUTPUT_STATES]
         return d.agg(*counts, F.count_if(done & src & ~out).alias("source_changed"), F.count_if(done & out & ~src).alias("output_modified"), F.count_if(done & src & out).alias("would_conflict"), F.count_if(F.col("src_hash").isNull()).alias("lost"), F.count("*").alias("registered")).first().asDict()
 
-    def _hash(self, rel: str | None) -> str | None:
-        try:
-            with open(os.path.join(self.root, rel), "rb") as f:
-                return hashlib.sha256(f.read()).hexdigest()
-        except (OSError, TypeError):
-            return None
-
     @writes
     def convert(self, force=False, retry_failed=False, overwrite=False, keep_existing=False) -> dict[str, int]:
-        at, report, folder = now_ms(), {}, self.store.get("output.dir")
-        outputs = self.store.table("outputs")
-        state = self._state(outputs)
+        """Converts what has changed; returns outcomes with counts (see results). Tasks write texts under names of their own; those
+        reported are renamed to their places by tasks, then the registry is written. Whoever dies before that leaves the registry as it was,
+        and the next run converts again."""
+        at, folder = now_ms(), self.store.get("output.dir")
+        outputs, root = self.store.table("outputs"), self.root + "/"
         ext = S.extension(F.element_at(F.split("input_path", "/"), -1))
-        decision = F.when(F.col("src_hash").isNull(), "missing").when(~F.coalesce(ext.isin(INDEXABLE), F.lit(False)), "unsupported").when(F.col("src_size") > self.store.get("convert.size_cap_bytes"), "too_large").otherwise(lifecycle.convert_decision(force, retry_failed, overwrite, keep_existing))
-        planned = outputs.join(state, "input_path").withColumn("decision", decision).withColumn("ext", ext).withColumn("planned", S.output_path("input_path", self.store.get("output.collision_aware_naming")))
-        work = planned.where(F.col("decision").isin("convert", "conflict")).select(F.col("input_path").alias("path"), "ext", F.concat(F.lit(self.root + "/"), "input_path").alias("full"))
-        texts = {r["path"]: r for r in extract.extracted(work).toLocalIterator()}
-        rows = []
-        for r in planned.orderBy("input_path").toLocalIterator():
-            row, d, path = r.asDict(), r["decision"], f"{folder}/{r['planned']}"
-            got = texts.get(r["input_path"])
-            if d in ("convert", "conflict") and got["kind"] == "ok":
-                name = extract.extractor_name(r["ext"])
-                head = f"<!-- md: source={r['input_path'].replace(' ', '%20')} hash={r['src_hash'][:12]} extractor={name} at={at} -->\n" if self.store.get("output.annotate") else ""
-                full = os.path.join(self.root, path + (".new" if d == "conflict" else ""))
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(full + ".tmp", "w") as f:
-                    f.write(head + got["markdown"])
-                os.replace(full + ".tmp", full)
-            if d == "convert" and got["kind"] == "ok":
-                row |= {"status": "converted", "status_detail": None, "output_path": path, "last_src_hash": r["src_hash"], "last_out_hash": self._hash(path), "last_converted": at, "extractor": name, "attempts": 0, "last_attempt": at}
-                d = "converted"
-            elif d == "convert":
-                row |= {"status": got["kind"], "status_detail": got["detail"], "status_note": got["message"], "attempts": r["attempts"] + (got["kind"] == "failed"), "last_attempt": at}
-                d = got["kind"]
-            elif d == "conflict":
-                row |= {"status": "conflict", "status_detail": "output_modified_with_source_change", "last_attempt": at}
-            elif d == "kept_existing_output":
-                if r["out_hash"] is not None:  # a row whose output is gone stays as it is
-                    row |= {"status": "converted", "status_detail": None, "last_src_hash": r["src_hash"], "last_out_hash": r["out_hash"], "last_attempt": at}
-                d = "converted"
-            elif d in ("missing", "unsupported", "too_large"):
-                row |= {"status": d}
-            else:
-                d = "skipped"
-            report[d] = report.get(d, 0) + 1
-            rows.append(tuple(row[c] for c in outputs.columns))
-        with self.store.lock():
-            self.store.commit({"outputs": self.spark.createDataFrame(rows, schema.OUTPUTS)}, {"outputs": [["input_path"], ["id"]]})
-        return report
+        decision = (
+            F.when(F.col("src_hash").isNull(), "missing").when(~F.coalesce(ext.isin(INDEXABLE), F.lit(False)), "unsupported").when(F.col("src_size") > self.store.get("convert.size_cap_bytes"), "too_large")
+            .otherwise(lifecycle.convert_decision(force, retry_failed, overwrite, keep_existing)))
+        name = F.coalesce(*[F.when(ext == e, extract.extractor_name(e)) for e in INDEXABLE])
+        planned = outputs.join(self._state(outputs), "input_path").withColumns({"decision": decision, "ext": ext, "by": name})
+        planned = planned.withColumn("planned", F.concat(F.lit(folder + "/"), S.output_path("input_path", self.store.get("output.collision_aware_naming"))))
+        planned = written(planned, "planned")
+        head = F.concat(S.annotation("input_path", "src_hash", "by", F.lit(at)), F.lit("\n")) if self.store.get("output.annotate") else F.lit("")
+        work = planned.where(F.col("decision").isin("convert", "conflict"))
+        staging = os.path.join(self.store.home, "staging", uuid.uuid4().hex)
+        made = written(extract.staged(work.select(F.col("input_path").alias("path"), "ext", F.concat(F.lit(root), "input_path").alias("full"), head.alias("head")), staging), "staged")
+        done = planned.join(made.select(F.col("path").alias("input_path"), "kind", "detail", "message", "staged", F.col("out_hash").alias("new_hash")), "input_path", "left")
+        target = F.concat(F.lit(root), "planned", F.when(F.col("decision") == "conflict", ".new").otherwise(""))
+        moves = done.where("kind = 'ok'").select(F.col("input_path").alias("path"), "staged", target.alias("target"), F.col("new_hash").alias("out_hash"))
+        if lost := extract.placed(moves).where(~F.col("placed")).count():
+            raise OSError(f"{lost} converted files aren't at their places; run again")
+        shutil.rmtree(staging, ignore_errors=True)
+        d = F.col("decision")
+        ok = (d == "convert") & (F.col("kind") == "ok")
+        kept = (d == "kept_existing_output") & F.col("out_hash").isNotNull()  # a row whose output is gone stays as it is
+        bad = d.isin("missing", "unsupported", "too_large")
+        outcome = F.when(ok, "converted").when(d == "convert", F.col("kind")).when(d == "conflict", d).when(d == "kept_existing_output", "converted").when(bad, d).otherwise("skipped")
+        done = written(done.withColumn("outcome", outcome), "converted")
+
+        def value(column, *cases):
+            out = F.col(column)
+            for condition, new in reversed(cases):
+                out = F.when(condition, new).otherwise(out)
+            return out.alias(column)
+
+        failed = (d == "convert") & ~ok
+        changed = done.where(ok | failed | kept | bad | (d == "conflict")).select(
+            "id", "input_path", value("output_path", (ok, F.col("planned"))), "added_at", F.col("outcome").alias("status"),
+            value("status_detail", (ok | kept | bad, F.lit(None)), (failed, F.col("detail")), (d == "conflict", F.lit("output_modified_with_source_change"))),
+            value("status_note", (failed, F.col("message")), (ok | bad, F.lit(None))), value("last_src_mtime", (ok, F.col("src_mtime"))), value("last_src_size", (ok, F.col("src_size"))),
+            value("last_src_hash", (ok | kept, F.col("src_hash"))), value("last_out_hash", (ok, F.col("new_hash")), (kept, F.col("out_hash"))), value("last_converted", (ok, F.lit(at))),
+            value("extractor", (ok, F.col("by"))), value("attempts", (ok, F.lit(0)), (F.col("kind") == "failed", F.col("attempts") + (d == "convert").cast("int"))), F.lit(at).alias("last_attempt"))
+        results = done.select("input_path", "outcome", F.when(failed, F.col("detail")).alias("detail"), F.when(ok, F.col("planned")).otherwise(F.col("output_path")).alias("output_path"))
+        self.store.append({"outputs": changed}, {"outputs": changed.select("input_path")}, {"outputs": [["input_path"], ["id"]]}, {"results": results})
+        return {r["outcome"]: r["count"] for r in done.groupBy("outcome").count().collect()}
+
+    def results(self) -> DataFrame:
+        """input_path, outcome, detail, output_path of each input of the last conversion run, by path whatever order tasks ended in."""
+        return self.store.table("results").orderBy("input_path")
+
+    def info(self) -> dict:
+        """Inputs by state and by extractor, and the last conversion."""
+        outputs = self.store.table("outputs")
+        by = {r["extractor"]: r["count"] for r in outputs.where("extractor IS NOT NULL").groupBy("extractor").count().collect()}
+        row = outputs.agg(F.count("*").alias("registered"), F.max("last_converted").alias("last_converted"), *[F.count_if(F.col("status") == s).alias(s) for s in schema.OUTPUT_STATES]).first()
+        return row.asDict() | {"by_extractor": by}
+
+    def check(self) -> dict[str, int]:
+        """Breaches of the registry's invariants: converted inputs without a path or a hash, and outputs that several inputs name."""
+        outputs = self.store.table("outputs")
+        return {
+            "converted_without_output": outputs.where((F.col("status") == "converted") & (F.col("output_path").isNull() | F.col("last_out_hash").isNull())).count(),
+            "outputs_twice": outputs.where("output_path IS NOT NULL").groupBy("output_path").count().where("count > 1").count(),
+        }
+
+    def show(self, output_path: str) -> DataFrame:
+        """The registry's row of an output."""
+        return self.store.table("outputs").where(F.col("output_path") == output_path)
 
     def whence(self, path: str) -> tuple[str, str] | None:
         """(source, via) of an output: by the registry, else by the file's own annotation."""
@@ -539,12 +563,22 @@ class CrawlVault:
         return d.limit(limit) if limit else d
 
     @writes
-    def prune(self, status: str = "gone") -> int:
+    def prune(self, status: str = "gone", dry_run: bool = False) -> int:
         d = self.store.table("documents")
         n = d.where(F.col("status") == status).count()
-        self.store.commit({"documents": lifecycle.pruned(d, status)})
+        if n and not dry_run:
+            self.store.commit({"documents": lifecycle.pruned(d, status)})
         return n
 
+    def sources(self, name: str | None = None) -> DataFrame:
+        """The sources by name, or one of them."""
+        s = self.store.table("sources")
+        return (s if name is None else s.where(F.col("name") == name)).orderBy("name")
+
+    def show(self, uri: str) -> DataFrame:
+        """The documents of a uri, one a source."""
+        return self.store.table("documents").where(F.col("uri") == uri)
+
     def status(self) -> dict:
         """Documents by state and in all, those first seen by the last run of their source, sources, those enabled, and `per_source`: a
         source each with its documents and last run."""

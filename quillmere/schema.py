@@ -6,6 +6,7 @@ FILES = "id long, path string, added_at long, status string, status_detail strin
 CHUNKS = "id string, path string, ordinal int, content string, content_hash string, heading_path string, page_number int, token_count int, created_at long, n_terms int"
 POSTINGS = "term string, chunk_id string, at array<int>, dl int"
 RESULTS = "path string, outcome string, detail string, chunks long"
+CONVERSIONS = "input_path string, outcome string, detail string, output_path string"
 VECTORS = "chunk_id string, embedding array<float>"
 OUTPUTS = "id long, input_path string, output_path string, added_at long, status string, status_detail string, status_note string, last_src_mtime long, last_src_size long, last_src_hash string, last_out_hash string, last_converted long, extractor string, attempts long, last_attempt long"
 SOURCES = "id long, name string, kind string, uri string, strategy string, config string, enabled boolean, added_at long, last_crawled long, last_run_id long, last_status string, last_error string"

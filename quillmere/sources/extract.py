@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import subprocess
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -86,6 +87,15 @@ def extractor_name(ext: str) -> str:
     return NAMES.get(EXTRACTORS.get(ext.lower()), "unknown")
 
 
+def read(known: dict, path: str, ext: str | None, full: str) -> tuple:
+    """(kind, markdown, detail, message, hash of the file) of a file; one that raises fails alone."""
+    f = known.get((ext or "").lower())
+    try:
+        return (*(f(full) if f else ("failed", None, "no_extractor_available", None)), hashed(full))
+    except Exception as e:  # a broken file must not end the run
+        return ("failed", None, "internal_error", repr(e), hashed(full))
+
+
 def extracted(files: DataFrame, extractors=None) -> DataFrame:
     """path, kind, markdown, detail, message, hash (SHA-256 of the file, null where it can't be read) for files (path, ext, full); one
     that raises fails alone. Files must be where executors see them."""
@@ -93,13 +103,51 @@ def extracted(files: DataFrame, extractors=None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = []
-            for path, ext, full in zip(b["path"], b["ext"], b["full"]):
-                f = known.get((ext or "").lower())
-                try:
-                    rows.append((path, *(f(full) if f else ("failed", None, "no_extractor_available", None)), hashed(full)))
-                except Exception as e:  # a broken file must not end the run
-                    rows.append((path, "failed", None, "internal_error", repr(e), hashed(full)))
+            rows = [(path, *read(known, path, ext, full)) for path, ext, full in zip(b["path"], b["ext"], b["full"])]
             yield pd.DataFrame(rows, columns=["path", "kind", "markdown", "detail", "message", "hash"])
 
     return files.select("path", "ext", "full").mapInPandas(run, "path string, kind string, markdown string, detail string, message string, hash string")
+
+
+STAGED = "path string, kind string, detail string, message string, staged string, out_hash string"
+
+
+def staged(files: DataFrame, folder: str, extractors=None) -> DataFrame:
+    """STAGED: what became of files (path, ext, full, head): tasks write head and markdown of those that succeed to files of their
+    own names in folder. An attempt that dies reports nothing, so what it wrote is never looked at; it is deleted with the folder."""
+    known = extractors or EXTRACTORS
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            rows = []
+            for path, ext, full, head in zip(b["path"], b["ext"], b["full"], b["head"]):
+                kind, text, detail, message, _ = read(known, path, ext, full)
+                at = digest = None
+                if kind == "ok":
+                    at, data = os.path.join(folder, uuid.uuid4().hex), (head + text).encode()
+                    with open(at, "wb") as f:
+                        f.write(data)
+                    digest = hashlib.sha256(data).hexdigest()
+                rows.append((path, kind, detail, message, at, digest))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in STAGED.split(", ")])
+
+    return files.select("path", "ext", "full", "head").mapInPandas(run, STAGED)
+
+
+def placed(files: DataFrame) -> DataFrame:
+    """path, placed: whether a reported file (path, staged, target, out_hash) is at its target now. Each is renamed, which is all or
+    nothing; one that an earlier attempt renamed is told by its hash, so a task can run again."""
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, at, target, digest in zip(b["path"], b["staged"], b["target"], b["out_hash"]):
+                try:
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    os.replace(at, target)
+                    rows.append((path, True))
+                except FileNotFoundError:
+                    rows.append((path, hashed(target) == digest))
+            yield pd.DataFrame(rows, columns=["path", "placed"])
+
+    return files.select("path", "staged", "target", "out_hash").mapInPandas(run, "path string, placed boolean")

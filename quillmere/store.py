@@ -37,7 +37,7 @@ class Store:
     once a tier, however many appends there are."""
 
     #: What delete lists name, and the order of rows in merged runs.
-    KEYS = {"files": "path", "chunks": "path", "vectors": "chunk_id", "postings": "chunk_id"}
+    KEYS = {"files": "path", "chunks": "path", "vectors": "chunk_id", "postings": "chunk_id", "outputs": "input_path"}
     ORDERS = {"postings": ("term", "chunk_id")}
 
     def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], create: bool = False) -> None:
