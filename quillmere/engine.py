@@ -17,7 +17,7 @@ from quillmere.functions import scalars as S
 from quillmere.operators import chunking, lifecycle, search, text_index
 from quillmere.operators.embed import Embedder, HashEmbedder, embedding
 from quillmere.session import written
-from quillmere.sources import extract, graph, local
+from quillmere.sources import extract, graph, library, local
 from quillmere.store import Store, writes
 
 INDEXABLE = ["md", "markdown", "txt", "text", "pdf", "docx", "epub"]
@@ -408,7 +408,7 @@ class CrawlVault:
 
     SCHEMAS = {"sources": schema.SOURCES, "runs": schema.RUNS, "documents": schema.DOCUMENTS}
     IGNORE = ".crawlignore"
-    CONFIG = frozenset(("max_depth", "since_ms", "include", "exclude", "mount", "base", "drive_id", "site_hostname", "site_path", "folder", "web", "delta_links"))
+    CONFIG = frozenset(("max_depth", "since_ms", "include", "exclude", "mount", "base", "drive_id", "site_hostname", "site_path", "folder", "web", "delta_links", "all_sites", "sites_query", "sites_filter", "max_sites"))
 
     def __init__(self, spark: SparkSession, root: str, create: bool = False) -> None:
         self.spark, self.store = spark, Store(spark, root, self.SCHEMAS, create)
@@ -505,12 +505,12 @@ class CrawlVault:
         def folder(root):
             return local.items(self.spark, root, max_depth=p["max_depth"], follow_links=self.store.get("crawl.follow_symlinks"), ignore_lines=ignore_lines(root, self.IGNORE), errors=errors), {}
 
-        def library():
+        def paged():
             if fetch is None:
                 raise local.Unreachable(f"{src['uri']}: pass a fetch callable, or the library's listing as items")
             return graph.discovered(self.spark, fetch, json.loads(src["config"] or "{}"), p["max_depth"], src["strategy"] == "incremental", errors)
 
-        kinds = {"local": lambda: folder(local.root_of(src["uri"])), "smb": lambda: folder(local.mount_of(src["uri"], p["mount"])), "library": library}
+        kinds = {"local": lambda: folder(local.root_of(src["uri"])), "smb": lambda: folder(local.mount_of(src["uri"], p["mount"])), "library": paged}
         return kinds[src["kind"]]()
 
     @staticmethod
@@ -588,33 +588,27 @@ class CrawlVault:
         each = [r.asDict() for r in sources.join(counts, F.col("id") == F.col("source_id"), "left").select("name", "kind", "uri", "strategy", "enabled", F.coalesce("documents", F.lit(0)).alias("documents"), "last_crawled", "last_status").orderBy("name").collect()]
         return of | {"documents": docs.count(), "new_last_run": lifecycle.new_in_last_run(docs, sources).count(), "sources": len(each), "sources_enabled": sum(s["enabled"] for s in each), "per_source": each}
 
-    def fetch(self, out: str) -> dict[str, int]:
-        """Copies live documents of local and mounted sources to <out>/<source>/<path>, where size differs, by tasks."""
-        import pandas as pd
-
+    def fetch(self, out: str, get: library.Bytes | None = None, tasks: int = 4, per_second: float = 10.0) -> dict:
+        """Copies live documents to <out>/<source>/<path>, where size differs, by tasks: those of local and mounted sources from
+        where they lie, those of libraries by get (see library.downloaded). Returns counts, bytes, and both `per_source`."""
         live = self.store.table("documents").where(F.col("status").isin("present", "modified"))
-        named = live.join(self.store.table("sources").select(F.col("id").alias("source_id"), S.sanitized_source("name").alias("source")), "source_id")
-        todo = named.select("uri", F.concat(F.lit(out.rstrip("/") + "/"), "source", F.lit("/"), F.coalesce("rel_path", "name")).alias("to"), "size")
-
-        def copy(batches):
-            import shutil
-
-            for b in batches:
-                rows = []
-                for uri, to, size in zip(b["uri"], b["to"], b["size"]):
-                    try:
-                        if os.path.exists(to) and os.path.getsize(to) == size:
-                            rows.append(("skipped", 0))
-                            continue
-                        os.makedirs(os.path.dirname(to), exist_ok=True)
-                        shutil.copyfile(uri, to)
-                        rows.append(("fetched", os.path.getsize(to)))
-                    except OSError:
-                        rows.append(("errors", 0))
-                yield pd.DataFrame(rows, columns=["outcome", "bytes"])
-
-        done = todo.mapInPandas(copy, "outcome string, bytes long").groupBy("outcome").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()
-        return {"fetched": 0, "skipped": 0, "errors": 0} | {r["outcome"]: r["n"] for r in done} | {"bytes": sum(r["bytes"] for r in done)}
+        of = self.store.table("sources").select(F.col("id").alias("source_id"), S.sanitized_source("name").alias("source"), "kind", "config")
+        to = F.concat(F.lit(out.rstrip("/") + "/"), "source", F.lit("/"), F.coalesce("rel_path", "name"))
+        todo = live.join(of, "source_id").select("source", "kind", "config", "uri", to.alias("to"), "size")
+        far = todo.where("kind = 'library'").withColumn("address", library.download_address(F.col("config"), F.col("uri")))
+        near = todo.where("kind <> 'library'").withColumn("address", F.col("uri"))
+        done = library.downloaded(near, None, self.spark.sparkContext.defaultParallelism, float("inf"), 1)
+        if get is not None:
+            done = done.unionByName(library.downloaded(far, get, tasks, per_second))
+        else:
+            done = done.unionByName(far.select("source", F.lit("errors").alias("outcome"), F.lit(0).cast("long").alias("bytes")))
+        rows = done.groupBy("source", "outcome").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()
+        per = {}
+        for r in rows:
+            one = per.setdefault(r["source"], {"fetched": 0, "skipped": 0, "errors": 0, "bytes": 0})
+            one[r["outcome"]] += r["n"]
+            one["bytes"] += r["bytes"]
+        return {k: sum(x[k] for x in per.values()) for k in ("fetched", "skipped", "errors", "bytes")} | {"per_source": per}
 
     def export(self, form: str = "paths") -> DataFrame:
         """One column `line`: uris, JSON rows, or CSV lines with the source's name."""

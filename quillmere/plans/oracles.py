@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-BM25 = f"""c AS (SELECT doc_id, source, len(list_filter({TOK}, lambda x: x = 'the')) f0, len(list_filter({TOK}, lambda x: x = 'and')) f1, len({TOK}) dl FROM documents),
+from quillmere.operators.text_index import PLAIN
+
+ASCII = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+#: Letters and digits of any script, Latin letters without their diacritics, marks that stand apart dropped.
+ANY = rf"regexp_extract_all(translate(regexp_replace(lower(translate(text, '{''.join(PLAIN)}', '{''.join(PLAIN.values())}')), '\p{{Mn}}', '', 'g'), 'ς', 'σ'), '[\p{{L}}\p{{N}}]+')"
+
+
+def bm25(tok: str) -> str:
+    return f"""c AS (SELECT doc_id, source, len(list_filter({tok}, lambda x: x = 'the')) f0, len(list_filter({tok}, lambda x: x = 'and')) f1, len({tok}) dl FROM documents),
 st AS (SELECT count(*) n, avg(dl) a, count(*) FILTER (f0 > 0) n0, count(*) FILTER (f1 > 0) n1 FROM c),
 k AS (SELECT doc_id, source, -((CASE WHEN ln((n-n0+0.5)/(n0+0.5)) <= 0 THEN 1e-6 ELSE ln((n-n0+0.5)/(n0+0.5)) END) * f0*2.2/(f0+1.2*(0.25+0.75*dl/a)) + (CASE WHEN ln((n-n1+0.5)/(n1+0.5)) <= 0 THEN 1e-6 ELSE ln((n-n1+0.5)/(n1+0.5)) END) * f1*2.2/(f1+1.2*(0.25+0.75*dl/a))) score FROM c, st WHERE f0 > 0 AND f1 > 0)"""
+
+
 KNN = "v AS (SELECT vec_id, list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) distance FROM embeddings)"
 
 
-def hybrid(n: int, vector: bool = True, keyword: bool = True, match: str = "true", where: str = "true") -> str:
+def hybrid(n: int, vector: bool = True, keyword: bool = True, match: str = "true", where: str = "true", tok: str = ASCII) -> str:
     none = "SELECT NULL::BIGINT doc_id, NULL::INT r WHERE false"
     v = f"SELECT vec_id doc_id, row_number() OVER (ORDER BY distance, vec_id)::INT r FROM (SELECT * FROM v ORDER BY distance, vec_id LIMIT {n}) JOIN documents ON doc_id = vec_id WHERE {match}" if vector else none
     if match == "true" and vector:
         v = f"SELECT vec_id doc_id, row_number() OVER (ORDER BY distance, vec_id)::INT r FROM (SELECT * FROM v ORDER BY distance, vec_id LIMIT {n})"
     k = f"SELECT doc_id, row_number() OVER (ORDER BY score, doc_id)::INT r FROM (SELECT * FROM k ORDER BY score, doc_id LIMIT {n}) WHERE {match}" if keyword else none
-    return f"""WITH {BM25}, {KNN}, vr AS ({v}), kr AS ({k}),
+    return f"""WITH {bm25(tok)}, {KNN}, vr AS ({v}), kr AS ({k}),
 f AS (SELECT coalesce(vr.doc_id, kr.doc_id) doc_id, vr.r vector_rank, kr.r keyword_rank, coalesce(1.0::DOUBLE/(60+vr.r),0)+coalesce(1.0::DOUBLE/(60+kr.r),0) score FROM vr FULL JOIN kr ON vr.doc_id = kr.doc_id)
 SELECT doc_id, vector_rank, keyword_rank, round(score, 9) score FROM f WHERE {where} ORDER BY f.score DESC, vector_rank NULLS LAST, keyword_rank NULLS LAST, doc_id LIMIT 10"""
 
@@ -41,8 +50,8 @@ REPORT = "SELECT count(*) FILTER (outcome='discovered') discovered, count(*) FIL
 SENT = r"list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+$'), lambda s: trim(s, ' ')), lambda s: len(s) > 0)"
 
 ORACLES = {
-    "keyword_bm25_topk": f"WITH {BM25} SELECT doc_id, round(score, 6) score FROM k ORDER BY k.score, doc_id LIMIT 20",
-    "keyword_bm25_all_terms": f"WITH {BM25} SELECT doc_id, round(score, 6) score FROM k",
+    "keyword_bm25_topk": f"WITH {bm25(ASCII)} SELECT doc_id, round(score, 6) score FROM k ORDER BY k.score, doc_id LIMIT 20",
+    "keyword_bm25_all_terms": f"WITH {bm25(ASCII)} SELECT doc_id, round(score, 6) score FROM k",
     "vector_knn_l2": f"WITH {KNN} SELECT vec_id, round(distance, 5) distance FROM v ORDER BY v.distance, vec_id LIMIT 20",
     "hybrid_rrf": hybrid(20),
     "hybrid_rrf_filtered": hybrid(20, match="source LIKE 'src1%'"),
@@ -109,3 +118,12 @@ CASE WHEN status='failed' THEN 'skipped' WHEN clash THEN 'kept_existing_output'
     "prune_report": f"WITH {FILES} SELECT status, count(*) removed FROM files WHERE status <> 'indexed' GROUP BY 1",
     "add_report": f"WITH {FILES} SELECT CASE WHEN doc_id%2=0 THEN 'already_registered' ELSE 'added' END outcome, count(*) n FROM files GROUP BY 1",
 }
+
+ORACLES |= {
+    "keyword_bm25_topk_unicode": f"WITH {bm25(ANY)} SELECT doc_id, round(score, 6) score FROM k ORDER BY k.score, doc_id LIMIT 20",
+    "keyword_bm25_all_terms_unicode": f"WITH {bm25(ANY)} SELECT doc_id, round(score, 6) score FROM k",
+    "hybrid_rrf_unicode": hybrid(20, tok=ANY),
+    "hybrid_rrf_filtered_unicode": hybrid(20, match="source LIKE 'src1%'", tok=ANY),
+    "search_threshold_unicode": hybrid(20, where="score >= 0.0150", tok=ANY),
+    "keyword_only_rrf_unicode": hybrid(10, vector=False, tok=ANY),
+}

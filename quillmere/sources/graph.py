@@ -21,6 +21,8 @@ SYSTEM_LIBRARIES = (
 SYSTEM_FOLDERS = ("Forms",)
 # Fixed value: the public interface of document libraries.
 BASE = "https://graph.microsoft.com/v1.0"
+#: Rows of a page of a site search.
+SEARCHED = 100
 
 
 def paged(fetch: Fetch, url: str | None) -> Iterator[dict]:
@@ -30,10 +32,14 @@ def paged(fetch: Fetch, url: str | None) -> Iterator[dict]:
         url = page.get("@odata.nextLink")
 
 
-def traversed(fetch: Fetch, base: str, drive: str, folder: str | None = None, max_depth: int | None = None) -> Iterator[dict]:
-    """File items below a drive's root or folder; the root's children are depth 1."""
-    start = f"{base}/drives/{drive}/root" + (f":/{quote(folder.strip('/'))}:" if folder else "") + "/children"
-    todo = [(start, 1)]
+def children(base: str, drive: str, folder: str | None = None) -> str:
+    """Where a drive's root, or a folder of it, is listed."""
+    return f"{base}/drives/{drive}/root" + (f":/{quote(folder.strip('/'))}:" if folder else "") + "/children"
+
+
+def traversed(fetch: Fetch, base: str, drive: str, start: str, depth: int = 1, max_depth: int | None = None) -> Iterator[dict]:
+    """File items below an address that lists a folder, whose children are of that depth."""
+    todo = [(start, depth)]
     while todo:
         url, depth = todo.pop()
         for page in paged(fetch, url):
@@ -66,16 +72,32 @@ def row(item: dict, prefix: str | None = None) -> tuple | None:
     return (uri, name, rel, None, item.get("size"), None, digest, item.get("lastModifiedDateTime"))
 
 
-def items(spark: SparkSession, found: Iterator[dict], prefix: str | None = None) -> DataFrame:
-    df = spark.createDataFrame([r for i in found if (r := row(i, prefix))], ITEMS + ", modified string")
-    return df.withColumns({"extension": S.extension("name"), "modified_ms": S.iso_ms("modified")}).drop("modified")
+RAW = "uri string, name string, rel_path string, extension string, size long, modified_ms long, content_hash string, modified string, note string"
+
 
+def items(raw: DataFrame) -> DataFrame:
+    """ITEMS of RAW rows that are no errors."""
+    found = raw.where(F.col("note").isNull()).withColumns({"extension": S.extension("name"), "modified_ms": S.iso_ms("modified")})
+    return found.drop("modified", "note")
 
-def sites(rows: DataFrame, host: str, contains: str | None = None, most: int = 50) -> DataFrame:
-    """Distinct sites of one host whose url has a substring, up to a stated number."""
-    out = rows.where(F.parse_url("url", F.lit("HOST")) == host)
-    out = out.where(F.contains(F.lower("url"), F.lit(contains.lower()))) if contains else out
-    return out.dropDuplicates(["url"]).orderBy("url").limit(most)
+
+def searched_sites(fetch: Fetch, web: str, query: str, contains: str | None = None, most: int = 100) -> list[str]:
+    """Addresses of the distinct sites on the web's own host that a paged search finds, of those whose address has a substring;
+    `most` of them at most, which is a stated limit of a run."""
+    host, found, start = urlsplit(web), {}, 0
+    while len(found) < most:
+        page = fetch(f"{web}/_api/search/query?querytext='{quote(query)}'&rowlimit={SEARCHED}&startrow={start}&selectproperties='Path'&trimduplicates=true")
+        results = (page.get("PrimaryQueryResult") or {}).get("RelevantResults") or {}
+        rows = (results.get("Table") or {}).get("Rows") or []
+        paths = [c["Value"] for r in rows for c in r.get("Cells") or [] if c.get("Key") == "Path" and c.get("Value")]
+        for p in paths:
+            at = urlsplit(p)
+            if at.netloc.lower() == host.netloc.lower() and (not contains or contains in p):
+                found.setdefault(f"{host.scheme}://{host.netloc}{at.path.rstrip('/')}")
+        start += SEARCHED
+        if not paths or start >= (results.get("TotalRows") or 0):
+            break
+    return list(found)[:most]
 
 
 def drives(fetch: Fetch, base: str, config: dict) -> list[tuple[str, str | None]]:
@@ -123,29 +145,30 @@ def rest_walked(fetch: Fetch, web: str, max_depth: int | None = None, errors: li
                 errors.append(f"{library.get('Title')}: {e}")
 
 
-def rest_items(spark: SparkSession, found: Iterator[dict], host: str, site_path: str = "") -> DataFrame:
-    """Rows of ITEMS of the older interface's files; sizes come as text or numbers, paths without the site's."""
-    raw = [(f.get("Name"), f.get("ServerRelativeUrl"), None if f.get("Length") is None else str(f["Length"]), f.get("TimeLastModified")) for f in found]
-    df = spark.createDataFrame(raw, "name string, at string, length string, modified string").where("name IS NOT NULL AND at IS NOT NULL")
-    below = F.when(F.startswith("at", F.lit(site_path)), F.substring(F.col("at"), F.lit(len(site_path) + 1), F.length("at"))).otherwise(F.col("at"))
-    return df.select(F.concat(F.lit(f"https://{host}"), "at").alias("uri"), "name", F.regexp_replace(below, "^/+", "").alias("rel_path"), S.extension("name").alias("extension"), F.expr("try_cast(length AS long)").alias("size"), S.iso_ms("modified").alias("modified_ms"), F.lit(None).cast("string").alias("content_hash"))
+def rest_row(f: dict, host: str, site_path: str = "", prefix: str | None = None) -> tuple | None:
+    """A file of the older interface as a RAW row; sizes come as text or numbers, paths go without the site's."""
+    name, at, length = f.get("Name"), f.get("ServerRelativeUrl"), f.get("Length")
+    if not name or not at:
+        return None
+    below = at.removeprefix(site_path).lstrip("/")
+    size = int(length) if length is not None and str(length).isdigit() else None
+    return (f"https://{host}{at}", name, "/".join(x for x in (prefix, below) if x), None, size, None, None, f.get("TimeLastModified"), None)
 
 
 def discovered(spark: SparkSession, fetch: Fetch, config: dict, max_depth: int | None = None, incremental: bool = False, errors: list | None = None) -> tuple[DataFrame, dict]:
-    """Items of a library source, and what its configuration must remember. With web, by the older interface; an incremental run
-    goes on from each library's last link. With several libraries, paths start with the library's name."""
-    base = config.get("base") or BASE
-    if config.get("web"):
-        at = urlsplit(config["web"])
-        return rest_items(spark, rest_walked(fetch, config["web"].rstrip("/"), max_depth, errors), at.netloc, at.path.rstrip("/")), {}
-    found, links, all_ = None, dict(config.get("delta_links") or {}), drives(fetch, base, config)
-    for drive, name in all_:
-        prefix = name if len(all_) > 1 else None
-        if incremental:
-            rows, link = delta(fetch, base, drive, links.get(drive))
+    """Items of a library source, and what its configuration must remember. Tasks list (see library.source): a site or a top folder
+    each. With web, by the older interface, with all_sites every site that a search finds; what can't be read there goes to errors.
+    An incremental run goes on from each library's last link. With several libraries, paths start with the library's name."""
+    from quillmere.sources import library
+
+    if incremental and not config.get("web"):
+        base, links, all_, rows = config.get("base") or BASE, dict(config.get("delta_links") or {}), drives(fetch, config.get("base") or BASE, config), []
+        for drive, name in all_:
+            changed, link = delta(fetch, base, drive, links.get(drive))
             links |= {drive: link} if link else {}
-        else:
-            rows = traversed(fetch, base, drive, config.get("folder"), max_depth)
-        part = items(spark, rows, prefix)
-        found = part if found is None else found.unionByName(part)
-    return found, ({"delta_links": links} if incremental else {})
+            rows += [r for i in changed if (r := row(i, name if len(all_) > 1 else None))]
+        return items(spark.createDataFrame([(*r, None) for r in rows], RAW)), {"delta_links": links}
+    found = library.listed(spark, fetch, config, max_depth)
+    if errors is not None:
+        errors += [r["note"] for r in found.where("note IS NOT NULL").orderBy("note").limit(100).collect()]
+    return items(found), {}

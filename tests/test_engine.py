@@ -183,9 +183,9 @@ def test_graph_pages(spark):
         "b/drives/d/items/f/children": {"value": [item | {"name": "c.txt", "webUrl": "https://h/c.txt"}]},
         "b/drives/d/root/delta": {"value": [item, {"id": "9", "deleted": {}, "file": {}}], "@odata.deltaLink": "token=final"},
     }
-    assert len(list(graph.traversed(pages.get, "b", "d"))) == 3 and len(list(graph.traversed(pages.get, "b", "d", max_depth=1))) == 2
+    assert len(list(graph.traversed(pages.get, "b", "d", graph.children("b", "d")))) == 3 and len(list(graph.traversed(pages.get, "b", "d", graph.children("b", "d"), max_depth=1))) == 2
     found, link = graph.delta(pages.get, "b", "d")
-    row = graph.items(spark, found).first()
+    row = graph.items(spark.createDataFrame([(*graph.row(i), None) for i in found], graph.RAW)).first()
     assert link == "token=final" and (row["rel_path"], row["extension"], row["content_hash"], row["modified_ms"]) == ("Top x/a.pdf", "pdf", "q", 1704067200000)
 
 

@@ -1,11 +1,14 @@
 """Document libraries as sources: resolution, both interfaces, links remembered between runs."""
 
+import base64
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmere.engine import CrawlVault
-from quillmere.sources import graph
+from quillmere.sources import graph, library
 from quillmere.sources.local import Unreachable
 
 
@@ -81,3 +84,99 @@ def test_the_older_interface(spark):
     assert rows == [("https://h/sites/x/Docs/It's/b.txt", "Docs/It's/b.txt", "txt", 7, 1704067200000), ("https://h/sites/x/Docs/a.PDF", "Docs/a.PDF", "pdf", 12, 1704067200000), ("https://h/sites/x/Docs/odd", "Docs/odd", None, None, 1704067200000)]
     assert len(errors) == 1 and errors[0].startswith("Closed")
     assert graph.discovered(spark, fetching(pages), {"web": "https://h/sites/x"}, max_depth=1)[0].count() == 2
+
+
+def test_libraries_as_a_data_source(spark):
+    """By tasks: a part for each top folder; the rows are those of a walk, and of discovered()."""
+    folder = lambda i: {"id": i, "name": i, "folder": {}}
+    pages = {
+        "b/drives/d1/root/children": {"value": [item("a.pdf"), folder("f1")], "@odata.nextLink": "more"}, "more": {"value": [folder("f2"), item("z.md")]},
+        "b/drives/d1/items/f1/children": {"value": [item("b.txt", "f1"), folder("g")]}, "b/drives/d1/items/g/children": {"value": [item("c.md", "f1/g")]}, "b/drives/d1/items/f2/children": {"value": []},
+    }
+    fetch = fetching(pages)
+    spark.dataSource.register(library.source(fetch))
+    found = spark.read.format("library").options(base="b", drive_id="d1").load()
+    assert found.rdd.getNumPartitions() == 3 and sorted(r["rel_path"] for r in found.collect()) == ["a.pdf", "f1/b.txt", "f1/g/c.md", "z.md"]
+    for depth, want in ((1, ["a.pdf", "z.md"]), (2, ["a.pdf", "f1/b.txt", "z.md"]), (None, ["a.pdf", "f1/b.txt", "f1/g/c.md", "z.md"])):
+        assert sorted(r["rel_path"] for r in graph.discovered(spark, fetch, {"base": "b", "drive_id": "d1"}, depth)[0].collect()) == want
+    del pages["b/drives/d1/items/g/children"]
+    with pytest.raises(Unreachable):
+        graph.discovered(spark, fetching(pages), {"base": "b", "drive_id": "d1"})
+
+
+def test_a_stream_of_changes(spark, tmp_path):
+    """Run to completion twice: the second run reads on from the link where the first ended."""
+    at = "b/drives/d1/root/delta"
+    pages = {at: {"value": [item("a.pdf"), item("b.txt")], "@odata.deltaLink": "link1"}, f"{at}?token=latest": {"value": [], "@odata.deltaLink": "link1"}}
+    got = []
+
+    def run():
+        spark.dataSource.register(library.source(fetching(pages), "library_stream"))
+        rows = spark.readStream.format("library_stream").options(base="b", drive_id="d1").load()
+        rows.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, _: got.append(sorted(r["name"] for r in df.collect()))).start().awaitTermination()
+
+    run()
+    assert [x for x in got if x] == [["a.pdf", "b.txt"]]
+    pages |= {"link1": {"value": [item("c.md"), item("gone.md") | {"deleted": {}}], "@odata.deltaLink": "link2"}, f"{at}?token=latest": {"value": [], "@odata.deltaLink": "link2"}}
+    got.clear()
+    run()
+    assert [x for x in got if x] == [["c.md"]]
+
+
+def site_pages(host, rel, files, broken=False):
+    lists = f"https://{host}{rel}/_api/web/lists?$select=Title,Hidden,BaseTemplate,RootFolder/ServerRelativeUrl&$expand=RootFolder&$top=500"
+    at = f"https://{host}{rel}/_api/web/GetFolderByServerRelativeUrl('{rel}/Docs')"
+    if broken:
+        return {}
+    return {
+        lists: {"value": [{"Title": "Docs", "BaseTemplate": 101, "Hidden": False, "RootFolder": {"ServerRelativeUrl": f"{rel}/Docs"}}, {"Title": "Converted forms", "BaseTemplate": 101, "Hidden": False, "RootFolder": {"ServerRelativeUrl": f"{rel}/CF"}}]},
+        f"{at}/Files?$select=Name,ServerRelativeUrl,Length,TimeLastModified&$top=5000": {"value": [{"Name": n, "ServerRelativeUrl": f"{rel}/Docs/{n}", "Length": len(n)} for n in files]}, f"{at}/Folders?$select=Name,ServerRelativeUrl&$top=5000": {"value": []},
+    }
+
+
+def found_sites(paths, total):
+    return {"PrimaryQueryResult": {"RelevantResults": {"TotalRows": total, "Table": {"Rows": [{"Cells": [{"Key": "Title", "Value": "t"}, {"Key": "Path", "Value": p}]} for p in paths]}}}}
+
+
+def test_a_whole_tenant(spark, tmp_path):
+    """Two pages of a search; another host and a repeated site are left out, a broken site is an error and no end of the run."""
+    search = "https://h/_api/search/query?querytext='contentclass%3ASTS_Site'&rowlimit=100&startrow={}&selectproperties='Path'&trimduplicates=true"
+    pages = {
+        search.format(0): found_sites(["https://h/sites/x", "https://h-my/personal/q", "https://H/sites/x/"], 102), search.format(100): found_sites(["https://h/sites/y", "https://h/sites/z"], 102),
+        **site_pages("h", "/sites/x", ["a.md", "it's.md"]), **site_pages("h", "/sites/y", ["b.txt"]), **site_pages("h", "/sites/z", [], broken=True),
+    }
+    fetch = fetching(pages)
+    assert graph.searched_sites(fetch, "https://h", library.ALL_SITES) == ["https://h/sites/x", "https://h/sites/y", "https://h/sites/z"]
+    assert graph.searched_sites(fetch, "https://h", library.ALL_SITES, "sites/y") == ["https://h/sites/y"] and len(graph.searched_sites(fetch, "https://h", library.ALL_SITES, most=1)) == 1
+    v = CrawlVault(spark, str(tmp_path), create=True)
+    v.add_source("tenant", "https://h", "library", web="https://h", all_sites=True)
+    r = v.discover(fetch=fetch)["tenant"]
+    assert r["discovered"] == 3 and sorted(x["rel_path"] for x in v.ls().collect()) == ["sites/x/Docs/a.md", "sites/x/Docs/it's.md", "sites/y/Docs/b.txt"]
+    run = v.store.table("runs").first()
+    assert (run["status"], run["errors"]) == ("partial", 1) and "sites/z" in run["note"]
+    root = "https://h/_api/web/GetFileByServerRelativeUrl('/sites/{}')/$value"
+    data = {root.format("x/Docs/a.md"): b"a.md", root.format("x/Docs/it''s.md"): b"seven b", root.format("y/Docs/b.txt"): b"other"}
+    got = v.fetch(str(tmp_path / "out"), fetching(data), tasks=2, per_second=1000)
+    assert (got["fetched"], got["errors"], got["bytes"], got["per_source"]["tenant"]["fetched"]) == (3, 0, 16, 3)
+    assert open(tmp_path / "out/tenant/sites/x/Docs/it's.md", "rb").read() == b"seven b" and not [f for f in (tmp_path / "out").rglob("*.????????????????????????????????")]
+    again = v.fetch(str(tmp_path / "out"), fetching(data), tasks=2, per_second=1000)
+    assert (again["fetched"], again["skipped"]) == (0, 3) or (again["fetched"], again["skipped"]) == (1, 2)  # other's length isn't the registered one
+
+
+def test_downloads_are_tried_again(spark, tmp_path):
+    """Each call fails twice and then goes through; an address that never does is counted; libraries have addresses of their own."""
+    tried = str(tmp_path / "tried")
+    os.makedirs(tried)
+
+    def get(url):
+        n = len([x for x in os.listdir(tried) if x.startswith(url)])
+        open(os.path.join(tried, f"{url}-{n}"), "w").close()
+        if n < 2 or url == "never":
+            raise OSError("busy")
+        return url.encode()
+
+    files = spark.createDataFrame([("s", u, str(tmp_path / "o" / u), 5) for u in ("one", "two", "never")], "source string, address string, to string, size long")
+    rows = sorted((r["outcome"], r["bytes"]) for r in library.downloaded(files, get, 2, 1000, tries=3, wait=0.01).collect())
+    assert rows == [("errors", 0), ("fetched", 3), ("fetched", 3)] and sorted(os.listdir(tmp_path / "o")) == ["one", "two"]
+    at = spark.createDataFrame([('{"base": "b"}', "https://h/d1/é?.pdf"), ("{}", "x")], "c string, u string").select(library.download_address(F.col("c"), F.col("u"))).collect()
+    assert at[0][0] == "b/shares/u!" + base64.urlsafe_b64encode("https://h/d1/é?.pdf".encode()).decode().rstrip("=") + "/driveItem/content" and at[1][0].startswith(graph.BASE + "/shares/u!eA/")
