@@ -76,11 +76,17 @@ def gathered(spark: SparkSession, root: str, paths: list[str] | None, ignore: li
     return rows.where(F.col("fit") & F.coalesce(ext.isin(INDEXABLE), F.lit(False))).select("path"), rows.count()
 
 
+def tiers_of_old_stores(store: Store) -> dict[str, DataFrame]:
+    """Postings from before tiers get them, and their order."""
+    rows = store.table("postings").withColumn("tier", text_index.tier_of(F.col("at"), F.col("dl")))
+    return {"postings": text_index.in_ranges(rows, "chunk_id")}
+
+
 class IndexVault:
     """Files below a root: registered, chunked, embedded and searched. Chunks exist only for indexed files."""
 
     SCHEMAS = {"files": schema.FILES, "chunks": schema.CHUNKS, "vectors": schema.VECTORS, "postings": schema.POSTINGS, "results": schema.RESULTS}
-    MIGRATIONS = {1: postings_of_old_stores}
+    MIGRATIONS = {1: postings_of_old_stores, 2: tiers_of_old_stores}
     IGNORE = ".vaultignore"
 
     def __init__(self, spark: SparkSession, root: str, create: bool = False, embedder: Embedder | None = None) -> None:
@@ -215,8 +221,9 @@ class IndexVault:
         chunks = self.store.table("chunks").withColumnRenamed("id", "chunk_id")
         e = None if mode == "keyword" else self.embedder.embed([query])[0]
         lengths = chunks.agg(F.count("*").alias("_n"), F.avg("n_terms").alias("_avg"))
-        found = None if mode == "vector" else text_index.bm25_of_postings(self.store.table("postings"), lengths, "chunk_id", query)
-        hits = search.search(chunks, self.store.table("vectors"), query, e, k or self.store.get("retrieval.default_k"), mode, path_glob, threshold, self.store.get("retrieval.rrf_constant"), keyword_hits=found)
+        k = k or self.store.get("retrieval.default_k")
+        found = None if mode == "vector" else text_index.bm25_top(self.store.table("postings"), lengths, "chunk_id", query, 2 * k if mode == "hybrid" else k)
+        hits = search.search(chunks, self.store.table("vectors"), query, e, k, mode, path_glob, threshold, self.store.get("retrieval.rrf_constant"), keyword_hits=found)
         return hits.join(chunks, "chunk_id").select("chunk_id", "path", "ordinal", "heading_path", "page_number", "content", "score", "vector_rank", "keyword_rank").orderBy(F.desc("score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("keyword_rank"))
 
     def show(self, path: str | None = None, chunk_id: str | None = None) -> DataFrame:

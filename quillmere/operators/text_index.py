@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 import unicodedata
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Tiers of a term's postings beyond the first, and how many times k rows the first ones read should hold.
+LAST_TIER, FIRST = 20, 4
 #: What stands between runs of ASCII letters and digits, and of letters and digits of any script.
 ASCII, ANY = "[^a-z0-9]+", r"[^\p{L}\p{N}]+"
 
@@ -83,14 +86,78 @@ def scored(counted: DataFrame, stats: DataFrame, id_col: str, terms: int, all_te
 
 
 def postings(table: DataFrame, id_col: str, text, unicode: bool = True) -> DataFrame:
-    """term, id, at, dl: each distinct token of a row with its places, and the row's number of tokens. Written in ranges of
-    terms (a frequent term fills several), so that a reader of few terms skips the other row groups."""
+    """term, id, at, dl, tier: each distinct token of a row with its places, and the row's number of tokens. Written in ranges of
+    terms and their tiers (a frequent term fills several), so that a reader of few skips the other row groups."""
     placed = table.select(id_col, tokens(text, unicode).alias("_t")).select(id_col, F.size("_t").alias("dl"), F.posexplode("_t").alias("_at", "term"))
-    return placed.groupBy("term", id_col, "dl").agg(F.sort_array(F.collect_list("_at")).alias("at")).select("term", id_col, "at", "dl")
+    found = placed.groupBy("term", id_col, "dl").agg(F.sort_array(F.collect_list("_at")).alias("at"))
+    return found.select("term", id_col, "at", "dl", tier_of(F.col("at"), F.col("dl")))
+
+
+def tier_of(at, dl):
+    """How far down a term's postings a row stands: each tier has rows in which it is half as dense as in the one before."""
+    return F.least(F.lit(LAST_TIER), F.floor(F.log2(dl / F.size(at)))).cast("int").alias("tier")
 
 
 def in_ranges(rows: DataFrame, id_col: str) -> DataFrame:
-    return rows.repartitionByRange("term", id_col).sortWithinPartitions("term", id_col)
+    return rows.repartitionByRange("term", "tier", id_col).sortWithinPartitions("term", "tier", id_col)
+
+
+def most_of_tier(tier: int, avg: float) -> float:
+    """No row of a tier or a later one gets more than this for a term, times its weight: f / dl is 1 / 2^tier at most, and the more
+    often a term stands there, the nearer the row comes to it."""
+    return (K1 + 1) / (1 + K1 * B * 2.0**tier / avg)
+
+
+def tiers_needed(weights: list[float], avg: float, least: float) -> list[int]:
+    """The last tier of each term in which a row with all terms could still reach a score of `least`; -1 if none could."""
+    best = [w * most_of_tier(0, avg) for w in weights]
+    return [max([t for t in range(LAST_TIER + 1) if w * most_of_tier(t, avg) + sum(best) - b >= least * (1 - 1e-12)], default=-1) for w, b in zip(weights, best)]
+
+
+def bm25_top(stored: DataFrame, lengths: DataFrame, id_col: str, query: str, k: int) -> DataFrame:
+    """The k best rows of bm25_of_postings() with all terms, ties to the smaller id, and perhaps others.
+
+    Rows of the rarest term are intersected with the others', so that no frequent term's postings are gathered. First come those of its
+    tiers that promise k rows; the kth score found tells how far down each term's tiers a better row could stand, and only these
+    blocks are read again. Phrases go the whole way. What reaches the driver is a count for each term and tier, and a score."""
+    terms = query_terms(query)
+    parts = stored.sparkSession.sql("SELECT 1").select(F.array(*[tokens(F.lit(t), True) for t in terms])).first()[0] if terms else []
+    if not any(parts) or any(len(run) != 1 for run in parts):
+        return bm25_of_postings(stored, lengths, id_col, query)
+    wanted = [run[0] for run in parts]
+    counts: dict[str, dict[int, int]] = {}
+    for r in stored.where(F.col("term").isin(sorted(set(wanted)))).groupBy("term", "tier").count().collect():
+        counts.setdefault(r["term"], {})[r["tier"]] = r["count"]
+    n, avg = lengths.select("_n", "_avg").first()
+    if set(wanted) - counts.keys():
+        return stored.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    order = sorted(wanted, key=lambda t: sum(counts[t].values()))
+    df = [sum(counts[t].values()) for t in order]
+    idf = [math.log((n - x + 0.5) / (x + 0.5)) for x in df]
+    weights = [LEAST_IDF if x <= 0 else x for x in idf]
+
+    def scores(last: list[int]) -> DataFrame:
+        found = None
+        for i, (term, tier) in enumerate(zip(order, last)):
+            one = stored.where((F.col("term") == term) & (F.col("tier") <= tier)).select(id_col, F.col("dl").alias(f"_d{i}"), F.size("at").alias(f"_f{i}"))
+            found = one if found is None else found.join(one, id_col)
+        score = F.lit(0.0)
+        for i, w in enumerate(weights):
+            f = F.col(f"_f{i}")
+            score = score + F.lit(w) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_d0") / F.lit(avg)))
+        return found.select(id_col, (-score).alias("score"))
+
+    seen, first = 0, LAST_TIER
+    for tier in sorted(counts[order[0]]):
+        seen += counts[order[0]][tier]
+        if seen >= FIRST * k:
+            first = tier
+            break
+    whole = [LAST_TIER] * len(order)
+    if first == LAST_TIER:
+        return scores(whole)
+    some = scores([first, *whole[1:]]).orderBy("score", id_col).limit(k).agg(F.count("*").alias("n"), F.max("score").alias("kth")).first()
+    return scores(tiers_needed(weights, avg, -some["kth"]) if some["n"] == k else whole)
 
 
 def followed(starts, places, by: int):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 FILES = "id long, path string, added_at long, status string, status_detail string, status_note string, last_mtime long, last_size long, last_hash string, last_indexed long, attempts long, last_attempt long"
 CHUNKS = "id string, path string, ordinal int, content string, content_hash string, heading_path string, page_number int, token_count int, created_at long, n_terms int"
-POSTINGS = "term string, chunk_id string, at array<int>, dl int"
+POSTINGS = "term string, chunk_id string, at array<int>, dl int, tier int"
 RESULTS = "path string, outcome string, detail string, chunks long"
 CONVERSIONS = "input_path string, outcome string, detail string, output_path string"
 VECTORS = "chunk_id string, embedding array<float>"

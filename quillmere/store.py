@@ -38,7 +38,7 @@ class Store:
 
     #: What delete lists name, and the order of rows in merged runs.
     KEYS = {"files": "path", "chunks": "path", "vectors": "chunk_id", "postings": "chunk_id", "outputs": "input_path"}
-    ORDERS = {"postings": ("term", "chunk_id")}
+    ORDERS = {"postings": ("term", "tier", "chunk_id")}
 
     def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], create: bool = False) -> None:
         self.spark, self.root, self.schemas = spark, os.path.realpath(root), schemas

@@ -33,6 +33,35 @@ def test_postings_score_as_the_texts_do(spark, tmp_path):
     assert "PushedFilters: [In(term, [and,the])]" in plan
 
 
+def test_top_of_postings_by_tiers(spark, tmp_path):
+    """The k best are those of all rows, ties too; tiers that can't reach the kth score aren't read, and are skipped in the file."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    made = [(2_000_000 + i, "reef " * (1 + i % 3) + "sand " * (i % 2) + "filler " * (i * 7 % 300)) for i in range(400)]
+    docs = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    path = str(tmp_path / "p")
+    text_index.in_ranges(text_index.postings(docs, "doc_id", F.col("text")), "doc_id").write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert stored.where("dl / size(at) < pow(2, tier) OR tier < 20 AND dl / size(at) >= pow(2, tier + 1)").count() == 0
+    lengths = docs.select(F.size(text_index.tokens(F.col("text"), True)).alias("n")).agg(F.count("*").alias("_n"), F.avg("n").alias("_avg")).cache()
+    best = lambda df, k: [(r[0], round(r[1], 9)) for r in text_index.top(df, "doc_id", k).collect()]
+    for query in ("reef", "sand reef", "the", "the and", "reef zzzz", "reef reef", "sand_reef", "", "_"):
+        want = text_index.bm25_of_postings(stored, lengths, "doc_id", query)
+        for k in (1, 5, 40, 1000) if query == "sand reef" else (5,):
+            assert best(text_index.bm25_top(stored, lengths, "doc_id", query, k), k) == best(want, k), (query, k)
+    whole, read = text_index.bm25_of_postings(stored, lengths, "doc_id", "reef").count(), text_index.bm25_top(stored, lengths, "doc_id", "reef", 5)
+    assert 5 <= read.count() < whole / 3
+    assert "PushedFilters: [IsNotNull(term), IsNotNull(tier), EqualTo(term,reef), LessThanOrEqual(tier," in read._jdf.queryExecution().toString()
+
+
+def test_bounds_hold():
+    for avg in (3.0, 120.0):
+        for dl in (1, 2, 7, 100, 5000):
+            for f in range(1, min(dl, 40) + 1):
+                tier = min(text_index.LAST_TIER, int(np.floor(np.log2(dl / f))))
+                got = f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avg))
+                assert all(got <= text_index.most_of_tier(t, avg) for t in range(tier + 1))
+
+
 def test_postings_follow_chunks(spark, tmp_path):
     root = str(tmp_path)
     put(root, "reef.md", "# Reef\n\nCoral grows slowly.")
