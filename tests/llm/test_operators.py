@@ -336,15 +336,12 @@ def test_ctw_is_a_distribution(spark, docs):
         assert abs(p[np.searchsorted(all_, more)].sum() - 1) < 1e-9
 
 
-def test_ctw_equals_a_tree_by_recursion(spark):
-    """Every gram's score is that of a plain recursive tree: Krichevsky-Trofimov estimates of all depths mixed by halves; where
-    the child on the path never occurred, the node's own estimate stands for it."""
-    text = b"banana bandana cabana " * 4
-    g, _ = ctw.codes(pa.array([text.decode()]))
-    key, n = np.unique(g, return_counts=True)
-    got = ctw.log_scores(key, n.astype(float), ctw_upper(key, n.astype(float)))
+def tree_by_recursion(key, n):
+    """log10 scores of any gram by a plain recursive tree over grams with counts: Krichevsky-Trofimov estimates of all depths mixed
+    by halves; where the child on the path never occurred, the node's own estimate stands for it."""
     counts = collections.defaultdict(lambda: [0, 0])
     below = collections.defaultdict(set)
+    known: dict = {}
     for k, times in zip(key.tolist(), n.tolist()):
         data = k.to_bytes(ctw.DEPTH + 1, "big")
         context, x = data[:-1], data[-1]
@@ -363,7 +360,9 @@ def test_ctw_equals_a_tree_by_recursion(spark):
         context, before = node
         if len(context) == ctw.DEPTH:
             return own(node)
-        return np.logaddexp(own(node) - math.log(2), sum(whole((c, before)) for c in below[node]) - math.log(2))
+        if node not in known:
+            known[node] = np.logaddexp(own(node) - math.log(2), sum(whole((c, before)) for c in below[node]) - math.log(2))
+        return known[node]
 
     def one(context, before, depth=0):
         node = (context[ctw.DEPTH - depth :], before)
@@ -374,13 +373,41 @@ def test_ctw_equals_a_tree_by_recursion(spark):
         share = math.exp(own(node) - math.log(2) - whole(node))
         return share * mine + (1 - share) * one(context, before, depth + 1)
 
-    for k, score in zip(key.tolist(), got):
+    def score(k):
         data = k.to_bytes(ctw.DEPTH + 1, "big")
-        want = 0.0
+        out = 0.0
         for place in range(8):
             p = one(data[:-1], (1 << place) | (data[-1] >> (8 - place)))
-            want += math.log10(p if data[-1] >> (7 - place) & 1 else 1 - p)
-        assert abs(score - want) < 1e-8
+            out += math.log10(p if data[-1] >> (7 - place) & 1 else 1 - p)
+        return out
+
+    return score
+
+
+def test_ctw_equals_a_tree_by_recursion(spark):
+    text = b"banana bandana cabana " * 4
+    g, _ = ctw.codes(pa.array([text.decode()]))
+    key, n = np.unique(g, return_counts=True)
+    got = ctw.log_scores(key, n.astype(float), ctw_upper(key, n.astype(float)))
+    tree = tree_by_recursion(key, n)
+    for k, score in zip(key.tolist(), got):
+        assert abs(score - tree(k)) < 1e-8
+
+
+def test_ctw_scores_equal_a_tree(spark, docs, odd):
+    """The query's score, of texts that were learned and of held-out ones, whose contexts the tree may lack; odd rows too."""
+    cut = lambda d, n: d.select("doc_id", F.left("text", F.lit(n)).alias("text"))
+    d = cut(docs.orderBy("doc_id").limit(40), 250).unionByName(cut(odd, 120)).unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(["zq\x7f\u2603 new", "", "a"])], "doc_id long, text string"))
+    fold = F.col("doc_id").isNotNull() & ((F.col("doc_id") % 5 == 0) | (F.col("doc_id") >= 10_000))
+    rows = [(i, t, i is not None and (i % 5 == 0 or i >= 10_000)) for i, t in d.collect()]
+    key, n = np.unique(np.concatenate([ctw.codes(pa.array([t], pa.string()))[0] for _, t, held in rows if not held]), return_counts=True)
+    tree, want = tree_by_recursion(key, n), []
+    for i, t, held in rows:
+        want.append((repr(i), held, sum(tree(k) for k in ctw.codes(pa.array([t], pa.string()))[0].tolist())))
+    got = sorted((repr(r["doc_id"]), r["held_out"], r["score"]) for r in ctw.scores(d, fold).collect())
+    assert sum(h for _, h, _ in got) > 8
+    for a, b in zip(got, sorted(want)):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-5, abs_tol=1e-4)
 
 
 def ctw_upper(key, n):
