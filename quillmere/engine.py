@@ -233,7 +233,10 @@ class IndexVault:
     def status(self) -> dict[str, int]:
         """Counts by state, and what an index run would do, in one pass over files joined with the disk."""
         d = self.decided()
-        row = d.agg(*[F.count_if(F.col("status") == s).alias(s) for s in schema.FILE_STATES], F.count_if(F.col("decision") == "work").alias("would_process"), F.count_if(~F.col("exists")).alias("lost"), F.count("*").alias("registered")).first()
+        status, work = F.col("status"), F.col("decision") == "work"
+        row = d.agg(
+            *[F.count_if(status == s).alias(s) for s in schema.FILE_STATES], F.count_if((status == "indexed") & work).alias("modified"), F.count_if(work).alias("would_process"),
+            F.count_if(status == "missing").alias("prune_would_remove"), F.count_if(~F.col("exists")).alias("lost"), F.count("*").alias("registered")).first()
         there, _ = gathered(self.spark, self.root, None, ignore_lines(self.root, self.IGNORE))
         untracked = there.join(self.store.table("files"), "path", "left_anti").count()
         return row.asDict() | {"untracked": untracked}
@@ -322,7 +325,8 @@ class ConvertVault:
         src = F.coalesce(F.col("src_hash") != F.col("last_src_hash"), F.lit(False))
         out = F.coalesce(F.col("out_hash") != F.col("last_out_hash"), F.lit(False))
         counts = [F.count_if(F.col("status") == s).alias(s) for s in schema.OUTPUT_STATES]
-        return d.agg(*counts, F.count_if(done & src & ~out).alias("source_changed"), F.count_if(done & out & ~src).alias("output_modified"), F.count_if(done & src & out).alias("would_conflict"), F.count_if(F.col("src_hash").isNull()).alias("lost"), F.count("*").alias("registered")).first().asDict()
+        to_come = {"source_changed": done & src & ~out, "output_modified": done & out & ~src, "would_conflict": done & src & out, "lost": F.col("src_hash").isNull()}
+        return d.agg(*counts, *[F.count_if(c).alias(n) for n, c in to_come.items()], F.count("*").alias("registered")).first().asDict()
 
     @writes
     def convert(self, force=False, retry_failed=False, overwrite=False, keep_existing=False) -> dict[str, int]:
@@ -473,9 +477,8 @@ class CrawlVault:
                 errors: list[str] = []
                 found, remember = (items, {}) if items is not None else self._listed(src, p, fetch, errors)
             except (local.Unreachable, OSError) as e:
-                failed = F.col("id") == src["id"]
                 run = self.spark.createDataFrame([(run_id, src["id"], src["strategy"], at, now_ms(), 0, 0, 0, 0, 1, "error", str(e))], schema.RUNS)
-                self.store.commit({"runs": runs.unionByName(run), "sources": sources.withColumns({"last_status": F.when(failed, "error").otherwise(F.col("last_status")), "last_error": F.when(failed, F.lit(str(e))).otherwise(F.col("last_error")), "last_crawled": F.when(failed, F.lit(at)).otherwise(F.col("last_crawled"))})})
+                self.store.commit({"runs": runs.unionByName(run), "sources": self._noted(sources, src["id"], {"last_crawled": at, "last_status": "error", "last_error": str(e)})})
                 reports[src["name"]] = {"status": "error"}
                 continue
             seen = local.kept(found, schema.DOCUMENT_EXTENSIONS, (), p["include"], p["exclude"], None if remember else p["since_ms"]).dropDuplicates(["uri"])
@@ -495,18 +498,34 @@ class CrawlVault:
                 m = mine.withColumnRenamed("uri", "d_uri")
                 rows = new.join(s, F.col("uri") == F.col("s_uri"), "left").join(m, F.col("uri") == F.col("d_uri"), "left")
                 was, touched = F.col("d_uri").isNotNull(), F.col("s_uri").isNotNull()
+                new_id = F.xxhash64(F.lit(src["id"]), "uri").bitwiseAND(2**62 - 1)
+                reached = touched | F.col("outcome").isNotNull()
                 rows = rows.select(
-                    F.coalesce("id", F.xxhash64(F.lit(src["id"]), "uri").bitwiseAND(2**62 - 1)).alias("id"), F.lit(src["id"]).cast("long").alias("source_id"), "uri", F.coalesce("s_name", "name").alias("name"), F.coalesce("s_rel_path", "rel_path").alias("rel_path"), F.coalesce("s_extension", "extension").alias("extension"),
-                    F.when(touched, F.col("s_size")).otherwise(F.col("size")).alias("size"), F.when(touched, F.col("s_modified_ms")).otherwise(F.col("modified_ms")).alias("modified_ms"), F.col("m_hash").alias("content_hash"), "metadata", F.col("m_status").alias("status"), "status_note",
-                    F.when(was, F.col("discovered_at")).otherwise(F.lit(at)).alias("discovered_at"), F.when(was, F.col("first_run_id")).otherwise(F.lit(run_id)).cast("long").alias("first_run_id"), F.when(touched, F.lit(at)).otherwise(F.col("last_seen")).alias("last_seen"), F.when(touched | F.col("outcome").isNotNull(), F.lit(run_id)).otherwise(F.col("last_run_id")).cast("long").alias("last_run_id"))
-                this = F.col("id") == src["id"]
-                run = self.spark.createDataFrame([(run_id, src["id"], src["strategy"], at, now_ms(), report["discovered"], report["updated"], report["gone"], report["skipped"], len(errors), "partial" if errors else "ok", "; ".join(errors[:5]) or None)], schema.RUNS)
-                with self.store.lock():
-                    self.store.commit({"documents": docs.where(F.col("source_id") != src["id"]).unionByName(rows), "runs": runs.unionByName(run), "sources": sources.withColumns({"last_crawled": F.when(this, F.lit(at)).otherwise(F.col("last_crawled")), "last_run_id": F.when(this, F.lit(run_id)).otherwise(F.col("last_run_id")).cast("long"), "last_status": F.when(this, "partial" if errors else "ok").otherwise(F.col("last_status")), "last_error": F.when(~this, F.col("last_error")), "config": F.when(this, F.lit(json.dumps(json.loads(src["config"] or "{}") | remember))).otherwise(F.col("config"))})}, {"documents": [["source_id", "uri"], ["id"]], "runs": [["id"]]})
+                    F.coalesce("id", new_id).alias("id"), F.lit(src["id"]).cast("long").alias("source_id"), "uri",
+                    *[F.coalesce(f"s_{c}", c).alias(c) for c in ("name", "rel_path", "extension")],
+                    *[F.when(touched, F.col(f"s_{c}")).otherwise(F.col(c)).alias(c) for c in ("size", "modified_ms")],
+                    F.col("m_hash").alias("content_hash"), "metadata", F.col("m_status").alias("status"), "status_note",
+                    F.when(was, F.col("discovered_at")).otherwise(F.lit(at)).alias("discovered_at"),
+                    F.when(was, F.col("first_run_id")).otherwise(F.lit(run_id)).cast("long").alias("first_run_id"),
+                    F.when(touched, F.lit(at)).otherwise(F.col("last_seen")).alias("last_seen"),
+                    F.when(reached, F.lit(run_id)).otherwise(F.col("last_run_id")).cast("long").alias("last_run_id"))
+                status = "partial" if errors else "ok"
+                did = (report["discovered"], report["updated"], report["gone"], report["skipped"], len(errors))
+                run = self.spark.createDataFrame([(run_id, src["id"], src["strategy"], at, now_ms(), *did, status, "; ".join(errors[:5]) or None)], schema.RUNS)
+                config = json.dumps(json.loads(src["config"] or "{}") | remember)
+                noted = self._noted(sources, src["id"], {"last_crawled": at, "last_run_id": run_id, "last_status": status, "last_error": None, "config": config})
+                tables = {"documents": docs.where(F.col("source_id") != src["id"]).unionByName(rows), "runs": runs.unionByName(run), "sources": noted}
+                self.store.commit(tables, {"documents": [["source_id", "uri"], ["id"]], "runs": [["id"]]})
             merged.unpersist()
             seen.unpersist()
         return reports
 
+    @staticmethod
+    def _noted(sources: DataFrame, id_: int, values: dict) -> DataFrame:
+        """The sources, with new values in the columns of one."""
+        this, kinds = F.col("id") == id_, dict(sources.dtypes)
+        return sources.withColumns({c: F.when(this, F.lit(v).cast(kinds[c])).otherwise(F.col(c)) for c, v in values.items()})
+
     def _listed(self, src, p: dict, fetch: graph.Fetch | None, errors: list[str]) -> tuple[DataFrame, dict]:
         """A source's items by its kind, and what its configuration must remember."""
         def folder(root):

@@ -240,6 +240,11 @@ class Store:
             state["settings"][key] = value
         self._swap(state)
 
+    def origins(self) -> list[tuple[str, object, str]]:
+        """(key, value, "set" or "default") of every setting, by key."""
+        own = self._state()["settings"]
+        return [(k, own.get(k, v), "set" if k in own else "default") for k, v in sorted(DEFAULTS.items())]
+
     def settings(self) -> dict:
         return DEFAULTS | self._state()["settings"]
 

@@ -77,7 +77,9 @@ def test_vaults_walk_by_tasks(spark, tmp_path):
     assert v.add()["added"] == 2 and [r["path"] for r in v.ls().collect()] == ["a.md", "drafts/keep.md", "out.md"] and v.status()["untracked"] == 0
     os.remove(os.path.join(root, "out.md"))
     s = v.status()
-    assert (s["would_process"], s["lost"], s["registered"]) == (2, 1, 3)
+    assert (s["would_process"], s["lost"], s["registered"], s["modified"], s["prune_would_remove"]) == (2, 1, 3, 0, 0)
+    v.store.set("retrieval.default_k", 3)
+    assert ("retrieval.default_k", 3, "set") in v.store.origins() and ("retrieval.rrf_constant", 60, "default") in v.store.origins()
     assert [r["decision"] for r in v.decided(paths=["a.md"]).collect()] == ["work"]
     c = ConvertVault(spark, str(tmp_path / "notes"), create=True)
     assert c.add()["added"] == 1
