@@ -76,7 +76,9 @@ def mixture(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mixture itself: each row of docs as often as it is taken (a row of no words is taken once for each epoch)."""
+    """The mixture itself: each row of docs as often as it is taken, with all its columns. A row of no words, null text among them, is
+    taken once for each epoch of its source. Rows that share a doc_id, null among them, are each taken the mean, rounded, of
+    what the mixture gives them. An empty table gives no rows."""
     m = mixture(docs, **how)
     # Rows that share a doc_id share its count: the mean, rounded, of what they were given.
     m = m.groupBy(F.col("doc_id").alias("m_id")).agg(F.round(F.avg("times")).cast("int").alias("times"))

@@ -341,8 +341,9 @@ def deduplicated(docs: DataFrame, window: int = 13, batches: int = 3, texts: boo
     occurs, a chunk names it once. There are as many parts and ranges of hashes as the size of the texts asks for.
 
     With a folder (one that driver and executors share) the index is kept there: documents of earlier calls on it count as
-    smaller than all of docs, whatever their doc_id, and docs are added to it. Only earlier chunks that come to share a
-    passage for the first time are read again."""
+    smaller than all of docs, whatever their doc_id, and docs are added to it. The chunks of earlier calls are scanned for those
+    that come to share a passage for the first time, and saving writes the whole run: a call costs what the index holds, not only
+    what is new. One call at a time may use a folder; nothing keeps a second one out."""
     spark = docs.sparkSession
     n = parts_of(docs, "text", PART_BYTES)
     index = FingerprintIndex.open(spark, folder, n, window) if folder else FingerprintIndex(n, window)
