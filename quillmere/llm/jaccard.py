@@ -15,7 +15,7 @@ from quillmere.llm.components import components
 FREQUENT = 1 << 16
 #: Bytes of text whose shingles one task counts, distinct ones that it holds, and bits of a hash that tell counted shingles apart.
 #: Shingles that share those bits share their count, which orders prefixes and decides no link.
-COUNT_BYTES, HELD, COUNTED = 64 << 20, 1 << 20, 40
+COUNT_BYTES, HELD, COUNTED = 32 << 20, 1 << 20, 40
 #: Most shared tokens that a prefix may ask for, and the cost of a verification against that of a list entry.
 LONGEST, VERIFY = 64, 4.0
 #: Sets and shingles that a block has on average, at most.
@@ -77,9 +77,14 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             yield packed()
 
     def total(table):
-        key = np.concatenate([unpack_sorted(x) for x in table["keys"].to_pylist()])
-        key, of = np.unique(key, return_inverse=True)
-        n = np.bincount(of, np.concatenate([np.frombuffer(x, np.uint32) for x in table["times"].to_pylist()])).astype(np.int64)
+        key = np.concatenate([unpack_sorted(x.as_py()) for x in table["keys"]])
+        order = np.argsort(key)
+        key = key[order]
+        times = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["times"]])[order]
+        del order
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, n = key[first], np.add.reduceat(times, first, dtype=np.int64)
+        del times, first
         top = np.lexsort((key, -n))[:FREQUENT]
         top = top[n[top] > 1]
         return pa.table({"key": key[top].view(np.int64), "n": n[top]})
