@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import binary_texts, byte_list, hashes, materialize, mixed, parts_for, shuffle_partitions, slices, split_words
+from quillmere.llm.common import binary_texts, byte_list, discard, hashes, materialize, mixed, pack_sorted, parts_for, shuffle_partitions, slices, split_words, unpack_sorted
 
 #: Bytes of context. A gram is the context's bytes, oldest first, and the byte they precede.
 DEPTH = 5
-#: Grams and words of the model that are broadcast at once; more go in as many passes over the texts.
-GRAMS, WORDS = 1 << 22, 1 << 22
+#: Grams, or words, of the model in a bucket, on average; and bytes of text whose questions a task answers from one bucket.
+ENTRIES, ASKED = 1 << 20, 32 << 20
 #: Distinct grams that a task gathers before it hands them on.
 HELD = 1 << 21
 END = b"\n"
@@ -194,21 +193,18 @@ def upper_levels(grams: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndar
     return out
 
 
-def model(docs: DataFrame, trained) -> tuple[DataFrame, DataFrame]:
-    """(counts, grams): counts as counted(); grams (key, score) holds the log10 probability of every distinct gram of docs
-    under the tree of the trained ones. Subtrees of two context bytes meet in one task each, as distinct grams."""
-    counts = materialize(counted(docs, trained), "counts")
-    n = shuffle_partitions(docs.sparkSession)
+def model(counts: DataFrame, n: int) -> DataFrame:
+    """key, score: the log10 probability of every distinct gram of counts (as counted() gives them) under the tree of the trained
+    ones. Subtrees of two context bytes meet in one of n tasks each, as distinct grams."""
     grams = counts.where("kind = 0").select("key", "n").repartition(n, F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF))
-    upper = upper_levels(grams)
-    sent = docs.sparkSession.sparkContext.broadcast(upper)  # 2^16 + 2^8 nodes
+    sent = counts.sparkSession.sparkContext.broadcast(upper_levels(grams))  # 2^16 + 2^8 nodes
 
     def score(batches):
         key, n = read_all(batches)
         if len(key):
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(log_scores(key, n, sent.value))], names=["key", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(log_scores(key, n, sent.value))], names=["key", "value"])
 
-    return counts, materialize(grams.mapInArrow(score, "key long, score double"), "grams")
+    return grams.mapInArrow(score, "key long, value double")
 
 
 class Table:
@@ -245,76 +241,167 @@ class Table:
         return out
 
 
-_tables: dict[str, Table] = {}
-
-
 def per_text(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     sums = np.r_[0.0, np.cumsum(values, dtype=np.float64)]
     return sums[begin[1:]] - sums[begin[:-1]]
 
 
+def chunked(rows: DataFrame) -> DataFrame:
+    """chunk, size, payload: rows as they lie, about 4 MB of text a chunk, one row at least."""
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at, k in slices(batch.column("text")):
+                part, sink = pa.Table.from_batches([batch.slice(at, k)]), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(part)
+                size = pc.sum(pc.binary_length(part["text"])).as_py() or 0
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([size + k]), pa.array([sink.getvalue().to_pybytes()])], names=["chunk", "size", "payload"])
+                chunk += 1
+
+    return rows.mapInArrow(cut, "chunk long, size long, payload binary")
+
+
+class Chunk:
+    """The rows of a chunk with their grams and words, and the distinct ones of both in ascending order."""
+
+    def __init__(self, payload: bytes) -> None:
+        self.rows = pa.ipc.open_stream(payload).read_all().combine_chunks()
+        texts = self.rows["text"].combine_chunks()
+        self.codes, self.begin = codes(texts)
+        self.words, distinct, self.offsets = split_words(binary_texts(texts), True)
+        self.hashes = hashes(distinct)
+        self.keys = np.unique(self.codes), np.unique(self.hashes)
+
+
+def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
+    return ((mixed(key) >> U(32)) * U(n) >> U(32)).astype(np.int32)
+
+
+def dealt(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by bucket, ascending in each, and where each of the n buckets begins in it."""
+    of = bucket_of(key, n)
+    return np.argsort(of, kind="stable"), np.r_[0, np.cumsum(np.bincount(of, minlength=n))]
+
+
+def asked(chunks: DataFrame, n: int) -> DataFrame:
+    """bucket, chunk, grams, words: the distinct grams and words of each chunk, a row for each bucket that has any."""
+
+    def ask(batches):
+        for batch in batches:
+            for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload").to_pylist()):
+                keys = Chunk(payload).keys
+                (go, g), (wo, w) = (dealt(k, n) for k in keys)
+                some = np.flatnonzero((np.diff(g) > 0) | (np.diff(w) > 0))
+                packed = [[pack_sorted(k[o[at[i] : at[i + 1]]]) for i in some] for k, o, at in ((keys[0], go, g), (keys[1], wo, w))]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk)), *(pa.array(x, pa.binary()) for x in packed)], names=["bucket", "chunk", "grams", "words"])
+
+    return chunks.mapInArrow(ask, "bucket int, chunk long, grams binary, words binary")
+
+
+def entries(table: DataFrame, what: int, n: int) -> DataFrame:
+    """bucket, what, key, value of the entries (key, value) of a table."""
+
+    def place(batches):
+        for batch in batches:
+            key = np.asarray(batch.column("key"), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(key.view(U), n)), pa.array(np.full(len(key), what, np.int32)), pa.array(key), batch.column("value").cast(pa.float64())], names=["bucket", "what", "key", "value"])
+
+    return table.mapInArrow(place, "bucket int, what int, key long, value double")
+
+
+def answered(grams: DataFrame, words: DataFrame, chunks: DataFrame, n: int, salts: int) -> DataFrame:
+    """chunk, bucket, scores, counts: what the model has for each of the keys asked, in their order; 0 for what it lacks.
+
+    A task reads its bucket's entries, sorted before the questions, and then one question after another, so it holds a bucket
+    and a batch. A bucket's questions are dealt to `salts` tasks, each with the bucket's entries."""
+    model = entries(grams, 0, n).unionByName(entries(words, 1, n)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asks = asked(chunks, n).withColumns({"what": F.lit(2), "salt": F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")})
+    both = model.unionByName(asks, allowMissingColumns=True).repartition(n * salts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "what")
+
+    def answer(batches):
+        now, held, ready = None, ([], []), None
+
+        def found(which, packed, kind):
+            keys, (key, value) = unpack_sorted(packed), ready[which]
+            at = np.minimum(np.searchsorted(key, keys), max(0, len(key) - 1))
+            return (np.where(key[at] == keys, value[at], 0.0) if len(key) else np.zeros(len(keys))).astype(kind).tobytes()
+
+        for batch in batches:
+            group = np.asarray(batch.column("bucket"), dtype=np.int64) * salts + np.asarray(batch.column("salt"), dtype=np.int64)
+            what = np.asarray(batch.column("what"))
+            ends = np.flatnonzero(np.r_[(group[1:] != group[:-1]) | (what[1:] != what[:-1]), True]) + 1 if len(what) else []
+            out = []
+            for a, b in zip([0, *ends[:-1]], ends):
+                if group[a] != now:
+                    now, held, ready = group[a], ([], []), None
+                if what[a] < 2:
+                    held[what[a]].append([np.asarray(batch.column(c).slice(a, b - a)) for c in ("key", "value")])
+                    continue
+                if ready is None:
+                    ready = []
+                    for parts in held:
+                        key, value = (np.concatenate([x[i] for x in parts]) if parts else np.zeros(0) for i in (0, 1))
+                        key = key.astype(np.int64).view(U)
+                        order = np.argsort(key)
+                        ready.append((key[order], value[order]))
+                    held = ([], [])
+                some = batch.slice(a, b - a)
+                for bucket, chunk, g, w in zip(*[some.column(c).to_pylist() for c in ("bucket", "chunk", "grams", "words")]):
+                    out.append((chunk, bucket, found(0, g, np.float32), found(1, w, np.float64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "bucket", "scores", "counts"])
+
+    return both.mapInArrow(answer, "chunk long, bucket int, scores binary, counts binary")
+
+
 def scores(docs: DataFrame, held_out) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte. The models learn from the rows for which held_out (a column) is not true.
 
     score is the log10 probability of the text's tokens by the tree: A-Z lower-cased, words joined by a space, then an
-    end. base_score is the smoothed unigram one. Both models hold what all documents have, and grow with them: they
-    reach the tasks in slices of at most GRAMS and WORDS entries, one pass over the texts for each, whose sums add up.
-    Null texts are empty (their end alone); rows of one doc_id and text score alike; an empty table gives no rows."""
+    end. base_score is the smoothed unigram one. Both models hold what all documents have, and grow with them. They stay
+    tables: chunks of texts ask buckets of them for their distinct grams and words, and sum the answers, in one pass.
+    Null texts are empty (their end alone); rows of one doc_id and text score alike; an empty table gives no rows. A text
+    longer than a chunk is one of its own."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counts, grams = model(rows, ~F.col("held_out"))
+    counts = materialize(counted(rows, ~F.col("held_out")), "counts")
     of = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.count("*").alias("k")).collect()}  # a row per kind
     ends = of[2]["n"] if 2 in of else 0
     total = (of[1]["n"] if 1 in of else 0) + ends
     distinct = (of[1]["v"] if 1 in of else 0) + (ends > 0)
-    words = counts.where("kind = 1 and n > 0").select("key", "n")
-    passes = max(parts_for(of[0]["k"] if 0 in of else 0, GRAMS), parts_for(distinct, WORDS))
-    out = None
-    for i in range(passes):
-        slice_of = (lambda df, i=i: df if passes == 1 else df.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == i))
-        g, w = slice_of(grams).toArrow(), slice_of(words).sort("key").toArrow()  # a slice, of bounded rows
-        sent = spark.sparkContext.broadcast((np.asarray(g["key"]).view(U), np.asarray(g["score"], dtype=np.float32), np.asarray(w["key"]), np.asarray(w["n"])))
-        del g, w
-
-        def score(batches, i=i, sent=sent, name=uuid.uuid4().hex):
-            g_key, g_value, w_key, w_n = sent.value
-            if name not in _tables:  # workers are used again
-                _tables.clear()
-                _tables[name] = Table(g_key, g_value)
-            tree = _tables[name]
-
-            def smooth(c):
-                return np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-
-            for batch in batches:
-                tokens, known, base, log, size = [], [], [], [], []
-                for at, k in slices(batch.column("text")):
-                    texts = batch.column("text").slice(at, k)
-                    c, distinct_words, offsets = split_words(binary_texts(texts), True)
-                    key = hashes(distinct_words).view(np.int64)
-                    place = np.minimum(np.searchsorted(w_key, key), max(0, len(w_key) - 1))
-                    n = np.where(w_key[place] == key, w_n[place], 0) if len(w_key) else np.zeros(len(key), np.int64)
-                    mine = n > 0
-                    value = np.where(mine, smooth(n) - smooth(0), 0.0)  # unknown words are added once, below
-                    tokens.append(np.diff(offsets))
-                    known.append(per_text(mine[c], offsets))
-                    base.append(per_text(value[c], offsets))
-                    codes_of, begin = codes(texts)
-                    log.append(per_text(tree(codes_of, 0.0), begin))
-                    size.append(np.diff(begin))
-                tokens, known, base, log, size = (np.concatenate(x) if x else np.zeros(0) for x in (tokens, known, base, log, size))
-                if i == 0:  # what every text has once
-                    base = base + tokens * smooth(0) + smooth(ends)
-                    known = known + (ends > 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("tie"), pa.array(tokens.astype(np.int64) + 1), pa.array(np.round(known).astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(log.astype(np.float64)), pa.array(size.astype(np.int64))], names=["doc_id", "held_out", "tie", "n_tokens", "n_known", "base_score", "score", "size"])
-
-        kind = dict(docs.dtypes)["doc_id"]
-        part = rows.withColumn("tie", F.xxhash64("text")).mapInArrow(score, f"doc_id {kind}, held_out boolean, tie long, n_tokens long, n_known long, base_score double, score double, size long")
-        out = part if out is None else out.unionByName(part)
-    if passes > 1:
-        same = out.groupBy("doc_id", "held_out", "tie").agg(F.first("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")], F.first("size").alias("size"), (F.count("*") / passes).cast("int").alias("rows"))
-        same = same.withColumns({"n_known": (F.col("n_known") / F.col("rows")).cast("long"), "base_score": F.col("base_score") / F.col("rows"), "score": F.col("score") / F.col("rows")})
-        out = same.withColumn("_", F.explode(F.sequence(F.lit(1), "rows")))
-    bits = -F.col("score") * F.lit(math.log2(10)) / F.col("size")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
+    n = parts_for(max(of[0]["k"] if 0 in of else 0, distinct), ENTRIES, shuffle_partitions(spark))
+    grams = materialize(model(counts, n), "grams")
+    chunks = materialize(chunked(rows), "chunks")
+    salts = parts_for(chunks.agg(F.sum("size").alias("n")).first()["n"] or 0, ASKED * n, 1)
+    answers = answered(grams, counts.where("kind = 1 and n > 0").select("key", F.col("n").cast("double").alias("value")), chunks.select("chunk", "payload"), n, salts)
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def summed(mine, told):
+        def smooth(c):
+            return np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+
+        chunk = Chunk(mine["payload"][0].as_py())
+        told = told.sort_by("bucket")
+        values = []
+        for key, column, dtype in zip(chunk.keys, ("scores", "counts"), (np.float32, np.float64)):
+            value = np.empty(len(key))
+            value[dealt(key, n)[0]] = np.frombuffer(b"".join(told[column].to_pylist()), dtype)
+            values.append(value)
+        c = values[1][np.searchsorted(chunk.keys[1], chunk.hashes)]
+        known = np.r_[0, np.cumsum((c > 0)[chunk.words])]
+        size, tokens = np.diff(chunk.begin), np.diff(chunk.offsets) + 1
+        log = per_text(Table(chunk.keys[0], values[0])(chunk.codes, 0.0), chunk.begin)
+        base = per_text(smooth(c)[chunk.words], chunk.offsets) + smooth(ends)
+        columns = {"doc_id": chunk.rows["doc_id"], "held_out": chunk.rows["held_out"], "n_tokens": pa.array(tokens, pa.int64())}
+        columns |= {"n_known": pa.array(known[chunk.offsets[1:]] - known[chunk.offsets[:-1]] + (ends > 0), pa.int64()), "train_tokens": pa.array(np.full(len(size), total), pa.int64())}
+        return pa.table(columns | {"base_score": pa.array(base), "score": pa.array(log), "bits_per_byte": pa.array(-log * math.log2(10) / size)})
+
+    out = chunks.select("chunk", "payload").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(summed, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    out = materialize(out, "scores")
+    discard(counts, grams, chunks)
+    return out
